@@ -1,4 +1,4 @@
-"""Shared intermediate storage and size-checked broadcasting."""
+"""Shared intermediate storage, and membership filters of fixed size."""
 
 from __future__ import annotations
 
@@ -7,69 +7,74 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a local session (one machine, as in tests) may fall back to a temporary folder.
+    Only a session on one machine (as in tests) may fall back to a temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = tempfile.mkdtemp(prefix="trackledger-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    global _LOCAL
+    _LOCAL = _LOCAL or tempfile.mkdtemp(prefix="trackledger-")
+    return _LOCAL
+
+
+_LOCAL = ""
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once as Parquet to the shared folder and read back: lineage ends here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Removes a folder of the shared storage."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
-
-#: Bits of the membership filters below, 8 MB: a fixed size whatever the input.
+#: Bits of a membership filter, 8 MB: fixed whatever the input.
 FILTER_BITS = 26
 
 
 class Membership:
-    """A one-hash membership filter of fixed size: false positives only, so an exact join must follow."""
+    """A membership filter of fixed size over 64-bit hashes: false positives only.
+
+    It only thins rows out before an exact join; with far more members than bits it
+    lets everything through, and the result is the same.
+    """
 
     def __init__(self, hashes: DataFrame, column: str):
-        spark = hashes.sparkSession
-        bit = F.shiftrightunsigned(F.xxhash64(F.col(column)), 64 - FILTER_BITS)
+        bit = F.shiftrightunsigned(column, 64 - FILTER_BITS)
         words = (
-            hashes.select(F.shiftright(bit, 6).alias("word"), F.shiftleft(F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int")).alias("bits"))
+            hashes.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {64 - FILTER_BITS}) & 63 as int))").alias("bits"))
             .groupBy("word")
             .agg(F.bit_or("bits").alias("bits"))
             .toArrow()
         )
         table = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
         table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-        self._table = spark.sparkContext.broadcast(table)
+        self.table = hashes.sparkSession.sparkContext.broadcast(table)
+
 
-    def column(self, value) -> "F.Column":
-        """True where the value may be a member; never false for a member."""
-        table = self._table
+def may_hold(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """True for each hash that may be in the filter's table."""
+    bit = hashes >> np.uint64(64 - FILTER_BITS)
+    return (table[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
 
-        @F.arrow_udf("boolean")
-        def may_hold(at: "pa.Array") -> "pa.Array":
-            bits = at.to_numpy(zero_copy_only=False)
-            found = (table.value[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1)
-            return pa.array(found.astype(bool))
 
-        return may_hold(F.shiftrightunsigned(F.xxhash64(value), 64 - FILTER_BITS))
+def may_hold_column(held: Membership, hashes: Column) -> Column:
+    table = held.table
 
+    def check(at: pa.Array) -> pa.Array:
+        return pa.array(may_hold(table.value, at.to_numpy(zero_copy_only=False).view(np.uint64)))
 
+    return F.arrow_udf(check, "boolean")(hashes)
