@@ -34,12 +34,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackledger.llm import textops as T
 from trackledger.llm.graph import components
-from trackledger.llm.store import Membership, may_hold, written
+from trackledger.llm.store import Membership, may_hold, may_hold_column, written
 
 WORDS = 3
 PERCENT = 90
@@ -292,3 +292,22 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     first = whole.where(F.col("_c").isNotNull()).groupBy("_c").agg(F.min("_id").alias("_first"))
     out = whole.join(first, "_c", "left")
     return out.select(F.col("_id").alias(id_column), "n_shingles", F.coalesce("_first", "_id").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One document of each component, the one that names it, with all columns.
+
+    An id stands for one document: of rows that share an id one stays.  Rows with a null id
+    have no name to go by and all stay.  Only documents that may have to go are joined; the
+    others pass a membership filter and are never shuffled.
+    """
+    found = written(near_duplicates(docs, id_column, text, percent), "components").where(F.col(id_column).isNotNull())
+    by_id = found.groupBy(F.col(id_column).alias("_id")).agg(F.count("*").alias("_rows"), F.max(F.col("component_id") == F.col(id_column)).alias("_stays"))
+    doubtful = by_id.where((F.col("_rows") > 1) | ~F.col("_stays")).select("_id", "_stays", F.xxhash64("_id").alias("_hash"))
+    doubtful = written(doubtful, "doubtful")
+    hit = may_hold_column(Membership(doubtful, "_hash"), F.xxhash64(id_column))
+    checked = docs.where(F.col(id_column).isNotNull()).withColumn("_hit", hit)
+    rest = checked.where("_hit").drop("_hit").join(doubtful, F.col(id_column) == F.col("_id"), "left").where(F.coalesce("_stays", F.lit(True)))
+    order = Window.partitionBy(id_column).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    rest = rest.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return checked.where("not _hit").drop("_hit").unionByName(docs.where(F.col(id_column).isNull())).unionByName(rest)

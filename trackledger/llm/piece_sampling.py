@@ -41,7 +41,7 @@ from trackledger.llm import textops as T
 
 SHIFT = 20.0
 BYTE_LOG_PROB = -16.0
-SLICE = 1 << 19
+SLICE = 1 << 20
 #: A draw below the largest possible one by this much can't win with 53-bit noise.
 REACH = 42.0
 _BLANK = "▁"
@@ -162,7 +162,12 @@ class Lattice:
         while len(active):
             first = self.first[now]
             target = self.upto[first] - self.p[first] + uniform(key[active], step)
-            edge = np.clip(np.searchsorted(self.upto, target, side="right"), first, first + self.count[now] - 1)
+            edge = first + self.count[now] - 1  # the longest piece comes last and mostly is the likeliest
+            back = np.flatnonzero((edge > first) & (target < self.upto[edge - 1]))
+            while len(back):
+                edge[back] -= 1
+                e = edge[back]
+                back = back[(e > first[back]) & (target[back] < self.upto[e - 1])]
             who.append(active), edges.append(edge)
             on = ~self.last[edge]
             active, now, step = active[on], self.to[edge[on]], step + 1
@@ -172,21 +177,23 @@ class Lattice:
         order = np.argsort(who, kind="stable")
         return edges[order], np.searchsorted(who[order], np.arange(len(at) + 1))
 
-    def ids(self, edges: np.ndarray) -> np.ndarray:
+    def ids(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the edges, and how many each has (a spelled character has one per byte)."""
         spelled = self.name[edges] < 0
-        if not spelled.any():
-            return self.name[edges].astype(np.int32)
         count = np.where(spelled, self.to[edges] - self.frm[edges], 1)
         each = np.repeat(np.arange(len(edges)), count)
         out = self.name[edges[each]].astype(np.int32)
         byte = self.frm[edges[each]] + np.arange(len(each)) - (np.cumsum(count) - count)[each]
         byte = byte[out < 0]
         out[out < 0] = self.model.byte_id[self.data[byte]]
-        return out
+        return out, count
+
 
+def _branches(log_p: np.ndarray, p: np.ndarray, before: float, top: float, key: np.ndarray, sample: int, first: int, most_left: int) -> list[tuple[float, int, float]]:
+    """(-value, step, mass) of what leaves a path at each of its steps, drawn below ``top``.
 
-def _branches(log_p: np.ndarray, p: np.ndarray, before: float, top: float, key: np.ndarray, sample: int, first: int) -> list[tuple[float, int, float]]:
-    """(value, step, mass) of what leaves a path at each of its steps, drawn below ``top``; only those that can matter."""
+    Of these the ``most_left`` largest are kept: no more draws follow, so no other can be one.
+    """
     ahead = before + np.cumsum(log_p) - log_p
     with np.errstate(divide="ignore"):
         mass = ahead + np.log1p(-p)
@@ -195,8 +202,11 @@ def _branches(log_p: np.ndarray, p: np.ndarray, before: float, top: float, key:
         return []
     at = np.flatnonzero(mass >= most - REACH)
     noise = np.log(-np.log(uniform(key, sample, at + first, 1)))
-    value = -np.logaddexp(-top, noise - mass[at])
-    return list(zip((-value).tolist(), (at + first).tolist(), mass[at].tolist(), strict=True))
+    value = np.logaddexp(-top, noise - mass[at])
+    if len(at) > most_left:
+        keep = np.argpartition(value, most_left - 1)[:most_left]
+        at, value = at[keep], value[keep]
+    return list(zip(value.tolist(), (at + first).tolist(), mass[at].tolist(), strict=True))
 
 
 def sample_slice(model: Pieces, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, k: int) -> list[list[tuple]]:
@@ -225,7 +235,7 @@ def sample_slice(model: Pieces, data: np.ndarray, offsets: np.ndarray, keys: np.
     text = T.text_of(offsets, start)
     bounds = np.searchsorted(start, offsets)
     number = np.arange(len(start)) - bounds[text]
-    walk_key = lambda chunks, sample: T.mix(keys[text[chunks]] + np.uint64(sample) * _C[1] + number[chunks].astype(np.uint64) * _C[2])
+    walk_key = lambda chunks, sample: T.mix(keys[text[chunks]] + np.uint64(sample * int(_C[1]) % 2**64) + number[chunks].astype(np.uint64) * _C[2])
     edges, cut = lattice.walk(entry, walk_key(np.arange(len(start)), 0))
     roots = -np.log(-np.log(uniform(keys, 0, 0, 2)))
     paths: dict[int, list] = {}
@@ -235,7 +245,7 @@ def sample_slice(model: Pieces, data: np.ndarray, offsets: np.ndarray, keys: np.
         chunk = np.repeat(np.arange(bounds[t], bounds[t + 1]), np.diff(cut[bounds[t] : bounds[t + 1] + 1]))
         log_p, key = lattice.log_p[path], keys[t : t + 1]
         paths[t] = [(path, chunk, float(log_p.sum()), float(roots[t]))]
-        heaps[t] = [(v, 0, at, mass, (int(path[at]),)) for v, at, mass in _branches(log_p, lattice.p[path], 0.0, roots[t], key, 0, 0)]
+        heaps[t] = [(v, 0, at, mass, (int(path[at]),)) for v, at, mass in _branches(log_p, lattice.p[path], 0.0, roots[t], key, 0, 0, k)]
         heapq.heapify(heaps[t])
     for sample in range(1, k):
         jobs, at, who = [], [], []
@@ -276,11 +286,18 @@ def sample_slice(model: Pieces, data: np.ndarray, offsets: np.ndarray, keys: np.
             log_p = lattice.log_p[path]
             paths[t].append((path, chunk, float(log_p.sum()), value))
             before = float(log_p[: step + 1].sum())
-            for v, level, mass in _branches(log_p[step + 1 :], lattice.p[tail], before, value, keys[t : t + 1], sample, step + 1):
+            for v, level, mass in _branches(log_p[step + 1 :], lattice.p[tail], before, value, keys[t : t + 1], sample, step + 1, k):
                 heapq.heappush(heaps[t], (v, len(paths[t]) - 1, level, mass, (int(path[level]),)))
+    ids, counts = lattice.ids(np.concatenate([path for t in filled.tolist() for path, *_ in paths[t]]))
+    upto = np.concatenate([[0], np.cumsum(counts)])
+    done = 0
     for t in filled.tolist():
         threshold = -heaps[t][0][0] if heaps[t] else -np.inf
-        out[t] = [(lattice.ids(path), log_p, value, _log_inclusion(log_p - threshold)) for path, _, log_p, value in paths[t]]
+        out[t] = []
+        for path, _, log_p, value in paths[t]:
+            own = ids[upto[done] : upto[done + len(path)]]
+            done += len(path)
+            out[t].append((own, log_p, value, _log_inclusion(log_p - threshold)))
     return out
 
 

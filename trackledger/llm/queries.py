@@ -5,13 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackledger.llm import decontamination, jaccard_join, quality, toxicity
+from trackledger.llm import decontamination, jaccard_join, piece_sampling, quality, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SHARDS = 24
+SAMPLES = 2
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.interleave(table(spark, sf_dir, "documents"), SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_file("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = docs.select("doc_id", "text", F.explode(piece_sampling.encode_column(F.col("text"), F.col("doc_id"), model, SAMPLES)).alias("s"))
+    return drawn.select(
+        "doc_id",
+        "s.sample",
+        F.size("s.ids").cast("long").alias("n_tokens"),
+        piece_sampling.ids_crc32(F.col("s.ids")).alias("ids_crc32"),
+        "s.log_prob",
+        "s.log_inclusion",
+        (piece_sampling.decode_column(F.col("s.ids"), model) == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def _scored(docs: DataFrame, score, threshold: float) -> DataFrame:
     scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -38,6 +68,8 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op2_sentencepiece_sampling": op2_sentencepiece_sampling,
     "op3_toxicity": op3_toxicity,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
