@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackledger.llm import decontamination, fingerprints, jaccard_join, piece_sampling, quality, sharding, toxicity
+from trackledger.llm import decontamination, fingerprints, huffman, jaccard_join, piece_sampling, quality, sharding, toxicity
+from trackledger.llm.store import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +72,14 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "huffman")
+    huffman.write_ids(table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"), 2)
+    return huffman.read_ids(spark, path).select(
+        F.col("id").alias("doc_id"), "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_sentencepiece_sampling": op2_sentencepiece_sampling,
@@ -79,6 +88,7 @@ QUERIES = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_huffman_ids": op10_huffman_ids,
 }
 
 ORACLES: dict[str, str] = {}
