@@ -28,6 +28,7 @@ only if all ids in it are null.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -77,6 +78,7 @@ class Plan:
 
     def __init__(self, percent: int = PERCENT, boundary: int = 0):
         self.percent, self.boundary = percent, boundary
+        self.names: dict[int, np.ndarray] = {}  # of the cells, by range
         self.starts = [1]  # sizes of linked sets lie in the same range or in neighbouring ones
 
     def largest_partner(self, n: int) -> int:
@@ -90,7 +92,9 @@ class Plan:
 
     def subset_sizes(self, n: int, boundary: int) -> list[int]:
         """Sizes of the subsets to enumerate for n shingles: pairs whose smaller set is light."""
-        sizes = set()
+        sizes: set[int] = set()
+        if self.smallest_partner(n) > boundary:
+            return []
         for m in range(self.smallest_partner(n), self.largest_partner(n) + 1):
             c = self.overlap(n, m)
             if m and min(n, m) <= boundary and c <= min(n, m) and not c == n == m:
@@ -100,7 +104,7 @@ class Plan:
     def range_of(self, n: int) -> int:
         while self.starts[-1] <= n:
             self.starts.append(self.largest_partner(self.starts[-1]) + 1)
-        return int(np.searchsorted(self.starts, n, side="right")) - 1
+        return bisect_right(self.starts, n) - 1
 
     def cells(self, at: int) -> int:
         """One more than two linked sets of ranges at - 1 and at can differ in."""
@@ -140,7 +144,9 @@ class Plan:
                 cell = ((s >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
                 sums = np.zeros(k, dtype=np.uint64)
                 np.add.at(sums, cell.astype(np.int64), s)
-                out.append(T.mix(sums + T.mix((np.uint64(where) << np.uint64(32)) + np.arange(k, dtype=np.uint64))))
+                if where not in self.names:
+                    self.names[where] = T.mix((np.uint64(where) << np.uint64(32)) + np.arange(k, dtype=np.uint64))
+                out.append(T.mix(sums + self.names[where]))
         return np.concatenate(out) if out else s[:0]
 
 
