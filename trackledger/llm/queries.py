@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackledger.llm import decontamination, fingerprints, huffman, jaccard_join, piece_sampling, quality, sharding, toxicity
-from trackledger.llm.store import new_path
+from trackledger.llm import chat, decontamination, fingerprints, huffman, jaccard_join, licenses, piece_sampling, quality, sharding, toxicity
+from trackledger.llm.store import new_path, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,18 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    turns = turns.unionByName(spark.createDataFrame(probe, turns.schema))
+    windows = written(chat.format_windows(turns, tokenizer_file("byte_bpe_50k.json")), "windows")
+    return chat.read_back(windows)
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -87,6 +99,8 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_document_fingerprints": op6_document_fingerprints,
+    "op7_license_scan": op7_license_scan,
+    "op8_chat_formatting": op8_chat_formatting,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_huffman_ids": op10_huffman_ids,
 }
