@@ -41,7 +41,8 @@ from trackledger.llm import textops as T
 
 SHIFT = 20.0
 BYTE_LOG_PROB = -16.0
-SLICE = 1 << 20
+SLICE = 1 << 19
+DECODED_AT_ONCE = 1 << 16
 #: A draw below the largest possible one by this much can't win with 53-bit noise.
 REACH = 42.0
 _BLANK = "▁"
@@ -335,7 +336,16 @@ def _bounds(sizes: list[int]) -> np.ndarray:
 
 
 def decode_ids(model: Pieces, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
-    """The texts whose ids are ``ids[bounds[i]:bounds[i + 1]]``."""
+    """The texts whose ids are ``ids[bounds[i]:bounds[i + 1]]``, some texts at a time."""
+    out, row = [], 0
+    while row < len(bounds) - 1:
+        end = max(row + 1, int(np.searchsorted(bounds, bounds[row] + DECODED_AT_ONCE, side="right")) - 1)
+        out += _decoded(model, ids[bounds[row] : bounds[end]], bounds[row : end + 1] - bounds[row])
+        row = end
+    return out
+
+
+def _decoded(model: Pieces, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
     size = model.lengths[ids]
     each = np.repeat(np.arange(len(ids)), size)
     data = model.blob[model.starts[ids][each] + np.arange(len(each)) - (np.cumsum(size) - size)[each]]
