@@ -65,8 +65,17 @@ def document_counts(words: DataFrame) -> dict[str, int]:
 
 
 def rarest_words(counts: dict[str, int]) -> list[list[str]]:
-    """Of each template, its words of highest inverse document frequency."""
-    return [sorted(set(notice.split()), key=lambda w: (counts[w], w))[:RAREST] for _, notice, _ in TEMPLATES]
+    """Of each template, its words of highest inverse document frequency among those that occur.
+
+    A template none of whose mandatory phrases has all its words in the corpus can't be in any
+    document, and needs no words.
+    """
+    out = []
+    for _, notice, phrases in TEMPLATES:
+        possible = any(all(counts[w] for w in p.split()) for p in phrases)
+        occurring = [w for w in set(notice.split()) if counts[w]] if possible else []
+        out.append(sorted(occurring, key=lambda w: (counts[w], w))[:RAREST])
+    return out
 
 
 def index_column(rare: list[list[str]]) -> tuple[list[str], Column]:
@@ -77,6 +86,8 @@ def index_column(rare: list[list[str]]) -> tuple[list[str], Column]:
         for place, word in enumerate(notice):
             if word in rare[t]:
                 postings.setdefault(word, []).append(F.struct(F.lit(t).alias("t"), F.lit(place).alias("place"), F.lit(len(notice)).alias("length")))
+    if not postings:
+        postings[""] = [F.struct(F.lit(0).alias("t"), F.lit(0).alias("place"), F.lit(1).alias("length"))]  # no word is empty
     entries = [x for w, p in postings.items() for x in (F.lit(w), F.array(*p))]
     return sorted(postings), F.create_map(*entries)
 
