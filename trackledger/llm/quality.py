@@ -34,9 +34,13 @@ MAX_ROWS_PER_CLASS = 1_500
 BITS = 17
 DIM = 8
 EPOCHS = 8
+#: Small samples are gone through more often, until so many batches were learned from.
+LEAST_BATCHES = 1_500
 BATCH = 16
 RATE = 0.5
 SAME_AS_LAST = 0  # the bucket of a repeated word
+#: A repeated word counts as so many features, as many as a word of usual length has.
+REPEAT_WEIGHT = 6
 
 
 @dataclass
@@ -57,7 +61,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np
     pair = text[1:] == text[:-1]
     both = T.mix(hashes[:-1] * np.uint64(3) + hashes[1:])[pair]
     again = (hashes[1:] == hashes[:-1])[pair]
-    out.append((text[1:][pair], np.where(again, SAME_AS_LAST, (both >> shift).astype(np.int64))))
+    out.append((text[1:][pair], (both >> shift).astype(np.int64)))
+    repeats = np.repeat(text[1:][pair][again], REPEAT_WEIGHT)
+    out.append((repeats, np.full(len(repeats), SAME_AS_LAST)))
     byte = data.astype(np.uint32)
     word = np.repeat(np.arange(len(start)), end - start)  # of each byte that is in a word
     at = np.arange(len(word)) - np.repeat(np.cumsum(end - start) - (end - start), end - start) + start[word]
@@ -111,8 +117,9 @@ def fit_arrays(bucket: np.ndarray, share: np.ndarray, bounds: np.ndarray, label:
     bias = np.zeros(2)
     sum_vector, sum_output, sum_bias = np.full(size, 1e-6), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
     target = np.stack([1 - label, label], axis=1)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-LEAST_BATCHES * BATCH // len(label)))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(label))
         for at in range(0, len(order), BATCH):
             docs = order[at : at + BATCH]
