@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from trackledger.llm import decontamination, jaccard_join, piece_sampling, quality, toxicity
 from trackledger.llm.queries import SAMPLES, table, tokenizer_file
-from trackledger.llm.store import written
+from trackledger.llm.store import small_batches, written
 
 TOXIC_FROM = 0.5
 GOOD_FROM = 0.3
@@ -30,6 +30,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return jaccard_join.keep_one_of_each(docs)
 
 
@@ -39,6 +40,7 @@ def drop_benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, sample, n_tokens, ids, log_prob, log_inclusion): the drawn segmentations of each document."""
+    small_batches(spark)
     drawn = piece_sampling.encode_column(F.col("text"), F.col("doc_id"), tokenizer_file("piece_bpe_32k.model"), SAMPLES)
     rows = docs.select("doc_id", F.explode(drawn).alias("s"))
     return rows.select("doc_id", "s.sample", F.size("s.ids").cast("long").alias("n_tokens"), "s.ids", "s.log_prob", "s.log_inclusion")

@@ -308,12 +308,21 @@ def keep_one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "te
     others pass a membership filter and are never shuffled.
     """
     found = written(near_duplicates(docs, id_column, text, percent), "components").where(F.col(id_column).isNotNull())
-    by_id = found.groupBy(F.col(id_column).alias("_id")).agg(F.count("*").alias("_rows"), F.max(F.col("component_id") == F.col(id_column)).alias("_stays"))
-    doubtful = by_id.where((F.col("_rows") > 1) | ~F.col("_stays")).select("_id", "_stays", F.xxhash64("_id").alias("_hash"))
+    own, stays, hit, nth = (_free(name, docs.columns) for name in ("_own", "_stays", "_hit", "_nth"))
+    by_id = found.groupBy(F.col(id_column).alias(own)).agg(F.count("*").alias("rows"), F.max(F.col("component_id") == F.col(id_column)).alias(stays))
+    doubtful = by_id.where((F.col("rows") > 1) | ~F.col(stays)).select(own, stays, F.xxhash64(own).alias("hash"))
     doubtful = written(doubtful, "doubtful")
-    hit = may_hold_column(Membership(doubtful, "_hash"), F.xxhash64(id_column))
-    checked = docs.where(F.col(id_column).isNotNull()).withColumn("_hit", hit)
-    rest = checked.where("_hit").drop("_hit").join(doubtful, F.col(id_column) == F.col("_id"), "left").where(F.coalesce("_stays", F.lit(True)))
-    order = Window.partitionBy(id_column).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    rest = rest.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return checked.where("not _hit").drop("_hit").unionByName(docs.where(F.col(id_column).isNull())).unionByName(rest)
+    held = Membership(doubtful, "hash")
+    checked = docs.where(F.col(id_column).isNotNull()).withColumn(hit, may_hold_column(held, F.xxhash64(id_column)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rest = checked.where(F.col(hit)).drop(hit).join(doubtful.drop("hash"), F.col(id_column) == F.col(own), "left").where(F.coalesce(stays, F.lit(True)))
+    order = Window.partitionBy(id_column).orderBy(F.xxhash64(*columns))
+    rest = rest.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*columns)
+    return checked.where(~F.col(hit)).drop(hit).unionByName(docs.where(F.col(id_column).isNull())).unionByName(rest)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """The name, with underscores before it until no column has it."""
+    while name in taken:
+        name = f"_{name}"
+    return name

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackledger.llm import chat, decontamination, fingerprints, huffman, jaccard_join, licenses, piece_sampling, quality, sharding, toxicity
-from trackledger.llm.store import new_path, written
+from trackledger.llm.store import new_path, small_batches, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

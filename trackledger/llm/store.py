@@ -30,6 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
 _LOCAL = ""
 
 
+#: Rows per Arrow batch where rows are whole texts; Spark's default of 10,000 suits narrow rows.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch to ``ARROW_ROWS`` rows, unless it was set to less."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
