@@ -1,6 +1,6 @@
 """Registered queries with the same questions in SQL."""
 
-from trackledger.plans import feeds
+from trackledger.plans import documents, feeds
 
-ALL_QUERIES = {**feeds.QUERIES}
-ALL_ORACLES = {**feeds.ORACLES}
+ALL_QUERIES = {**feeds.QUERIES, **documents.QUERIES}
+ALL_ORACLES = {**feeds.ORACLES, **documents.ORACLES}

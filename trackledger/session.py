@@ -21,15 +21,25 @@ def session(name: str = "trackledger", master: str | None = None, **settings: st
     return builder.config(map=SETTINGS | settings).getOrCreate()
 
 
-def kept(rows: DataFrame) -> DataFrame:
-    """The rows, checkpointed in the folder of ``spark.checkpoint.dir``: lineage ends here.
+_LOCAL = ""
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
     A session on one machine that has none set (as in tests) gets a temporary one.
     """
-    spark = rows.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="trackledger-"))
+    global _LOCAL
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    _LOCAL = _LOCAL or ("" if folder else tempfile.mkdtemp(prefix="trackledger-"))
+    return folder or _LOCAL
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """The rows, checkpointed in the shared folder: lineage ends here."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(rows.sparkSession))
     return rows.checkpoint()

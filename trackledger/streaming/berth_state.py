@@ -36,6 +36,8 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
             out.append((*key, None, None, pd.NaT, t.event_at, t.seq, None, anomaly))
         held = (int(t.seq), t.descr, t.event_at.to_pydatetime()) if t.opens else None
     state.update(held or (None, None, None))
+    if not out:
+        return
     frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
     yield frame.astype({"occupancy_id": "Int64", "exit_seq": "Int64"})
 
