@@ -10,12 +10,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from trackledger.sources.frames import frame_summary, land
 
+FRAMES = "feed_name string, body_hash string, n long, n_parsed long, n_unsupported long, n_malformed long, last_event_at timestamp, status string, batch long"
+
 
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         return None
-    return spark.read.parquet(path)
+    return spark.read.schema(FRAMES).parquet(path)
 
 
 def land_batch(frames: DataFrame, batch_id: int, parser: Callable[[DataFrame], DataFrame], path: str) -> None:
@@ -29,7 +31,8 @@ def land_batch(frames: DataFrame, batch_id: int, parser: Callable[[DataFrame], D
         recorded = recorded.where(F.col("batch") != batch_id)
     children = parser(land(frames, recorded)).withColumn("event_month", F.date_format("event_at", "yyyy_MM"))
     children.write.mode("overwrite").partitionBy("feed_name", "event_month").parquet(f"{path}/children/batch={batch_id}")
-    summary = frame_summary(spark.read.parquet(f"{path}/children/batch={batch_id}"))
+    written = spark.read.schema(children.schema).parquet(f"{path}/children/batch={batch_id}")  # a batch may have none
+    summary = frame_summary(written)
     summary.write.mode("overwrite").parquet(f"{path}/frames/batch={batch_id}")
 
 
