@@ -40,10 +40,11 @@ def candidates(occupancies: DataFrame, runs: DataFrame, links: DataFrame, calls:
     """
     opened = occupancies.withColumn("service_date", service_date(F.col("entered_at")))
     live = runs.where(F.col("state") != "superseded").select("run_id", F.col("signalling_id").alias("descr"), "service_date", "activated_at")
-    linked = live.join(links.where(F.col("outcome") == "matched").select("run_id", "schedule_id"), "run_id", "left")
+    matched = links.where(F.col("outcome") == "matched").select("run_id", "schedule_id")
+    linked = live.join(matched, "run_id", "left")
     pairs = opened.join(linked, ["descr", "service_date"])
     berths = smart.where(F.col("stanox").isNotNull()).select("td_area", F.col("to_berth").alias("berth"), "stanox").distinct()
-    at = calls.where(F.col("stanox").isNotNull()).select("schedule_id", "stanox").distinct()
+    at = calls.where(F.col("stanox").isNotNull()).join(matched.select("schedule_id").distinct(), "schedule_id", "left_semi").select("schedule_id", "stanox").distinct()
     touching = at.join(berths, "stanox").select("schedule_id", "td_area", "berth").distinct().withColumn("_smart", F.lit(True))
     pairs = pairs.join(touching, ["schedule_id", "td_area", "berth"], "left")
     after = F.col("entered_at").between(F.col("activated_at"), F.col("activated_at") + F.expr(f"INTERVAL {MAX_JOURNEY_HOURS} HOURS"))
