@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackledger.llm import chat, decontamination, fingerprints, huffman, jaccard_join, licenses, piece_sampling, quality, sharding, toxicity
+from trackledger.llm.oracles import ORACLES
 from trackledger.llm.store import new_path, small_batches, written
 
 
@@ -62,7 +63,8 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.overlapping(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontamination.overlapping(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "window", "matched")
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,4 +108,4 @@ QUERIES = {
     "op10_huffman_ids": op10_huffman_ids,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
