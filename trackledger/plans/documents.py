@@ -10,7 +10,7 @@ from trackledger import adapters as A
 from trackledger.functions import clock, text
 from trackledger.operators import berths, maps, resolver, runs
 from trackledger.plans import feeds
-from trackledger.plans.sql import over
+from trackledger.plans.sql import over, upto
 from trackledger.session import shared_folder
 from trackledger.sources import frames
 from trackledger.streaming import berth_state, ingest, live
@@ -310,19 +310,27 @@ def str_11_ingest_windows(spark, d):
     return stats.select("feed_name", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
-def _snapshots(spark, d, upto):
-    state = berths.current_state(A.td_events(spark, d).where(F.col("seq") <= upto))
-    return A.map_bindings(spark).join(state, ["td_area", "berth"], "left").select("slug", "element_id", "descr", F.coalesce("source_seq", F.lit(0)).alias("sequence"))
+def _snapshots(spark, d, last):
+    """A sequence counts two per event: what it clears, then what it fills."""
+    state = berths.current_state(A.td_events(spark, d).where(F.col("seq") <= last))
+    return A.map_bindings(spark).join(state, ["td_area", "berth"], "left").select("slug", "element_id", "descr", F.coalesce(F.col("source_seq") * 2 + 1, F.lit(0)).alias("sequence"))
 
 
-@query()
+def _snapshot_sql(events):
+    return upto(events, "bind cur", "SELECT b.slug, b.element_id, c.descr, coalesce(c.source_seq*2+1,0) AS sequence FROM bind b LEFT JOIN cur c USING (td_area, berth)")
+
+
+@query(sql=f"""SELECT n.slug, n.element_id, CASE WHEN n.descr IS NULL THEN 'berth.cleared' ELSE 'berth.updated' END AS message, n.descr, greatest(n.sequence, coalesce(o.sequence,0)+1) AS sequence
+  FROM {_snapshot_sql(4200)} n LEFT JOIN {_snapshot_sql(4000)} o USING (slug, element_id) WHERE n.descr IS DISTINCT FROM o.descr""")
 def str_07_win_08_poll_deltas(spark, d):
     return live.poll_deltas(_snapshots(spark, d, 4000), _snapshots(spark, d, 4200))
 
 
-@query()
+@query("td bind", f"""SELECT s.slug, s.element_id, CASE WHEN x.sequence IS NULL THEN s.descr ELSE x.descr END AS descr, coalesce(x.sequence, s.sequence) AS sequence FROM {_snapshot_sql(4000)} s
+  LEFT JOIN (SELECT slug, element_id, descr, sequence FROM (SELECT b.slug, b.element_id, c.descr, c.seq*2+c.n AS sequence, row_number() OVER (PARTITION BY b.slug, b.element_id ORDER BY c.seq*2+c.n DESC) AS k
+  FROM {feeds._CHANGES} c JOIN bind b ON b.td_area=c.td_area AND b.berth=c.berth JOIN (SELECT slug, max(sequence) AS taken FROM {_snapshot_sql(4000)} GROUP BY slug) t ON t.slug=b.slug WHERE c.seq*2+c.n>t.taken) WHERE k=1) x USING (slug, element_id)""")
 def str_09_snapshot_and_deltas(spark, d):
-    deltas = feeds.red_18_map_deltas(spark, d).select("slug", "element_id", "descr", F.col("seq").alias("sequence"))
+    deltas = feeds.red_18_map_deltas(spark, d).select("slug", "element_id", "descr", (F.col("seq") * 2 + F.col("n")).alias("sequence"))
     return live.folded(_snapshots(spark, d, 4000), deltas)
 
 
