@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackledger import adapters as A
 from trackledger.functions import clock, text
-from trackledger.operators import berths, maps, resolver, runs
+from trackledger.operators import berths, imports, maps, resolver, runs, schedules, tables
 from trackledger.plans import feeds
 from trackledger.plans.sql import over, upto
 from trackledger.session import shared_folder
@@ -340,3 +341,77 @@ def set_04_snk_09_deletes(spark, d):
     gone = s.where("schedule_id % 4 = 0 and stp = 'P'").select("train_uid", "stp").dropDuplicates()
     return s.join(gone, ["train_uid", "stp"], "left_anti").groupBy("train_uid").agg(F.count("*").alias("n"))
 
+
+# Repairs and listings
+
+
+@query("td", f"SELECT CAST((seq-1)//10 AS BIGINT) AS frame, CAST((seq-1)%10 AS INTEGER) AS child_index, 'unsupported' AS old_status, 'parsed' AS new_status FROM td WHERE ((seq-1)//10)%{BROKEN}<>0 AND message_type='CT'")
+def snk_17_reparsed(spark, d):
+    made = _td_frames(spark, d)
+    now = frames.parse_td(made)
+    ct = F.col("event_type") == "CT"
+    before = now.withColumn("parse_status", F.when(ct, "unsupported").otherwise(F.col("parse_status")))  # as a parser without heartbeats had it
+    return _children(imports.reparsed(before, now), made).select("frame", "child_index", "old_status", "new_status")
+
+
+@query(sql=f"""WITH {_ELEM}, full_index AS (SELECT map_id, 'berth' AS kind, td_area||'|'||berth AS key, max_by(element_id, pos) AS element_id FROM bnd WHERE type='tdBerth' GROUP BY 1,2,3) SELECT * FROM full_index""")
+def snk_21_backfilled_bindings(spark, d):
+    whole = maps.binding_index(_document(spark, d)).where("kind = 'berth'")
+    return imports.backfilled(whole.where("map_id % 3 = 0"), whole)
+
+
+@query(sql=f"WITH {_ELEM} SELECT e.map_id, e.pos, e.id FROM elem e JOIN lay l ON l.map_id=e.map_id AND l.id=e.layer_id WHERE l.pos<>1")
+def flt_13_visible_elements(spark, d):
+    doc = _document(spark, d)
+    visible = doc.layers.where("pos <> 1").select("map_id", F.col("id").alias("layer_id"))
+    return doc.elements.join(visible, ["map_id", "layer_id"], "left_semi").select("map_id", "pos", "id")
+
+
+@query("bind decided occ", """SELECT b.slug, b.element_id, x.status, x.run_id, 1000+row_number() OVER (PARTITION BY b.slug ORDER BY o.occupancy_id, b.element_id) AS sequence FROM occ o JOIN decided x USING (occupancy_id) JOIN bind b USING (td_area, berth) WHERE o.exit_seq IS NULL""")
+def red_19_resolution_deltas(spark, d):
+    occ, scored = feeds._scored(spark, d)
+    now = occ.where("exit_seq is null").join(resolver.decide(occ, scored).select("occupancy_id", "status", "run_id"), "occupancy_id")
+    rows = now.join(A.map_bindings(spark), ["td_area", "berth"])
+    return tables.sequenced(rows, "slug", ["occupancy_id", "element_id"], F.lit(1000).cast("long")).select("slug", "element_id", "status", "run_id", "sequence")
+
+
+@query("runs link decided occ", """SELECT r.run_id, r.state, r.n_events, k.outcome, e.occupancy_id AS last_occupancy_id, e.score FROM runs r LEFT JOIN link k USING (run_id)
+  LEFT JOIN (SELECT run_id, max(occupancy_id) AS occupancy_id, max_by(score, occupancy_id) AS score FROM decided WHERE status='matched' GROUP BY 1) e USING (run_id)""")
+def res_10_run_details(spark, d):
+    occ, scored = feeds._scored(spark, d)
+    own = runs.runs(A.trust_events(spark, d))
+    links = schedules.link_runs(own, A.schedules(spark, d, A.SCHEDULE_SHIFT_DAYS)).select("run_id", "outcome")
+    last = resolver.decide(occ, scored).where("status = 'matched'").groupBy("run_id").agg(F.max("occupancy_id").alias("last_occupancy_id"), F.max_by("score", "occupancy_id").alias("score"))
+    return own.select("run_id", "state", "n_events").join(links, "run_id", "left").join(last, "run_id", "left")
+
+
+@query("decided occ", "SELECT x.occupancy_id, x.status FROM decided x JOIN occ o USING (occupancy_id) WHERE o.entered_at > (SELECT max(entered_at) FROM occ) - INTERVAL 6 HOUR")
+def str_06_recent_decisions(spark, d):
+    occ, scored = feeds._scored(spark, d)
+    newest = occ.agg(F.max("entered_at")).first()[0]
+    recent = occ.where(F.col("entered_at") > F.lit(newest).cast("timestamp_ntz") - F.expr("INTERVAL 6 HOURS"))
+    return resolver.decide(occ, scored).join(recent.select("occupancy_id"), "occupancy_id", "left_semi").select("occupancy_id", "status")
+
+
+@query("tr marked td", """SELECT 'trust' AS projector, count(*) AS n_read, count(*) FILTER (WHERE seq>=created_seq) AS n_applied, count(*) FILTER (WHERE created_seq IS NULL OR seq<created_seq) AS n_skipped FROM marked
+  UNION ALL SELECT 'td', count(*), count(*) FILTER (WHERE message_type<>'CT'), count(*) FILTER (WHERE message_type='CT') FROM td""")
+def agg_16_projector_summaries(spark, d):
+    marked = runs._marked(A.trust_events(spark, d))
+    applied = F.coalesce(F.col("seq") >= F.col("created_seq"), F.lit(False))
+    count = lambda rows, name, ok: rows.agg(F.lit(name).alias("projector"), F.count("*").alias("n_read"), F.count_if(ok).alias("n_applied"), F.count_if(~ok).alias("n_skipped"))
+    return count(marked, "trust", applied).unionByName(count(A.td_events(spark, d), "td", F.col("message_type") != "CT"))
+
+
+@query("bind cur", "SELECT b.slug, count(*) AS n_elements, count(c.descr) AS n_occupied, coalesce(max(c.source_seq),0) AS sequence FROM bind b LEFT JOIN cur c USING (td_area, berth) GROUP BY 1")
+def res_11_map_list(spark, d):
+    state = feeds.joi_09_map_state(spark, d)
+    return state.groupBy("slug").agg(F.count("*").alias("n_elements"), F.count("descr").alias("n_occupied"), F.coalesce(F.max("source_seq"), F.lit(0)).alias("sequence"))
+
+
+@query("occ", "SELECT descr, td_area, min(entered_at) AS first_at, max(entered_at) AS last_at, count(*) AS n_berths FROM (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY descr, td_area ORDER BY entered_at, occupancy_id) AS leg FROM (SELECT *, entered_at - lag(entered_at) OVER (PARTITION BY descr, td_area ORDER BY entered_at, occupancy_id) > INTERVAL 2 HOUR AS gap FROM occ)) GROUP BY descr, td_area, leg")
+def red_21_followed_runs(spark, d):
+    w = Window.partitionBy("descr", "td_area").orderBy("entered_at", "occupancy_id")
+    rows = berths.occupancies(A.td_events(spark, d))
+    rows = rows.withColumn("gap", F.coalesce(F.col("entered_at") - F.lag("entered_at").over(w) > F.expr("INTERVAL 2 HOURS"), F.lit(False)))
+    legs = rows.withColumn("leg", F.sum(F.col("gap").cast("int")).over(w))
+    return legs.groupBy("descr", "td_area", "leg").agg(F.min("entered_at").alias("first_at"), F.max("entered_at").alias("last_at"), F.count("*").alias("n_berths")).drop("leg")
