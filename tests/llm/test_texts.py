@@ -466,11 +466,11 @@ def test_code_is_optimal_within_its_limit_and_decodes():
     code = huffman.Code(symbols, huffman.code_lengths(n))
     parts = np.split(ids, [0, 1, 700, 700 + huffman.LANE, 3000])
     coded = [code.encode(p) for p in parts if len(p)]
-    back = code.decode([c[0] for c in coded], [c[1] for c in coded], [len(p) for p in parts if len(p)])
+    back = code.decode([c[0] for c in coded], [c[1] for c in coded], [[len(p)] for p in parts if len(p)])
     assert np.concatenate(back).tolist() == ids.tolist()
     one = huffman.Code(np.array([7]), huffman.code_lengths(np.array([3])))
     payload, checkpoints = one.encode(np.array([7, 7, 7]))
-    assert one.decode([payload], [checkpoints], [3])[0].tolist() == [7, 7, 7]
+    assert one.decode([payload], [checkpoints], [[3]])[0].tolist() == [7, 7, 7]
 
 
 def test_pipeline_stages_keep_columns(spark, tmp_path):

@@ -7,16 +7,18 @@ in ascending order of the document id:
 * ``code``: one row per id that occurs, with the length of its code word.  Code words are
   canonical: they follow from the lengths, by (length, id).
 * ``blocks``: rows in order of ``part`` and ``block``, each with the bits of some whole
-  documents, the documents' ids and numbers of ids, ``first`` (ids before it in its part)
-  and ``checkpoints``: the bit at which every ``LANE``-th id starts.
+  documents (each from a full byte on), the documents' ids and numbers of ids, ``first``
+  (ids before it in its part) and ``checkpoints``: the bit at which every ``LANE``-th id of
+  a document starts.
 
 Both are Parquet, so any storage that Spark writes to will do.  A block needs nothing but
 the code to be read, and within it decoding may start at any checkpoint: the decoder looks
 up ``LIMIT`` bits in one table, all lanes of many blocks in step.
 
+Documents are coded before they are put in order, so only code is shuffled.
 Parts are ranges of document ids; their totals, a row per part, give the position of each
 document in the whole.  Null ids come first; rows with equal ids are ordered by their
-bytes; a null text is empty and has the end id alone.
+code; a null text is empty and has the end id alone.
 """
 
 from __future__ import annotations
@@ -183,13 +185,16 @@ class Code:
         out += np.bincount(word + 1, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), n)
         return out.astype(">u4").tobytes()[: (bits + 7) // 8], start[::LANE].astype(np.int64)
 
-    def decode(self, payloads: list[bytes], checkpoints: list[np.ndarray], counts: list[int]) -> list[np.ndarray]:
-        """The ids of each block; all lanes of all blocks advance together."""
+    def decode(self, payloads: list[bytes], checkpoints: list[np.ndarray], doc_sizes: list[list[int]]) -> list[np.ndarray]:
+        """The ids of each block, given the sizes of its documents; all lanes of all blocks advance together."""
         padded = [p + b"\0" * (16 - len(p) % 8) for p in payloads]
         base = np.cumsum([0, *(len(p) for p in padded)])[:-1] * 8
         words = np.frombuffer(b"".join(padded) + b"\0" * 8, dtype=">u4").astype(np.uint64)
         at = np.concatenate([c + b for c, b in zip(checkpoints, base, strict=True)])
-        sizes = np.concatenate([np.minimum(LANE, n - np.arange(len(c)) * LANE) for c, n in zip(checkpoints, counts, strict=True)])
+        docs = np.array([n for own in doc_sizes for n in own], dtype=np.int64)
+        lanes = -(-docs // LANE)  # of each document
+        place = np.arange(int(lanes.sum())) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        sizes = np.minimum(LANE, np.repeat(docs, lanes) - place * LANE)
         out = np.zeros((len(at), LANE), dtype=np.uint32)
         lanes = np.argsort(-sizes, kind="stable")
         at, left = at[lanes], sizes[lanes]
@@ -203,7 +208,7 @@ class Code:
             out[lanes[:live], step] = self.symbols[found]
             at[:live] += self.lengths[found]
         flat = out[np.arange(LANE) < sizes[:, None]]
-        return np.split(flat, np.cumsum(counts)[:-1])
+        return np.split(flat, np.cumsum([sum(own) for own in doc_sizes])[:-1])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,35 +229,51 @@ def _ids(column: pa.Array) -> np.ndarray:
 _BLOCK = "part int, block int, first long, doc_ids array<{kind}>, doc_sizes array<long>, n_ids long, checkpoints array<long>, payload binary"
 
 
-def _blocks(code: Code):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in order; a block ends with the document that fills it, or with its part."""
-        part, block, first = None, 0, 0
-        names: list = []
-        texts: list[bytes] = []
-        size = 0
+def coded_column(ids: Column, code: Code, spark: SparkSession) -> Column:
+    """struct(payload, n, checkpoints): each document's ids as whole bytes of code."""
+    held = spark.sparkContext.broadcast(code)
 
-        def closed() -> pa.RecordBatch:
-            payload, checkpoints = code.encode(np.frombuffer(b"".join(texts), dtype="<u4"))
-            values = [[part], [block], [first], [names], [[len(x) // 4 for x in texts]], [size], [checkpoints], [payload]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(id_kind), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], [f.split()[0] for f in _BLOCK.split(", ")])
+    def encode(rows: pa.Array) -> pa.Array:
+        payloads, sizes, checkpoints = [], [], []
+        for raw in rows.to_pylist():
+            ids = np.frombuffer(raw, dtype="<u4")
+            bits, starts = held.value.encode(ids)
+            payloads.append(bits), sizes.append(len(ids)), checkpoints.append(starts)
+        bounds = np.concatenate([[0], np.cumsum([len(c) for c in checkpoints])]).astype(np.int32)
+        starts = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(checkpoints) if checkpoints else np.zeros(0, np.int64)))
+        return pa.StructArray.from_arrays([pa.array(payloads, pa.binary()), pa.array(sizes, pa.int64()), starts], ["payload", "n", "checkpoints"])
 
-        for batch in batches:
-            id_kind = batch.schema.field("id").type
-            for own, name, raw in zip(batch.column("part").to_pylist(), batch.column("id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                if texts and (own != part or size >= BLOCK_IDS):
-                    yield closed()
-                    block, first = block + 1, first + size
-                    names, texts, size = [], [], 0
-                if own != part:
-                    part, block, first = own, 0, 0
-                names.append(name), texts.append(raw)
-                size += len(raw) // 4
-        if texts:
-            yield closed()
-
-    return run
+    return F.arrow_udf(encode, "payload binary, n long, checkpoints array<long>")(ids)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Coded documents come in order; a block ends with the document that fills it, or with its part."""
+    part, block, first = None, 0, 0
+    names: list = []
+    sizes: list[int] = []
+    payloads: list[bytes] = []
+    checkpoints: list[np.ndarray] = []
+    filled = 0  # bytes
+
+    def closed() -> pa.RecordBatch:
+        values = [[part], [block], [first], [names], [sizes], [sum(sizes)], [np.concatenate(checkpoints)], [b"".join(payloads)]]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(kind), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], [f.split()[0] for f in _BLOCK.split(", ")])
+
+    for batch in batches:
+        kind = batch.schema.field("id").type
+        for own, name, payload, n, starts in zip(*(batch.column(c).to_pylist() for c in ("part", "id", "payload", "n", "checkpoints")), strict=True):
+            if sizes and (own != part or sum(sizes) >= BLOCK_IDS):
+                yield closed()
+                block, first = block + 1, first + sum(sizes)
+                names, sizes, payloads, checkpoints, filled = [], [], [], [], 0
+            if own != part:
+                part, block, first = own, 0, 0
+            names.append(name), sizes.append(n), payloads.append(payload)
+            checkpoints.append(np.array(starts, dtype=np.int64) + 8 * filled)
+            filled += len(payload)
+    if sizes:
+        yield closed()
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id_column: str = "doc_id", text: str = "text") -> None:
@@ -270,9 +291,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id_c
     spark.createDataFrame(pa.table({"id": symbols, "length": lengths})).coalesce(1).write.parquet(f"{path}/code")
     code = Code(symbols, lengths)
     parts = Parts(ids, "id")
-    rows = ids.withColumn("part", parts.column(F.col("id"))).repartition(parts.count, "part").sortWithinPartitions("part", "id", "ids")
+    coded = ids.select("id", parts.column(F.col("id")).alias("part"), coded_column(F.col("ids"), code, spark).alias("c")).select("id", "part", "c.*")
+    rows = coded.repartition(parts.count, "part").sortWithinPartitions("part", "id", "payload")
     kind = ids.schema["id"].dataType.simpleString()
-    rows.mapInArrow(_blocks(code), _BLOCK.format(kind=kind)).write.parquet(f"{path}/blocks")
+    rows.mapInArrow(_blocks, _BLOCK.format(kind=kind)).write.parquet(f"{path}/blocks")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -287,7 +309,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
             for at in range(0, batch.num_rows, 16):
                 rows = batch.slice(at, 16)
                 checkpoints = [np.array(x, dtype=np.int64) for x in rows.column("checkpoints").to_pylist()]
-                found = code.value.decode(rows.column("payload").to_pylist(), checkpoints, rows.column("n_ids").to_pylist())
+                found = code.value.decode(rows.column("payload").to_pylist(), checkpoints, rows.column("doc_sizes").to_pylist())
                 for k, ids in enumerate(found):
                     sizes = np.array(rows.column("doc_sizes")[k].as_py(), dtype=np.int64)
                     start = np.cumsum(sizes) - sizes
