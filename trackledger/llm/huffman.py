@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ LIMIT = 18
 LANE = 256
 BLOCK_IDS = 1 << 16
 #: Distinct chunks whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 _WORDY = np.zeros(256, dtype=bool)
 _WORDY[48:58] = _WORDY[65:91] = _WORDY[97:123] = True
 
@@ -83,12 +84,10 @@ class Encoder:
         words = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         sizes = np.array([len(x) for x in found], dtype=np.int64)
-        if len(self.known) + len(found) > REMEMBERED:
-            self.forget()
         begin = len(self.ids) + np.cumsum(sizes) - sizes
         self.known.update(zip(hashes.tolist(), range(len(self.starts), len(self.starts) + len(found)), strict=True))
         self.starts, self.sizes = np.concatenate([self.starts, begin]), np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, the end id after each, and their bounds."""
@@ -96,13 +95,15 @@ class Encoder:
         start, end = self.chunks(data, offsets)
         hashes, example, kind = np.unique(T.span_hashes(T.prefix_sums(data, T.LOWER), start, end), return_index=True, return_inverse=True)
         names = hashes.tolist()
-        new = np.array([i for i, h in enumerate(names) if h not in self.known], dtype=np.int64)
+        at = np.array([self.known.get(h, -1) for h in names], dtype=np.int64)
+        new = np.flatnonzero(at < 0)
         if len(new):
             if len(self.known) + len(new) > REMEMBERED:
                 self.forget()
                 new = np.arange(len(names))
+            at[new] = len(self.starts) + np.arange(len(new))
             self.learn(data, start[example[new]], end[example[new]], hashes[new])
-        row = np.fromiter((self.known[h] for h in names), np.int64, len(names))[kind] if len(names) else np.zeros(0, np.int64)
+        row = at[kind]
         size = self.sizes[row]
         text = T.text_of(offsets, start)
         per_text = np.bincount(text, size, n).astype(np.int64) + 1
