@@ -294,9 +294,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     candidates = written(candidate_groups(docs, plan, text), "candidates")
     found = links(candidates, class_sets(docs, Membership(candidates, "class"), text), percent, group)
     parts = components(found).select(F.col("node").alias("class"), F.col("component").alias("_c"))
-    whole = base.join(parts, "class", "left").withColumn("_c", F.coalesce("_c", "class"))
-    first = whole.where(F.col("_c").isNotNull()).groupBy("_c").agg(F.min("_id").alias("_first"))
-    out = whole.join(first, "_c", "left")
+    classes = base.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("_id").alias("_least"))
+    classes = classes.join(parts, "class", "left").withColumn("_c", F.coalesce("_c", "class"))
+    first = classes.groupBy("_c").agg(F.min("_least").alias("_first"))
+    named = written(classes.join(first, "_c").select("class", "_first"), "named")
+    out = base.join(named, "class", "left")
     return out.select(F.col("_id").alias(id_column), "n_shingles", F.coalesce("_first", "_id").alias("component_id"))
 
 
