@@ -59,6 +59,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.plain = Tokenizer.from_file(path)  # for lower-case ASCII, which normalisation leaves as it is
+        self.plain.encode_special_tokens = True
+        self.plain.normalizer = None
         self.forget()
 
     def forget(self) -> None:
@@ -81,8 +84,14 @@ class Encoder:
 
     def learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> None:
         raw = data.tobytes()
+        foreign = np.zeros(len(data) + 1, dtype=np.int64)
+        np.cumsum(data >= 0x80, out=foreign[1:])
+        ascii_only = foreign[end] == foreign[start]
+        order = np.concatenate([np.flatnonzero(ascii_only), np.flatnonzero(~ascii_only)])
+        start, end, hashes, n = start[order], end[order], hashes[order], int(ascii_only.sum())
         words = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        found = [e.ids for e in self.plain.encode_batch_fast([w.lower() for w in words[:n]], add_special_tokens=False)]
+        found += [e.ids for e in self.tokenizer.encode_batch_fast(words[n:], add_special_tokens=False)]
         sizes = np.array([len(x) for x in found], dtype=np.int64)
         begin = len(self.ids) + np.cumsum(sizes) - sizes
         self.known.update(zip(hashes.tolist(), range(len(self.starts), len(self.starts) + len(found)), strict=True))
@@ -101,8 +110,8 @@ class Encoder:
             if len(self.known) + len(new) > REMEMBERED:
                 self.forget()
                 new = np.arange(len(names))
-            at[new] = len(self.starts) + np.arange(len(new))
             self.learn(data, start[example[new]], end[example[new]], hashes[new])
+            at[new] = [self.known[h] for h in hashes[new].tolist()]
         row = at[kind]
         size = self.sizes[row]
         text = T.text_of(offsets, start)
