@@ -16,6 +16,9 @@ from trackledger.llm.store import small_batches, written
 
 TOXIC_FROM = 0.5
 GOOD_FROM = 0.3
+#: Near copies are documents whose shingles of so many words have at least this similarity, in percent.
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
 
 #: SQL has no classifiers, seeds or samplers; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -31,7 +34,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return jaccard_join.keep_one_of_each(docs)
+    return jaccard_join.keep_one_of_each(docs, percent=NEAR_PERCENT, words=NEAR_WORDS)
 
 
 def drop_benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

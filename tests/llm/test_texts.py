@@ -415,6 +415,40 @@ def test_every_boundary_finds_the_same_links():
         assert all(keys[i] & keys[j] for i, j in linked)
 
 
+def test_pipeline_keeps_one_of_texts_alike_in_five_word_shingles(spark, tmp_path):
+    """The stage against brute force at five words and 0.8, also where three words and 0.9 see no link."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    line = [f"common{i}" for i in range(60)]
+    texts = ["", None, "One", "one", "a b c d e f", "A B c d e f"]
+    for n in (5, 9, 24, 60, 150, 400):
+        base = [f"v{rng.integers(0, 3000)}" for _ in range(n)]
+        for edits in range(8):
+            copy = list(base)
+            for k in rng.integers(0, n, max(1, n * edits // 200)):
+                copy[k] = f"n{rng.integers(0, 99)}"
+            texts.append(" ".join(copy))
+        texts.append(" ".join(base[: n - n // 8]))
+    texts += [" ".join(line + [f"u{rng.integers(0, 9999)}" for _ in range(k)]) for k in range(4, 34)]
+
+    def components_at(n, percent):
+        sets = [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set()) for w in map(words, texts)]
+        top = list(range(len(texts)))
+        for i, j in itertools.combinations(range(len(texts)), 2):
+            both = len(sets[i] & sets[j])
+            if sets[i] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((top[i], top[j]))
+                top = [low if x == high else x for x in top]
+        return top
+
+    want = components_at(5, 80)
+    assert len(set(want)) < len(set(components_at(3, 90)))
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect())
+    assert kept == sorted(set(want))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (7, 7), (None, 3)] + [(1000, x) for x in range(1001, 1050)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -1,10 +1,11 @@
 """N-gram Jaccard self-join: near-duplicate links and their components.
 
-A document's set holds the hashes of its distinct shingles of ``WORDS`` words.  Two
-documents link when ``100 * |A & B| >= PERCENT * |A | B|``.
+A document's set holds the hashes of its distinct shingles of ``words`` words.  Two
+documents link when ``100 * |A & B| >= percent * |A | B|``; ``WORDS`` and ``PERCENT`` are
+those of the op9 query, other callers give their own.
 
 The join is size-aware.  A link between sets of n and m shingles needs an overlap of
-``c = ceil(PERCENT * (n + m) / (100 + PERCENT))``.
+``c = ceil(percent * (n + m) / (100 + percent))``.
 
 * Light sets, up to a boundary: every subset of exactly c shingles is enumerated, for
   each c that a partner's size allows; two sets that share such a subset are candidates.
@@ -13,6 +14,11 @@ The join is size-aware.  A link between sets of n and m shingles needs an overla
   can differ in, so at least one cell is equal in both, and its content is the list's
   key.  Lists of single shingles would hold every document with a common phrase.
 * The boundary is where the cost of the two over the actual sizes is least.
+* At a low similarity cells would hold few shingles or none, and their lists half the
+  table.  Below ``CELLS_FROM`` percent each set is listed under its rarest shingles
+  instead, in one order for all sets: of n shingles ``n - ceil(percent * n / 100) + 1``,
+  so two linked sets share one of them.  Which shingles are common is estimated from some
+  classes; the order decides the length of the lists, not the links.
 
 Copies of one text share one set hash and count as one class from the first step on.
 Every list is named by its smallest class, and the classes that share a name form a
@@ -35,6 +41,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +55,10 @@ PERCENT = 90
 GROUP = 512
 #: Largest size for which subsets may be enumerated at all.
 MOST_LIGHT = 40
+#: Lowest similarity in percent at which heavy sets are dealt into cells.
+CELLS_FROM = 88
+#: Classes from which common shingles are learned, and the most that are told apart.
+LEARNED, MOST_COMMON = 20_000, 1_000_000
 _ONE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -150,14 +161,47 @@ class Plan:
         return np.concatenate(out) if out else s[:0]
 
 
-def _sizes(texts: pa.Array) -> pa.Array:
-    n, name = [], []
-    for _, data, offsets in T.slices(texts):
-        for s in shingle_sets(data, offsets):
-            n.append(len(s))
-            name.append(set_hash(s) if len(s) else None)
-    names = pa.array([None if x is None else int(np.int64(x)) for x in name], pa.int64())
-    return pa.StructArray.from_arrays([pa.array(n, pa.int64()), names], ["n_shingles", "class"])
+class RareFirst:
+    """Keys of a set are its rarest shingles; ``common`` holds shingles in order and how common each is."""
+
+    def __init__(self, percent: int, common: Broadcast):
+        self.percent, self.common = percent, common
+
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        n = len(s)
+        if not n:
+            return s
+        hashes, counts = self.common.value
+        rank = np.zeros(n, dtype=np.int64)
+        if len(hashes):
+            at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
+            rank = np.where(hashes[at] == s, counts[at], 0)
+        return s[np.argsort(rank, kind="stable")[: n + 1 - -(-n * self.percent // 100)]]
+
+
+def common_shingles(docs: DataFrame, sets: DataFrame, text: str = "text", words: int = WORDS) -> Broadcast:
+    """(shingles in order, counts) of those that several of about ``LEARNED`` classes have."""
+    every = max(1, sets.where(F.col("class").isNotNull()).count() // LEARNED)
+    chosen = written(sets.where(F.pmod("class", F.lit(every)) == 0).select("class").distinct(), "learned")
+    shingles = class_sets(docs, Membership(chosen, "class"), text, words).select(F.explode("shingles").alias("s"))
+    counts = shingles.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > 2)
+    found = counts.orderBy(F.col("n").desc(), "s").limit(MOST_COMMON).toArrow()
+    hashes, n = found["s"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(hashes)
+    return docs.sparkSession.sparkContext.broadcast((hashes[order], n[order]))
+
+
+def _sizes(words: int):
+    def run(texts: pa.Array) -> pa.Array:
+        n, name = [], []
+        for _, data, offsets in T.slices(texts):
+            for s in shingle_sets(data, offsets, words):
+                n.append(len(s))
+                name.append(set_hash(s) if len(s) else None)
+        names = pa.array([None if x is None else int(np.int64(x)) for x in name], pa.int64())
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), names], ["n_shingles", "class"])
+
+    return run
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -166,19 +210,19 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
 
-def document_sets(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def document_sets(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """(id, n_shingles, class) of each row; equal sets have one class, empty sets a null one."""
-    found = docs.select(F.col(id_column).alias("_id"), F.arrow_udf(_sizes, "n_shingles long, class long")(F.col(text)).alias("_set"))
+    found = docs.select(F.col(id_column).alias("_id"), F.arrow_udf(_sizes(words), "n_shingles long, class long")(F.col(text)).alias("_set"))
     return found.select("_id", "_set.n_shingles", "_set.class")
 
 
-def candidate_groups(docs: DataFrame, plan: Plan, text: str = "text") -> DataFrame:
+def candidate_groups(docs: DataFrame, plan: Plan | RareFirst, text: str = "text", words: int = WORDS) -> DataFrame:
     """(class, group): classes that share a list, under the name of the list's smallest class."""
 
     def keyed(texts: pa.Array) -> pa.Array:
         names, keys = [], []
         for _, data, offsets in T.slices(texts):
-            for s in shingle_sets(data, offsets):
+            for s in shingle_sets(data, offsets, words):
                 names.append(int(np.int64(set_hash(s))))
                 keys.append(plan.keys(s))
         return pa.StructArray.from_arrays([pa.array(names, pa.int64()), _lists(keys)], ["class", "keys"])
@@ -190,14 +234,14 @@ def candidate_groups(docs: DataFrame, plan: Plan, text: str = "text") -> DataFra
     return postings.join(shared, "key").select("class", "group").distinct()
 
 
-def class_sets(docs: DataFrame, wanted: Membership, text: str = "text") -> DataFrame:
+def class_sets(docs: DataFrame, wanted: Membership, text: str = "text", words: int = WORDS) -> DataFrame:
     """(class, shingles), one row for each class that the filter lets through."""
     table = wanted.table
 
     def fetch(texts: pa.Array) -> pa.Array:
         names, sets = [], []
         for _, data, offsets in T.slices(texts):
-            for s in shingle_sets(data, offsets):
+            for s in shingle_sets(data, offsets, words):
                 name = set_hash(s)
                 hit = len(s) > 0 and may_hold(table.value, np.array([name]))[0]
                 names.append(int(np.int64(name)) if hit else None)
@@ -285,14 +329,17 @@ def links(candidates: DataFrame, sets: DataFrame, percent: int = PERCENT, group:
     return rows.mapInArrow(_links(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT, group: int = GROUP) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT, group: int = GROUP, words: int = WORDS) -> DataFrame:
     """(id, n_shingles, component_id) of each row: the smallest id reachable by links, itself included."""
-    base = written(document_sets(docs, id_column, text), "sets")
-    small = base.where(F.col("n_shingles") <= MOST_LIGHT * 100 // percent + 1).groupBy("n_shingles").agg(F.countDistinct("class").alias("k"))
-    plan = Plan(percent)
-    plan.boundary = plan.cheapest({r["n_shingles"]: r["k"] for r in small.collect()})
-    candidates = written(candidate_groups(docs, plan, text), "candidates")
-    found = links(candidates, class_sets(docs, Membership(candidates, "class"), text), percent, group)
+    base = written(document_sets(docs, id_column, text, words), "sets")
+    if percent < CELLS_FROM:
+        plan = RareFirst(percent, common_shingles(docs, base, text, words))
+    else:
+        small = base.where(F.col("n_shingles") <= MOST_LIGHT * 100 // percent + 1).groupBy("n_shingles").agg(F.countDistinct("class").alias("k"))
+        plan = Plan(percent)
+        plan.boundary = plan.cheapest({r["n_shingles"]: r["k"] for r in small.collect()})
+    candidates = written(candidate_groups(docs, plan, text, words), "candidates")
+    found = links(candidates, class_sets(docs, Membership(candidates, "class"), text, words), percent, group)
     parts = components(found).select(F.col("node").alias("class"), F.col("component").alias("_c"))
     classes = base.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("_id").alias("_least"))
     classes = classes.join(parts, "class", "left").withColumn("_c", F.coalesce("_c", "class"))
@@ -302,14 +349,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     return out.select(F.col("_id").alias(id_column), "n_shingles", F.coalesce("_first", "_id").alias("component_id"))
 
 
-def keep_one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """One document of each component, the one that names it, with all columns.
 
     An id stands for one document: of rows that share an id one stays.  Rows with a null id
     have no name to go by and all stay.  Only documents that may have to go are joined; the
     others pass a membership filter and are never shuffled.
     """
-    found = written(near_duplicates(docs, id_column, text, percent), "components").where(F.col(id_column).isNotNull())
+    found = written(near_duplicates(docs, id_column, text, percent, words=words), "components").where(F.col(id_column).isNotNull())
     own, stays, hit, nth = (_free(name, docs.columns) for name in ("_own", "_stays", "_hit", "_nth"))
     by_id = found.groupBy(F.col(id_column).alias(own)).agg(F.count("*").alias("rows"), F.max(F.col("component_id") == F.col(id_column)).alias(stays))
     doubtful = by_id.where((F.col("rows") > 1) | ~F.col(stays)).select(own, stays, F.xxhash64(own).alias("hash"))
