@@ -47,6 +47,13 @@ def test_identity_changes_follow_chains(spark):
     assert got == {"a": ("a", 1, "b"), "b": ("a", 2, "c"), "c": ("a", 3, None), "d": ("d", 5, "c")}
 
 
+def test_identity_changes_follow_a_chain_of_any_length(spark):
+    n = 68
+    log = events(spark, [(1, "i0", "activation", None)] + [(k + 2, f"i{k}", "change_of_identity", f"i{k + 1}") for k in range(n)])
+    got = {r.identity: (r.root_identity, r.created_seq, r.superseded_by) for r in runs.with_identity_changes(log).collect()}
+    assert got == {f"i{k}": ("i0", k + 1, f"i{k + 1}" if k < n else None) for k in range(n + 1)}
+
+
 def test_resolution_scores_and_continuity(spark):
     schema = "occupancy_id long, td_area string, berth string, descr string, entered_at timestamp, run_id string, activated_at timestamp, score int"
     early = T0 - timedelta(hours=2)

@@ -53,27 +53,27 @@ def skipped(events: DataFrame) -> DataFrame:
     return early.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-def with_identity_changes(events: DataFrame, rounds: int = 64) -> DataFrame:
+def with_identity_changes(events: DataFrame) -> DataFrame:
     """(service_date, identity, root_identity, superseded_by, created_seq) when runs may change identity.
 
     ``change_of_identity`` rows name the old identity and ``revised_identity``.  If the old
     run exists at that point it is superseded and a run under the new identity takes its
     data; an existing run of that identity is reused.  A new key exists only if the old one
     did, so creations are found round by round along the chains: each round joins the
-    changes to the runs created in the one before, and ends when none is new.
+    changes to the runs created in the one before, and ends when none is new, however long
+    a chain is; creations only get earlier, so an end comes.
     """
     first = events.where(F.col("event_type").isin(*CREATES)).groupBy("service_date", "identity").agg(F.min("seq").alias("created_seq"))
     known = first.select("service_date", "identity", F.col("identity").alias("root_identity"), "created_seq")
     changes = events.where(F.col("event_type") == "change_of_identity").select("service_date", F.col("identity").alias("_from"), F.col("revised_identity").alias("_to"), F.col("seq").alias("_seq"))
-    for _ in range(rounds):
+    done = False
+    while not done:
         made = _following(changes, known).select("service_date", F.col("_to").alias("identity"), "root_identity", F.col("_seq").alias("created_seq"))
         earliest = F.min(F.struct("created_seq", "root_identity")).alias("b")
         merged = known.unionByName(made).groupBy("service_date", "identity").agg(earliest)
         merged = kept(merged.select("service_date", "identity", "b.root_identity", "b.created_seq"))
         done = merged.exceptAll(known).isEmpty()
         known = merged
-        if done:
-            break
     by = _following(changes, known).groupBy("service_date", F.col("_from").alias("identity")).agg(F.max_by("_to", "_seq").alias("superseded_by"))
     return known.join(by, ["service_date", "identity"], "left")
 
