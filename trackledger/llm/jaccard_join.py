@@ -9,22 +9,22 @@ The join is size-aware.  A link between sets of n and m shingles needs an overla
 
 * Light sets, up to a boundary: every subset of exactly c shingles is enumerated, for
   each c that a partner's size allows; two sets that share such a subset are candidates.
-* Heavy sets: inverted lists are scanned.  A list stands for one cell of the set: the
-  shingles are dealt by hash into one cell more than two linked sets of that size range
-  can differ in, so at least one cell is equal in both, and its content is the list's
-  key.  Lists of single shingles would hold every document with a common phrase.
-* The boundary is where the cost of the two over the actual sizes is least.
-* At a low similarity cells would hold few shingles or none, and their lists half the
-  table.  Below ``CELLS_FROM`` percent each set is listed under its rarest shingles
-  instead, in one order for all sets: of n shingles ``n - ceil(percent * n / 100) + 1``,
-  so two linked sets share one of them.  Which shingles are common is estimated from some
-  classes; the order decides the length of the lists, not the links.
+* Heavy sets: the inverted lists of their rarest shingles are scanned.  Of n shingles
+  ``n - ceil(percent * n / 100) + 1`` are listed, in one order for all sets, so two linked
+  sets meet in a list.  The order goes by a table of fixed size, filled from all sets: how
+  often shingles recur within a batch, summed by hash.  It decides the length of the
+  lists, never the links.
+* The boundary is where the subsets to enumerate plus the lengths of the lists to scan
+  are fewest, from the real sets and lists.
 
 Copies of one text share one set hash and count as one class from the first step on.
 Every list is named by its smallest class, and the classes that share a name form a
-group.  Within a group a breadth-first search compares the classes not yet reached with
-those reached, so equal components come out without listing all pairs; groups of more
-than ``GROUP`` classes are cut into pairs of blocks, which together cover every pair.
+group.  Overlaps are counted within groups, by a breadth-first search that compares the
+classes not yet reached with those reached.  Groups of more than ``GROUP`` classes are
+split by size first (linked sets have the same size range or neighbouring ones), then cut
+into blocks that all hold the group's smallest class.  A group of near copies is connected
+by that already; what is still apart from a group's largest component is compared with all
+of the group, block by block, so the work goes with the classes that are apart.
 
 All decisions are exact (on 64-bit hashes of shingles); no list, group or text is cut.
 Null, empty and blank texts have an empty set: they link with nothing.  A repeated
@@ -34,15 +34,15 @@ only if all ids in it are null.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackledger.llm import textops as T
@@ -51,14 +51,13 @@ from trackledger.llm.store import Membership, may_hold, may_hold_column, written
 
 WORDS = 3
 PERCENT = 90
-#: Classes of one group that are compared in one place.
-GROUP = 512
+#: Classes, and shingles of all of them, that are compared in one place; a larger set stands alone in its block.
+GROUP, GROUP_SHINGLES = 128, 1 << 19
 #: Largest size for which subsets may be enumerated at all.
 MOST_LIGHT = 40
-#: Lowest similarity in percent at which heavy sets are dealt into cells.
-CELLS_FROM = 88
-#: Classes from which common shingles are learned, and the most that are told apart.
-LEARNED, MOST_COMMON = 20_000, 1_000_000
+#: Bits of the table of how common shingles are, 8 MB; a shingle counts if so many sets of a batch have it.
+COMMON_BITS, COMMON_FROM = 21, 3
+_COUNTED = 1 << 21  # shingles counted at once
 _ONE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,12 +84,11 @@ def set_hash(s: np.ndarray) -> np.uint64:
 
 
 class Plan:
-    """Which keys a set of each size gets, at a similarity and a boundary."""
+    """Which keys a set gets, at a similarity and a boundary; ``common`` tells how common the shingles of a hash are."""
 
-    def __init__(self, percent: int = PERCENT, boundary: int = 0):
-        self.percent, self.boundary = percent, boundary
-        self.names: dict[int, np.ndarray] = {}  # of the cells, by range
-        self.starts = [1]  # sizes of linked sets lie in the same range or in neighbouring ones
+    def __init__(self, percent: int = PERCENT, boundary: int = 0, common: Broadcast | None = None):
+        self.percent, self.boundary, self.common = percent, boundary, common
+        self.reach = self.largest_partner(MOST_LIGHT)  # larger sets have no light partner
 
     def largest_partner(self, n: int) -> int:
         return n * 100 // self.percent
@@ -112,96 +110,62 @@ class Plan:
                 sizes.add(c)
         return sorted(sizes)
 
-    def range_of(self, n: int) -> int:
-        while self.starts[-1] <= n:
-            self.starts.append(self.largest_partner(self.starts[-1]) + 1)
-        return bisect_right(self.starts, n) - 1
-
-    def cells(self, at: int) -> int:
-        """One more than two linked sets of ranges at - 1 and at can differ in."""
-        self.range_of(self.starts[-1])
-        while len(self.starts) < at + 2:
-            self.range_of(self.starts[-1])
-        largest = self.starts[at + 1] - 1
-        return 2 * largest * (100 - self.percent) // (100 + self.percent) + 1
-
     def enumerated(self, n: int, boundary: int) -> int:
         return sum(comb(n, c) for c in self.subset_sizes(n, boundary))
 
-    def scanned(self, n: int) -> float:
-        """Keys of a heavy set; a cell of a small set has few shingles and so more false hits."""
-        at = self.range_of(n)
-        return (self.cells(at) + self.cells(at + 1)) * (1 + n / 4)
-
-    def cheapest(self, sizes: dict[int, int]) -> int:
-        """The boundary of the least total cost for so many sets of each size (up to ``MOST_LIGHT``)."""
-        reach = self.largest_partner(MOST_LIGHT)
+    def cheapest(self, sizes: dict[int, int], scanned: dict[int, int]) -> int:
+        """The boundary of the least cost, for so many sets, and summed lengths of their lists, of each size up to ``reach``."""
 
-        def cost(boundary: int) -> float:
-            return sum(k * (self.enumerated(n, boundary) + (self.scanned(n) if n > boundary else 0)) for n, k in sizes.items() if 0 < n <= reach)
+        def cost(boundary: int) -> int:
+            light = sum(k * self.enumerated(n, boundary) for n, k in sizes.items() if 0 < n <= self.reach)
+            return light + sum(k for n, k in scanned.items() if n > boundary)
 
         return min(range(MOST_LIGHT + 1), key=cost)
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
+    def subset_keys(self, s: np.ndarray) -> np.ndarray:
         n, out = len(s), []
         total = s.sum(dtype=np.uint64)
         for c in self.subset_sizes(n, self.boundary):
-            left_out = np.array(list(combinations(range(n), n - c)), dtype=np.int64).reshape(comb(n, c), n - c)
+            left_out = _left_out(n, n - c)
             out.append(T.mix(total - s[left_out].sum(axis=1, dtype=np.uint64) + np.uint64(c * int(_ONE) % 2**64)))
-        if n > self.boundary:
-            at = self.range_of(n)
-            for where in (at, at + 1):
-                k = self.cells(where)
-                cell = ((s >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-                sums = np.zeros(k, dtype=np.uint64)
-                np.add.at(sums, cell.astype(np.int64), s)
-                if where not in self.names:
-                    self.names[where] = T.mix((np.uint64(where) << np.uint64(32)) + np.arange(k, dtype=np.uint64))
-                out.append(T.mix(sums + self.names[where]))
         return np.concatenate(out) if out else s[:0]
 
+    def listed(self, s: np.ndarray) -> np.ndarray:
+        """The rarest shingles of a set: as many as it takes for linked sets to share one."""
+        n = len(s)
+        if not n or self.overlap(n, n) == n and self.largest_partner(n) == n:
+            return s[:0]  # only an equal set could be linked, and that is of the same class
+        rank = self.common.value[s >> np.uint64(64 - COMMON_BITS)] if self.common else np.zeros(n)
+        return s[np.argsort(rank, kind="stable")[: n + 1 - self.smallest_partner(n)]]
 
-class RareFirst:
-    """Keys of a set are its rarest shingles; ``common`` holds shingles in order and how common each is."""
 
-    def __init__(self, percent: int, common: Broadcast):
-        self.percent, self.common = percent, common
+@lru_cache(maxsize=256)
+def _left_out(n: int, k: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), k)), dtype=np.int64).reshape(comb(n, k), k)
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        n = len(s)
-        if not n:
-            return s
-        hashes, counts = self.common.value
-        rank = np.zeros(n, dtype=np.int64)
-        if len(hashes):
-            at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
-            rank = np.where(hashes[at] == s, counts[at], 0)
-        return s[np.argsort(rank, kind="stable")[: n + 1 - -(-n * self.percent // 100)]]
-
-
-def common_shingles(docs: DataFrame, sets: DataFrame, text: str = "text", words: int = WORDS) -> Broadcast:
-    """(shingles in order, counts) of those that several of about ``LEARNED`` classes have."""
-    every = max(1, sets.where(F.col("class").isNotNull()).count() // LEARNED)
-    chosen = written(sets.where(F.pmod("class", F.lit(every)) == 0).select("class").distinct(), "learned")
-    shingles = class_sets(docs, Membership(chosen, "class"), text, words).select(F.explode("shingles").alias("s"))
-    counts = shingles.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > 2)
-    found = counts.orderBy(F.col("n").desc(), "s").limit(MOST_COMMON).toArrow()
-    hashes, n = found["s"].to_numpy().view(np.uint64), found["n"].to_numpy()
-    order = np.argsort(hashes)
-    return docs.sparkSession.sparkContext.broadcast((hashes[order], n[order]))
-
-
-def _sizes(words: int):
-    def run(texts: pa.Array) -> pa.Array:
-        n, name = [], []
-        for _, data, offsets in T.slices(texts):
-            for s in shingle_sets(data, offsets, words):
-                n.append(len(s))
-                name.append(set_hash(s) if len(s) else None)
-        names = pa.array([None if x is None else int(np.int64(x)) for x in name], pa.int64())
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), names], ["n_shingles", "class"])
 
-    return run
+class _Recurring:
+    """How often shingles that several of the sets have occur, by hash; some sets are counted at a time."""
+
+    def __init__(self):
+        self.sets, self.held = [], 0
+        self.buckets, self.counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+
+    def add(self, s: np.ndarray) -> None:
+        self.sets.append(s)
+        self.held += len(s)
+        if self.held >= _COUNTED:
+            self.count()
+
+    def count(self) -> None:
+        values, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.sets]), return_counts=True)
+        often = n >= COMMON_FROM
+        self.buckets.append((values[often] >> np.uint64(64 - COMMON_BITS)).astype(np.int32)), self.counts.append(n[often])
+        self.sets, self.held = [], 0
+
+    def rows(self) -> pa.Array:
+        self.count()
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(self.buckets)), pa.array(np.concatenate(self.counts))], ["bucket", "n"])
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -210,28 +174,93 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
 
-def document_sets(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """(id, n_shingles, class) of each row; equal sets have one class, empty sets a null one."""
-    found = docs.select(F.col(id_column).alias("_id"), F.arrow_udf(_sizes(words), "n_shingles long, class long")(F.col(text)).alias("_set"))
-    return found.select("_id", "_set.n_shingles", "_set.class")
+def _sets(texts: pa.Array, words: int) -> Iterator[tuple[np.ndarray, int | None]]:
+    """(set, class) of each text; the class of an empty set is None."""
+    for _, data, offsets in T.slices(texts):
+        for s in shingle_sets(data, offsets, words):
+            yield s, int(set_hash(s).view(np.int64)) if len(s) else None
 
 
-def candidate_groups(docs: DataFrame, plan: Plan | RareFirst, text: str = "text", words: int = WORDS) -> DataFrame:
-    """(class, group): classes that share a list, under the name of the list's smallest class."""
+def document_sets(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = WORDS, reach: int = 0) -> DataFrame:
+    """(id, n_shingles, class, few, recurring) of each row.
 
-    def keyed(texts: pa.Array) -> pa.Array:
-        names, keys = [], []
-        for _, data, offsets in T.slices(texts):
-            for s in shingle_sets(data, offsets, words):
-                names.append(int(np.int64(set_hash(s))))
-                keys.append(plan.keys(s))
-        return pa.StructArray.from_arrays([pa.array(names, pa.int64()), _lists(keys)], ["class", "keys"])
+    Equal sets have one class, empty sets a null one.  ``few`` has the shingles of sets up to
+    ``reach``; ``recurring`` is filled once per batch, with the shingles that recur in it.
+    """
 
-    found = docs.select(F.arrow_udf(keyed, "class long, keys array<long>")(F.col(text)).alias("_k"))
-    postings = found.select(F.col("_k.class").alias("class"), F.explode("_k.keys").alias("key"))
-    shared = postings.groupBy("key").agg(F.min("class").alias("group"), F.max("class").alias("_last"))
-    shared = shared.where(F.col("group") != F.col("_last")).drop("_last")
-    return postings.join(shared, "key").select("class", "group").distinct()
+    def run(texts: pa.Array) -> pa.Array:
+        n, names, few, seen, counted = [], [], [], set(), _Recurring()
+        for s, name in _sets(texts, words):
+            n.append(len(s)), names.append(name), few.append(s if len(s) <= reach else s[:0])
+            if name not in seen:
+                counted.add(s)
+            seen.add(name)
+        recurring = counted.rows()
+        ends = np.full(len(n) + 1, len(recurring), dtype=np.int32)
+        ends[: max(1, len(n))] = 0
+        lists = pa.ListArray.from_arrays(pa.array(ends), recurring)
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(names, pa.int64()), _lists(few), lists], ["n_shingles", "class", "few", "recurring"])
+
+    kind = "n_shingles long, class long, few array<long>, recurring array<struct<bucket:int,n:long>>"
+    return docs.select(F.col(id_column).alias("_id"), F.arrow_udf(run, kind)(F.col(text)).alias("_set")).select("_id", "_set.*")
+
+
+def common_shingles(sets: DataFrame) -> Broadcast:
+    """How common shingles are, by the first bits of their hash: a table of fixed size."""
+    found = sets.select(F.explode("recurring").alias("r")).groupBy("r.bucket").agg(F.sum("r.n").alias("n")).toArrow()  # a row per bucket at most
+    table = np.zeros(1 << COMMON_BITS, dtype=np.float32)
+    table[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return sets.sparkSession.sparkContext.broadcast(table)
+
+
+def postings(docs: DataFrame, plan: Plan, text: str = "text", words: int = WORDS) -> DataFrame:
+    """(key, class, n): the inverted lists; copies that meet in a batch are listed once."""
+
+    def listed(texts: pa.Array) -> pa.Array:
+        names, sizes, keys, seen = [], [], [], set()
+        for s, name in _sets(texts, words):
+            names.append(name), sizes.append(len(s))
+            keys.append(s[:0] if name in seen else plan.listed(s))
+            seen.add(name)
+        return pa.StructArray.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), _lists(keys)], ["class", "n", "keys"])
+
+    found = docs.select(F.arrow_udf(listed, "class long, n int, keys array<long>")(F.col(text)).alias("_k"))
+    return found.select(F.explode("_k.keys").alias("key"), F.col("_k.class").alias("class"), F.col("_k.n").alias("n"))
+
+
+def subsets(sets: DataFrame, plan: Plan) -> DataFrame:
+    """(key, class, n): the enumerated subsets of light sets and of their partners."""
+
+    def enumerated(few: pa.Array) -> pa.Array:
+        bounds = np.concatenate([[0], np.cumsum(few.value_lengths().to_numpy(zero_copy_only=False))])
+        values = few.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        return _lists([plan.subset_keys(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+
+    small = sets.where(F.size("few") > 0).groupBy("class").agg(F.first("few").alias("few"), F.first("n_shingles").cast("int").alias("n"))
+    return small.select(F.explode(F.arrow_udf(enumerated, "array<long>")("few")).alias("key"), "class", "n")
+
+
+def list_names(listed: DataFrame) -> DataFrame:
+    """(key, group, length) of each list of several classes; the smallest class names it."""
+    found = listed.groupBy("key").agg(F.min("class").alias("group"), F.max("class").alias("_last"), F.count("*").alias("length"))
+    return found.where(F.col("group") != F.col("_last")).drop("_last")
+
+
+def candidate_groups(docs: DataFrame, sets: DataFrame, percent: int, text: str = "text", words: int = WORDS) -> DataFrame:
+    """(class, group, n): classes that share a list or a subset, under its name."""
+    plan = Plan(percent, common=common_shingles(sets))
+    lists = written(postings(docs, plan, text, words), "postings")
+    named = written(list_names(lists), "lists")
+    held = Membership(named, "key")
+    shared = written(lists.where(may_hold_column(held, F.col("key"))).join(named, "key").select("class", "group", "n", "length"), "shared")
+    small = sets.where((F.col("n_shingles") > 0) & (F.col("n_shingles") <= plan.reach)).groupBy("n_shingles").agg(F.countDistinct("class").alias("k"))
+    sizes = {r["n_shingles"]: r["k"] for r in small.collect()}  # one row per size up to the reach
+    scanned = {r["n"]: r["k"] for r in shared.where(F.col("n") <= plan.reach).groupBy("n").agg(F.sum("length").alias("k")).collect()}
+    plan.boundary = plan.cheapest(sizes, scanned)
+    light = subsets(sets.where(F.col("n_shingles") <= plan.largest_partner(plan.boundary)), plan)
+    light = light.join(list_names(light), "key").select("class", "group", "n")
+    heavy = shared.where(F.col("n") > plan.boundary).select("class", "group", "n")
+    return heavy.unionByName(light).distinct()
 
 
 def class_sets(docs: DataFrame, wanted: Membership, text: str = "text", words: int = WORDS) -> DataFrame:
@@ -239,13 +268,12 @@ def class_sets(docs: DataFrame, wanted: Membership, text: str = "text", words: i
     table = wanted.table
 
     def fetch(texts: pa.Array) -> pa.Array:
-        names, sets = [], []
-        for _, data, offsets in T.slices(texts):
-            for s in shingle_sets(data, offsets, words):
-                name = set_hash(s)
-                hit = len(s) > 0 and may_hold(table.value, np.array([name]))[0]
-                names.append(int(np.int64(name)) if hit else None)
-                sets.append(s if hit else s[:0])
+        names, sets, seen = [], [], {None}
+        for s, name in _sets(texts, words):
+            hit = name not in seen and may_hold(table.value, np.array([name]).view(np.uint64))[0]
+            seen.add(name)
+            names.append(name if hit else None)
+            sets.append(s if hit else s[:0])
         return pa.StructArray.from_arrays([pa.array(names, pa.int64()), _lists(sets)], ["class", "shingles"])
 
     found = docs.select(F.arrow_udf(fetch, "class long, shingles array<long>")(F.col(text)).alias("_s"))
@@ -315,59 +343,112 @@ def _links(percent: int):
     return run
 
 
-def links(candidates: DataFrame, sets: DataFrame, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
-    """(a, b): links between classes that connect all classes which the join connects."""
-    sizes = candidates.groupBy("group").agg(F.count("*").alias("_n"))
-    blocks = F.ceil(F.col("_n") / group).cast("int")
-    own = F.pmod(F.xxhash64("class"), F.col("_blocks")).cast("int")
-    placed = candidates.join(sizes, "group").withColumn("_blocks", blocks).withColumn("_own", own)
-    others = F.filter(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda x: (x != F.col("_own")) | (F.col("_blocks") == 1))
-    placed = placed.select("class", "group", "_own", F.explode(others).alias("_other"))
-    part = F.xxhash64("group", F.least("_own", "_other"), F.greatest("_own", "_other"))
-    rows = placed.select("class", part.alias("part")).join(sets, "class").select("part", "class", "shingles")
-    rows = rows.repartition("part").sortWithinPartitions("part", "class")
-    return rows.mapInArrow(_links(percent), "a long, b long")
+def _blocks(classes: Column, shingles: Column, group: int) -> Column:
+    """Into how many blocks so many classes with so many shingles in all are cut."""
+    return F.greatest(F.ceil(classes / F.lit(group)), F.ceil(shingles / F.lit(GROUP_SHINGLES)), F.lit(1)).cast("int")
+
+
+def _numbers(count: Column) -> Column:
+    """0 to count - 1"""
+    return F.filter(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda x: x < count)
+
+
+def _own_block(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("class"), blocks).cast("int")
+
+
+def _compared(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links within each part of (part, class)."""
+    rows = placed.join(sets, "class").select("part", "class", "shingles")
+    return rows.repartition("part").sortWithinPartitions("part", "class").mapInArrow(_links(percent), "a long, b long")
+
+
+def connected(candidates: DataFrame, sets: DataFrame, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
+    """(node, component): what the links between the classes of each group connect, as ``components`` gives it."""
+    whole = (F.count("*").alias("_k"), F.sum("n").alias("_n"), F.min("class").alias("_least"))
+    cut = _blocks(F.col("_k"), F.col("_n"), group)
+    sizes = written(candidates.groupBy("group").agg(*whole).withColumn("_blocks", cut), "groups")
+    one = candidates.join(sizes.where("_blocks = 1").select("group"), "group").select("class", F.col("group").alias("part"))
+    if not sizes.where("_blocks > 1").head(1):
+        return components(_compared(one, sets, percent))
+    # Sizes of linked sets differ by less than one step of this range, so they lie in the same or in neighbouring ranges.
+    span = F.floor(F.log("n") / (log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0))
+    many = candidates.join(sizes.where("_blocks > 1").select("group"), "group").withColumn("_range", F.explode(F.array(span, span + 1)))
+    many = many.select("class", "n", F.xxhash64("group", "_range").alias("group"))
+    sizes = many.groupBy("group").agg(*whole).where("_k > 1").withColumn("_blocks", cut)
+    many = written(many.join(sizes, "group"), "members")
+    blocks = F.when(F.col("class") == F.col("_least"), _numbers(F.col("_blocks"))).otherwise(F.array(_own_block(F.col("_blocks"))))
+    placed = many.select("class", "group", F.explode(blocks).alias("_at")).select("class", F.xxhash64("group", "_at").alias("part"))
+    first = written(_compared(one.unionByName(placed), sets, percent), "links")
+    parts = components(first)
+    apart = _still_apart(many.where("_blocks > 1"), parts, group)
+    return components(first.unionByName(_compared(apart, sets, percent))) if apart.head(1) else parts
+
+
+def _still_apart(members: DataFrame, parts: DataFrame, group: int) -> DataFrame:
+    """(class, part): parts that hold every pair of a group in different components, but for those within its largest."""
+    parts = parts.select(F.col("node").alias("class"), "component")
+    labelled = written(members.select("class", "n", "group").join(parts, "class", "left").withColumn("component", F.coalesce("component", "class")), "labelled")
+    each = labelled.groupBy("group", "component").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    each = each.groupBy("group").agg(F.max(F.struct("k", "component", "n")).alias("top"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.count("*").alias("c"))
+    each = each.where("c > 1").select(
+        "group", F.col("top.component").alias("_top"), _blocks(F.col("k") - F.col("top.k"), F.col("n") - F.col("top.n"), group).alias("_rest"), _blocks(F.col("top.k"), F.col("top.n"), group).alias("_most")
+    )
+    rows = labelled.join(each, "group")
+    rest, most = _own_block(F.col("_rest")), _own_block(F.col("_most"))
+    name = lambda kind, i, j: F.xxhash64("group", F.lit(kind), i, j)
+    within = F.transform(_numbers(F.col("_rest")), lambda j: name(0, F.least(rest, j), F.greatest(rest, j)))
+    across = F.transform(_numbers(F.col("_most")), lambda j: name(1, rest, j))
+    to_rest = F.transform(_numbers(F.col("_rest")), lambda i: name(1, i, most))
+    found = F.when(F.col("component") == F.col("_top"), to_rest).otherwise(F.concat(within, across))
+    return written(rows.select("class", F.explode(found).alias("part")), "apart")
+
+
+def named_components(docs: DataFrame, id_column: str, text: str, percent: int, group: int, words: int) -> DataFrame:
+    """(_id, n_shingles, class, first, own) of each row: its component's smallest id, and which class has that id."""
+    base = written(document_sets(docs, id_column, text, words, Plan(percent).reach), "sets")
+    candidates = written(candidate_groups(docs, base, percent, text, words), "candidates")
+    sets = written(class_sets(docs, Membership(candidates, "class"), text, words), "class_sets")
+    parts = connected(candidates, sets, percent, group).select(F.col("node").alias("class"), F.col("component").alias("_c"))
+    classes = base.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("_id").alias("_least"))
+    classes = classes.join(parts, "class", "left").withColumn("_c", F.coalesce("_c", "class"))
+    first = classes.groupBy("_c").agg(F.min(F.struct(F.col("_least").isNull().alias("none"), F.col("_least").alias("id"), "class")).alias("_first"))
+    named = written(classes.join(first, "_c").select("class", F.col("_first.id").alias("first"), F.col("_first.class").alias("own")), "named")
+    return base.select("_id", "n_shingles", "class").join(named, "class", "left")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT, group: int = GROUP, words: int = WORDS) -> DataFrame:
     """(id, n_shingles, component_id) of each row: the smallest id reachable by links, itself included."""
-    base = written(document_sets(docs, id_column, text, words), "sets")
-    if percent < CELLS_FROM:
-        plan = RareFirst(percent, common_shingles(docs, base, text, words))
-    else:
-        small = base.where(F.col("n_shingles") <= MOST_LIGHT * 100 // percent + 1).groupBy("n_shingles").agg(F.countDistinct("class").alias("k"))
-        plan = Plan(percent)
-        plan.boundary = plan.cheapest({r["n_shingles"]: r["k"] for r in small.collect()})
-    candidates = written(candidate_groups(docs, plan, text, words), "candidates")
-    found = links(candidates, class_sets(docs, Membership(candidates, "class"), text, words), percent, group)
-    parts = components(found).select(F.col("node").alias("class"), F.col("component").alias("_c"))
-    classes = base.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("_id").alias("_least"))
-    classes = classes.join(parts, "class", "left").withColumn("_c", F.coalesce("_c", "class"))
-    first = classes.groupBy("_c").agg(F.min("_least").alias("_first"))
-    named = written(classes.join(first, "_c").select("class", "_first"), "named")
-    out = base.join(named, "class", "left")
-    return out.select(F.col("_id").alias(id_column), "n_shingles", F.coalesce("_first", "_id").alias("component_id"))
+    out = named_components(docs, id_column, text, percent, group, words)
+    return out.select(F.col("_id").alias(id_column), "n_shingles", F.coalesce("first", "_id").alias("component_id"))
 
 
-def keep_one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT, group: int = GROUP, words: int = WORDS) -> DataFrame:
     """One document of each component, the one that names it, with all columns.
 
-    An id stands for one document: of rows that share an id one stays.  Rows with a null id
-    have no name to go by and all stay.  Only documents that may have to go are joined; the
-    others pass a membership filter and are never shuffled.
+    A document is an id and a set: rows that share an id but not the text are decided each on
+    its own, a null id counts as the largest.  Rows without words are linked with nothing and
+    all stay.  Only documents that may have to go are joined; the others pass a membership
+    filter and are never shuffled.
     """
-    found = written(near_duplicates(docs, id_column, text, percent, words=words), "components").where(F.col(id_column).isNotNull())
-    own, stays, hit, nth = (_free(name, docs.columns) for name in ("_own", "_stays", "_hit", "_nth"))
-    by_id = found.groupBy(F.col(id_column).alias(own)).agg(F.count("*").alias("rows"), F.max(F.col("component_id") == F.col(id_column)).alias(stays))
-    doubtful = by_id.where((F.col("rows") > 1) | ~F.col(stays)).select(own, stays, F.xxhash64(own).alias("hash"))
-    doubtful = written(doubtful, "doubtful")
-    held = Membership(doubtful, "hash")
-    checked = docs.where(F.col(id_column).isNotNull()).withColumn(hit, may_hold_column(held, F.xxhash64(id_column)))
+    id_of, class_of, stays, hit, nth = (_free(name, docs.columns) for name in ("_own", "_class", "_stays", "_hit", "_nth"))
+    found = named_components(docs, id_column, text, percent, group, words).where(F.col("class").isNotNull())
+    is_first = (F.col("class") == F.col("own")) & F.col("_id").eqNullSafe(F.col("first"))
+    found = found.groupBy("_id", "class").agg(F.count("*").alias("_rows"), F.max(is_first).alias("_first")).where((F.col("_rows") > 1) | ~F.col("_first"))
+    doubtful = written(found.select(F.xxhash64("_id").alias("hash"), F.col("_id").alias(id_of), F.col("class").alias(class_of), F.col("_first").alias(stays)), "doubtful")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    rest = checked.where(F.col(hit)).drop(hit).join(doubtful.drop("hash"), F.col(id_column) == F.col(own), "left").where(F.coalesce(stays, F.lit(True)))
-    order = Window.partitionBy(id_column).orderBy(F.xxhash64(*columns))
-    rest = rest.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*columns)
-    return checked.where(~F.col(hit)).drop(hit).unionByName(docs.where(F.col(id_column).isNull())).unionByName(rest)
+    checked = docs.withColumn(hit, may_hold_column(Membership(doubtful, "hash"), F.xxhash64(id_column)))
+    unsure = checked.where(F.col(hit)).withColumn(hit, class_column(F.col(text), words))
+    unsure = unsure.join(doubtful.drop("hash"), F.col(id_column).eqNullSafe(F.col(id_of)) & (F.col(hit) == F.col(class_of)), "left")
+    sure = unsure.where(F.col(stays).isNull()).select(*columns)
+    order = Window.partitionBy(id_of, class_of).orderBy(F.xxhash64(*columns))
+    firsts = unsure.where(F.col(stays)).withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*columns)
+    return checked.where(~F.col(hit)).select(*columns).unionByName(sure).unionByName(firsts)
+
+
+def class_column(text: Column, words: int = WORDS) -> Column:
+    """The class of each text's set; null for texts without words."""
+    return F.arrow_udf(lambda texts: pa.array([name for _, name in _sets(texts, words)], pa.int64()), "long")(text)
 
 
 def _free(name: str, taken: list[str]) -> str:
