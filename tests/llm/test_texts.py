@@ -420,6 +420,24 @@ def test_every_boundary_finds_the_same_links():
         assert all(bool(light[i] & light[j]) for i, j in linked if min(len(sets[i]), len(sets[j])) <= boundary)
 
 
+def test_screening_parts_no_linked_sets():
+    rng = np.random.default_rng(13)
+    sets = []
+    for n in (9, 30, 100, 520, 700, 1030, 3000):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        for _ in range(25):
+            sets.append(np.unique(np.concatenate([base[rng.random(n) > 0.04], rng.integers(0, 2**63, int(rng.integers(0, n // 10 + 1))).astype(np.uint64)])))
+    sizes = np.array([len(x) for x in sets])
+    part = jaccard_join.possible_parts(sizes, [jaccard_join.signature(x) for x in sets], 90)
+    linked = 0
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if 100 * both >= 90 * (sizes[i] + sizes[j] - both):
+            linked += 1
+            assert part[i] == part[j]
+    assert linked > 100 and len(set(part.tolist())) >= 4
+
+
 def test_boundary_goes_by_the_cost():
     plan = jaccard_join.Plan(90)
     assert plan.cheapest({12: 100}, {12: 100}) < 12  # short lists: nothing to enumerate

@@ -19,8 +19,10 @@ The join is size-aware.  A link between sets of n and m shingles needs an overla
 
 Copies of one text share one set hash and count as one class from the first step on.
 Every list is named by its smallest class, and the classes that share a name form a
-group.  Overlaps are counted within groups, by a breadth-first search that compares the
-classes not yet reached with those reached.  Groups of more than ``GROUP`` classes are
+group.  A group is screened first: each set has a signature of parity bits, about as many
+as it has shingles, and two sets differ in at least as many shingles as their signatures in
+bits, so groups fall apart where no link is possible.  Overlaps are counted within what is left, by a breadth-first search
+that compares the classes not yet reached with those reached.  Groups of more than ``GROUP`` classes are
 split by size first (linked sets have the same size range or neighbouring ones), then cut
 into blocks that all hold the group's smallest class.  A group of near copies is connected
 by that already; what is still apart from a group's largest component is compared with all
@@ -53,6 +55,8 @@ WORDS = 3
 PERCENT = 90
 #: Classes, and shingles of all of them, that are compared in one place; a larger set stands alone in its block.
 GROUP, GROUP_SHINGLES = 128, 1 << 19
+#: Fewest parity bits of a set, and the classes of a group that are screened at once; larger groups go unscreened.
+LEAST_BITS, SCREENED = 512, 4096
 #: Largest size for which subsets may be enumerated at all.
 MOST_LIGHT = 40
 #: Bits of the table of how common shingles are, 8 MB; a shingle counts if so many sets of a batch have it.
@@ -182,15 +186,16 @@ def _sets(texts: pa.Array, words: int) -> Iterator[tuple[np.ndarray, int | None]
 
 
 def document_sets(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = WORDS, reach: int = 0) -> DataFrame:
-    """(id, n_shingles, class, few, recurring) of each row.
+    """(id, n_shingles, class, bits, few, recurring) of each row.
 
-    Equal sets have one class, empty sets a null one.  ``few`` has the shingles of sets up to
+    Equal sets have one class, empty sets a null one.  ``bits`` is the signature, ``few`` has the shingles of sets up to
     ``reach``; ``recurring`` is filled once per batch, with the shingles that recur in it.
     """
 
     def run(texts: pa.Array) -> pa.Array:
-        n, names, few, seen, counted = [], [], [], set(), _Recurring()
+        n, names, bits, few, seen, counted = [], [], [], [], set(), _Recurring()
         for s, name in _sets(texts, words):
+            bits.append(signature(s))
             n.append(len(s)), names.append(name), few.append(s if len(s) <= reach else s[:0])
             if name not in seen:
                 counted.add(s)
@@ -199,9 +204,10 @@ def document_sets(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
         ends = np.full(len(n) + 1, len(recurring), dtype=np.int32)
         ends[: max(1, len(n))] = 0
         lists = pa.ListArray.from_arrays(pa.array(ends), recurring)
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(names, pa.int64()), _lists(few), lists], ["n_shingles", "class", "few", "recurring"])
+        columns = [pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(bits, pa.binary()), _lists(few), lists]
+        return pa.StructArray.from_arrays(columns, ["n_shingles", "class", "bits", "few", "recurring"])
 
-    kind = "n_shingles long, class long, few array<long>, recurring array<struct<bucket:int,n:long>>"
+    kind = "n_shingles long, class long, bits binary, few array<long>, recurring array<struct<bucket:int,n:long>>"
     return docs.select(F.col(id_column).alias("_id"), F.arrow_udf(run, kind)(F.col(text)).alias("_set")).select("_id", "_set.*")
 
 
@@ -263,6 +269,87 @@ def candidate_groups(docs: DataFrame, sets: DataFrame, percent: int, text: str =
     return heavy.unionByName(light).distinct()
 
 
+def signature(s: np.ndarray) -> bytes:
+    """For each bucket, whether an odd number of the set's shingles is in it; as many buckets as the next power of two."""
+    size = max(LEAST_BITS, 1 << max(0, len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
+
+
+def _folded(bits: np.ndarray) -> np.ndarray:
+    """Signatures of half the length, of the same sets."""
+    half = bits.shape[-1] // 2
+    return bits[..., :half] ^ bits[..., half:]
+
+
+def possible_parts(sizes: np.ndarray, signatures: list[bytes], percent: int) -> np.ndarray:
+    """Of each set the first set that it may be connected with."""
+    part, alive = np.arange(len(sizes)), np.ones(len(sizes), dtype=bool)
+    length = np.array([len(x) for x in signatures])
+    of_length = {int(n): np.flatnonzero(length == n) for n in np.unique(length)}
+    rows = {n: np.frombuffer(b"".join(signatures[k] for k in at), dtype=np.uint64).reshape(len(at), -1) for n, at in of_length.items()}
+    shorter = {n: _folded(x) for n, x in rows.items()}
+    for first in range(len(sizes)):
+        queue = [first] if alive[first] else []
+        alive[first] = False
+        while queue:
+            at = queue.pop()
+            own = np.frombuffer(signatures[at], dtype=np.uint64)
+            n = len(signatures[at])
+            for other, sets in ((n // 2, rows), (n, rows), (n * 2, shorter)):  # sizes of linked sets differ by less than a factor of two
+                if other not in sets:
+                    continue
+                left = np.flatnonzero(alive[of_length[other]])
+                both = sizes[of_length[other][left]] + sizes[at]
+                most = both - 2 * -(-percent * both // (100 + percent))  # shingles in which linked sets differ
+                left = left[np.bitwise_count(sets[other][left] ^ (_folded(own) if other < n else own)).sum(axis=1, dtype=np.int64) <= most]
+                hit = of_length[other][left]
+                part[hit], alive[hit] = first, False
+                queue += hit.tolist()
+    return part
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each key; rows come sorted by key, and one may go over several batches."""
+    held, now = [], None
+    for batch in batches:
+        keys = batch.column(key).to_numpy()
+        cuts = np.flatnonzero(np.diff(keys)) + 1
+        for first, last in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+            if last == first:
+                continue
+            if held and keys[first] != now:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            now = keys[first]
+            held.append(batch.slice(first, last - first))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _screened(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_key(batches, "group"):
+            part = possible_parts(rows["n"].to_numpy().astype(np.int64), rows["bits"].to_pylist(), percent)
+            several = np.bincount(part)[part] > 1
+            if several.any():
+                names = T.mix(rows["group"].to_numpy().view(np.uint64) + T.mix(part.astype(np.uint64) + _ONE)).view(np.int64)
+                kept = pa.array(several)
+                yield pa.RecordBatch.from_arrays([rows["class"].filter(kept).combine_chunks(), pa.array(names[several]), rows["n"].filter(kept).combine_chunks()], ["class", "group", "n"])
+
+    return run
+
+
+def screened(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(class, group, n): the groups, divided where no link between classes is possible."""
+    if percent <= 50:  # signatures of linked sets might differ too much in length
+        return candidates
+    sizes = candidates.groupBy("group").agg(F.count("*").alias("_k"))
+    bits = sets.where(F.col("class").isNotNull()).groupBy("class").agg(F.first("bits").alias("bits"))
+    rows = candidates.join(sizes, "group")
+    small = rows.where(F.col("_k") <= SCREENED).join(bits, "class").select("group", "class", "n", "bits").repartition("group").sortWithinPartitions("group", "class")
+    return small.mapInArrow(_screened(percent), "class long, group long, n int").unionByName(rows.where(F.col("_k") > SCREENED).select("class", "group", "n"))
+
+
 def class_sets(docs: DataFrame, wanted: Membership, text: str = "text", words: int = WORDS) -> DataFrame:
     """(class, shingles), one row for each class that the filter lets through."""
     table = wanted.table
@@ -313,11 +400,7 @@ def linked_in_group(sizes: np.ndarray, shingles: np.ndarray, percent: int = PERC
 
 def _links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by part; a part may go over several batches."""
-        held, part = [], None
-
-        def solved() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held).combine_chunks()
+        for rows in _by_key(batches, "part"):
             names = rows["class"].to_numpy()
             lists = rows["shingles"].combine_chunks()
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -326,20 +409,6 @@ def _links(percent: int):
                 a, b = np.array(pairs).T
                 yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], ["a", "b"])
 
-        for batch in batches:
-            key = batch.column("part").to_numpy()
-            cuts = np.flatnonzero(np.diff(key)) + 1
-            for first, last in zip([0, *cuts], [*cuts, len(key)], strict=True):
-                if last == first:
-                    continue
-                if held and key[first] != part:
-                    yield from solved()
-                    held = []
-                part = key[first]
-                held.append(batch.slice(first, last - first))
-        if held:
-            yield from solved()
-
     return run
 
 
@@ -408,6 +477,7 @@ def named_components(docs: DataFrame, id_column: str, text: str, percent: int, g
     """(_id, n_shingles, class, first, own) of each row: its component's smallest id, and which class has that id."""
     base = written(document_sets(docs, id_column, text, words, Plan(percent).reach), "sets")
     candidates = written(candidate_groups(docs, base, percent, text, words), "candidates")
+    candidates = written(screened(candidates, base, percent), "screened")
     sets = written(class_sets(docs, Membership(candidates, "class"), text, words), "class_sets")
     parts = connected(candidates, sets, percent, group).select(F.col("node").alias("class"), F.col("component").alias("_c"))
     classes = base.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("_id").alias("_least"))
