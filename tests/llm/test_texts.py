@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from trackledger.llm import chat, decontamination, fingerprints, huffman, jaccard_join, licenses, piece_sampling, quality, sharding, toxicity
+from trackledger.llm import chat, decontamination, fingerprints, huffman, jaccard_join, licenses, piece_sampling, quality, sharding, store, toxicity
 from trackledger.llm import textops as T
 from trackledger.llm.graph import components
 
@@ -417,6 +417,16 @@ def test_every_boundary_finds_the_same_links():
         light = [set(plan.subset_keys(s).tolist()) for s in sets]
         heavy = [set(plan.listed(s).tolist() if len(s) > boundary else ()) for s in sets]
         assert all(light[i] & light[j] or heavy[i] & heavy[j] for i, j in linked)
+        shared = np.zeros(1 << (store.FILTER_BITS - 6), dtype=np.uint64)
+        for key in rng.permutation(np.unique(np.concatenate(sets)))[::2]:
+            bit = key >> np.uint64(64 - store.FILTER_BITS)
+            shared[bit >> np.uint64(6)] |= np.uint64(1) << (bit & np.uint64(63))
+        ordered = [plan.counted(s) for s in sets]
+        for (i, a), (j, b) in itertools.combinations(enumerate(ordered), 2):
+            if (i, j) in linked and min(len(sets[i]), len(sets[j])) > boundary:
+                enough = [set(x[np.argsort(jaccard_join.may_hold(shared, x), kind="stable")][: len(x) - plan._spare(plan.smallest_partner(len(sets[k]))) + 1].tolist()) for x, k in ((a, i), (b, j))]
+                assert enough[0] & enough[1]
+                assert set(plan.listed(sets[i], shared).tolist()) == {x for x in enough[0] if jaccard_join.may_hold(shared, np.array([x], np.uint64))[0]}
         assert all(bool(light[i] & light[j]) for i, j in linked if min(len(sets[i]), len(sets[j])) <= boundary)
 
 

@@ -10,10 +10,13 @@ The join is size-aware.  A link between sets of n and m shingles needs an overla
 * Light sets, up to a boundary: every subset of exactly c shingles is enumerated, for
   each c that a partner's size allows; two sets that share such a subset are candidates.
 * Heavy sets: the inverted lists of their rarest shingles are scanned.  Of n shingles
-  ``n - ceil(percent * n / 100) + 1`` are listed, in one order for all sets, so two linked
-  sets meet in a list.  The order goes by a table of fixed size, filled from all sets: how
-  often shingles recur within a batch, summed by hash.  It decides the length of the
-  lists, never the links.
+  ``n - ceil(percent * n / 100) + 1`` suffice, in one order for all sets, for two linked
+  sets to meet in a list.  What is rare is told in two steps.  First by a table of fixed
+  size, filled from all sets: how often shingles recur within a batch, summed by hash.  Of
+  that order some more are taken than suffice (``SLACK``), enough that linked sets share
+  several, and their lists are counted over the table; then those come first whose list
+  holds one class only, and these need not be scanned.  The orders decide the length of
+  the lists, never the links.
 * The boundary is where the subsets to enumerate plus the lengths of the lists to scan
   are fewest, from the real sets and lists.
 
@@ -61,6 +64,8 @@ LEAST_BITS, SCREENED = 512, 4096
 MOST_LIGHT = 40
 #: Bits of the table of how common shingles are, 8 MB; a shingle counts if so many sets of a batch have it.
 COMMON_BITS, COMMON_FROM = 21, 3
+#: So many more shingles are counted, as a share of those in which a set may differ from a linked one.
+SLACK = 0.5
 _COUNTED = 1 << 21  # shingles counted at once
 _ONE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -134,13 +139,29 @@ class Plan:
             out.append(T.mix(total - s[left_out].sum(axis=1, dtype=np.uint64) + np.uint64(c * int(_ONE) % 2**64)))
         return np.concatenate(out) if out else s[:0]
 
-    def listed(self, s: np.ndarray) -> np.ndarray:
-        """The rarest shingles of a set: as many as it takes for linked sets to share one."""
+    def _spare(self, n: int) -> int:
+        """So many of the counted shingles two sets of n at least share, if linked; it never falls as n grows."""
+        least = self.smallest_partner(n)
+        return min(least, 1 + int(SLACK * (n - least)))
+
+    def counted(self, s: np.ndarray) -> np.ndarray:
+        """The rarest shingles of a set, rarest first, of which it shares ``_spare`` with a linked set."""
         n = len(s)
         if not n or self.overlap(n, n) == n and self.largest_partner(n) == n:
             return s[:0]  # only an equal set could be linked, and that is of the same class
         rank = self.common.value[s >> np.uint64(64 - COMMON_BITS)] if self.common else np.zeros(n)
-        return s[np.argsort(rank, kind="stable")[: n + 1 - self.smallest_partner(n)]]
+        return s[np.argsort(rank, kind="stable")[: n - self.smallest_partner(n) + self._spare(n)]]
+
+    def listed(self, s: np.ndarray, shared: np.ndarray | None = None) -> np.ndarray:
+        """The shingles under which a set is listed: those with a list of their own come first, and are left out."""
+        found = self.counted(s)
+        if not len(found):
+            return found
+        enough = len(found) - self._spare(self.smallest_partner(len(s))) + 1
+        if shared is None:
+            return found[:enough]
+        several = may_hold(shared, found)
+        return found[several][: max(0, enough - int((~several).sum()))]
 
 
 @lru_cache(maxsize=256)
@@ -219,14 +240,18 @@ def common_shingles(sets: DataFrame) -> Broadcast:
     return sets.sparkSession.sparkContext.broadcast(table)
 
 
-def postings(docs: DataFrame, plan: Plan, text: str = "text", words: int = WORDS) -> DataFrame:
-    """(key, class, n): the inverted lists; copies that meet in a batch are listed once."""
+def postings(docs: DataFrame, plan: Plan, shared: Membership | None, text: str = "text", words: int = WORDS) -> DataFrame:
+    """(key, class, n): the inverted lists, those to count or, with the shared ones known, those to scan.
+
+    Copies that meet in a batch are listed once.
+    """
+    table = shared.table if shared else None
 
     def listed(texts: pa.Array) -> pa.Array:
         names, sizes, keys, seen = [], [], [], set()
         for s, name in _sets(texts, words):
             names.append(name), sizes.append(len(s))
-            keys.append(s[:0] if name in seen else plan.listed(s))
+            keys.append(s[:0] if name in seen else plan.listed(s, table.value) if table else plan.counted(s))
             seen.add(name)
         return pa.StructArray.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), _lists(keys)], ["class", "n", "keys"])
 
@@ -255,10 +280,9 @@ def list_names(listed: DataFrame) -> DataFrame:
 def candidate_groups(docs: DataFrame, sets: DataFrame, percent: int, text: str = "text", words: int = WORDS) -> DataFrame:
     """(class, group, n): classes that share a list or a subset, under its name."""
     plan = Plan(percent, common=common_shingles(sets))
-    lists = written(postings(docs, plan, text, words), "postings")
-    named = written(list_names(lists), "lists")
-    held = Membership(named, "key")
-    shared = written(lists.where(may_hold_column(held, F.col("key"))).join(named, "key").select("class", "group", "n", "length"), "shared")
+    lists = postings(docs, plan, Membership(list_names(postings(docs, plan, None, text, words)), "key"), text, words)
+    lists = written(lists, "postings")
+    shared = written(lists.join(list_names(lists), "key").select("class", "group", "n", "length"), "shared")
     small = sets.where((F.col("n_shingles") > 0) & (F.col("n_shingles") <= plan.reach)).groupBy("n_shingles").agg(F.countDistinct("class").alias("k"))
     sizes = {r["n_shingles"]: r["k"] for r in small.collect()}  # one row per size up to the reach
     scanned = {r["n"]: r["k"] for r in shared.where(F.col("n") <= plan.reach).groupBy("n").agg(F.sum("length").alias("k")).collect()}
