@@ -30,7 +30,9 @@ blank's piece character themselves.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,6 @@ from trackledger.llm import textops as T
 SHIFT = 20.0
 BYTE_LOG_PROB = -16.0
 SLICE = 1 << 19
-DECODED_AT_ONCE = 1 << 16
 #: A draw below the largest possible one by this much can't win with 53-bit noise.
 REACH = 42.0
 _BLANK = "▁"
@@ -80,21 +81,27 @@ class Pieces:
         self.lengths = np.array([len(x) for x in self.raw])
         self.blob = np.frombuffer(b"".join(self.raw), dtype=np.uint8)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.by_length: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.by_length: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]] = []
         ranked = np.array(ranked)
+        self.longest = int(max(4, self.lengths[ranked].max()))
         for size in sorted(set(self.lengths[ranked].tolist())):
             ids = ranked[self.lengths[ranked] == size]
             sums = T.prefix_sums(np.concatenate([self.blob[self.starts[i] : self.starts[i] + size] for i in ids]))
             at = np.arange(len(ids)) * size
-            hashes = (sums[at + size] - sums[at]) * T.powers(len(sums))[1][at]
-            order = np.argsort(hashes)
-            screen = np.zeros(1 << 18, dtype=bool)
-            screen[_bits(hashes)] = True
-            self.by_length.append((size, hashes[order], ids[order], screen))
+            hashes = (sums[at + size] - sums[at]) * T.inverse_powers(at)
+            order = np.argsort(_bits(hashes), kind="stable")
+            bits = _bits(hashes[order])
+            first = np.full(1 << _TABLE, -1, dtype=np.int32)
+            first[bits[::-1]] = np.arange(len(ids) - 1, -1, -1)  # the first piece in each place of the table
+            most = int(np.bincount(bits.astype(np.int64)).max())
+            self.by_length.append((size, hashes[order], ids[order], first, most))
+
+
+_TABLE = 16
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
-    return (hashes * _C[0]) >> np.uint64(46)
+    return (hashes * _C[0]) >> np.uint64(64 - _TABLE)
 
 
 @lru_cache(maxsize=2)
@@ -117,35 +124,55 @@ class Lattice:
         self.model, self.data = model, data
         size = len(data)
         end_of = np.repeat(end, end - start)
-        sums, down = T.prefix_sums(data), T.powers(size)[1]
+        sums = T.prefix_sums(data)
         first = (data & 0xC0) != 0x80
         width = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4)))
         spelled = first.copy()
-        froms, tos, names = [], [], []
-        for length, hashes, ids, screen in model.by_length:
-            if length > size:
+        found = []  # (starts, length or lengths, pieces), shorter ones first
+        at = np.flatnonzero(first)
+        down = T.inverse_powers(at)
+        for length, hashes, ids, table, most in model.by_length:
+            fits = at + length <= end_of[at]
+            if not fits.all():
+                at, down = at[fits], down[fits]
+            if not len(at):
                 break
-            here = (sums[length:] - sums[:-length]) * down[: size + 1 - length]
-            at = np.flatnonzero(screen[_bits(here)])
-            at = at[at + length <= end_of[at]]
-            k = np.minimum(np.searchsorted(hashes, here[at]), len(hashes) - 1)
-            hit = hashes[k] == here[at]
-            at, k = at[hit], k[hit]
-            spelled[at[width[at] == length]] = False
-            froms.append(at), tos.append(at + length), names.append(ids[k])
+            here = (sums[at + length] - sums[at]) * down
+            k = table[_bits(here)]
+            maybe = np.flatnonzero(k >= 0)
+            k, here, start_of = k[maybe], here[maybe], at[maybe]
+            hit = hashes[k] == here
+            for more in range(1, most):  # other pieces in the same place
+                miss = np.flatnonzero(~hit)
+                again = np.minimum(k[miss] + more, len(hashes) - 1)
+                same = hashes[again] == here[miss]
+                k[miss[same]] = again[same]
+                hit[miss[same]] = True
+            start_of, k = start_of[hit], k[hit]
+            spelled[start_of[width[start_of] == length]] = False
+            found.append((start_of, length, ids[k]))
         at = np.flatnonzero(spelled)
-        froms.append(at), tos.append(at + width[at]), names.append(np.full(len(at), -1))
-        froms, tos, names = np.concatenate(froms), np.concatenate(tos), np.concatenate(names)
-        order = np.lexsort((froms, end_of[froms] - froms))  # nearest to the chunk's end first
-        self.frm, self.to, self.name = froms[order], tos[order], names[order]
+        found.insert(0, (at, width[at], -1))  # no other edge from here is as short
+        self.count = np.zeros(size, np.int64)
+        for start_of, _, _ in found:
+            self.count[start_of] += 1
+        far = end_of - np.arange(size)
+        node = np.flatnonzero(self.count)  # nearest to the chunk's end first, then by place
+        node = node[np.argsort(far[node].astype(np.uint16) if far.max(initial=0) < 1 << 16 else far[node], kind="stable")]
+        new = np.cumsum(self.count[node]) - self.count[node]
+        self.first = np.zeros(size, np.int64)
+        self.first[node] = new
+        edges = int(self.count.sum())
+        self.frm = np.repeat(node, self.count[node])
+        self.to, self.name, free = np.zeros(edges, np.int64), np.zeros(edges, np.int64), self.first.copy()
+        for start_of, length, names in found:
+            place = free[start_of]
+            self.to[place], self.name[place] = start_of + length, names
+            free[start_of] += 1
         self.last = self.to == end_of[self.frm]
         log_p = np.where(self.name < 0, BYTE_LOG_PROB * (self.to - self.frm), model.log_prob[self.name])
-        new = np.flatnonzero(np.concatenate([[True], self.frm[1:] != self.frm[:-1]])) if len(self.frm) else np.zeros(0, np.int64)
-        self.first, self.count = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        self.first[self.frm[new]] = new
-        self.count[self.frm[new]] = np.diff(np.concatenate([new, [len(self.frm)]]))
         ahead = np.zeros(size + 1)  # log of the sum over all ways from here to the chunk's end
-        far = (end_of[self.frm] - self.frm)[new]
+        far = far[node]
         steps = np.flatnonzero(np.concatenate([[True], far[1:] != far[:-1]])) if len(new) else []
         value = np.empty(len(self.frm))
         for a, b in zip(steps, [*steps[1:], len(new)], strict=True):
@@ -158,8 +185,9 @@ class Lattice:
 
     def walk(self, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sampled edges from each place to the end of its chunk, and the bounds per place."""
-        who, edges = [], []
+        taken = []
         active, now, step = np.arange(len(at)), at, 0
+        count = np.zeros(len(at) + 1, np.int64)
         while len(active):
             first = self.first[now]
             target = self.upto[first] - self.p[first] + uniform(key[active], step)
@@ -169,45 +197,68 @@ class Lattice:
                 edge[back] -= 1
                 e = edge[back]
                 back = back[(e > first[back]) & (target[back] < self.upto[e - 1])]
-            who.append(active), edges.append(edge)
+            taken.append((active, edge))
             on = ~self.last[edge]
+            count[active + 1] += 1
             active, now, step = active[on], self.to[edge[on]], step + 1
-        if not who:
-            return np.zeros(0, np.int64), np.zeros(1, np.int64)
-        who, edges = np.concatenate(who), np.concatenate(edges)
-        order = np.argsort(who, kind="stable")
-        return edges[order], np.searchsorted(who[order], np.arange(len(at) + 1))
+        bounds = np.cumsum(count)
+        edges = np.zeros(int(bounds[-1]), np.int64)
+        for step, (active, edge) in enumerate(taken):
+            edges[bounds[active] + step] = edge
+        return edges, bounds
 
     def ids(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the edges, and how many each has (a spelled character has one per byte)."""
-        spelled = self.name[edges] < 0
-        count = np.where(spelled, self.to[edges] - self.frm[edges], 1)
-        each = np.repeat(np.arange(len(edges)), count)
-        out = self.name[edges[each]].astype(np.int32)
-        byte = self.frm[edges[each]] + np.arange(len(each)) - (np.cumsum(count) - count)[each]
-        byte = byte[out < 0]
+        out = self.name[edges].astype(np.int32)
+        spelled = np.flatnonzero(out < 0)
+        count = np.ones(len(edges), np.int64)
+        if not len(spelled):
+            return out, count
+        start, size = self.frm[edges[spelled]], (self.to - self.frm)[edges[spelled]]
+        count[spelled] = size
+        out = np.repeat(out, count)
+        byte = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         out[out < 0] = self.model.byte_id[self.data[byte]]
         return out, count
 
 
-def _branches(log_p: np.ndarray, p: np.ndarray, before: float, top: float, key: np.ndarray, sample: int, first: int, most_left: int) -> list[tuple[float, int, float]]:
-    """(-value, step, mass) of what leaves a path at each of its steps, drawn below ``top``.
-
-    Of these the ``most_left`` largest are kept: no more draws follow, so no other can be one.
-    """
-    ahead = before + np.cumsum(log_p) - log_p
-    with np.errstate(divide="ignore"):
-        mass = ahead + np.log1p(-p)
-    most = mass.max(initial=-np.inf)
-    if most == -np.inf:
-        return []
-    at = np.flatnonzero(mass >= most - REACH)
-    noise = np.log(-np.log(uniform(key, sample, at + first, 1)))
-    value = np.logaddexp(-top, noise - mass[at])
-    if len(at) > most_left:
-        keep = np.argpartition(value, most_left - 1)[:most_left]
-        at, value = at[keep], value[keep]
-    return list(zip(value.tolist(), (at + first).tolist(), mass[at].tolist(), strict=True))
+class Paths:
+    """Parts of paths, one after the other: part i holds ``edges[bounds[i]:bounds[i + 1]]`` and starts at ``step[i]``."""
+
+    def __init__(self, lattice: Lattice, edges: np.ndarray, bounds: np.ndarray, step: np.ndarray, before: np.ndarray):
+        self.edges, self.bounds, self.step = edges, bounds, step
+        self.log_p = lattice.log_p[edges]
+        upto = np.concatenate([[0.0], np.cumsum(self.log_p)])
+        self.who = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        self.ahead = upto[:-1] + (before - upto[bounds[:-1]])[self.who]  # log-probability of the path before each edge
+        self.total = before + upto[bounds[1:]] - upto[bounds[:-1]]
+        with np.errstate(divide="ignore"):
+            self.mass = self.ahead + np.log1p(-lattice.p[edges])
+
+    def branches(self, top: np.ndarray, keys: np.ndarray, sample: int, most: int) -> tuple[np.ndarray, ...]:
+        """(part, -value, step, mass) of what leaves the paths at each of their steps, drawn below ``top``.
+
+        Of each part the ``most`` largest are kept: no more draws follow, so no other can be one.
+        """
+        filled = np.flatnonzero(np.diff(self.bounds))
+        largest = np.full(len(self.bounds) - 1, -np.inf)
+        if len(filled):
+            largest[filled] = np.maximum.reduceat(self.mass, self.bounds[:-1][filled])
+        at = np.flatnonzero((self.mass > -np.inf) & (self.mass >= largest[self.who] - REACH))
+        who = self.who[at]
+        step = at - self.bounds[who] + self.step[who]
+        noise = np.log(-np.log(uniform(keys[who], sample, step, 1)))
+        value = np.logaddexp(-top[who], noise - self.mass[at])
+        first = np.flatnonzero(np.diff(who, prepend=-1))
+        each = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(who))))
+        chosen, open_ = [], value.copy()
+        for _ in range(most if len(first) else 0):
+            best = np.flatnonzero((open_ == np.minimum.reduceat(open_, first)[each]) & (open_ < np.inf))
+            best = best[np.diff(who[best], prepend=-1) > 0]
+            chosen.append(best)
+            open_[best] = np.inf
+        order = np.concatenate(chosen) if chosen else first
+        return who[order], value[order], step[order], self.mass[at[order]]
 
 
 def sample_slice(model: Pieces, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, k: int) -> list[list[tuple]]:
@@ -239,63 +290,60 @@ def sample_slice(model: Pieces, data: np.ndarray, offsets: np.ndarray, keys: np.
     walk_key = lambda chunks, sample: T.mix(keys[text[chunks]] + np.uint64(sample * int(_C[1]) % 2**64) + number[chunks].astype(np.uint64) * _C[2])
     edges, cut = lattice.walk(entry, walk_key(np.arange(len(start)), 0))
     roots = -np.log(-np.log(uniform(keys, 0, 0, 2)))
-    paths: dict[int, list] = {}
-    heaps: dict[int, list] = {}
-    for t in filled.tolist():
-        path = edges[cut[bounds[t]] : cut[bounds[t + 1]]]
-        chunk = np.repeat(np.arange(bounds[t], bounds[t + 1]), np.diff(cut[bounds[t] : bounds[t + 1] + 1]))
-        log_p, key = lattice.log_p[path], keys[t : t + 1]
-        paths[t] = [(path, chunk, float(log_p.sum()), float(roots[t]))]
-        heaps[t] = [(v, 0, at, mass, (int(path[at]),)) for v, at, mass in _branches(log_p, lattice.p[path], 0.0, roots[t], key, 0, 0, k)]
-        heapq.heapify(heaps[t])
+    paths: dict[int, list] = {t: [] for t in filled.tolist()}
+    heaps: dict[int, list] = {t: [] for t in filled.tolist()}
+
+    def branch(found: Paths, texts: np.ndarray, heads: list[np.ndarray], top: np.ndarray, sample: int) -> None:
+        """Takes one new path of each text (a head and a found part), and puts its branches on the text's heap."""
+        for t, head, a, b, log_p, value in zip(texts.tolist(), heads, found.bounds[:-1].tolist(), found.bounds[1:].tolist(), found.total.tolist(), top.tolist(), strict=True):
+            tail = found.edges[a:b]
+            paths[t].append((np.concatenate([head, tail]) if len(head) else tail, log_p, value))
+        who, value, step, mass = found.branches(top, keys[texts], sample, k - sample)
+        for t, v, at, m in zip(texts[who].tolist(), value.tolist(), step.tolist(), mass.tolist(), strict=True):
+            heapq.heappush(heaps[t], (v, len(paths[t]) - 1, at, m, (int(paths[t][-1][0][at]),)))
+
+    none = np.zeros(len(filled), np.int64)
+    branch(Paths(lattice, edges, cut[np.append(bounds[filled], len(start))], none, none.astype(float)), filled, [edges[:0]] * len(filled), roots[filled], 0)
     for sample in range(1, k):
-        jobs, at, who = [], [], []
-        for t in filled.tolist():
-            if not heaps[t]:
-                continue
-            value, old, step, mass, taken = heapq.heappop(heaps[t])
-            value = -value
-            path, chunk, _, _ = paths[t][old]
-            key, here = keys[t : t + 1], lattice.frm[path[step]]
-            choices = np.arange(lattice.first[here], lattice.first[here] + lattice.count[here])
-            choices = choices[~np.isin(choices, taken)]
-            upto = np.cumsum(lattice.p[choices])
-            pick = int(choices[min(np.searchsorted(upto, uniform(key, sample, step, 3)[0] * upto[-1], side="right"), len(choices) - 1)])
-            if len(choices) > 1 and upto[-1] > lattice.p[pick]:
-                before = mass - np.log(upto[-1])
-                rest = before + np.log(upto[-1] - lattice.p[pick])
-                noise = np.log(-np.log(uniform(key, sample, step, 4)[0]))
-                heapq.heappush(heaps[t], (float(np.logaddexp(-value, noise - rest)), old, step, float(rest), (*taken, pick)))
-            chunks = np.arange(chunk[step] + 1, bounds[t + 1])
+        live = [t for t in filled.tolist() if heaps[t]]
+        if not live:
+            break
+        popped = [heapq.heappop(heaps[t]) for t in live]
+        steps, key = np.array([x[2] for x in popped]), keys[live]
+        draws, others = uniform(key, sample, steps, 3).tolist(), np.log(-np.log(uniform(key, sample, steps, 4))).tolist()
+        heads, at, who, values = [], [], [], []
+        for t, (value, old, step, mass, taken), draw, other in zip(live, popped, draws, others, strict=True):
+            path = paths[t][old][0]
+            here = int(lattice.frm[path[step]])
+            first = int(lattice.first[here])
+            choices = [c for c in range(first, first + int(lattice.count[here])) if c not in taken]
+            p = lattice.p[choices]
+            upto = list(accumulate(p.tolist()))
+            nth = min(bisect_right(upto, draw * upto[-1]), len(choices) - 1)
+            pick = choices[nth]
+            if len(choices) > 1 and upto[-1] > p[nth]:
+                rest = mass - np.log(upto[-1]) + np.log(upto[-1] - p[nth])
+                heapq.heappush(heaps[t], (float(np.logaddexp(value, other - rest)), old, step, float(rest), (*taken, pick)))
+            where = bounds[t] + int(np.count_nonzero(lattice.last[path[:step]]))  # the chunk of that step
+            chunks = np.arange(where + 1, bounds[t + 1])
             enter = entry[chunks]
             if not lattice.last[pick]:
-                chunks, enter = np.concatenate([[chunk[step]], chunks]), np.concatenate([[lattice.to[pick]], enter])
-            jobs.append((t, old, step, pick, value, len(chunks)))
-            at.append(enter), who.append(chunks)
-        if not jobs:
-            break
+                chunks, enter = np.concatenate([[where], chunks]), np.concatenate([[lattice.to[pick]], enter])
+            heads.append(np.append(path[:step], pick))
+            at.append(enter), who.append(chunks), values.append(-value)
+        counts = np.cumsum([0, *(len(x) for x in who)])
         who = np.concatenate(who)
         edges, cut = lattice.walk(np.concatenate(at), walk_key(who, sample))
-        done = 0
-        for t, old, step, pick, value, count in jobs:
-            path, chunk, _, _ = paths[t][old]
-            tail = edges[cut[done] : cut[done + count]]
-            tail_chunk = np.repeat(who[done : done + count], np.diff(cut[done : done + count + 1]))
-            done += count
-            path = np.concatenate([path[:step], [pick], tail])
-            chunk = np.concatenate([chunk[: step + 1], tail_chunk])
-            log_p = lattice.log_p[path]
-            paths[t].append((path, chunk, float(log_p.sum()), value))
-            before = float(log_p[: step + 1].sum())
-            for v, level, mass in _branches(log_p[step + 1 :], lattice.p[tail], before, value, keys[t : t + 1], sample, step + 1, k):
-                heapq.heappush(heaps[t], (v, len(paths[t]) - 1, level, mass, (int(path[level]),)))
+        before = np.array([float(lattice.log_p[h].sum()) for h in heads])
+        sizes = np.array([len(h) for h in heads])
+        branch(Paths(lattice, edges, cut[counts], sizes, before), np.array(live), heads, np.array(values), sample)
     ids, counts = lattice.ids(np.concatenate([path for t in filled.tolist() for path, *_ in paths[t]]))
     upto = np.concatenate([[0], np.cumsum(counts)])
     done = 0
     for t in filled.tolist():
         threshold = -heaps[t][0][0] if heaps[t] else -np.inf
         out[t] = []
-        for path, _, log_p, value in paths[t]:
+        for path, log_p, value in paths[t]:
             own = ids[upto[done] : upto[done + len(path)]]
             done += len(path)
             out[t].append((own, log_p, value, _log_inclusion(log_p - threshold)))
@@ -336,21 +384,9 @@ def _bounds(sizes: list[int]) -> np.ndarray:
 
 
 def decode_ids(model: Pieces, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
-    """The texts whose ids are ``ids[bounds[i]:bounds[i + 1]]``, some texts at a time."""
-    out, row = [], 0
-    while row < len(bounds) - 1:
-        end = max(row + 1, int(np.searchsorted(bounds, bounds[row] + DECODED_AT_ONCE, side="right")) - 1)
-        out += _decoded(model, ids[bounds[row] : bounds[end]], bounds[row : end + 1] - bounds[row])
-        row = end
-    return out
-
-
-def _decoded(model: Pieces, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
-    size = model.lengths[ids]
-    each = np.repeat(np.arange(len(ids)), size)
-    data = model.blob[model.starts[ids][each] + np.arange(len(each)) - (np.cumsum(size) - size)[each]]
-    cut = np.concatenate([[0], np.cumsum(size)])[bounds]
-    return [data[a + 1 : b].tobytes().decode("utf-8", "replace") if b > a else "" for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    """The texts whose ids are ``ids[bounds[i]:bounds[i + 1]]``, one at a time."""
+    raw = model.raw.__getitem__
+    return [b"".join(map(raw, ids[a:b].tolist()))[1:].decode("utf-8", "replace") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 def decode_column(ids: Column, model_file: str) -> Column:

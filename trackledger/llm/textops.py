@@ -8,7 +8,6 @@ not follow the size of a batch.  A single text is never cut.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +21,7 @@ _R_INVERSE = pow(_R, -1, 1 << 64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SAME = np.arange(256, dtype=np.uint8)
+_NEXT = np.arange(1, 257, dtype=np.uint64)
 
 #: Word bytes: everything but ASCII blanks (space, tab, newline, VT, FF, CR).
 NOT_BLANK = np.ones(256, dtype=bool)
@@ -47,16 +47,29 @@ def seeded(seed: int) -> np.uint64:
     return mix(np.array([seed & (2**64 - 1)], dtype=np.uint64))[0]
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _R, dtype=np.uint64), np.full(n, _R_INVERSE, dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+_STEP = 1 << 10
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(max(1 << (n + 1).bit_length(), SLICE_BYTES << 1))
-    return up[: n + 1], down[: n + 1]
+def _short(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def powers(n: int, base: int = _R) -> np.ndarray:
+    """The powers of the base up to n - 1, as products of two short tables."""
+    return np.multiply.outer(_short(pow(base, _STEP, 1 << 64), n // _STEP + 1), _short(base, _STEP)).ravel()[:n]
+
+
+def inverse_powers(at: np.ndarray) -> np.ndarray:
+    """The base's inverse to the power of each place."""
+    if not len(at):
+        return np.zeros(0, dtype=np.uint64)
+    far = _short(pow(_R_INVERSE, _STEP, 1 << 64), (int(at.max()) >> 10) + 1)
+    return far[at >> 10] * _NEAR[at & (_STEP - 1)]
+
+
+_NEAR = _short(_R_INVERSE, _STEP)
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -82,16 +95,15 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.n
 def prefix_sums(data: np.ndarray, fold: np.ndarray = SAME) -> np.ndarray:
     """Sums from which ``span_hashes`` takes the hash of any span of the bytes."""
     out = np.zeros(len(data) + 1, dtype=np.uint64)
-    terms = fold[data].astype(np.uint64)
-    terms += np.uint64(1)
-    terms *= powers(len(data))[0][: len(data)]
+    terms = powers(len(data))
+    terms *= _NEXT[fold][data]
     np.cumsum(terms, out=out[1:])
     return out
 
 
 def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span [start, end): equal bytes, equal hash."""
-    h = (sums[end] - sums[start]) * powers(len(sums))[1][start]
+    h = (sums[end] - sums[start]) * inverse_powers(start)
     return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
