@@ -39,6 +39,9 @@ def test_runs_are_never_made_up(spark):
     got = {r.identity: (r.state, r.created_seq) for r in runs.runs(log).collect()}
     assert got == {"a": ("activated", 2), "c": ("unidentified", 7)}
     assert {r.event_type: r.n for r in runs.skipped(log).collect()} == {"movement": 2}
+    rows = {r.identity: r for r in runs.runs(log).collect()}
+    assert rows["a"].n_events == 3 and rows["a"].signalling_id == "1A01"  # the second activation has no effect
+    assert (rows["c"].signalling_id, rows["c"].activated_at, rows["c"].train_uid, rows["c"].n_events) == (None, None, None, 1)
 
 
 def test_identity_changes_follow_chains(spark):
@@ -65,6 +68,9 @@ def test_resolution_scores_and_continuity(spark):
     occupied = scored.select("occupancy_id").distinct().unionByName(spark.createDataFrame([(5,)], "occupancy_id long"))
     plain = {r.occupancy_id: (r.status, r.run_id) for r in resolver.decide(occupied, scored).collect()}
     assert plain == {1: ("matched", "r1"), 2: ("ambiguous", None), 3: ("ambiguous", None), 4: ("unmatched", None), 5: ("unmatched", None)}
+    again = [(1, "Z", "1", "1A01", T0, "r1", early, 65), (2, "Z", "2", "1A01", T0 + timedelta(minutes=3), "r1", early, 40), (2, "Z", "2", "1A01", T0 + timedelta(minutes=3), "r2", early + timedelta(minutes=1), 40)]
+    fresher = {r.occupancy_id: (r.status, r.score) for r in resolver.decide_in_order(spark.createDataFrame(again, schema)).collect()}
+    assert fresher == {1: ("matched", 65), 2: ("ambiguous", 40)}  # another candidate began later than the run that would be supported
     chained = {r.occupancy_id: (r.status, r.score) for r in resolver.decide_in_order(scored).collect()}
     assert chained == {1: ("matched", 65), 2: ("matched", 70), 3: ("ambiguous", 40), 4: ("unmatched", 0)}
 
@@ -86,6 +92,9 @@ def test_upserts_and_reconciliation(spark):
     old = spark.createDataFrame([("a", 1, 1), ("b", 1, 1)], "k string, v int, seq int")
     new = spark.createDataFrame([("b", 2, 5), ("b", 3, 6), (None, 9, 7), ("", 8, 8)], "k string, v int, seq int")
     assert sorted((r.k or "", r.v) for r in tables.upsert(old, new, ["k"], "seq").collect()) == [("", 8), ("a", 1), ("b", 3)]
+    assert sorted((r.k or "", r.v) for r in tables.insert_new(old.unionByName(new.where("seq = 7")), new.where("seq >= 6").unionByName(spark.createDataFrame([("c", 1, 1)], new.schema)), ["k"]).collect()) == [("c", 1)]
+    left = spark.createDataFrame([("m", 1, "a"), ("m", 1, "b"), ("n", 1, "a")], "map_id string, id int, v string")
+    assert sorted(tuple(r) for r in tables.diff(left, left.where("not (map_id = 'm' and v = 'b')"), ["map_id", "id"]).collect()) == [("m", 1, "modified")]
     want = spark.createDataFrame([("1", "x"), ("2", "y"), ("3", "z")], "object_key string, sha256 string")
     have = spark.createDataFrame([("1", "x"), ("2", "?"), ("4", "w")], "object_key string, sha256 string")
     assert {r.object_key: r.state for r in tables.reconcile(want, have).collect()} == {"1": "ok", "2": "corrupt", "3": "missing", "4": "orphan"}
@@ -93,8 +102,13 @@ def test_upserts_and_reconciliation(spark):
 
 def test_texts(spark):
     one = spark.range(1)
-    shown = [one.select(text.shown_time(F.lit(t))).first()[0] for t in ("1005", "1005H", "9")]
-    assert shown == ["10:05", "10:05½", "9"] and one.select(text.shown_time(F.lit(None).cast("string"))).first()[0] == "—"
+    shown = [one.select(text.shown_time(F.lit(t))).first()[0] for t in ("1005", "1005H", "9", "", "930H")]
+    assert shown == ["10:05", "10:05½", "9", "—", "930H"]
+    places = [one.select(text.shown_location(F.lit(t).cast("string"), F.lit(n).cast("string"))).first()[0] for t, n in (("AB", "Abc"), ("AB", ""), ("AB", None), (None, "Abc"))]
+    assert places == ["Abc (AB)", "AB", "AB", "—"]
+    report = one.select(*text.movement_report(F.lit('{"body": {"variation_status": "LATE", "timetable_variation": "05", "platform": " 4", "event_type": "ARRIVAL", "loc_stanox": "123"}}'))).first()
+    assert tuple(report) == ("LATE", "5", " 4", "ARRIVAL", "123")
+    assert one.select(text.shown_time(F.lit(None).cast("string"))).first()[0] == "—"
     assert one.select(text.activity_codes(F.lit("TBRMA"))).first()[0] == ["TB", "RM", "A"]
     kinds = [one.select(text.location_type(F.lit(c), F.lit(i), F.lit(3))).first()[0] for c, i in (("LO", 1), ("lt", 0), ("PP", 0), (None, 0), (None, 1), ("", 2))]
     assert kinds == ["origin", "destination", "pass", "origin", "intermediate", "destination"]
@@ -141,7 +155,13 @@ def test_live_state(spark):
     deltas = spark.createDataFrame([("m", "e1", None, 6), ("m", "e2", "2B02", 7), ("m", "e2", "old", 4), ("m", "e9", "x", 8)], snapshot.schema)
     folded = live.folded(snapshot, deltas)
     assert {r.element_id: r.descr for r in folded.collect()} == {"e1": None, "e2": "2B02"}
-    assert {(r.element_id, r.message) for r in live.poll_deltas(snapshot, folded).collect()} == {("e1", "berth.cleared"), ("e2", "berth.updated")}
+    assert {(r.element_id, r.message, r.sequence) for r in live.poll_deltas(snapshot, folded).collect()} == {("e1", "berth.cleared", 6), ("e2", "berth.updated", 7)}
+    polled = "slug string, element_id string, descr string, entered_at timestamp, sequence long"
+    before = spark.createDataFrame([("m", "e1", "1A01", T0, 5), ("m", "e2", "2B02", T0, 7)], polled)
+    now = spark.createDataFrame([("m", "e0", None, None, 0), ("m", "e1", "1A01", T0 + timedelta(minutes=9), 30), ("m", "e2", "2B02", T0, 7), ("m", "e3", "3C03", T0, 6)], polled)
+    assert [tuple(r) for r in live.poll_deltas(before, now).orderBy("sequence").collect()] == [
+        ("m", "e0", "berth.cleared", None, 8), ("m", "e1", "berth.updated", "1A01", 30), ("m", "e3", "berth.updated", "3C03", 31),
+    ]
     server = spark.createDataFrame([("m", 2, 9)], "slug string, version int, sequence long")
     clients = spark.createDataFrame([("m", 2, 9), ("m", 1, 5), ("m", 2, 12)], server.schema)
     assert live.needs_resync(clients, server).count() == 2

@@ -66,7 +66,7 @@ def trust_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") + 1).alias("seq"),
         F.col("ts").alias("event_at"),
         F.col("user_id").alias("identity"),
-        kinds[F.col("event_type")].alias("event_type"),
+        F.when((F.col("event_type") == "view") & (F.col("k") % 6 == 0), "unidentified").otherwise(kinds[F.col("event_type")]).alias("event_type"),
         F.to_date(F.col("ts") - F.expr("INTERVAL 3 HOURS")).alias("service_date"),
         headcode(F.col("user_id")).alias("signalling_id"),
         F.concat(F.lit("U"), (F.col("user_id") % 200).cast("string")).alias("train_uid"),
@@ -121,8 +121,8 @@ def smart_steps(spark: SparkSession) -> DataFrame:
 
 
 def map_bindings(spark: SparkSession) -> DataFrame:
-    """(slug, element_id, td_area, berth): two maps over some of the berths."""
+    """(slug, element_id, td_area, berth): two maps over some of the berths, with an area that sends nothing."""
     cell = F.col("id")
     area, berth = F.concat(F.lit("A"), F.floor(cell / 12).cast("string")), _four(cell % 12)
-    rows = spark.range(60).select(F.when(cell % 2 == 0, "north").otherwise("south").alias("slug"), F.concat(F.lit("e-"), area, F.lit("-"), berth).alias("element_id"), area.alias("td_area"), berth.alias("berth"))
+    rows = spark.range(72).select(F.when(cell % 2 == 0, "north").otherwise("south").alias("slug"), F.concat(F.lit("e-"), area, F.lit("-"), berth).alias("element_id"), area.alias("td_area"), berth.alias("berth"))
     return rows.where(F.col("berth") <= "0008")

@@ -34,24 +34,25 @@ def location_type(raw: Column, index: Column, total: Column) -> Column:
 
 def shown_time(raw: Column) -> Column:
     """``HHMM`` or ``HHMMH`` as ``HH:MM`` with a half minute; a dash without a time, shorter texts as they are."""
-    half = F.when(F.substring(raw, 5, 1) == "H", "½").otherwise("")
-    return F.when(raw.isNull(), "—").when(F.length(raw) < 4, raw).otherwise(F.concat(F.substring(raw, 1, 2), F.lit(":"), F.substring(raw, 3, 2), half))
+    half = F.when(raw.endswith("H"), "½").otherwise("")
+    digits = F.length(F.regexp_replace(raw, "H$", ""))
+    return F.when(nonempty(raw).isNull(), "—").when(digits < 4, raw).otherwise(F.concat(F.substring(raw, 1, 2), F.lit(":"), F.substring(raw, 3, 2), half))
 
 
 def shown_location(tiploc: Column, name: Column) -> Column:
-    return F.when(name.isNull(), tiploc).otherwise(F.concat(name, F.lit(" ("), tiploc, F.lit(")")))
+    return F.when(nonempty(tiploc).isNull(), "—").when(nonempty(name).isNull(), tiploc).otherwise(F.concat(name, F.lit(" ("), tiploc, F.lit(")")))
 
 
 # The variation statuses that are understood.
 VARIATIONS = ("ON TIME", "EARLY", "LATE", "OFF ROUTE")
 
 
-def movement_report(payload: Column) -> tuple[Column, Column, Column]:
-    """(status, minutes, platform) of a movement's JSON; minutes only if they are digits."""
-    status = F.get_json_object(payload, "$.body.variation_status")
-    minutes = F.get_json_object(payload, "$.body.timetable_variation")
-    platform = nonempty(F.trim(F.get_json_object(payload, "$.body.platform")))
-    return F.when(status.isin(*VARIATIONS), status), F.when(minutes.rlike("^[0-9]+$"), minutes), platform
+def movement_report(payload: Column) -> tuple[Column, Column, Column, Column, Column]:
+    """(status, minutes, platform, event type, stanox) of a movement's JSON; minutes only if they are digits, without leading zeros."""
+    field = lambda name: nonempty(F.get_json_object(payload, f"$.body.{name}"))
+    status, minutes = field("variation_status"), field("timetable_variation")
+    minutes = F.when(minutes.rlike("^[0-9]+$"), F.regexp_replace(minutes, "^0+(?=[0-9])", ""))
+    return F.when(status.isin(*VARIATIONS), status), minutes, field("platform"), field("event_type"), field("loc_stanox")
 
 
 def running_indication(status: Column, minutes: Column, fallback: Column) -> Column:

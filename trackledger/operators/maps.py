@@ -144,12 +144,12 @@ def element_counts(doc: Document, observed: DataFrame) -> DataFrame:
 
 
 def changes(before: Document, after: Document) -> DataFrame:
-    """(part, id, change) between two versions of a document, by id."""
+    """(map_id, part, id, change) between two versions of documents, by map and id."""
     out = None
     for part in ("elements", "bindings", "layers"):
-        found = diff(getattr(before, part).drop("pos", "map_id"), getattr(after, part).drop("pos", "map_id"), "id").withColumn("part", F.lit(part))
+        found = diff(getattr(before, part).drop("pos"), getattr(after, part).drop("pos"), ["map_id", "id"]).withColumn("part", F.lit(part))
         out = found if out is None else out.unionByName(found)
-    return out.select("part", "id", "change")
+    return out.select("map_id", "part", "id", "change")
 
 
 def publish(versions: DataFrame, slug: str, document: str, effective_from: str, spark: SparkSession) -> DataFrame:

@@ -45,7 +45,8 @@ def candidates(occupancies: DataFrame, runs: DataFrame, links: DataFrame, calls:
     pairs = opened.join(linked, ["descr", "service_date"])
     berths = smart.where(F.col("stanox").isNotNull()).select("td_area", F.col("to_berth").alias("berth"), "stanox").distinct()
     at = calls.where(F.col("stanox").isNotNull()).join(matched.select("schedule_id").distinct(), "schedule_id", "left_semi").select("schedule_id", "stanox").distinct()
-    touching = at.join(berths, "stanox").select("schedule_id", "td_area", "berth").distinct().withColumn("_smart", F.lit(True))
+    touching = pairs.where(F.col("schedule_id").isNotNull()).select("schedule_id", "td_area", "berth").distinct().join(berths, ["td_area", "berth"])
+    touching = touching.join(at, ["schedule_id", "stanox"], "left_semi").select("schedule_id", "td_area", "berth").distinct().withColumn("_smart", F.lit(True))
     pairs = pairs.join(touching, ["schedule_id", "td_area", "berth"], "left")
     after = F.col("entered_at").between(F.col("activated_at"), F.col("activated_at") + F.expr(f"INTERVAL {MAX_JOURNEY_HOURS} HOURS"))
     total, reasons = score({"schedule_linked": F.col("schedule_id").isNotNull(), "temporally_plausible": after, "smart_stanox": F.coalesce("_smart", F.lit(False))})
@@ -82,7 +83,7 @@ def decide_in_order(scored: DataFrame, minutes: int = CONTINUITY_MINUTES) -> Dat
 
     Each decision depends on the ones before it, so the candidates of a (description, area)
     stream through one task in order of time; only the last match is held.  Continuity
-    yields to a run activated after that match.
+    yields when another candidate was activated later than the run it would support.
     """
     window = pd.Timedelta(minutes=minutes)
     weight = WEIGHTS["recent_continuity"]
@@ -98,7 +99,8 @@ def decide_in_order(scored: DataFrame, minutes: int = CONTINUITY_MINUTES) -> Dat
                 if key != (descr, area):
                     key, last_run, last_at = (descr, area), None, None
                 near = last_run is not None and last_at < at <= last_at + window
-                fresher = near and any(c["activated_at"] is not None and last_at < pd.Timestamp(c["activated_at"]) <= at for c in cands)
+                began = next((c["activated_at"] for c in cands if c["run_id"] == last_run), None) if near else None
+                fresher = began is not None and any(c["run_id"] != last_run and c["activated_at"] is not None and c["activated_at"] > began for c in cands)
                 scores = [c["score"] + weight * (near and not fresher and c["run_id"] == last_run) for c in cands]
                 top = max(scores)
                 winners = [c["run_id"] for c, s in zip(cands, scores, strict=True) if s == top]

@@ -1,13 +1,14 @@
 """Train runs from activation, movement and lifecycle messages, in order of arrival.
 
 A run exists from the first message that creates it for (identity, service date); later
-messages touch it, messages before it are skipped and never make one up.  Everything but a
-change of identity is a window over the messages of one run.
+messages touch it, messages before it are skipped and never make one up, and a repeated
+activation has no effect.  A run that an unidentified message creates has no signalling id,
+train or time of activation.  Everything but a change of identity is a window over the messages of one run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackledger.session import kept
@@ -21,20 +22,25 @@ def _marked(events: DataFrame) -> DataFrame:
     return events.withColumn("created_seq", created)
 
 
+def _again() -> Column:
+    return (F.col("event_type") == "activation") & (F.col("seq") > F.col("created_seq"))
+
+
 def runs(events: DataFrame) -> DataFrame:
     """(run_id, identity, service_date, signalling_id, train_uid, state, created_seq, activated_at, last_event_at, n_events)."""
-    own = _marked(events).where(F.col("seq") >= F.col("created_seq"))
+    own = _marked(events).where(F.col("seq") >= F.col("created_seq")).where(~_again())
+    activated = lambda c: F.min(F.when((F.col("seq") == F.col("created_seq")) & (F.col("event_type") == "activation"), F.col(c))).alias(c)
     state = F.max_by(
         F.when(F.col("event_type") == "cancellation", "cancelled").when(F.col("event_type") == "reinstatement", "activated").otherwise(F.when(F.col("event_type") == "unidentified", "unidentified").otherwise("activated")),
         F.when(F.col("event_type").isin("cancellation", "reinstatement") | (F.col("seq") == F.col("created_seq")), F.col("seq")),
     )
     return own.groupBy(*KEY).agg(
         F.concat_ws("|", F.col("identity").cast("string"), F.col("service_date").cast("string")).alias("run_id"),
-        F.min_by("signalling_id", "seq").alias("signalling_id"),
-        F.min_by("train_uid", "seq").alias("train_uid"),
+        activated("signalling_id"),
+        activated("train_uid"),
         state.alias("state"),
         F.min("created_seq").alias("created_seq"),
-        F.min_by("event_at", "seq").alias("activated_at"),
+        activated("event_at").alias("activated_at"),
         F.max_by("event_at", "seq").alias("last_event_at"),
         F.count("*").alias("n_events"),
     )
@@ -43,8 +49,7 @@ def runs(events: DataFrame) -> DataFrame:
 def run_events(events: DataFrame) -> DataFrame:
     """(seq, event_at, identity, service_date, event_type) that belong to a run: a repeated activation does not."""
     own = _marked(events).where(F.col("seq") >= F.col("created_seq"))
-    again = (F.col("event_type") == "activation") & (F.col("seq") > F.col("created_seq"))
-    return own.where(~again).select("seq", "event_at", *KEY, "event_type").dropDuplicates(["seq"])
+    return own.where(~_again()).select("seq", "event_at", *KEY, "event_type").dropDuplicates(["seq"])
 
 
 def skipped(events: DataFrame) -> DataFrame:

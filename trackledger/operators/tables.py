@@ -11,8 +11,11 @@ def _key(columns: list[str]) -> list[Column]:
 
 
 def insert_new(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The new rows whose key does not exist yet, one per key."""
-    return new.dropDuplicates(keys).join(existing.select(*keys).distinct(), keys, "left_anti")
+    """The new rows whose key does not exist yet, one per key; a null in a key counts as empty."""
+    own = [f"_k{i}" for i in range(len(keys))]
+    named = lambda df: [k.alias(n) for k, n in zip(_key(keys), own, strict=True)]
+    firsts = new.select("*", *named(new)).dropDuplicates(own)
+    return firsts.join(existing.select(*named(existing)).distinct(), own, "left_anti").select(*new.columns)
 
 
 def last_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -43,14 +46,17 @@ def duplicate_keys(rows: DataFrame, keys: list[str], allowed: str | None = None)
     return counted.where((F.col("n") > 1) & ~F.coalesce("_a", F.lit(False))).drop("_a")
 
 
-def diff(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """(key, change): added, removed or modified rows between two snapshots."""
+def diff(left: DataFrame, right: DataFrame, key: str | list[str]) -> DataFrame:
+    """(key, change): added, removed or modified rows between two snapshots; rows that share a key are compared together."""
+    keys = [key] if isinstance(key, str) else key
+
     def packed(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col(key), F.to_json(F.struct(*sorted(c for c in df.columns if c != key)), {"ignoreNullFields": "false"}).alias(name))
+        row = F.to_json(F.struct(*sorted(c for c in df.columns if c not in keys)), {"ignoreNullFields": "false"})
+        return df.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias(name))
 
-    both = packed(left, "_l").join(packed(right, "_r"), key, "full_outer")
+    both = packed(left, "_l").join(packed(right, "_r"), keys, "full_outer")
     change = F.when(F.col("_l").isNull(), "added").when(F.col("_r").isNull(), "removed").when(F.col("_l") != F.col("_r"), "modified")
-    return both.select(key, change.alias("change")).where(F.col("change").isNotNull())
+    return both.select(*keys, change.alias("change")).where(F.col("change").isNotNull())
 
 
 def reconcile(recorded: DataFrame, stored: DataFrame, key: str = "object_key", digest: str = "sha256") -> DataFrame:

@@ -132,8 +132,8 @@ def s_01_normalized_times(spark, d):
 def s_07_s_08_running(spark, d):
     k = F.get_json_object("props", "$.k").cast("int")
     status = F.when(k % 4 == 0, "ON TIME").when(k % 4 == 1, "EARLY").when(k % 4 == 2, "LATE").otherwise("OFF ROUTE")
-    payload = F.to_json(F.struct(F.struct(status.alias("variation_status"), F.when(k % 3 == 0, "?").otherwise(k.cast("string")).alias("timetable_variation")).alias("body")))
-    found, minutes, _ = text.movement_report(payload)
+    payload = F.to_json(F.struct(F.struct(status.alias("variation_status"), F.when(k % 3 == 0, "?").otherwise(F.lpad(k.cast("string"), 3, "0")).alias("timetable_variation")).alias("body")))
+    found, minutes, *_ = text.movement_report(payload)
     return A.table(spark, d, "events").select("event_id", text.running_indication(found, minutes, F.lit(None).cast("string")).alias("shown"))
 
 
@@ -156,9 +156,11 @@ def joi_06_recent_resolutions(spark, d):
     return resolver.decide(occ, scored).join(near.select("occupancy_id", "td_area", "berth"), "occupancy_id").select("occupancy_id", "status", "td_area", "berth")
 
 
-@query("bind sch", "SELECT b.slug, b.element_id, v.schedule_id AS version FROM bind b JOIN (SELECT CASE WHEN schedule_id%2=0 THEN 'north' ELSE 'south' END AS slug, schedule_id FROM sch WHERE schedule_id<=40 AND days_run IS NULL) v USING (slug)")
+@query("bind sch", "SELECT b.slug, b.element_id, v.schedule_id AS version FROM bind b JOIN (SELECT CASE WHEN schedule_id%2=0 THEN 'north' ELSE 'south' END AS slug, max(schedule_id) AS schedule_id FROM sch GROUP BY 1) v USING (slug)")
 def joi_10_open_versions(spark, d):
-    versions = A.schedules(spark, d).where("schedule_id <= 40").select(F.when(F.col("schedule_id") % 2 == 0, "north").otherwise("south").alias("slug"), F.col("schedule_id").alias("version"), F.col("days_run").alias("effective_to"))
+    versions = A.schedules(spark, d).select(F.when(F.col("schedule_id") % 2 == 0, "north").otherwise("south").alias("slug"), F.col("schedule_id").alias("version"))
+    last = versions.groupBy("slug").agg(F.max("version").alias("last"))  # every version but the last ends where the next begins
+    versions = versions.join(last, "slug").withColumn("effective_to", F.when(F.col("version") < F.col("last"), F.col("version") + 1))
     return A.map_bindings(spark).join(versions.where("effective_to is null"), "slug").select("slug", "element_id", "version")
 
 
@@ -200,7 +202,7 @@ def joi_20_lineage(spark, d):
 _ELEM = """elem AS (SELECT c_nationkey AS map_id, c_custkey AS pos, 'e'||CAST(c_custkey%400 AS VARCHAR) AS id, CASE c_custkey%6 WHEN 0 THEN 'trackPath' WHEN 1 THEN 'platform' WHEN 2 THEN 'signal' WHEN 3 THEN 'label' WHEN 4 THEN 'boundary' ELSE 'berth' END AS type,
   'l'||CAST(c_custkey%4 AS VARCHAR) AS layer_id, c_custkey%7 AS z, CAST(c_custkey%101 AS DOUBLE) AS x, CAST(c_custkey%53 AS DOUBLE) AS y FROM customer),
 lay AS (SELECT n_nationkey AS map_id, i AS pos, 'l'||CAST(i AS VARCHAR) AS id, 3-i AS ord FROM nation, (SELECT unnest(range(3)) AS i)),
-bnd AS (SELECT map_id, pos, 'b'||CAST(pos AS VARCHAR) AS id, id AS element_id, CASE WHEN pos%5=0 THEN 'tdSBit' ELSE 'tdBerth' END AS type, 'A'||CAST(pos%5 AS VARCHAR) AS td_area, lpad(CAST(pos%12 AS VARCHAR),4,'0') AS berth, pos%13=0 AS allow_duplicate FROM elem WHERE type='berth' AND pos%4<>1),
+bnd AS (SELECT map_id, pos, 'b'||CAST(pos AS VARCHAR) AS id, id AS element_id, CASE WHEN pos%5=0 THEN 'tdSBit' ELSE 'tdBerth' END AS type, 'A'||CAST(pos%5 AS VARCHAR) AS td_area, lpad(CAST(pos%14 AS VARCHAR),4,'0') AS berth, pos%13=0 AS allow_duplicate FROM elem WHERE type='berth' AND pos%4<>1),
 nod AS (SELECT map_id, pos, id FROM elem WHERE pos%3=0), edg AS (SELECT map_id, pos, 'g'||CAST(pos AS VARCHAR) AS id, id AS from_node, 'e'||CAST((pos+3)%400 AS VARCHAR) AS to_node FROM elem WHERE pos%3=0)"""
 
 
@@ -218,7 +220,7 @@ def _document(spark, d) -> maps.Document:
     pos = F.col("pos")
     bindings = elements.where("type = 'berth' and pos % 4 <> 1").select(
         "map_id", "pos", F.concat(F.lit("b"), pos.cast("string")).alias("id"), F.col("id").alias("element_id"), F.when(pos % 5 == 0, "tdSBit").otherwise("tdBerth").alias("type"),
-        F.concat(F.lit("A"), (pos % 5).cast("string")).alias("td_area"), F.lpad((pos % 12).cast("string"), 4, "0").alias("berth"), F.lit("0").alias("address"), F.lit(1).alias("bit"), (pos % 13 == 0).alias("allow_duplicate"),
+        F.concat(F.lit("A"), (pos % 5).cast("string")).alias("td_area"), F.lpad((pos % 14).cast("string"), 4, "0").alias("berth"), F.lit("0").alias("address"), F.lit(1).alias("bit"), (pos % 13 == 0).alias("allow_duplicate"),
     )
     nodes = elements.where("pos % 3 = 0").select("map_id", "pos", "id")
     edges = nodes.select("map_id", "pos", F.concat(F.lit("g"), pos.cast("string")).alias("id"), F.col("id").alias("from_node"), F.concat(F.lit("e"), ((pos + 3) % 400).cast("string")).alias("to_node"))
@@ -236,9 +238,9 @@ def doc_02_issues(spark, d):
     return maps.issues(_document(spark, d)).groupBy("map_id", "code").agg(F.count("*").alias("n"))
 
 
-@query("td", f"""SELECT map_id, element_id FROM (WITH {_ELEM} SELECT b.* FROM bnd b WHERE b.type='tdBerth') b WHERE (td_area, berth) NOT IN (SELECT td_area, to_berth FROM td WHERE seq<=60)""")
+@query("td", f"""SELECT map_id, element_id FROM (WITH {_ELEM} SELECT b.* FROM bnd b WHERE b.type='tdBerth') b WHERE (td_area, berth) NOT IN (SELECT td_area, to_berth FROM td)""")
 def doc_03_unobserved_bindings(spark, d):
-    seen = A.td_events(spark, d).where("seq <= 60").select("td_area", F.col("to_berth").alias("berth"))
+    seen = A.td_events(spark, d).select("td_area", F.col("to_berth").alias("berth"))
     none = spark.createDataFrame([("elsewhere",)], "slug string")
     return maps.warnings(_document(spark, d), none, seen).select("map_id", "element_id")
 
@@ -266,11 +268,11 @@ def srt_08_paint_order(spark, d):
     return maps.painted(_document(spark, d)).select("map_id", "pos", key.alias("paint_key"))
 
 
-@query("td", f"""SELECT map_id, n_elements, n_berths, n_bound, observed_percent FROM (WITH {_ELEM}, s AS (SELECT DISTINCT td_area, to_berth AS berth FROM td WHERE seq<=60)
+@query("td", f"""SELECT map_id, n_elements, n_berths, n_bound, observed_percent FROM (WITH {_ELEM}, s AS (SELECT DISTINCT td_area, to_berth AS berth FROM td)
   SELECT e.map_id, e.n_elements, e.n_berths, coalesce(b.n,0) AS n_bound, CASE WHEN coalesce(b.n,0)>0 THEN round(100.0*b.o/b.n) ELSE 0 END AS observed_percent FROM (SELECT map_id, count(*) AS n_elements, count(*) FILTER (WHERE type='berth') AS n_berths FROM elem GROUP BY 1) e
   LEFT JOIN (SELECT b.map_id, count(*) AS n, count(s.berth) AS o FROM bnd b LEFT JOIN s ON s.td_area=b.td_area AND s.berth=b.berth WHERE b.type='tdBerth' GROUP BY 1) b USING (map_id))""")
 def agg_09_element_counts(spark, d):
-    seen = A.td_events(spark, d).where("seq <= 60").select("td_area", F.col("to_berth").alias("berth"))
+    seen = A.td_events(spark, d).select("td_area", F.col("to_berth").alias("berth"))
     return maps.element_counts(_document(spark, d), seen)
 
 
@@ -281,9 +283,10 @@ def _stream(spark, d, rows, run, kind):
     """Runs a stream over the rows, the older half in one batch, and gives what it wrote."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     middle = rows.agg(F.avg("seq")).first()[0] or 0
+    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     for half in (F.col("seq") <= middle, F.col("seq") > middle):
-        rows.where(half).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        rows.where(half).repartition(files).write.mode("append").parquet(f"{folder}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
     sink = run(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
     sink.outputMode(kind).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out")
@@ -311,28 +314,35 @@ def str_11_ingest_windows(spark, d):
     return stats.select("feed_name", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
-def _snapshots(spark, d, last):
-    """A sequence counts two per event: what it clears, then what it fills."""
-    state = berths.current_state(A.td_events(spark, d).where(F.col("seq") <= last))
-    return A.map_bindings(spark).join(state, ["td_area", "berth"], "left").select("slug", "element_id", "descr", F.coalesce(F.col("source_seq") * 2 + 1, F.lit(0)).alias("sequence"))
+def _snapshots(spark, d, before_last_poll=False):
+    """The state now, or a poll interval before the last event; a sequence counts two per event: what it clears, then what it fills."""
+    td = A.td_events(spark, d)
+    if before_last_poll:
+        last = A.table(spark, d, "events").agg((F.max("ts") - F.expr(f"INTERVAL {POLL}")).alias("_until"))
+        td = td.join(F.broadcast(last), F.col("event_at") <= F.col("_until")).drop("_until")  # one row
+    entered = F.when(F.col("descr").isNotNull(), F.col("event_at")).alias("entered_at")
+    state = A.map_bindings(spark).join(berths.current_state(td), ["td_area", "berth"], "left")
+    return state.select("slug", "element_id", "descr", entered, F.coalesce(F.col("source_seq") * 2 + 1, F.lit(0)).alias("sequence"))
 
 
-def _snapshot_sql(events):
-    return upto(events, "bind cur", "SELECT b.slug, b.element_id, c.descr, coalesce(c.source_seq*2+1,0) AS sequence FROM bind b LEFT JOIN cur c USING (td_area, berth)")
+POLL = "1 DAY"
+_STATE = ("bind cur", "SELECT b.slug, b.element_id, c.descr, CASE WHEN c.descr IS NOT NULL THEN c.event_at END AS entered_at, coalesce(c.source_seq*2+1,0) AS sequence FROM bind b LEFT JOIN cur c USING (td_area, berth)")
+_NOW, _BEFORE = f"({over(*_STATE)})", upto(POLL, *_STATE)
 
 
-@query(sql=f"""SELECT n.slug, n.element_id, CASE WHEN n.descr IS NULL THEN 'berth.cleared' ELSE 'berth.updated' END AS message, n.descr, greatest(n.sequence, coalesce(o.sequence,0)+1) AS sequence
-  FROM {_snapshot_sql(4200)} n LEFT JOIN {_snapshot_sql(4000)} o USING (slug, element_id) WHERE n.descr IS DISTINCT FROM o.descr""")
+@query(sql=f"""WITH o AS (SELECT * FROM {_BEFORE}), d AS (SELECT n.*, row_number() OVER (PARTITION BY n.slug ORDER BY n.element_id) AS i, l.last FROM {_NOW} n LEFT JOIN o USING (slug, element_id)
+  JOIN (SELECT slug, max(sequence) AS last FROM o GROUP BY 1) l ON l.slug=n.slug WHERE n.descr IS DISTINCT FROM o.descr OR n.entered_at IS DISTINCT FROM o.entered_at)
+  SELECT slug, element_id, CASE WHEN descr IS NULL THEN 'berth.cleared' ELSE 'berth.updated' END AS message, descr, i+greatest(last, max(sequence-i) OVER (PARTITION BY slug ORDER BY i)) AS sequence FROM d""")
 def str_07_win_08_poll_deltas(spark, d):
-    return live.poll_deltas(_snapshots(spark, d, 4000), _snapshots(spark, d, 4200))
+    return live.poll_deltas(_snapshots(spark, d, before_last_poll=True), _snapshots(spark, d))
 
 
-@query("td bind", f"""SELECT s.slug, s.element_id, CASE WHEN x.sequence IS NULL THEN s.descr ELSE x.descr END AS descr, coalesce(x.sequence, s.sequence) AS sequence FROM {_snapshot_sql(4000)} s
+@query("td bind", f"""SELECT s.slug, s.element_id, CASE WHEN x.sequence IS NULL THEN s.descr ELSE x.descr END AS descr, coalesce(x.sequence, s.sequence) AS sequence FROM {_BEFORE} s
   LEFT JOIN (SELECT slug, element_id, descr, sequence FROM (SELECT b.slug, b.element_id, c.descr, c.seq*2+c.n AS sequence, row_number() OVER (PARTITION BY b.slug, b.element_id ORDER BY c.seq*2+c.n DESC) AS k
-  FROM {feeds._CHANGES} c JOIN bind b ON b.td_area=c.td_area AND b.berth=c.berth JOIN (SELECT slug, max(sequence) AS taken FROM {_snapshot_sql(4000)} GROUP BY slug) t ON t.slug=b.slug WHERE c.seq*2+c.n>t.taken) WHERE k=1) x USING (slug, element_id)""")
+  FROM {feeds._CHANGES} c JOIN bind b ON b.td_area=c.td_area AND b.berth=c.berth JOIN (SELECT slug, max(sequence) AS taken FROM {_BEFORE} GROUP BY slug) t ON t.slug=b.slug WHERE c.seq*2+c.n>t.taken) WHERE k=1) x USING (slug, element_id)""")
 def str_09_snapshot_and_deltas(spark, d):
     deltas = feeds.red_18_map_deltas(spark, d).select("slug", "element_id", "descr", (F.col("seq") * 2 + F.col("n")).alias("sequence"))
-    return live.folded(_snapshots(spark, d, 4000), deltas)
+    return live.folded(_snapshots(spark, d, before_last_poll=True), deltas)
 
 
 @query("sch", "SELECT train_uid, count(*) AS n FROM sch WHERE (train_uid, stp) NOT IN (SELECT train_uid, stp FROM sch WHERE schedule_id%4=0 AND stp='P') GROUP BY 1")

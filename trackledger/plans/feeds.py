@@ -368,10 +368,10 @@ def flt_04_optional_filters(spark, d):
     return paging.matching(berths.occupancies(A.td_events(spark, d)), td_area="A3", berth=None, entry_type="ca_step").select("occupancy_id", "descr")
 
 
-@query("td cur", "SELECT c.td_area, c.berth, c.descr FROM cur c WHERE (c.td_area, c.berth) IN (SELECT td_area, to_berth FROM td WHERE seq%97=0)")
+@query("td cur", "SELECT c.td_area, c.berth, c.descr FROM cur c WHERE (c.td_area, c.berth) IN (SELECT td_area, from_berth FROM td WHERE message_type='CB')")
 def flt_06_joi_01_wanted_berths(spark, d):
     td = A.td_events(spark, d)
-    wanted = td.where("seq % 97 = 0").select("td_area", F.col("to_berth").alias("berth"))
+    wanted = td.where("message_type = 'CB'").select("td_area", F.col("from_berth").alias("berth"))
     return berths.current_state(td).join(wanted, ["td_area", "berth"], "left_semi").select("td_area", "berth", "descr")
 
 
@@ -389,9 +389,9 @@ def joi_13_joi_21_deferred_links(spark, d):
     return own.select("run_id", "state").join(links.where("outcome <> 'matched'"), "run_id", "left_semi")
 
 
-@query("bind td", "SELECT b.slug, b.element_id FROM bind b WHERE NOT EXISTS (SELECT 1 FROM td t WHERE t.td_area=b.td_area AND t.to_berth=b.berth AND t.seq<=40)")
+@query("bind td", "SELECT b.slug, b.element_id FROM bind b WHERE NOT EXISTS (SELECT 1 FROM td t WHERE t.td_area=b.td_area AND t.to_berth=b.berth)")
 def joi_15_set_02_never_observed(spark, d):
-    seen = A.td_events(spark, d).where("seq <= 40").select("td_area", F.col("to_berth").alias("berth"))
+    seen = A.td_events(spark, d).select("td_area", F.col("to_berth").alias("berth"))
     return A.map_bindings(spark).join(seen, ["td_area", "berth"], "left_anti").select("slug", "element_id")
 
 
@@ -463,11 +463,11 @@ def snk_05_upsert(spark, d):
     return tables.upsert(s.where("schedule_id % 4 <> 0"), s.where("schedule_id % 4 = 0"), ["train_uid", "start_date"], "schedule_id")
 
 
-@query("sch", "SELECT train_uid, min(schedule_id) IS NOT NULL AS fresh FROM sch WHERE schedule_id%4=0 AND train_uid NOT IN (SELECT train_uid FROM sch WHERE schedule_id%4=1 AND schedule_id<2000) GROUP BY 1")
+@query("sch", "SELECT train_uid, start_date, min(schedule_id) IS NOT NULL AS fresh FROM sch WHERE schedule_id%4=0 AND (train_uid, start_date) NOT IN (SELECT train_uid, start_date FROM sch WHERE schedule_id%4=1) GROUP BY 1,2")
 def snk_04_insert_or_ignore(spark, d):
-    s = A.schedules(spark, d).select("train_uid", "schedule_id")
-    new = tables.insert_new(s.where("schedule_id % 4 = 1 and schedule_id < 2000"), s.where("schedule_id % 4 = 0"), ["train_uid"])
-    return new.select("train_uid", F.col("schedule_id").isNotNull().alias("fresh"))
+    s = A.schedules(spark, d).select("train_uid", "start_date", "schedule_id")
+    new = tables.insert_new(s.where("schedule_id % 4 = 1"), s.where("schedule_id % 4 = 0"), ["train_uid", "start_date"])
+    return new.select("train_uid", "start_date", F.col("schedule_id").isNotNull().alias("fresh"))
 
 
 @query("loc", "SELECT schedule_id, seq_no, tiploc FROM loc WHERE schedule_id%5<>0 UNION ALL SELECT schedule_id, seq_no, tiploc||'x' FROM loc WHERE schedule_id%5=0 AND seq_no<=2")

@@ -17,7 +17,7 @@ VIEWS = {
     "tr": (
         "ev",
         f"""SELECT event_id+1 AS seq, ts AS event_at, user_id AS identity,
-      CASE event_type WHEN 'signup' THEN 'activation' WHEN 'error' THEN 'cancellation' WHEN 'purchase' THEN 'reinstatement' ELSE 'movement' END AS event_type,
+      CASE WHEN event_type='signup' THEN 'activation' WHEN event_type='error' THEN 'cancellation' WHEN event_type='purchase' THEN 'reinstatement' WHEN event_type='view' AND k%6=0 THEN 'unidentified' ELSE 'movement' END AS event_type,
       CAST(ts - INTERVAL 3 HOUR AS DATE) AS service_date, {_HEAD} AS signalling_id, 'U'||CAST(user_id%200 AS VARCHAR) AS train_uid, value, k FROM ev""",
     ),
     "tch": (
@@ -44,14 +44,14 @@ VIEWS = {
         """SELECT td_area, berth, CASE WHEN exit_seq IS NULL THEN descr END AS descr, coalesce(left_at, entered_at) AS event_at,
       coalesce(exit_seq, occupancy_id) AS source_seq FROM (SELECT *, row_number() OVER (PARTITION BY td_area, berth ORDER BY occupancy_id DESC) AS n FROM occ) WHERE n=1""",
     ),
-    "marked": ("tr", "SELECT *, min(CASE WHEN event_type='activation' THEN seq END) OVER (PARTITION BY identity, service_date) AS created_seq FROM tr"),
+    "marked": ("tr", "SELECT *, min(CASE WHEN event_type IN ('activation','unidentified') THEN seq END) OVER (PARTITION BY identity, service_date) AS created_seq FROM tr"),
     "runs": (
         "marked",
-        """SELECT identity, service_date, CAST(identity AS VARCHAR)||'|'||CAST(service_date AS VARCHAR) AS run_id, min_by(signalling_id, seq) AS signalling_id,
-      min_by(train_uid, seq) AS train_uid,
-      max_by(CASE event_type WHEN 'cancellation' THEN 'cancelled' ELSE 'activated' END, seq) FILTER (WHERE event_type IN ('cancellation','reinstatement') OR seq=created_seq) AS state,
-      min(created_seq) AS created_seq, min_by(event_at, seq) AS activated_at, max_by(event_at, seq) AS last_event_at, count(*) AS n_events
-      FROM marked WHERE seq>=created_seq GROUP BY identity, service_date""",
+        """SELECT identity, service_date, CAST(identity AS VARCHAR)||'|'||CAST(service_date AS VARCHAR) AS run_id, min(CASE WHEN seq=created_seq AND event_type='activation' THEN signalling_id END) AS signalling_id,
+      min(CASE WHEN seq=created_seq AND event_type='activation' THEN train_uid END) AS train_uid,
+      max_by(CASE event_type WHEN 'cancellation' THEN 'cancelled' WHEN 'unidentified' THEN 'unidentified' ELSE 'activated' END, seq) FILTER (WHERE event_type IN ('cancellation','reinstatement') OR seq=created_seq) AS state,
+      min(created_seq) AS created_seq, min(CASE WHEN seq=created_seq AND event_type='activation' THEN event_at END) AS activated_at, max_by(event_at, seq) AS last_event_at, count(*) AS n_events
+      FROM marked WHERE seq>=created_seq AND NOT (event_type='activation' AND seq>created_seq) GROUP BY identity, service_date""",
     ),
     "sch": (
         "",
@@ -70,7 +70,7 @@ VIEWS = {
     "bind": (
         "",
         """SELECT CASE WHEN c%2=0 THEN 'north' ELSE 'south' END AS slug, 'e-A'||CAST(c//12 AS VARCHAR)||'-'||lpad(CAST(c%12 AS VARCHAR),4,'0') AS element_id,
-      'A'||CAST(c//12 AS VARCHAR) AS td_area, lpad(CAST(c%12 AS VARCHAR),4,'0') AS berth FROM (SELECT unnest(range(60)) AS c) WHERE c%12<=8""",
+      'A'||CAST(c//12 AS VARCHAR) AS td_area, lpad(CAST(c%12 AS VARCHAR),4,'0') AS berth FROM (SELECT unnest(range(72)) AS c) WHERE c%12<=8""",
     ),
     "lcand": (
         "runs schs",
@@ -101,9 +101,9 @@ VIEWS = {
 }
 
 
-def upto(events: int, views: str, select: str) -> str:
-    """The same over the first so many events alone, as a subquery."""
-    return "(" + over(views, select).replace("FROM events", f"FROM events WHERE event_id<{events}") + ")"
+def upto(interval: str, views: str, select: str) -> str:
+    """The same over the events up to an interval before the last one, as a subquery."""
+    return "(" + over(views, select).replace("FROM events", f"FROM events WHERE ts<=(SELECT max(ts) FROM events)-INTERVAL {interval}") + ")"
 
 
 def over(views: str, select: str) -> str:

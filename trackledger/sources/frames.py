@@ -9,6 +9,7 @@ kept as it came, and its hash names its content.
 from __future__ import annotations
 
 import gzip
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -35,7 +36,7 @@ def _inflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for body in batch.column("body").to_pylist():
             try:
                 texts.append(gzip.decompress(body).decode("utf-8", "replace"))
-            except (OSError, EOFError):
+            except (OSError, EOFError, zlib.error):
                 texts.append(None)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,14 +21,24 @@ def folded(snapshot: DataFrame, deltas: DataFrame) -> DataFrame:
 
 
 def poll_deltas(before: DataFrame, now: DataFrame) -> DataFrame:
-    """(slug, element_id, message, descr, sequence): what changed between two polls of the state.
+    """(slug, element_id, message, descr, sequence): what changed between two polls of (slug, element_id, descr, entered_at, sequence).
 
-    A change's sequence is what was observed, or one more than the last poll's if that is not higher.
+    An element changes with its description or the time of entry, so one left and entered
+    again by the same train counts, and so does an element's first row.  The changes of a map,
+    by element, get one rising sequence: what was observed, or one more than the one before if
+    that is not higher; it begins after the last poll's.  A map's elements are one partition.
     """
-    old = before.select("slug", "element_id", F.col("descr").alias("_descr"), F.col("sequence").alias("_sequence"))
-    both = now.join(old, ["slug", "element_id"], "left").where(~F.col("descr").eqNullSafe(F.col("_descr")))
+    entered = lambda df: F.col("entered_at") if "entered_at" in df.columns else F.lit(None).cast("timestamp_ntz")
+    old = before.select("slug", "element_id", F.col("descr").alias("_descr"), entered(before).alias("_entered"), F.lit(True).alias("_known"))
+    taken = before.groupBy("slug").agg(F.max("sequence").alias("_taken"))
+    both = now.withColumn("_now", entered(now)).join(old, ["slug", "element_id"], "left").join(taken, "slug", "left")
+    same = F.col("_known") & F.col("descr").eqNullSafe(F.col("_descr")) & F.col("_now").eqNullSafe(F.col("_entered"))
+    rows = both.where(~F.coalesce(same, F.lit(False)))
+    order = Window.partitionBy("slug").orderBy("element_id")
+    rows = rows.withColumn("_i", F.row_number().over(order))
+    ahead = F.max(F.col("sequence") - F.col("_i")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     message = F.when(F.col("descr").isNull(), "berth.cleared").otherwise("berth.updated")
-    return both.select("slug", "element_id", message.alias("message"), "descr", F.greatest(F.col("sequence"), F.coalesce("_sequence", F.lit(0)) + 1).alias("sequence"))
+    return rows.select("slug", "element_id", message.alias("message"), "descr", (F.col("_i") + F.greatest(F.coalesce("_taken", F.lit(0)), ahead)).alias("sequence"))
 
 
 def needs_resync(client: DataFrame, server: DataFrame) -> DataFrame:
