@@ -526,7 +526,7 @@ def test_ids_come_back_as_the_tokenizer_gives_them(spark, wide, empty, tmp_path)
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(WORD_BPE)
-    texts = [t or "" for t in odd_texts()] + ["it's 'test' don't x1y2 !!??. a.b,c ...'s", "a b c", "é ,́x q́", "ΣΑΣ Σ. ΑΣ", "𝟙𝟚 x²", "don’t “quote”", "a'b ''s' 've", "foo\x85bar \x1c y"]
+    texts = [t or "" for t in odd_texts()] + ["it's 'test' don't x1y2 !!??. a.b,c ...'s", "a b c", "é ,́x q́", "ΣΑΣ Σ. ΑΣ", "𝟙𝟚 x²", "don’t “quote”", "a'b ''s' 've", "foo\x85bar \x1c y", "end <|endoftext|> here", "<|startoftext|><|endoftext|>x", "<|ENDOFTEXT|> < |endoftext|>"]
     docs = spark.createDataFrame([(len(texts) - i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
     path = str(tmp_path / "ids")
     huffman.write_ids(docs, path, WORD_BPE, 2)
@@ -543,6 +543,23 @@ def test_ids_come_back_as_the_tokenizer_gives_them(spark, wide, empty, tmp_path)
     assert huffman.read_ids(spark, path + "-empty").count() == 0
 
 
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    texts = [t or "" for t in odd_texts()] + ["it's x1y2 !!", "<|endoftext|>"]
+    encoder, plain = huffman.Encoder(BYTE_BPE), Tokenizer.from_file(BYTE_BPE)
+    assert not encoder.cut and huffman.Encoder(WORD_BPE).cut
+    got = [np.frombuffer(raw, "<u4").tolist() for _, data, offsets in T.slices(pa.array(texts)) for raw in encoder.texts(data, offsets, 2)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+
+
+def test_many_empty_texts_fill_blocks(spark, tmp_path):
+    docs = spark.range(200_000).selectExpr("id AS doc_id", "if(id % 50000 = 7, 'some words here', '') AS text")
+    huffman.write_ids(docs, str(tmp_path / "ids"), WORD_BPE, 2)
+    got = huffman.read_ids(spark, str(tmp_path / "ids")).selectExpr("count(*) AS n", "sum(octet_length(ids) div 4) AS ids", "max(start) AS last").first()
+    assert (got.n, got.ids, got.last) == (200_000, 200_000 + 4 * 3, 200_000 + 4 * 3 - 1)
+
+
 def test_code_is_optimal_within_its_limit_and_decodes():
     rng = np.random.default_rng(7)
     counts = np.array([1, 1, 2, 3, 5, 8, 13, 21, 34, 55])

@@ -23,9 +23,12 @@ code; a null text is empty and has the end id alone.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -45,25 +48,65 @@ _WORDY = np.zeros(256, dtype=bool)
 _WORDY[48:58] = _WORDY[65:91] = _WORDY[97:123] = True
 
 
+# The normaliser and the split for which texts may be cut into chunks.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def may_be_cut(settings: dict) -> bool:
+    """Whether a tokenizer file provably never joins characters over the places where chunks are cut.
+
+    Its split keeps letters, single digits and signs apart and drops white space, so no token
+    goes over a blank or from an ASCII letter or digit to an ASCII sign (an apostrophe may
+    begin a contraction).  Normalising changes no ASCII character but to lower case.
+    """
+    normalizer, pre = settings.get("normalizer") or {}, settings.get("pre_tokenizer") or {}
+    split, *rest = pre.get("pretokenizers") or [{}]
+    return (
+        normalizer.get("type") == "Sequence" and normalizer.get("normalizers") == NORMALIZERS
+        and pre.get("type") == "Sequence" and split.get("pattern") == {"Regex": SPLIT} and split.get("behavior") == "Removed" and split.get("invert") is True
+        and [r.get("type") for r in rest] == ["ByteLevel"] and not rest[0].get("add_prefix_space") and not rest[0].get("use_regex")
+        and settings.get("post_processor") is None and not settings["model"].get("dropout")
+        and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in settings.get("added_tokens") or [])
+    )
+
+
 class Encoder:
-    """Ids of texts by way of their distinct chunks.
+    """Ids of texts as the tokenizer gives them, by way of their distinct chunks where it can be cut.
 
-    The tokenizer never joins characters over white space, nor an ASCII letter or digit
-    with a neighbouring ASCII sign other than an apostrophe; texts are cut there, each
-    distinct chunk is encoded once (lower-cased, as the tokenizer would), and the results
-    are put together again.  The tests compare this with encoding whole texts.
+    Where ``may_be_cut`` holds, texts are cut at blanks and between ASCII words and signs, each
+    distinct chunk is encoded once, and the results are put together again.  Texts that hold
+    an added token, and all texts of any other tokenizer, are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        settings = json.loads(Path(path).read_text(encoding="utf-8"))
+        self.cut = may_be_cut(settings)
+        added = [t["content"] for t in settings.get("added_tokens") or []]
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))).encode()) if added else None
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.plain = Tokenizer.from_file(path)  # for lower-case ASCII, which normalisation leaves as it is
-        self.plain.encode_special_tokens = True
         self.plain.normalizer = None
         self.forget()
 
+    def whole(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> list[np.ndarray]:
+        raw = data.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        return [np.array([*e.ids, end_id], dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def texts(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> list[bytes]:
+        """The ids of each text and the end id, as little-endian unsigned 32-bit integers."""
+        if not self.cut:
+            return [ids.astype("<u4").tobytes() for ids in self.whole(data, offsets, end_id)]
+        ids, bounds = self.encode(data, offsets, end_id)
+        raw = ids.astype("<u4").tobytes()
+        out = [raw[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for text in sorted({int(T.text_of(offsets, m.start())) for m in self.added.finditer(data.tobytes())} if self.added else ()):
+            out[text] = self.whole(data[offsets[text] : offsets[text + 1]], np.array([0, offsets[text + 1] - offsets[text]]), end_id)[0].astype("<u4").tobytes()
+        return out
+
     def forget(self) -> None:
         self.known: dict[int, int] = {}
         self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
@@ -135,9 +178,7 @@ def encode_column(text: Column, tokenizer_file: str, end_id: int) -> Column:
             _ENCODERS[tokenizer_file] = Encoder(tokenizer_file)
         out = []
         for _, data, offsets in T.slices(texts):
-            ids, bounds = _ENCODERS[tokenizer_file].encode(data, offsets, end_id)
-            raw = ids.astype("<u4").tobytes()
-            out += [raw[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            out += _ENCODERS[tokenizer_file].texts(data, offsets, end_id)
         return pa.array(out, pa.binary())
 
     return F.arrow_udf(encode, "binary")(F.coalesce(text, F.lit("")))
@@ -205,7 +246,8 @@ class Code:
         lanes = -(-docs // LANE)  # of each document
         place = np.arange(int(lanes.sum())) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         sizes = np.minimum(LANE, np.repeat(docs, lanes) - place * LANE)
-        out = np.zeros((len(at), LANE), dtype=np.uint32)
+        begin = np.cumsum(sizes) - sizes
+        out = np.zeros(int(sizes.sum()), dtype=np.uint32)
         lanes = np.argsort(-sizes, kind="stable")
         at, left = at[lanes], sizes[lanes]
         drop = np.uint64(64 - self.limit)
@@ -215,10 +257,9 @@ class Code:
             word = here >> 5
             window = (words[word] << np.uint64(32) | words[word + 1]) << (here & 31).astype(np.uint64)
             found = self.look_up[window >> drop]
-            out[lanes[:live], step] = self.symbols[found]
+            out[begin[lanes[:live]] + step] = self.symbols[found]
             at[:live] += self.lengths[found]
-        flat = out[np.arange(LANE) < sizes[:, None]]
-        return np.split(flat, np.cumsum([sum(own) for own in doc_sizes])[:-1])
+        return np.split(out, np.cumsum([sum(own) for own in doc_sizes])[:-1])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,25 +304,26 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sizes: list[int] = []
     payloads: list[bytes] = []
     checkpoints: list[np.ndarray] = []
-    filled = 0  # bytes
+    filled = total = 0  # bytes and ids
 
     def closed() -> pa.RecordBatch:
-        values = [[part], [block], [first], [names], [sizes], [sum(sizes)], [np.concatenate(checkpoints)], [b"".join(payloads)]]
+        values = [[part], [block], [first], [names], [sizes], [total], [np.concatenate(checkpoints)], [b"".join(payloads)]]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(kind), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], [f.split()[0] for f in _BLOCK.split(", ")])
 
     for batch in batches:
         kind = batch.schema.field("id").type
         for own, name, payload, n, starts in zip(*(batch.column(c).to_pylist() for c in ("part", "id", "payload", "n", "checkpoints")), strict=True):
-            if sizes and (own != part or sum(sizes) >= BLOCK_IDS):
+            if sizes and (own != part or total >= BLOCK_IDS):
                 yield closed()
-                block, first = block + 1, first + sum(sizes)
-                names, sizes, payloads, checkpoints, filled = [], [], [], [], 0
+                block, first = block + 1, first + total
+                names, sizes, payloads, checkpoints, filled, total = [], [], [], [], 0, 0
             if own != part:
                 part, block, first = own, 0, 0
             names.append(name), sizes.append(n), payloads.append(payload)
             checkpoints.append(np.array(starts, dtype=np.int64) + 8 * filled)
             filled += len(payload)
+            total += n
     if sizes:
         yield closed()
 
