@@ -12,8 +12,10 @@ words differ, wherever those lie (checked in the tests), so no overlap is missed
 Items under 10 words must occur unchanged; items without words match nothing.
 
 The benchmark is held in blocks of ``BLOCK_WORDS`` words at most (on average, by hash of
-the item), each broadcast in turn to a pass over the documents, so memory is bounded
-however large the benchmark is.  Documents are neither shuffled nor cut.
+the item), each broadcast in turn to a pass over the documents.  With several blocks, what
+a pass finds or keeps is written before the next block is made and the broadcast is given
+up, so memory is bounded however large the benchmark is.  Documents are neither shuffled nor
+cut.
 
 Null and empty texts match nothing; repeated rows are each reported; an item whose id is
 null takes part and is reported with a null id.
@@ -26,10 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackledger.llm import textops as T
+from trackledger.llm.store import written
 
 SEEDS = ((0, 1, 2, 5, 6), (0, 2, 3, 4, 5), (0, 1, 2, 7, 8))
 SHORTEST_TOLERANT = 10
@@ -134,9 +138,8 @@ def blocks(benchmark: DataFrame, id_column: str = "item_id", text: str = "text",
             yield block["id"].to_pylist(), prepare(lists.flatten().to_numpy().view(np.uint64), bounds)
 
 
-def overlap_column(docs: DataFrame, bench: Benchmark, text: str = "text"):
+def overlap_column(held: Broadcast, text: str = "text") -> Column:
     """Per text, the verified overlaps with the items of one block, the best window of each alignment."""
-    held = docs.sparkSession.sparkContext.broadcast(bench)
 
     def search(texts: pa.Array) -> pa.Array:
         bench, out = held.value, []
@@ -153,14 +156,16 @@ def overlap_column(docs: DataFrame, bench: Benchmark, text: str = "text"):
     return F.arrow_udf(search, _RESULT)(F.col(text))
 
 
-def overlapping(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def overlapping(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", most: int = BLOCK_WORDS) -> DataFrame:
     """(id, item_id, doc_word, item_word, window, matched): the best overlap of each document and item that overlap."""
-    spark, out = docs.sparkSession, None
+    spark, out, context = docs.sparkSession, None, docs.sparkSession.sparkContext
     item_type = benchmark.schema["item_id"].dataType.simpleString()
-    for ids, bench in blocks(benchmark):
-        hits = docs.select(F.col(id_column), F.explode(overlap_column(docs, bench, text)).alias("_o"))
+    for ids, bench in blocks(benchmark, most=most):
+        held = context.broadcast(bench)
+        hits = docs.select(F.col(id_column), F.explode(overlap_column(held, text)).alias("_o"))
         names = spark.createDataFrame(list(enumerate(ids)), f"item int, item_id {item_type}")
-        hits = hits.select(id_column, "_o.*").join(F.broadcast(names), "item").drop("item")  # one row per item of a bounded block
+        hits = written(hits.select(id_column, "_o.*").join(F.broadcast(names), "item").drop("item"), "overlaps")  # one row per item of a bounded block
+        held.destroy()
         out = hits if out is None else out.unionByName(hits)
     if out is None:
         return spark.createDataFrame([], f"{id_column} {docs.schema[id_column].dataType.simpleString()}, item_id {item_type}, doc_word int, item_word int, window int, matched int")
@@ -169,8 +174,13 @@ def overlapping(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id"
     return best.select(id_column, "item_id", (-F.col("_b.col3")).alias("doc_word"), (-F.col("_b.col4")).alias("item_word"), "_b.window", "_b.matched")
 
 
-def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", most: int = BLOCK_WORDS) -> DataFrame:
     """The documents that overlap with no item, all columns kept."""
-    for _, bench in blocks(benchmark):
-        docs = docs.where(F.size(overlap_column(docs, bench, text)) == 0)
+    held = None
+    for _, bench in blocks(benchmark, most=most):
+        if held:
+            docs = written(docs, "uncontaminated")
+            held.destroy()
+        held = docs.sparkSession.sparkContext.broadcast(bench)
+        docs = docs.where(F.size(overlap_column(held, text)) == 0)
     return docs
