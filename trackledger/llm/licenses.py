@@ -1,22 +1,25 @@
 """License scans with a positional index of rare tokens, in DataFrame functions alone.
 
 Texts are words: runs of ASCII letters (lower-cased), digits and non-ASCII characters.
-The index holds, for each template of ``TEMPLATES``, the places of its rarest words, rare
-by their document counts over the whole corpus.  A document's licence words are looked up;
-each gives the place where the template would begin, and places on which several words
-agree (``VOTES``, or all indexed words of a template with fewer) are verified: one of the
-template's mandatory phrases must stand there.  Verified labels carry the share of the
-template's words that are in place.
+The index holds, for each template of ``TEMPLATES``, the places of all its words, and how rare
+a word is by the texts of the whole corpus that have it.  Of a file's own words those of a
+template that are rarest are looked up, ``RAREST`` of them: where one stands in the file and
+in the template gives the place where the template would begin, and places on which several
+words agree (``VOTES``) are verified: all mandatory phrases of the template must stand there.
+A verified template gives its label, and the share of its words that are in place.
 
 Base labels come from fixed phrases (``PHRASES``) anywhere in the text; labels are both.
 
-Only the few words around a hit are shuffled, never texts.  Null and empty texts have no
-words and no labels.  Rows are scored one by one; equal rows have equal results, a null id
-is kept.  Extra columns are ignored.
+A file's words are looked up where they are, so neither texts nor words are shuffled; only the
+counts of the templates' words are, a row per word and task.  Files that lack a word of every
+template's mandatory phrases are not looked at further, since nothing could be verified.
+Null and empty texts have no words and no labels.  Rows are scored one by one; equal rows
+have equal results, a null id is kept.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,22 +28,88 @@ from pyspark.sql import functions as F
 # The phrases whose places are counted, with their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Short public licence notices (label, notice, mandatory phrases).
-TEMPLATES = (
-    ("mit", "released under the mit license", ("mit license",)),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted free of charge",)),
-    ("apache", "licensed under the apache license version 2 0", ("apache license version 2",)),
-    ("gpl", "licensed under the gnu general public license version 3", ("gnu general public license",)),
-    ("lgpl", "licensed under the gnu lesser general public license", ("lesser general public license",)),
-    ("mpl", "subject to the terms of the mozilla public license version 2 0", ("mozilla public license",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", ("permission to use copy modify and or distribute",)),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-    ("cc-by", "licensed under cc by 4 0", ("cc by 4",)),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
+# Public licence notices (label, notice, mandatory phrases).
+NOTICES = (
+    ("mit", "Released under the MIT License", ("MIT License",)),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", ("Permission is hereby granted, free of charge",)),
+    (
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+        associated documentation files (the "Software"), to deal in the Software without restriction, including
+        without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+        copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+        following conditions: The above copyright notice and this permission notice shall be included in all copies
+        or substantial portions of the Software.""",
+        ("Permission is hereby granted, free of charge", "shall be included in all copies or substantial portions"),
+    ),
+    ("apache", "Licensed under the Apache License, Version 2.0", ("Apache License, Version 2",)),
+    (
+        "apache",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+        compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+        Unless required by applicable law or agreed to in writing, software distributed under the License is
+        distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+        ("Apache License, Version 2", "you may not use this file except in compliance with the License"),
+    ),
+    ("gpl", "Licensed under the GNU General Public License, version 3", ("GNU General Public License",)),
+    (
+        "gpl",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+        General Public License as published by the Free Software Foundation, either version 3 of the License, or
+        (at your option) any later version.""",
+        ("GNU General Public License as published by the Free Software Foundation",),
+    ),
+    ("lgpl", "Licensed under the GNU Lesser General Public License", ("Lesser General Public License",)),
+    (
+        "lgpl",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser
+        General Public License as published by the Free Software Foundation; either version 2.1 of the License, or
+        (at your option) any later version.""",
+        ("GNU Lesser General Public License as published by the Free Software Foundation",),
+    ),
+    ("mpl", "Subject to the terms of the Mozilla Public License, version 2.0", ("Mozilla Public License",)),
+    (
+        "mpl",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
+        was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+        ("This Source Code Form is subject to the terms of the Mozilla Public License",),
+    ),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", ("Redistribution and use in source and binary forms",)),
+    (
+        "bsd",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+        the following conditions are met: 1. Redistributions of source code must retain the above copyright notice,
+        this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the
+        above copyright notice, this list of conditions and the following disclaimer in the documentation and/or
+        other materials provided with the distribution.""",
+        ("Redistribution and use in source and binary forms", "Redistributions of source code must retain the above copyright notice"),
+    ),
+    (
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
+        hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+        ("Permission to use, copy, modify, and/or distribute",),
+    ),
+    (
+        "unlicense",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,
+        for any purpose, commercial or non-commercial, and by any means.""",
+        ("free and unencumbered software",),
+    ),
+    ("cc-by", "Licensed under CC BY 4.0", ("CC BY 4",)),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0", ("CC BY-SA",)),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0", ("CC BY-NC",)),
 )
-#: Indexed words per template.
+
+
+def _plain(text: str) -> str:
+    return " ".join(re.findall("[a-z0-9]+", text.lower()))
+
+
+#: The notices and phrases as words.
+TEMPLATES = tuple((label, _plain(notice), tuple(_plain(p) for p in phrases)) for label, notice, phrases in NOTICES)
+#: Words of a template that are looked up in a file, and how many have to agree on a place.
 RAREST = 4
 VOTES = 2
 KELVIN, STAND_IN = "\u212a", "\u0138"  # the one character whose lower case would be an ASCII letter alone
@@ -64,32 +133,47 @@ def document_counts(words: DataFrame) -> dict[str, int]:
     return counts | {r["word"]: r["n"] for r in found.collect()}
 
 
-def rarest_words(counts: dict[str, int]) -> list[list[str]]:
-    """Of each template, its words of highest inverse document frequency among those that occur.
+def template_index(counts: dict[str, int]) -> Column:
+    """An array with a struct per template: its words, the rarest first with their places, and its mandatory phrases."""
+    entries = []
+    for label, notice, phrases in TEMPLATES:
+        words = notice.split()
+        places = {w: [k for k, x in enumerate(words) if x == w] for w in words}
+        ranked = [F.struct(F.lit(w).alias("w"), F.array(*map(F.lit, places[w])).alias("places")) for w in sorted(places, key=lambda w: (counts[w], w))]
+        known = []
+        for phrase in phrases:
+            phrase = phrase.split()
+            start = next(k for k in range(len(words)) if words[k : k + len(phrase)] == phrase)
+            known.append(F.struct(F.lit(start).alias("start"), _strings(phrase).alias("words")))
+        needed = _strings(sorted({w for p in phrases for w in p.split()}))
+        entries.append(F.struct(F.lit(label).alias("label"), _strings(words).alias("words"), F.array(*ranked).alias("ranked"), F.array(*known).alias("phrases"), needed.alias("needed")))
+    return F.array(*entries)
+
+
+def _positions(words: Column, word: Column) -> Column:
+    return F.filter(F.transform(words, lambda x, i: F.when(x == word, i).otherwise(-1)), lambda i: i >= 0)
 
-    A template none of whose mandatory phrases has all its words in the corpus can't be in any
-    document, and needs no words.
-    """
-    out = []
-    for _, notice, phrases in TEMPLATES:
-        possible = any(all(counts[w] for w in p.split()) for p in phrases)
-        occurring = [w for w in set(notice.split()) if counts[w]] if possible else []
-        out.append(sorted(occurring, key=lambda w: (counts[w], w))[:RAREST])
-    return out
 
+def verified(words: Column, template: Column) -> Column:
+    """The shares of the template's words in place, at each place of the file where it is verified."""
+    rarest = F.slice(F.filter(template["ranked"], lambda r: F.array_contains(words, r["w"])), 1, RAREST)
 
-def index_column(rare: list[list[str]]) -> tuple[list[str], Column]:
-    """The indexed words, and a map from each to its (template, place, length) postings."""
-    postings: dict[str, list[Column]] = {}
-    for t, (_, notice, _) in enumerate(TEMPLATES):
-        notice = notice.split()
-        for place, word in enumerate(notice):
-            if word in rare[t]:
-                postings.setdefault(word, []).append(F.struct(F.lit(t).alias("t"), F.lit(place).alias("place"), F.lit(len(notice)).alias("length")))
-    if not postings:
-        postings[""] = [F.struct(F.lit(0).alias("t"), F.lit(0).alias("place"), F.lit(1).alias("length"))]  # no word is empty
-    entries = [x for w, p in postings.items() for x in (F.lit(w), F.array(*p))]
-    return sorted(postings), F.create_map(*entries)
+    def begins(r: Column) -> Column:
+        at = _positions(words, r["w"])
+        return F.flatten(F.transform(r["places"], lambda p: F.transform(at, lambda i: i - p)))
+
+    def votes(at: Column) -> Column:
+        return F.size(F.filter(rarest, lambda r: F.exists(r["places"], lambda p: F.coalesce(F.get(words, at + p) == r["w"], F.lit(False)))))
+
+    def stands(at: Column) -> Column:
+        return F.forall(template["phrases"], lambda p: F.when(at + p["start"] >= 0, F.slice(words, F.greatest(at + p["start"], F.lit(0)) + 1, F.size(p["words"])) == p["words"]).otherwise(False))
+
+    def share(at: Column) -> Column:
+        same = F.transform(template["words"], lambda w, k: F.coalesce(F.get(words, at + k) == w, F.lit(False)))
+        return F.size(F.filter(same, lambda x: x)) / F.size(template["words"])
+
+    places = F.array_distinct(F.flatten(F.transform(rarest, begins)))
+    return F.transform(F.filter(places, lambda at: (votes(at) >= F.least(F.lit(VOTES), F.size(rarest))) & stands(at)), share)
 
 
 def base_places(words: Column) -> list[Column]:
@@ -109,51 +193,28 @@ def base_places(words: Column) -> list[Column]:
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) of each row."""
-    words = docs.select(F.col(id_column).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), words_column(F.col(text)).alias("words"))
-    rare = rarest_words(document_counts(words))
-    indexed, index = index_column(rare)
+    words = docs.select(F.col(id_column).alias("id"), words_column(F.col(text)).alias("words"))
+    counts = document_counts(words)
+    index = template_index(counts)
     none = F.array().cast("array<int>")
     has = F.arrays_overlap("words", _strings(sorted({p.split()[-1] for p, _ in PHRASES})))
     places = [F.when(has, p).otherwise(none) for p in base_places(F.col("words"))]
-    hit = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(_strings(indexed), x["w"]))
-
-    def begins(x: Column) -> Column:
-        at = lambda p: x["i"] - p["place"]
-        return F.transform(
-            F.element_at(index, x["w"]),
-            lambda p: F.struct(
-                p["t"].alias("t"), at(p).alias("at"), x["w"].alias("w"), F.slice("words", F.greatest(at(p), F.lit(0)) + 1, p["length"] + F.least(at(p), F.lit(0))).alias("span")
-            ),
-        )
-
-    hits = F.when(F.arrays_overlap("words", _strings(indexed)), F.flatten(F.transform(hit, begins)))
-    rows = words.select("id", "h", F.size("words").cast("long").alias("n_words"), *[p.alias(f"p{k}") for k, p in enumerate(places)])
-    found = words.select("id", "h", F.explode(hits).alias("hit")).select("id", "h", "hit.*")
-    found = found.groupBy("id", "h", "t", "at").agg(F.count_distinct("w").alias("votes"), F.first("span").alias("span"))
-    facts = F.create_map(*[x for t, item in enumerate(TEMPLATES) for x in (F.lit(t), _facts(item, rare[t]))])
-    found = found.withColumn("f", facts[F.col("t")]).where(F.col("votes") >= F.col("f.votes"))
-    shift = F.least("at", F.lit(0))  # words of the template before the text begins
-    stands = F.exists("f.phrases", lambda p: (p["start"] + shift >= 0) & (F.slice("span", F.greatest(p["start"] + shift, F.lit(0)) + 1, F.size(p["words"])) == p["words"]))
-    in_place = F.size(F.filter(F.transform("span", lambda w, i: w == F.get(F.col("f.words"), i - shift)), lambda x: x))
-    found = found.where(stands).select("id", "h", "f.label", (in_place / F.size("f.words")).alias("share"))
-    found = found.groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set("label").alias("_labels"), F.max("share").alias("_share"))
-    out = rows.join(found, rows["id"].eqNullSafe(found["_id"]) & (rows["h"] == found["_h"]), "left")
+    possible = F.filter(index, lambda t: F.forall(t["needed"], lambda w: F.array_contains("words", w)))
+    found = F.transform(possible, lambda t: F.struct(t["label"].alias("label"), verified(F.col("words"), t).alias("shares")))
+    found = F.filter(found, lambda x: F.size(x["shares"]) > 0)
+    rarest = {min({w for p in phrases for w in p.split()}, key=lambda w: (counts[w], w)) for _, _, phrases in TEMPLATES}  # of each template's needed words
+    first = F.arrays_overlap("words", _strings(sorted(rarest)))
+    nothing = F.array().cast("array<struct<label:string,shares:array<double>>>")
+    rows = words.select(
+        "id", F.size("words").cast("long").alias("n_words"), *[p.alias(f"p{k}") for k, p in enumerate(places)], F.when(first, found).otherwise(nothing).alias("found")
+    )
     all_places = F.concat(*[F.col(f"p{k}") for k in range(len(PHRASES))])
     base = F.filter(F.array(*[F.when(F.size(f"p{k}") > 0, label) for k, (_, label) in enumerate(PHRASES)]), lambda x: x.isNotNull())
-    score = F.greatest(F.coalesce("_share", F.lit(0.0)), F.when(F.size(all_places) > 0, 0.5).otherwise(0.0))
-    return out.select(
+    best = F.array_max(F.flatten(F.transform("found", lambda x: x["shares"])))
+    score = F.greatest(F.coalesce(best, F.lit(0.0)), F.when(F.size(all_places) > 0, 0.5).otherwise(0.0))
+    labels = F.concat(base, F.transform("found", lambda x: x["label"]))
+    return rows.select(
         F.col("id").alias(id_column), "n_words", F.size(all_places).cast("long").alias("n_base"), F.array_min(all_places).cast("long").alias("first_word"),
         F.array_max(all_places).cast("long").alias("last_word"), F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat(base, F.coalesce("_labels", F.array().cast("array<string>"))))), ",").alias("labels"), score.alias("score"),
+        F.array_join(F.array_sort(F.array_distinct(labels)), ",").alias("labels"), score.alias("score"),
     )
-
-
-def _facts(template: tuple, rare: list[str]) -> Column:
-    """What verification needs to know of a template."""
-    label, notice, phrases = template
-    words, known = notice.split(), []
-    for phrase in phrases:
-        phrase = phrase.split()
-        start = next(k for k in range(len(words)) if words[k : k + len(phrase)] == phrase)
-        known.append(F.struct(F.lit(start).alias("start"), _strings(phrase).alias("words")))
-    return F.struct(F.lit(label).alias("label"), _strings(words).alias("words"), F.array(*known).alias("phrases"), F.lit(min(VOTES, len(rare))).alias("votes"))

@@ -18,14 +18,13 @@ t AS (SELECT * FROM (VALUES {templates}) AS v(t, label, words)), ph AS (SELECT *
 vocabulary AS (SELECT DISTINCT unnest(words) AS word FROM t),
 words AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS pos FROM docs),
 df AS (SELECT word, count(DISTINCT r) AS n FROM words WHERE word IN (SELECT word FROM vocabulary) GROUP BY 1),
-possible AS (SELECT DISTINCT t FROM ph WHERE list_has_all((SELECT list(word) FROM df), words)),
 place AS (SELECT t, label, len(words) AS size, unnest(words) AS word, unnest(range(len(words))) AS place FROM t),
-rare AS (SELECT t, word FROM (SELECT DISTINCT p.t, p.word, dense_rank() OVER (PARTITION BY p.t ORDER BY d.n, p.word) AS k FROM place p JOIN df d USING (word) WHERE p.t IN (SELECT t FROM possible)) WHERE k<={RAREST}),
-needed AS (SELECT t, least({VOTES}, count(*)) AS votes FROM rare GROUP BY 1),
-hits AS (SELECT x.r, p.t, x.pos-p.place AS at, count(DISTINCT x.word) AS votes FROM words x JOIN place p USING (word) JOIN rare q ON q.t=p.t AND q.word=p.word GROUP BY 1,2,3),
-aligned AS (SELECT h.r, h.t, h.at FROM hits h JOIN needed n USING (t) WHERE h.votes>=n.votes),
-checked AS (SELECT DISTINCT a.r, a.t, a.at FROM aligned a JOIN docs d USING (r) JOIN ph USING (t) JOIN t USING (t)
-  WHERE a.at+list_position(t.words, ph.words[1])-1>=0 AND d.w[a.at+list_position(t.words, ph.words[1]) : a.at+list_position(t.words, ph.words[1])+len(ph.words)-1]=ph.words),
+rare AS (SELECT r, t, word FROM (SELECT x.r, p.t, x.word, row_number() OVER (PARTITION BY x.r, p.t ORDER BY d.n, x.word) AS k FROM (SELECT DISTINCT r, word FROM words) x JOIN (SELECT DISTINCT t, word FROM place) p USING (word) JOIN df d USING (word)) WHERE k<={RAREST}),
+needed AS (SELECT r, t, least({VOTES}, count(*)) AS votes FROM rare GROUP BY 1,2),
+hits AS (SELECT x.r, p.t, x.pos-p.place AS at, count(DISTINCT x.word) AS votes FROM words x JOIN rare q ON q.r=x.r AND q.word=x.word JOIN place p ON p.t=q.t AND p.word=q.word GROUP BY 1,2,3),
+aligned AS (SELECT h.r, h.t, h.at FROM hits h JOIN needed n USING (r, t) WHERE h.votes>=n.votes),
+start AS (SELECT t, ph.words, min(k) AS s FROM ph JOIN t USING (t), unnest(range(len(t.words))) AS u(k) WHERE t.words[k+1 : k+len(ph.words)]=ph.words GROUP BY 1,2),
+checked AS (SELECT a.r, a.t, a.at FROM aligned a JOIN docs d USING (r) JOIN start s USING (t) GROUP BY 1,2,3 HAVING bool_and(a.at+s.s>=0 AND d.w[a.at+s.s+1 : a.at+s.s+len(s.words)]=s.words)),
 shares AS (SELECT c.r, p.label, c.t, c.at, count(x.word)/max(p.size) AS share FROM checked c JOIN place p USING (t) LEFT JOIN words x ON x.r=c.r AND x.pos=c.at+p.place AND x.word=p.word GROUP BY 1,2,3,4),
 method AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM shares GROUP BY 1),
 bases AS (SELECT d.r, bp.label, x.pos FROM words x JOIN docs d USING (r) CROSS JOIN bp WHERE x.word=bp.words[1] AND d.w[x.pos+1 : x.pos+len(bp.words)]=bp.words),
