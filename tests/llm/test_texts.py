@@ -206,6 +206,23 @@ def test_quality_is_learned(spark, wide, empty):
     quality.fit(empty, labels.limit(0))
 
 
+def test_quality_equals_a_plain_mean():
+    rng = np.random.default_rng(4)
+    model = quality.Model(0.2, rng.normal(0, 1, 1 << quality.BITS))
+    texts = ["same same words", "", " \n", "ünï x", LONG]
+    for _, data, offsets in T.slices(pa.array(texts)):
+        got = quality.logits(model, data, offsets)
+        own = [[] for _ in texts]
+        for text, bucket in quality.features(data, offsets):
+            for t, b in zip(text.tolist(), bucket.tolist(), strict=True):
+                own[t].append(model.gain[b])
+        for i in range(len(texts)):
+            assert abs(got[i] - (0.2 + (np.mean(own[i]) if own[i] else 0))) < 1e-9
+        words = [t.split() for t in texts]  # words, neighbours, repeats, and the byte n-grams of each word
+        count = [len(w) + max(0, len(w) - 1) + quality.REPEAT_WEIGHT * sum(a == b for a, b in itertools.pairwise(w)) + sum(max(0, len(x.encode()) - n + 1) for x in w for n in (3, 4)) for w in words]
+        assert [len(x) for x in own] == count
+
+
 # 5
 
 
