@@ -356,7 +356,7 @@ def _screened(percent: int):
             part = possible_parts(rows["n"].to_numpy().astype(np.int64), rows["bits"].to_pylist(), percent)
             several = np.bincount(part)[part] > 1
             if several.any():
-                names = T.mix(rows["group"].to_numpy().view(np.uint64) + T.mix(part.astype(np.uint64) + _ONE)).view(np.int64)
+                names = rows["class"].to_numpy()[part]  # rows come by class: a part's smallest, so lists with the same part give it one name
                 kept = pa.array(several)
                 yield pa.RecordBatch.from_arrays([rows["class"].filter(kept).combine_chunks(), pa.array(names[several]), rows["n"].filter(kept).combine_chunks()], ["class", "group", "n"])
 
@@ -371,7 +371,7 @@ def screened(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     bits = sets.where(F.col("class").isNotNull()).groupBy("class").agg(F.first("bits").alias("bits"))
     rows = candidates.join(sizes, "group")
     small = rows.where(F.col("_k") <= SCREENED).join(bits, "class").select("group", "class", "n", "bits").repartition("group").sortWithinPartitions("group", "class")
-    return small.mapInArrow(_screened(percent), "class long, group long, n int").unionByName(rows.where(F.col("_k") > SCREENED).select("class", "group", "n"))
+    return small.mapInArrow(_screened(percent), "class long, group long, n int").distinct().unionByName(rows.where(F.col("_k") > SCREENED).select("class", "group", "n"))
 
 
 def class_sets(docs: DataFrame, wanted: Membership, text: str = "text", words: int = WORDS) -> DataFrame:
