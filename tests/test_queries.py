@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from trackledger.plans import ALL_ORACLES, ALL_QUERIES
+from trackledger.plans import ALL_ORACLES, ALL_QUERIES, records
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-NAMES = ["red_05_occupancies", "red_09_13_runs", "red_15_run_schedule_links", "res_03_resolution", "src_06_td_children", "src_07_trust_children", "doc_02_issues", "doc_03_unobserved_bindings", "agg_09_element_counts", "joi_15_set_02_never_observed", "joi_10_open_versions", "snk_04_insert_or_ignore", "flt_06_joi_01_wanted_berths", "str_07_win_08_poll_deltas", "doc_05_agg_11_adjacency", "joi_22_doc_11_reconcile", "str_09_snapshot_and_deltas", "snk_05_upsert", "s_01_normalized_times"]
+NAMES = ["red_05_occupancies", "red_09_13_runs", "red_15_run_schedule_links", "res_03_resolution", "src_06_td_children", "src_07_trust_children", "doc_02_issues", "doc_03_unobserved_bindings", "agg_09_element_counts", "joi_15_set_02_never_observed", "joi_10_open_versions", "snk_04_insert_or_ignore", "flt_06_joi_01_wanted_berths", "str_07_win_08_poll_deltas", "doc_05_agg_11_adjacency", "joi_22_doc_11_reconcile", "str_09_snapshot_and_deltas", "snk_05_upsert", "s_01_normalized_times", *records.QUERIES]
 
 
 def plain(value):

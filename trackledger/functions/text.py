@@ -43,6 +43,12 @@ def shown_location(tiploc: Column, name: Column) -> Column:
     return F.when(nonempty(tiploc).isNull(), "—").when(nonempty(name).isNull(), tiploc).otherwise(F.concat(name, F.lit(" ("), tiploc, F.lit(")")))
 
 
+def call_or_pass(arrival_public: Column, arrival_working: Column, departure_public: Column, departure_working: Column, pass_public: Column, pass_working: Column, path: Column, line: Column) -> tuple[Column, Column, Column]:
+    """(is_call, pass time, path/line) of a row of a schedule: it calls if it has any arrival or departure."""
+    booked = F.coalesce(arrival_public, arrival_working, departure_public, departure_working)
+    return booked.isNotNull(), F.coalesce(pass_public, pass_working), F.concat_ws("/", nonempty(path), nonempty(line))
+
+
 # The variation statuses that are understood.
 VARIATIONS = ("ON TIME", "EARLY", "LATE", "OFF ROUTE")
 

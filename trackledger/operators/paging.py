@@ -37,6 +37,11 @@ def within(rows: DataFrame, column: str, start: object, end: object) -> DataFram
     return rows.where((F.col(column) >= F.lit(start)) & (F.col(column) < F.lit(end)))
 
 
+def after(log: DataFrame, feed_column: str, feed: str, sequence: str, seen: int) -> DataFrame:
+    """What a feed's log has beyond the last sequence seen: two filters that reach the scan; a stream keeps ``seen`` as its checkpoint."""
+    return log.where((F.col(feed_column) == feed) & (F.col(sequence) > seen))
+
+
 def matching(rows: DataFrame, **wanted: object) -> DataFrame:
     """Rows equal to every given value; filters that are None are left out."""
     for column, value in wanted.items():

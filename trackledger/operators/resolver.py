@@ -20,6 +20,7 @@ WEIGHTS = {"schedule_linked": 40, "temporally_plausible": 35, "recent_continuity
 MAX_SCORE = 130
 MAX_JOURNEY_HOURS = 24
 CONTINUITY_MINUTES = 10
+RETRY_MINUTES = 5
 
 
 def score(evidence: dict[str, Column]) -> tuple[Column, Column]:
@@ -71,6 +72,24 @@ def decide(occupancies: DataFrame, scored: DataFrame) -> DataFrame:
     )
 
 
+def due(occupancies: DataFrame, decisions: DataFrame, now: Column, minutes: int = RETRY_MINUTES) -> DataFrame:
+    """Occupancies to decide now, with their ``phase``: ``new`` without a decision, ``retry`` if still open and not matched some minutes ago.
+
+    ``decisions``: (occupancy_id, status, decided_at).  All that are due come at once; a
+    run of the resolver needs no batches, so no backlog remains.
+    """
+    known = decisions.select("occupancy_id", F.col("status").alias("_status"), F.col("decided_at").alias("_at"))
+    again = F.col("exit_seq").isNull() & (F.col("_status") != "matched") & (F.col("_at") < now - F.make_interval(mins=F.lit(minutes)))
+    phase = F.when(F.col("_status").isNull(), "new").when(again, "retry")
+    return occupancies.join(known, "occupancy_id", "left").withColumn("phase", phase).where("phase is not null").drop("_status", "_at")
+
+
+def resolve_due(decisions: DataFrame, due: DataFrame, scored: DataFrame, now: Column) -> DataFrame:
+    """The decisions after a run: those of due occupancies are replaced or added, the others stay as they are."""
+    fresh = decide(due, scored).withColumn("decided_at", now)
+    return decisions.join(due.select("occupancy_id"), "occupancy_id", "left_anti").unionByName(fresh)
+
+
 def last_match(decided: DataFrame, minutes: int = CONTINUITY_MINUTES) -> DataFrame:
     """Each occupancy with the run of the latest matched one before it, of the same description and area, in a bounded look-back."""
     micros = F.unix_micros(F.col("entered_at").cast("timestamp"))

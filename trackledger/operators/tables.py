@@ -18,6 +18,15 @@ def insert_new(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
     return firsts.join(existing.select(*named(existing)).distinct(), own, "left_anti").select(*new.columns)
 
 
+def insert_or_get(existing: DataFrame, new: DataFrame, keys: list[str], id_column: str) -> DataFrame:
+    """(keys, id) of every new key: the id of the existing row, else the least one among the new rows; a null key counts as empty."""
+    own = [f"_k{i}" for i in range(len(keys))]
+    side = lambda df, n: df.select(*[k.alias(o) for k, o in zip(_key(keys), own, strict=True)], *keys, F.struct(F.lit(n).alias("_new"), F.col(id_column)).alias("_r"))
+    both = side(existing, 0).unionByName(side(new, 1))
+    least = both.groupBy(*own).agg(F.max("_r._new").alias("_new"), *[F.min_by(k, "_r").alias(k) for k in keys], F.min("_r").alias("_r"))
+    return least.where("_new = 1").select(*keys, F.col(f"_r.{id_column}").alias(id_column))
+
+
 def last_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key by ``order``; a null in a key counts as empty.
 

@@ -1,6 +1,6 @@
 """Registered queries with the same questions in SQL."""
 
-from trackledger.plans import documents, feeds
+from trackledger.plans import documents, feeds, records
 
-ALL_QUERIES = {**feeds.QUERIES, **documents.QUERIES}
-ALL_ORACLES = {**feeds.ORACLES, **documents.ORACLES}
+ALL_QUERIES = {**feeds.QUERIES, **documents.QUERIES, **records.QUERIES}
+ALL_ORACLES = {**feeds.ORACLES, **documents.ORACLES, **records.ORACLES}
