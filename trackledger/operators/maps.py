@@ -110,6 +110,12 @@ def binding_index(doc: Document) -> DataFrame:
     return rows.groupBy("map_id", "kind", "key").agg(F.max_by("element_id", "pos").alias("element_id"))
 
 
+def live_state(index: DataFrame, state: DataFrame) -> DataFrame:
+    """(map_id, element_id, descr, event_at, source_seq): every bound berth of a binding index, of drafts as of versions, with its current state."""
+    keyed = state.select(F.concat_ws("|", "td_area", "berth").alias("key"), "descr", "event_at", "source_seq")
+    return index.where("kind = 'berth'").join(keyed, "key", "left").select("map_id", "element_id", "descr", "event_at", "source_seq")
+
+
 def bounding_boxes(doc: Document) -> DataFrame:
     """(map_id, min_x, min_y, max_x, max_y, width, height): the extent of all points, and the canvas that fits it."""
     line = F.col("type").isin("trackPath", "platform")
@@ -152,6 +158,46 @@ def changes(before: Document, after: Document) -> DataFrame:
     return out.select("map_id", "part", "id", "change")
 
 
+# A document without content, as the editor begins one.
+BLANK_CANVAS, BLANK_LAYER, ZONE = {"width": 2000, "height": 800, "gridSize": 10}, {"id": "layer-default", "name": "Default", "visible": True, "locked": False, "order": 0}, "Europe/London"
+
+
+def blank_document(slug: Column) -> Column:
+    """The JSON of an empty document of this slug."""
+    plain = lambda values: F.struct(*[F.lit(v).alias(n) for n, v in values.items()])
+    none = F.array().cast("array<string>")
+    head = F.struct(slug.alias("id"), slug.alias("name"), plain(BLANK_CANVAS).alias("canvas"), F.lit(ZONE).alias("timezone"))
+    topology = F.struct(none.alias("nodes"), none.alias("edges"))
+    return F.to_json(F.struct(F.lit(1).alias("schemaVersion"), head.alias("map"), F.array(plain(BLANK_LAYER)).alias("layers"), none.alias("elements"), topology.alias("topology"), none.alias("bindings"), F.create_map().cast("map<string,string>").alias("editorMetadata")))
+
+
+def seeded_drafts(wanted: DataFrame, drafts: DataFrame, current: DataFrame) -> DataFrame:
+    """(slug, revision, document, base_version) of each wanted slug: its draft, else revision 1 of the current version or of a blank document.
+
+    ``drafts``: (slug, revision, document, base_version), one per slug; ``current``: (slug,
+    version, document) of the versions in effect.
+    """
+    own = drafts.select("slug", F.struct("revision", "document", "base_version").alias("_d"))
+    base = current.select("slug", F.col("version").alias("_v"), F.col("document").alias("_b"))
+    rows = wanted.select("slug").distinct().join(own, "slug", "left").join(base, "slug", "left")
+    seed = F.coalesce("_b", blank_document(F.col("slug")))
+    has = F.col("_d").isNotNull()
+    return rows.select("slug", F.coalesce("_d.revision", F.lit(1)).alias("revision"), F.when(has, F.col("_d.document")).otherwise(seed).alias("document"), F.when(has, F.col("_d.base_version")).otherwise(F.col("_v")).alias("base_version"))
+
+
+def diff_sides(requests: DataFrame, versions: DataFrame, drafts: DataFrame) -> DataFrame:
+    """(slug, from_version, to_version, before, after): the documents of both sides; without ``to_version`` the draft is compared.
+
+    Requests whose side does not exist are left out.
+    """
+    old = versions.select("slug", F.col("version").alias("from_version"), F.col("document").alias("before"))
+    new = versions.select("slug", F.col("version").alias("to_version"), F.col("document").alias("_v"))
+    draft = drafts.select("slug", F.col("document").alias("_d"))
+    rows = requests.join(old, ["slug", "from_version"]).join(new, ["slug", "to_version"], "left").join(draft, "slug", "left")
+    after = F.when(F.col("to_version").isNull(), F.col("_d")).otherwise(F.col("_v"))
+    return rows.withColumn("after", after).where("after is not null").select("slug", "from_version", "to_version", "before", "after")
+
+
 def publish(versions: DataFrame, slug: str, document: str, effective_from: str, spark: SparkSession) -> DataFrame:
     """The version table (slug, version, document, effective_from, effective_to) with one more; the open one ends where it begins."""
     start = F.lit(effective_from).cast("timestamp")

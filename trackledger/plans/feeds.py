@@ -227,13 +227,22 @@ def joi_05_schedules_touching_berths(spark, d):
     return calls.join(A.smart_steps(spark), "stanox").select("schedule_id", "td_area", F.col("to_berth").alias("berth")).distinct()
 
 
-@query("loc ref", "SELECT l.schedule_id, count(*) AS n_calls, string_agg(coalesce(r.name, l.tiploc), '>' ORDER BY l.seq_no) AS route FROM loc l LEFT JOIN ref r USING (tiploc) GROUP BY 1")
-def srt_10_joi_18_routes(spark, d):
-    named = _calls(spark, d).select("schedule_id", "seq_no", F.coalesce("name", "tiploc").alias("name"))
+_ROUTES = "SELECT l.schedule_id, count(*) AS n_calls, string_agg(coalesce(r.name, l.tiploc), '>' ORDER BY l.seq_no) AS route FROM loc l LEFT JOIN ref r USING (tiploc) GROUP BY 1"
+_LATEST = """SELECT r.run_id, r.state, m.event_at AS latest_at, CASE WHEN m.k IS NULL THEN NULL WHEN m.k=0 THEN 'on time' WHEN m.k%2=1 THEN 'approximately '||CAST(m.k AS VARCHAR)||' early' ELSE 'approximately '||CAST(m.k AS VARCHAR)||' late' END AS running
+  FROM runs r LEFT JOIN (SELECT identity, service_date, max_by(event_at, seq) AS event_at, max_by(k, seq) AS k FROM marked WHERE seq>=created_seq AND event_type='movement' GROUP BY 1,2) m USING (identity, service_date)"""
+
+
+def _routes(calls):
+    named = calls.select("schedule_id", "seq_no", F.coalesce("name", "tiploc").alias("name"))
     grouped = named.groupBy("schedule_id").agg(F.count("*").alias("n_calls"), F.array_sort(F.collect_list(F.struct("seq_no", "name"))).alias("c"))
     return grouped.select("schedule_id", "n_calls", F.array_join(F.transform("c", lambda x: x["name"]), ">").alias("route"))
 
 
+@query("loc ref", _ROUTES)
+def srt_10_joi_18_routes(spark, d):
+    return _routes(_calls(spark, d))
+
+
 # Live state
 
 
@@ -253,20 +262,20 @@ def res_08_live_summary(spark, d):
     )
 
 
-@query("decided occ runs link", """SELECT o.td_area, o.berth, o.descr, x.status, r.run_id, r.state, k.outcome, k.schedule_id FROM occ o JOIN decided x USING (occupancy_id)
-  LEFT JOIN runs r ON r.run_id=x.run_id LEFT JOIN link k ON k.run_id=x.run_id WHERE o.exit_seq IS NULL""")
+@query("decided occ runs link loc ref marked", f"""SELECT o.td_area, o.berth, o.descr, x.status, r.run_id, r.state, k.outcome, k.schedule_id, w.n_calls, w.route, r.latest_at, r.running FROM occ o JOIN decided x USING (occupancy_id)
+  LEFT JOIN ({_LATEST}) r ON r.run_id=x.run_id LEFT JOIN link k ON k.run_id=x.run_id LEFT JOIN ({_ROUTES}) w ON w.schedule_id=k.schedule_id WHERE o.exit_seq IS NULL""")
 def joi_19_current_runs(spark, d):
     occ, scored = _scored(spark, d)
-    own = runs.runs(A.trust_events(spark, d))
-    links = schedules.link_runs(own, A.schedules(spark, d, A.SCHEDULE_SHIFT_DAYS))
+    links = schedules.link_runs(runs.runs(A.trust_events(spark, d)), A.schedules(spark, d, A.SCHEDULE_SHIFT_DAYS))
     now = occ.where("exit_seq is null").select("occupancy_id", "td_area", "berth", "descr")
-    star = now.join(resolver.decide(occ, scored).select("occupancy_id", "status", "run_id"), "occupancy_id")
-    star = star.join(own.select("run_id", "state"), "run_id", "left").join(links, "run_id", "left")
-    return star.select("td_area", "berth", "descr", "status", "run_id", "state", "outcome", "schedule_id")
+    open_scored = scored.join(now.select("occupancy_id"), "occupancy_id", "left_semi")
+    star = now.join(resolver.decide(now, open_scored).select("occupancy_id", "status", "run_id"), "occupancy_id").join(links, "run_id", "left")
+    calls = _calls(spark, d).join(star.select("schedule_id").distinct(), "schedule_id", "left_semi")
+    star = star.join(res_07_run_summaries(spark, d), "run_id", "left").join(_routes(calls), "schedule_id", "left")
+    return star.select("td_area", "berth", "descr", "status", "run_id", "state", "outcome", "schedule_id", "n_calls", "route", "latest_at", "running")
 
 
-@query("marked runs", """SELECT r.run_id, r.state, m.event_at AS latest_at, CASE WHEN m.k IS NULL THEN NULL WHEN m.k=0 THEN 'on time' WHEN m.k%2=1 THEN 'approximately '||CAST(m.k AS VARCHAR)||' early' ELSE 'approximately '||CAST(m.k AS VARCHAR)||' late' END AS running
-  FROM runs r LEFT JOIN (SELECT identity, service_date, max_by(event_at, seq) AS event_at, max_by(k, seq) AS k FROM marked WHERE seq>=created_seq AND event_type='movement' GROUP BY 1,2) m USING (identity, service_date)""")
+@query("marked runs", _LATEST)
 def res_07_run_summaries(spark, d):
     ev = A.trust_events(spark, d)
     moves = runs.run_events(ev).where("event_type = 'movement'").join(ev.select("seq", "k"), "seq")

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from trackledger import adapters as A
 from trackledger.functions import text
-from trackledger.operators import paging, resolver, tables
-from trackledger.plans.documents import BROKEN, _children, _frames, _ms
+from trackledger.operators import berths, maps, paging, resolver, tables
+from trackledger.plans.documents import _ELEM, BROKEN, _children, _document, _frames, _ms
 from trackledger.plans.feeds import DAY, _scored
 from trackledger.plans.sql import over
 from trackledger.sources import frames, records
@@ -138,3 +138,38 @@ def snk_23_insert_or_get(spark, d):
     rows, day = A.schedules(spark, d), F.to_date(F.lit(DAY))
     first = rows.where(F.col("start_date") < day).groupBy("train_uid", "stp").agg(F.min("schedule_id").alias("schedule_id"))
     return tables.insert_or_get(first, rows.where(F.col("start_date") >= day), ["train_uid", "stp"], "schedule_id")
+
+
+# Drafts
+
+
+@query("cur", f"""SELECT i.map_id, i.element_id, c.descr, c.event_at, c.source_seq FROM (WITH {_ELEM} SELECT map_id, td_area, berth, max_by(element_id, pos) AS element_id FROM bnd WHERE type='tdBerth' GROUP BY 1,2,3) i LEFT JOIN cur c USING (td_area, berth)""")
+def res_12_draft_state(spark, d):
+    return maps.live_state(maps.binding_index(_document(spark, d)), berths.current_state(A.td_events(spark, d)))
+
+
+def _versions(spark, d):
+    """(slugs, versions, drafts): two versions of the maps of two regions, drafts of one of them and of another."""
+    slugs = A.table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("slug"), "n_regionkey")
+    text_of = lambda kind: F.concat(F.lit(kind), F.lit(" of "), F.col("slug"))
+    both = slugs.where("n_regionkey in (0, 1)").withColumn("version", F.explode(F.array(F.lit(1), F.lit(2)))).select("slug", "version", text_of("version").alias("document"))
+    drafts = slugs.where("n_regionkey in (1, 2)").select("slug", F.lit(7).alias("revision"), text_of("draft").alias("document"), F.when(F.col("n_regionkey") == 1, 1).alias("base_version"))
+    return slugs, both, drafts
+
+
+_BLANK = """'{"schemaVersion":1,"map":{"id":"'||slug||'","name":"'||slug||'","canvas":{"width":2000,"height":800,"gridSize":10},"timezone":"Europe/London"},"layers":[{"id":"layer-default","name":"Default","visible":true,"locked":false,"order":0}],"elements":[],"topology":{"nodes":[],"edges":[]},"bindings":[],"editorMetadata":{}}'"""
+_SLUGS = "(SELECT 'n'||CAST(n_nationkey AS VARCHAR) AS slug, n_regionkey AS r FROM nation)"
+
+
+@query("", f"""SELECT slug, CASE WHEN r IN (1,2) THEN 7 ELSE 1 END AS revision, CASE WHEN r IN (1,2) THEN 'draft of '||slug WHEN r=0 THEN 'version of '||slug ELSE {_BLANK} END AS document, CASE r WHEN 0 THEN 2 WHEN 1 THEN 1 END AS base_version FROM {_SLUGS}""")
+def doc_09_seeded_drafts(spark, d):
+    slugs, versions, drafts = _versions(spark, d)
+    return maps.seeded_drafts(slugs, drafts, versions.where("version = 2"))
+
+
+@query("", f"""SELECT slug, 1 AS from_version, t AS to_version, 'version of '||slug AS before, CASE WHEN t IS NULL THEN 'draft of '||slug ELSE 'version of '||slug END AS after FROM {_SLUGS}, (SELECT unnest([2, 3, NULL]) AS t) WHERE r IN (0,1) AND (t=2 OR (t IS NULL AND r=1))""")
+def joi_24_diff_sides(spark, d):
+    slugs, versions, drafts = _versions(spark, d)
+    none = F.lit(None).cast("int")
+    requests = slugs.select("slug", F.lit(1).alias("from_version"), F.explode(F.array(F.lit(2), F.lit(3), none)).alias("to_version"))
+    return maps.diff_sides(requests, versions, drafts)
