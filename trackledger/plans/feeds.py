@@ -165,8 +165,9 @@ def _calls(spark, d):
     return A.schedule_locations(spark, d).join(A.location_reference(spark, d), "tiploc", "left")
 
 
-def _scored(spark, d):
-    occ, own = berths.occupancies(A.td_events(spark, d)), runs.runs(A.trust_events(spark, d))
+def _scored(spark, d, only: str = "true"):
+    """(occupancies, their scored candidates): all, or only those of a condition, which then are the only ones joined."""
+    occ, own = berths.occupancies(A.td_events(spark, d)).where(only), runs.runs(A.trust_events(spark, d))
     links = schedules.link_runs(own, A.schedules(spark, d, A.SCHEDULE_SHIFT_DAYS))
     return occ, resolver.candidates(occ, own, links, _calls(spark, d).select("schedule_id", "stanox"), A.smart_steps(spark))
 
@@ -265,11 +266,9 @@ def res_08_live_summary(spark, d):
 @query("decided occ runs link loc ref marked", f"""SELECT o.td_area, o.berth, o.descr, x.status, r.run_id, r.state, k.outcome, k.schedule_id, w.n_calls, w.route, r.latest_at, r.running FROM occ o JOIN decided x USING (occupancy_id)
   LEFT JOIN ({_LATEST}) r ON r.run_id=x.run_id LEFT JOIN link k ON k.run_id=x.run_id LEFT JOIN ({_ROUTES}) w ON w.schedule_id=k.schedule_id WHERE o.exit_seq IS NULL""")
 def joi_19_current_runs(spark, d):
-    occ, scored = _scored(spark, d)
+    now, scored = _scored(spark, d, only="exit_seq is null")
     links = schedules.link_runs(runs.runs(A.trust_events(spark, d)), A.schedules(spark, d, A.SCHEDULE_SHIFT_DAYS))
-    now = occ.where("exit_seq is null").select("occupancy_id", "td_area", "berth", "descr")
-    open_scored = scored.join(now.select("occupancy_id"), "occupancy_id", "left_semi")
-    star = now.join(resolver.decide(now, open_scored).select("occupancy_id", "status", "run_id"), "occupancy_id").join(links, "run_id", "left")
+    star = now.join(resolver.decide(now, scored).select("occupancy_id", "status", "run_id"), "occupancy_id").join(links, "run_id", "left")
     calls = _calls(spark, d).join(star.select("schedule_id").distinct(), "schedule_id", "left_semi")
     star = star.join(res_07_run_summaries(spark, d), "run_id", "left").join(_routes(calls), "schedule_id", "left")
     return star.select("td_area", "berth", "descr", "status", "run_id", "state", "outcome", "schedule_id", "n_calls", "route", "latest_at", "running")
