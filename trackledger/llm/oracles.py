@@ -5,6 +5,7 @@ from __future__ import annotations
 from trackledger.llm.decontamination import MATCH, SHORTEST_TOLERANT, WINDOW
 from trackledger.llm.jaccard_join import PERCENT, WORDS
 from trackledger.llm.licenses import PHRASES, RAREST, TEMPLATES, VOTES
+from trackledger.llm.substring_dedup import WINDOW as DEDUP_WINDOW
 
 
 def license_scan() -> str:
@@ -64,8 +65,19 @@ counted AS (SELECT s.*, count(*) OVER (PARTITION BY doc_id, item_id, diag ORDER
 SELECT doc_id, item_id, CAST(max(win) AS INTEGER) AS window, CAST(max(n) AS INTEGER) AS matched FROM counted WHERE n>=least GROUP BY doc_id, item_id"""
 
 
+def late_windows() -> str:
+    """All windows as strings, numbered by their place; words that a window after the first covers go."""
+    return f"""WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text,''), '[\\x20\\x09-\\x0D]+'), lambda x: x<>'') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i+1:i+{DEDUP_WINDOW}], ' ') AS s FROM docs, unnest(range(len(w)-{DEDUP_WINDOW - 1})) AS u(i)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM windows) WHERE n>1),
+gone AS (SELECT DISTINCT doc_id, i+j AS i FROM late, unnest(range({DEDUP_WINDOW})) AS v(j)),
+stays AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM docs) ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT d.doc_id, len(d.w) AS n_words, len(d.w)-coalesce(s.n,0) AS n_removed, sha256(coalesce(s.kept,'')) AS kept_sha256 FROM docs d LEFT JOIN stays s USING (doc_id)"""
+
+
 ORACLES = {
     "op5_benchmark_decontamination": benchmark_overlaps(),
     "op7_license_scan": license_scan(),
     "op9_ngram_jaccard": near_duplicates(),
+    "op11_substring_dedup": late_windows(),
 }

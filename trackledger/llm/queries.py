@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackledger.llm import chat, decontamination, fingerprints, huffman, jaccard_join, licenses, piece_sampling, quality, sharding, toxicity
+from trackledger.llm import chat, decontamination, fingerprints, huffman, jaccard_join, licenses, periodic_runs, piece_sampling, quality, sharding, substring_dedup, token_alignment, toxicity
 from trackledger.llm.oracles import ORACLES
 from trackledger.llm.store import new_path, small_batches, written
 
@@ -95,6 +95,36 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    digest = F.coalesce(F.sha2("groups", 256), F.lit(""))
+    aligned = token_alignment.align(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"), groups=digest)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", periodic_runs.runs_column(periodic_runs.echoed_column(F.col("text"), F.col("doc_id"))).alias("r"))
+    best = periodic_runs.strongest(F.col("r.runs"))
+    found = found.select("doc_id", "r.runs", "r.collapsed", best.alias("b"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "b.start",
+        "b.length",
+        "b.period",
+        F.expr("1000 * b.length div b.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_sentencepiece_sampling": op2_sentencepiece_sampling,
@@ -106,6 +136,9 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_huffman_ids": op10_huffman_ids,
+    "op11_substring_dedup": op11_substring_dedup,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

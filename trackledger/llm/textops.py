@@ -8,6 +8,7 @@ not follow the size of a batch.  A single text is never cut.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +108,58 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+#: Longer spans are hashed by a digest: sums modulo 2^64 have known collisions from 1,024 bytes on, whatever the base.
+LONG = 64
+_ONE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def strong_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray = SAME) -> np.ndarray:
+    """The hash of each span's folded bytes, by ``span_hashes`` up to ``LONG`` bytes, else by a digest."""
+    hashes = span_hashes(prefix_sums(data, fold), start, end)
+    for k in np.flatnonzero(end - start > LONG).tolist():
+        hashes[k] = int.from_bytes(blake2b(fold[data[start[k] : end[k]]].tobytes(), digest_size=8).digest(), "little")
+    return hashes
+
+
+def same_bytes(data: np.ndarray, size: np.ndarray, start: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from each start equal those from the other; eight bytes a step."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    same, left = np.ones(len(size), dtype=bool), np.flatnonzero(size > 0)
+    at = 0
+    while len(left):
+        differ = eight[start[left] + at] ^ eight[other[left] + at]
+        over = np.maximum(0, 8 - (size[left] - at)).astype(np.uint64)
+        same[left] &= differ << (np.uint64(8) * over) == 0
+        at += 8
+        left = left[same[left] & (size[left] > at)]
+    return same
+
+
+def span_classes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray = SAME) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each class, its first span, class of each span): spans are of one class exactly if their folded bytes are equal."""
+    data = data if fold is SAME else fold[data]
+    hashes, size = strong_hashes(data, start, end), end - start
+    while True:
+        names, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
+        like = first[kind]
+        same = size == size[like]
+        same &= same_bytes(data, np.where(same, size, 0), start, start[like])
+        if same.all():
+            return names, first, kind
+        hashes[~same] = mix(hashes[~same] + _ONE)
+
+
+def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k consecutive hashes, in about log2(k) steps."""
+    out, n = hashes, 1
+    while n < k and len(out):
+        step = min(n, k - n)
+        out = mix(out[: max(0, len(out) - step)] * np.uint64(5) + out[step:] + _ONE)
+        n += step
+    return out
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of word bytes; no run goes over the end of a text."""
     inside = word[data]
@@ -126,7 +179,7 @@ def text_of(offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
 def word_hashes(data: np.ndarray, offsets: np.ndarray, word: np.ndarray, fold: np.ndarray = SAME) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, bounds): the words of text i are those from bounds[i] to bounds[i + 1]."""
     start, end = word_spans(data, offsets, word)
-    return span_hashes(prefix_sums(data, fold), start, end), np.searchsorted(start, offsets)
+    return strong_hashes(data, start, end, fold), np.searchsorted(start, offsets)
 
 
 def distinct_in_groups(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
