@@ -41,7 +41,7 @@ from trackledger.llm.store import Membership, may_hold_column, written
 WINDOW = 20
 GRAM = 4
 #: Bytes of text that a task handles at once.
-SLICE = 1 << 22
+SLICE = 1 << 21
 #: Packed words of a partition of buckets, about; and into how many buckets they are cut.
 PART_WORDS, BUCKETS = 1 << 23, 16
 #: Bits of the table of how common grams are; a gram counts if a slice has it so many times.
@@ -74,17 +74,6 @@ class Words:
             out &= self.kind[a + k] == self.kind[b + k]
         return out
 
-    def canonical(self) -> tuple[np.ndarray, np.ndarray]:
-        """All words with one blank after each, and where each starts."""
-        size = self.end - self.start + 1
-        at = np.concatenate([[0], np.cumsum(size)])
-        out = np.full(int(at[-1]), 0x20, dtype=np.uint8)
-        own = size - 1
-        shift = np.repeat(np.cumsum(own) - own, own)
-        each = np.arange(int(own.sum())) - shift
-        out[np.repeat(at[:-1], own) + each] = self.data[np.repeat(self.start, own) + each]
-        return out, at
-
 
 def late_windows(words: Words, at: np.ndarray, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Whether each window, at the words ``at`` and with the given place, has an equal one at a smaller place."""
@@ -206,17 +195,15 @@ def _packed(classes: Broadcast, parts: int, window: int, gram: int):
                 name = T.mix(least[first] + np.uint64(1))
                 part, bucket = (name % np.uint64(parts)).astype(np.int32), (name >> np.uint64(60)).astype(np.int64) % BUCKETS
                 order = np.argsort(part, kind="stable")
-                canon, where = words.canonical()
                 a = at[begin][order]
                 n_words = size[order] + window - 1
-                n_bytes = where[a + n_words] - where[a]
-                columns = {"id": ids[text[begin]][order], "row": rows[text[begin]][order], "first": place[begin][order], "words": n_words, "bytes": n_bytes, "bucket": bucket[order]}
+                begins, ends = words.start[a], words.end[a + n_words - 1]
+                columns = {"id": ids[text[begin]][order], "row": rows[text[begin]][order], "first": place[begin][order], "words": n_words, "bytes": ends - begins + 1, "bucket": bucket[order]}
                 cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
                 names, payloads = part[order][cuts[:-1]], []
-                raw = canon.tobytes()
-                begins, ends = where[a].tolist(), where[a + n_words].tolist()
+                raw = data.tobytes()
                 for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    payloads.append(_pack({c: x[i:j] for c, x in columns.items()}, b"".join([raw[x:y] for x, y in zip(begins[i:j], ends[i:j], strict=True)])))
+                    payloads.append(_pack({c: x[i:j] for c, x in columns.items()}, b"".join([raw[x:y] + b" " for x, y in zip(begins[i:j].tolist(), ends[i:j].tolist(), strict=True)])))
                 none = len(payloads)
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(payloads, pa.binary()), *(pa.nulls(none, f.type) for f in list(schema)[2:])], schema=schema)
 
