@@ -27,7 +27,7 @@ def test_schedules_tolerate_objects_and_arrays_and_keep_the_order_of_segments(sp
     rows = records.vstp_schedules(frames.parse_vstp(framed(spark, "vstp", [plan(two)])))
     assert [(r.operation, r.train_uid, str(r.start_date), r.stp, r.signalling_id) for r in rows.collect()] == [("create", "U1", "2026-01-01", "O", "1A00")]
     calls = records.vstp_calls(rows, ["train_uid"]).orderBy("seq_no").collect()
-    assert [(c.seq_no, c.tiploc, c.activity_codes, c.pass_working, c.platform) for c in calls] == [(0, "A", ["TB", "T"], None, None), (1, "B", [], "1200", None), (2, "C", [], None, None)]
+    assert [(c.seq_no, c.kind, c.tiploc, c.activity_codes, c.pass_working, c.platform) for c in calls] == [(1, "origin", "A", ["TB", "T"], None, None), (2, "intermediate", "B", [], "1200", None), (3, "destination", "C", [], None, None)]
 
 
 def test_schedules_without_a_whole_key_are_left_out(spark):

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackledger.operators.intervals import with_neighbours
+
 EMPTY = "----"
 KEY = ["td_area", "berth"]
 
@@ -42,15 +44,21 @@ def touches(events: DataFrame) -> DataFrame:
     )
 
 
-def _with_states(touched: DataFrame) -> DataFrame:
+def _with_states(touched: DataFrame, segment: int | None = None) -> DataFrame:
     following = F.struct("event_at", "seq", "reason")
+    if segment:
+        return with_neighbours(touched, KEY, "seq", following, F.when(F.col("opens"), F.col("descr")), segment, ("before", "_next"))
     return touched.withColumn("before", F.lag(F.when(F.col("opens"), F.col("descr"))).over(_order())).withColumn("_next", F.lead(following).over(_order()))
 
 
-def occupancies(events: DataFrame) -> DataFrame:
-    """(occupancy_id, td_area, berth, descr, entered_at, entry_type, left_at, exit_seq, exit_reason); open ones have no exit."""
+def occupancies(events: DataFrame, segment: int | None = None) -> DataFrame:
+    """(occupancy_id, td_area, berth, descr, entered_at, entry_type, left_at, exit_seq, exit_reason); open ones have no exit.
+
+    With ``segment``, a berth's history is worked on in stretches of so many sequence numbers,
+    for logs in which one berth's touches are too many for a task.
+    """
     return (
-        _with_states(touches(events))
+        _with_states(touches(events), segment)
         .where("opens")
         .select(
             F.col("seq").alias("occupancy_id"),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackledger.functions.clock import service_date
+from trackledger.operators.intervals import with_pieces
 
 # The weight of each kind of evidence, in the order of the reasons.
 WEIGHTS = {"schedule_linked": 40, "temporally_plausible": 35, "recent_continuity": 30, "smart_stanox": 25}
@@ -84,10 +85,20 @@ def due(occupancies: DataFrame, decisions: DataFrame, now: Column, minutes: int
     return occupancies.join(known, "occupancy_id", "left").withColumn("phase", phase).where("phase is not null").drop("_status", "_at")
 
 
-def resolve_due(decisions: DataFrame, due: DataFrame, scored: DataFrame, now: Column) -> DataFrame:
-    """The decisions after a run: those of due occupancies are replaced or added, the others stay as they are."""
-    fresh = decide(due, scored).withColumn("decided_at", now)
-    return decisions.join(due.select("occupancy_id"), "occupancy_id", "left_anti").unionByName(fresh)
+def resolve_due(decisions: DataFrame, due: DataFrame, scored: DataFrame, now: Column, known: DataFrame | None = None) -> DataFrame:
+    """The decisions after a run: those of due occupancies are replaced or added, the others stay as they are.
+
+    New and retried occupancies are decided in one order of time, with continuity.  ``known``:
+    the occupancies (occupancy_id, td_area, descr, entered_at) that have decisions; matches
+    among them that are not due support what comes after them, as if decided in that order.
+    """
+    staying = decisions.join(due.select("occupancy_id"), "occupancy_id", "left_anti")
+    own = scored.join(due.select("occupancy_id"), "occupancy_id", "left_semi")
+    fixed = None if known is None else known.join(staying.where("status = 'matched'").select("occupancy_id", "run_id"), "occupancy_id")
+    found = decide_in_order(own, fixed=fixed)
+    none = {"status": F.lit("unmatched"), "score": F.lit(0), "confidence": F.lit(0.0), "n_candidates": F.lit(0)}
+    fresh = due.select("occupancy_id").join(found, "occupancy_id", "left").withColumns({c: F.coalesce(c, v) for c, v in none.items()})
+    return staying.unionByName(fresh.withColumn("decided_at", now))
 
 
 def last_match(decided: DataFrame, minutes: int = CONTINUITY_MINUTES) -> DataFrame:
@@ -97,36 +108,55 @@ def last_match(decided: DataFrame, minutes: int = CONTINUITY_MINUTES) -> DataFra
     return decided.withColumn("recent_run_id", F.last(F.when(F.col("status") == "matched", F.col("run_id")), ignorenulls=True).over(back))
 
 
-def decide_in_order(scored: DataFrame, minutes: int = CONTINUITY_MINUTES) -> DataFrame:
-    """(occupancy_id, status, run_id, score): with continuity, where a match supports the next one of its train.
+def decide_in_order(scored: DataFrame, minutes: int = CONTINUITY_MINUTES, fixed: DataFrame | None = None) -> DataFrame:
+    """(occupancy_id, status, run_id, score, confidence, n_candidates): with continuity, where a match supports the next one of its train.
 
-    Each decision depends on the ones before it, so the candidates of a (description, area)
-    stream through one task in order of time; only the last match is held.  Continuity
-    yields when another candidate was activated later than the run it would support.
+    Each decision depends on the ones before it within ``minutes``, so the history of a
+    (description, area) is cut at every longer gap; the pieces are decided in parallel, each
+    in order of time, and only the last match is held.  Continuity yields when another
+    candidate was activated later than the run it would support.  ``fixed``: (occupancy_id,
+    td_area, descr, entered_at, run_id) of matches that are not decided again, but support.
     """
-    window = pd.Timedelta(minutes=minutes)
     weight = WEIGHTS["recent_continuity"]
-    entries = F.transform(F.array_sort(F.collect_list(F.struct("run_id", "activated_at", "score"))), lambda c: c).alias("c")
+    entries = F.array_sort(F.collect_list(F.struct("run_id", "activated_at", "score"))).alias("c")
     rows = scored.groupBy("descr", "td_area", "entered_at", "occupancy_id").agg(entries)
-    rows = rows.repartition("descr", "td_area").sortWithinPartitions("descr", "td_area", "entered_at", "occupancy_id")
+    if fixed is not None:
+        rows = rows.unionByName(fixed.select("descr", "td_area", "entered_at", "occupancy_id", F.col("run_id").alias("known")), allowMissingColumns=True)
+    else:
+        rows = rows.withColumn("known", F.lit(None).cast("string"))
+    rows = with_pieces(rows, ["descr", "td_area"], "entered_at", minutes * 60)
+    key = ["descr", "td_area", "piece"]
+    if fixed is not None:
+        rows = rows.join(rows.where("c is not null").select(*key).distinct(), key, "left_semi")  # the others decide nothing
+    rows = rows.repartition(*key).sortWithinPartitions(*key, "entered_at", "occupancy_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last_run, last_at = None, None, None
+        now, match = None, None
         for batch in batches:
             out = []
-            for descr, area, at, occupancy, cands in batch[["descr", "td_area", "entered_at", "occupancy_id", "c"]].itertuples(index=False):
-                if key != (descr, area):
-                    key, last_run, last_at = (descr, area), None, None
-                near = last_run is not None and last_at < at <= last_at + window
-                began = next((c["activated_at"] for c in cands if c["run_id"] == last_run), None) if near else None
-                fresher = began is not None and any(c["run_id"] != last_run and c["activated_at"] is not None and c["activated_at"] > began for c in cands)
-                scores = [c["score"] + weight * (near and not fresher and c["run_id"] == last_run) for c in cands]
-                top = max(scores)
-                winners = [c["run_id"] for c, s in zip(cands, scores, strict=True) if s == top]
-                status = "unmatched" if top <= 0 else "ambiguous" if len(winners) > 1 else "matched"
-                if status == "matched":
-                    last_run, last_at = winners[0], at
-                out.append((occupancy, status, winners[0] if status == "matched" else None, int(top)))
-            yield pd.DataFrame(out, columns=["occupancy_id", "status", "run_id", "score"])
-
-    return rows.mapInPandas(run, "occupancy_id long, status string, run_id string, score int")
+            for *own, at, occupancy, cands, known in batch[[*key, "entered_at", "occupancy_id", "c", "known"]].itertuples(index=False):
+                if own != now:
+                    now, match = own, None
+                if cands is None:
+                    match = (known, at)
+                    continue
+                status, winner, top = decided(cands, at, match, pd.Timedelta(minutes=minutes), weight)
+                if winner is not None:
+                    match = (winner, at)
+                out.append((occupancy, status, winner, top, round(top / MAX_SCORE, 6), len(cands)))
+            yield pd.DataFrame(out, columns=["occupancy_id", "status", "run_id", "score", "confidence", "n_candidates"])
+
+    return rows.mapInPandas(run, "occupancy_id long, status string, run_id string, score int, confidence double, n_candidates long")
+
+
+def decided(cands: list[dict], at, match: tuple | None, window, weight: int = WEIGHTS["recent_continuity"]) -> tuple[str, str | None, int]:
+    """(status, run, score) of an occupancy entered at a time, from its candidates and the (run, time) of the last match before it."""
+    last, since = match or (None, None)
+    near = last is not None and since < at <= since + window
+    began = next((c["activated_at"] for c in cands if c["run_id"] == last), None) if near else None
+    fresher = began is not None and any(c["run_id"] != last and c["activated_at"] is not None and c["activated_at"] > began for c in cands)
+    scores = [c["score"] + weight * (near and not fresher and c["run_id"] == last) for c in cands]
+    top = max(scores, default=0)
+    winners = [c["run_id"] for c, s in zip(cands, scores, strict=True) if s == top]
+    status = "unmatched" if top <= 0 else "ambiguous" if len(winners) > 1 else "matched"
+    return status, winners[0] if status == "matched" else None, int(top)

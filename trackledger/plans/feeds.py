@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from trackledger import adapters as A
 from trackledger.functions import clock, text
 from trackledger.operators import berths, paging, resolver, runs, schedules, tables
-from trackledger.plans.sql import over
+from trackledger.plans.sql import WALKED, over
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,11 +94,31 @@ def _identity_events(spark, d):
     return A.trust_events(spark, d).withColumn("event_type", kind).withColumn("revised_identity", F.when(changes, (F.col("identity") * 7 + 3) % 150))
 
 
-@query()
+@query("runs_c", "SELECT service_date, identity, root_identity, superseded_by, created_seq FROM runs_c")
 def red_12_identity_changes(spark, d):
     return runs.with_identity_changes(_identity_events(spark, d))
 
 
+@query("runs_c", "SELECT * FROM runs_c")
+def red_12_runs_with_changes(spark, d):
+    return runs.runs(_identity_events(spark, d))
+
+
+@query("own chg born trc", """SELECT seq, event_at, identity, service_date, event_type FROM own UNION ALL SELECT seq, event_at, revised_identity, service_date, event_type FROM chg""")
+def red_12_run_events_with_changes(spark, d):
+    return runs.run_events(_identity_events(spark, d))
+
+
+@query("trc born", "SELECT e.event_type, count(*) AS n FROM trc e LEFT JOIN born b USING (service_date, identity) WHERE b.created_seq IS NULL OR e.seq<b.created_seq GROUP BY 1")
+def red_12_skipped_with_changes(spark, d):
+    return runs.skipped(_identity_events(spark, d))
+
+
+@query("decided_c", "SELECT * FROM decided_c")
+def red_12_resolution_with_changes(spark, d):
+    return resolver.decide(*_scored(spark, d, events=_identity_events(spark, d)))
+
+
 @query("link", "SELECT run_id, outcome, schedule_id FROM link")
 def red_15_run_schedule_links(spark, d):
     return schedules.link_runs(runs.runs(A.trust_events(spark, d)), A.schedules(spark, d, A.SCHEDULE_SHIFT_DAYS))
@@ -165,9 +185,9 @@ def _calls(spark, d):
     return A.schedule_locations(spark, d).join(A.location_reference(spark, d), "tiploc", "left")
 
 
-def _scored(spark, d, only: str = "true"):
+def _scored(spark, d, only: str = "true", events=None):
     """(occupancies, their scored candidates): all, or only those of a condition, which then are the only ones joined."""
-    occ, own = berths.occupancies(A.td_events(spark, d)).where(only), runs.runs(A.trust_events(spark, d))
+    occ, own = berths.occupancies(A.td_events(spark, d)).where(only), runs.runs(A.trust_events(spark, d) if events is None else events)
     links = schedules.link_runs(own, A.schedules(spark, d, A.SCHEDULE_SHIFT_DAYS))
     return occ, resolver.candidates(occ, own, links, _calls(spark, d).select("schedule_id", "stanox"), A.smart_steps(spark))
 
@@ -182,9 +202,9 @@ def res_03_resolution(spark, d):
     return resolver.decide(*_scored(spark, d))
 
 
-@query()
+@query("walk", WALKED)
 def res_05_resolution_in_order(spark, d):
-    return resolver.decide_in_order(_scored(spark, d)[1])
+    return resolver.decide_in_order(_scored(spark, d)[1]).select("occupancy_id", "status", "run_id", "score")
 
 
 @query("decided occ", """SELECT o.occupancy_id, o.descr, o.td_area, (SELECT max_by(x.run_id, p.entered_at) FROM decided x JOIN occ p USING (occupancy_id) WHERE x.status='matched' AND p.descr=o.descr AND p.td_area=o.td_area

@@ -9,7 +9,7 @@ from trackledger.functions import text
 from trackledger.operators import berths, maps, paging, resolver, tables
 from trackledger.plans.documents import _ELEM, BROKEN, _children, _document, _frames, _ms
 from trackledger.plans.feeds import DAY, _scored
-from trackledger.plans.sql import over
+from trackledger.plans.sql import CANDIDATES, VIEWS, in_order, over
 from trackledger.sources import frames, records
 
 QUERIES: dict = {}
@@ -56,7 +56,7 @@ def _vstp_frames(spark, d):
     by = A.schedule_locations(spark, d).groupBy("schedule_id").agg(F.array_sort(F.collect_list(F.struct("seq_no", call.alias("j")))).alias("c"))
     rows = A.schedules(spark, d).join(by, "schedule_id", "left").withColumn("c", F.coalesce(F.col("c.j"), F.array().cast("array<string>")))
     segment = lambda calls: F.concat(F.lit('{"signalling_id":"'), F.col("train_uid"), F.lit('","schedule_location":'), calls, F.lit("}"))
-    halves = F.concat(F.lit("["), segment(listed(F.slice("c", 1, 2))), F.lit(","), segment(listed(F.slice("c", 3, 1000))), F.lit("]"))
+    halves = F.concat(F.lit("["), segment(listed(F.slice("c", 1, 2))), F.lit(","), segment(listed(F.slice("c", F.lit(3), F.size("c")))), F.lit("]"))
     whole = segment(F.when(F.size("c") == 1, F.col("c")[0]).otherwise(listed(F.col("c"))))
     segments = F.when(F.col("schedule_id") % 2 == 0, halves).otherwise(whole)
     stp = F.when(F.col("schedule_id") % 7 == 3, "X").otherwise(F.col("stp"))
@@ -75,9 +75,9 @@ def flt_09_vstp_schedules(spark, d):
     return _vstp(spark, d).select("schedule_id", "operation", "train_uid", "start_date", "end_date", "stp", "days_run", "signalling_id", F.size("calls").cast("long").alias("n_calls"))
 
 
-@query("sch loc", "SELECT schedule_id, CAST(seq_no-1 AS INTEGER) AS seq_no, tiploc, CAST(seq_no%24 AS VARCHAR)||'00' AS arrival_working, 'TB,T' AS codes FROM loc JOIN sch USING (schedule_id) WHERE schedule_id%7<>3")
+@query("sch loc", "SELECT schedule_id, CAST(seq_no AS INTEGER) AS seq_no, CASE WHEN seq_no=1 THEN 'origin' WHEN seq_no=n THEN 'destination' ELSE 'intermediate' END AS kind, tiploc, CAST(seq_no%24 AS VARCHAR)||'00' AS arrival_working, 'TB,T' AS codes FROM (SELECT *, count(*) OVER (PARTITION BY schedule_id) AS n FROM loc) JOIN sch USING (schedule_id) WHERE schedule_id%7<>3")
 def flt_09_vstp_calls(spark, d):
-    return records.vstp_calls(_vstp(spark, d), ["schedule_id"]).select("schedule_id", "seq_no", "tiploc", "arrival_working", F.array_join("activity_codes", ",").alias("codes"))
+    return records.vstp_calls(_vstp(spark, d), ["schedule_id"]).select("schedule_id", "seq_no", "kind", "tiploc", "arrival_working", F.array_join("activity_codes", ",").alias("codes"))
 
 
 @query("tds", """SELECT seq, td_area, CASE WHEN seq%4=0 THEN 'SF_MSG' ELSE address END AS address, CASE WHEN seq%5<>0 THEN data ELSE
@@ -118,11 +118,16 @@ def res_06_due(spark, d):
     return resolver.due(occ, known, F.col("now")).select("occupancy_id", "phase")
 
 
-@query("td occ decided", f"SELECT x.occupancy_id, x.status, x.run_id, x.score, u.phase IS NOT NULL AS decided_now FROM decided x LEFT JOIN ({_DUE}) u USING (occupancy_id)")
+_SUPPORT = f"SELECT o.descr, o.td_area, o.entered_at, o.occupancy_id, NULL AS c, x.run_id AS known FROM occ o JOIN decided x USING (occupancy_id) WHERE x.status='matched' AND o.entered_at <= {_NOW} - INTERVAL 10 DAY"
+VIEWS["walk_due"] = ("td occ decided", in_order(f"SELECT *, CAST(NULL AS VARCHAR) AS known FROM ({CANDIDATES}) WHERE occupancy_id IN (SELECT occupancy_id FROM ({_DUE})) UNION ALL {_SUPPORT}", "walk_due")[0])
+
+
+@query("walk_due", f"""SELECT x.occupancy_id, CASE WHEN u.phase IS NULL THEN x.status ELSE coalesce(w.status,'unmatched') END AS status, CASE WHEN u.phase IS NULL THEN x.run_id ELSE w.run_id END AS run_id, CASE WHEN u.phase IS NULL THEN x.score ELSE coalesce(w.score,0) END AS score, u.phase IS NOT NULL AS decided_now
+  FROM decided x LEFT JOIN ({_DUE}) u USING (occupancy_id) LEFT JOIN ({in_order("", "walk_due")[1]}) w USING (occupancy_id)""")
 def res_06_driver(spark, d):
     occ, scored, known = _driven(spark, d)
     mark = F.lit("9999-01-01").cast("timestamp_ntz")
-    after = resolver.resolve_due(known.drop("now"), resolver.due(occ, known, F.col("now")), scored, mark)
+    after = resolver.resolve_due(known.drop("now"), resolver.due(occ, known, F.col("now")), scored, mark, known=occ.select("occupancy_id", "td_area", "descr", "entered_at"))
     return after.select("occupancy_id", "status", "run_id", "score", (F.col("decided_at") == mark).alias("decided_now"))
 
 

@@ -101,6 +101,69 @@ VIEWS = {
 }
 
 
+#: Events of which some change an identity, and the runs that follow from them.
+VIEWS |= {
+    "trc": ("tr", "SELECT * REPLACE (CASE WHEN k%9=0 THEN 'change_of_identity' ELSE event_type END AS event_type), CASE WHEN k%9=0 THEN (identity*7+3)%150 END AS revised_identity FROM tr"),
+    "made": (
+        "trc",
+        """SELECT service_date, identity, min(seq) AS seq, CAST(NULL AS BIGINT) AS parent FROM trc WHERE event_type IN ('activation','unidentified') GROUP BY service_date, identity
+      UNION SELECT c.service_date, c.revised_identity, c.seq, c.identity FROM made m JOIN trc c ON c.service_date=m.service_date AND c.identity=m.identity WHERE c.event_type='change_of_identity' AND c.seq>m.seq""",
+    ),
+    "born": ("made", "SELECT service_date, identity, seq AS created_seq, parent FROM (SELECT *, row_number() OVER (PARTITION BY service_date, identity ORDER BY seq) AS n FROM made) WHERE n=1"),
+    "trail": (
+        "born",
+        """SELECT service_date, identity, identity AS root_identity FROM born WHERE parent IS NULL
+      UNION ALL SELECT b.service_date, b.identity, t.root_identity FROM trail t JOIN born b ON b.service_date=t.service_date AND b.parent=t.identity""",
+    ),
+    "chg": ("trc born", "SELECT c.*, b.created_seq AS old_seq FROM trc c JOIN born b USING (service_date, identity) WHERE c.event_type='change_of_identity' AND c.seq>b.created_seq"),
+    "own": ("trc born", "SELECT e.*, b.created_seq FROM trc e JOIN born b USING (service_date, identity) WHERE e.event_type<>'change_of_identity' AND e.seq>=b.created_seq AND NOT (e.event_type='activation' AND e.seq>b.created_seq)"),
+    "runs_c": (
+        "own chg born trail",
+        """SELECT b.identity, b.service_date, CAST(b.identity AS VARCHAR)||'|'||CAST(b.service_date AS VARCHAR) AS run_id, t.root_identity, r.signalling_id, a.train_uid, m.state, b.created_seq, a.event_at AS activated_at, m.last_event_at, m.n_events, m.superseded_by
+      FROM born b JOIN trail t USING (service_date, identity)
+      LEFT JOIN own a ON a.service_date=b.service_date AND a.identity=b.identity AND a.seq=b.created_seq AND a.event_type='activation'
+      LEFT JOIN own r ON r.service_date=b.service_date AND r.identity=t.root_identity AND r.seq=r.created_seq AND r.event_type='activation'
+      JOIN (SELECT service_date, identity, max_by(state, seq) FILTER (WHERE state IS NOT NULL) AS state, max_by(event_at, seq) AS last_event_at, count(*) FILTER (WHERE counts) AS n_events, max_by(superseded_by, seq) FILTER (WHERE superseded_by IS NOT NULL) AS superseded_by FROM (
+        SELECT service_date, identity, seq, event_at, CASE WHEN event_type='cancellation' THEN 'cancelled' WHEN event_type='reinstatement' THEN 'activated' WHEN seq=created_seq THEN CASE event_type WHEN 'unidentified' THEN 'unidentified' ELSE 'activated' END END AS state, true AS counts, CAST(NULL AS BIGINT) AS superseded_by FROM own
+        UNION ALL SELECT c.service_date, c.revised_identity, c.seq, c.event_at, CASE WHEN c.seq=b.created_seq THEN 'activated' END, true, NULL FROM chg c JOIN born b ON b.service_date=c.service_date AND b.identity=c.revised_identity
+        UNION ALL SELECT service_date, identity, seq, event_at, 'superseded', false, revised_identity FROM chg) GROUP BY 1,2) m ON m.service_date=b.service_date AND m.identity=b.identity""",
+    ),
+}
+for _name in ("lcand", "link", "cand", "scored", "decided"):  # the same over these runs
+    _needs, _text = VIEWS[_name]
+    for _old in ("runs", "lcand", "link", "cand", "scored"):
+        _needs = " ".join(f"{n}_c" if n == _old else n for n in _needs.split())
+        _text = _text.replace(f"FROM {_old} ", f"FROM {_old}_c ").replace(f"JOIN {_old} ", f"JOIN {_old}_c ").replace(f"FROM {_old})", f"FROM {_old}_c)")
+        _text = f"{_text}_c" if _text.endswith(f"FROM {_old}") else _text
+    VIEWS[f"{_name}_c"] = (_needs, _text if _name != "cand" else _text.replace("r.service_date=CAST", "r.state<>'superseded' AND r.service_date=CAST"))
+
+
+
+
+def in_order(rows: str, walk: str = "walk") -> tuple[str, str]:
+    """(recursive view, its select) that decides rows (descr, td_area, entered_at, occupancy_id, c: candidates, known: a match that stays) one after the other."""
+    seqd = f"SELECT *, row_number() OVER (PARTITION BY descr, td_area ORDER BY entered_at, occupancy_id) AS n FROM ({rows})"
+    near = f"SELECT s.*, w.last_run, w.last_at, coalesce(w.last_at < s.entered_at AND s.entered_at <= w.last_at + INTERVAL 10 MINUTE, false) AS near FROM {walk} w JOIN ({seqd}) s ON s.descr=w.descr AND s.td_area=w.td_area AND s.n=w.n+1"
+    began = f"SELECT *, CASE WHEN near THEN list_filter(c, lambda x: x.run_id=last_run)[1].activated_at END AS began FROM ({near})"
+    fresher = f"SELECT *, began IS NOT NULL AND len(list_filter(c, lambda x: x.run_id<>last_run AND x.activated_at>began))>0 AS fresher FROM ({began})"
+    scores = f"SELECT *, list_transform(c, lambda x: x.score+CASE WHEN near AND NOT fresher AND x.run_id=last_run THEN 30 ELSE 0 END) AS s FROM ({fresher})"
+    tops = f"SELECT *, coalesce(list_max(s),0) AS top FROM ({scores})"
+    won = f"SELECT *, CASE WHEN top>0 AND len(list_filter(s, lambda x: x=top))=1 THEN c[list_position(s, top)].run_id END AS winner FROM ({tops})"
+    return (
+        f"""SELECT DISTINCT descr, td_area, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS occupancy_id, true AS fixed, CAST(0 AS BIGINT) AS top, CAST(0 AS BIGINT) AS n_candidates, CAST(NULL AS VARCHAR) AS winner, CAST(NULL AS VARCHAR) AS last_run, CAST(NULL AS TIMESTAMP) AS last_at FROM ({rows})
+      UNION ALL SELECT descr, td_area, n, occupancy_id, known IS NOT NULL, top, coalesce(len(c),0), winner, coalesce(known, winner, last_run), CASE WHEN coalesce(known, winner) IS NOT NULL THEN entered_at ELSE last_at END FROM ({won})""",
+        f"SELECT occupancy_id, CASE WHEN top<=0 THEN 'unmatched' WHEN winner IS NULL THEN 'ambiguous' ELSE 'matched' END AS status, winner AS run_id, CAST(top AS INTEGER) AS score FROM {walk} WHERE NOT fixed",
+    )
+
+
+CANDIDATES = "SELECT descr, td_area, entered_at, occupancy_id, list({'run_id': run_id, 'activated_at': activated_at, 'score': score} ORDER BY run_id) AS c FROM scored GROUP BY ALL"
+VIEWS["walk"] = ("scored", in_order(f"SELECT *, CAST(NULL AS VARCHAR) AS known FROM ({CANDIDATES})")[0])
+WALKED = in_order("")[1]
+
+#: Views that name themselves.
+RECURSIVE = {"made", "trail", "walk", "walk_due"}
+
+
 def upto(interval: str, views: str, select: str) -> str:
     """The same over the events up to an interval before the last one, as a subquery."""
     return "(" + over(views, select).replace("FROM events", f"FROM events WHERE ts<=(SELECT max(ts) FROM events)-INTERVAL {interval}") + ")"
@@ -118,4 +181,4 @@ def over(views: str, select: str) -> str:
 
     for name in views.split():
         need(name)
-    return ("WITH " + ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order) + "\n" if order else "") + select
+    return ("WITH " + ("RECURSIVE " if RECURSIVE & {*order} else "") + ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order) + "\n" if order else "") + select

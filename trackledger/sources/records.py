@@ -88,12 +88,16 @@ def vstp_schedules(children: DataFrame) -> DataFrame:
 
 
 def vstp_calls(schedules: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, seq_no from 0, tiploc, times, platform, path, line, activity, activity_codes): a row per call of ``vstp_schedules``."""
-    rows = schedules.select(*keys, F.posexplode("calls").alias("seq_no", "_l"))
+    """(keys, seq_no from 1, kind, tiploc, times, platform, path, line, activity, activity_codes): a row per call of ``vstp_schedules``.
+
+    ``kind`` is the call's type by its place among the schedule's calls; the wire has no code for it.
+    """
+    rows = schedules.select(*keys, F.size("calls").alias("_n"), F.posexplode("calls").alias("_i", "_l")).withColumn("seq_no", F.col("_i") + 1)
     call = F.col("_l")
     texts = {name: _text(call, member, empty=True) for name, member in CALL_TEXTS.items()}
     tiploc = F.coalesce(_text(call, "location.tiploc.tiploc_id", empty=True), F.lit(""))
-    rows = rows.select(*keys, "seq_no", tiploc.alias("tiploc"), *[c.alias(n) for n, c in texts.items()])
+    kind = text.location_type(F.lit(None).cast("string"), F.col("_i"), F.col("_n"))
+    rows = rows.select(*keys, "seq_no", kind.alias("kind"), tiploc.alias("tiploc"), *[c.alias(n) for n, c in texts.items()])
     return rows.withColumn("activity_codes", F.coalesce(text.activity_codes(F.col("activity")), F.array().cast("array<string>")))
 
 
