@@ -43,7 +43,7 @@ from trackledger.llm import textops as T
 from trackledger.llm.store import new_path
 
 #: Bytes of a chunk that is remembered at most, and how many chunks a worker remembers.
-LONGEST, REMEMBERED = 64, 200_000
+LONGEST, REMEMBERED = 64, 300_000
 #: Bytes of results that a worker keeps at most.
 HELD = 1 << 26
 SLICE = 1 << 20
@@ -113,11 +113,11 @@ class Transducer:
         self.states: dict[tuple[int, bytes], int] = {(0, b""): 0}
         self.named: list[tuple[int, bytes]] = [(0, b"")]  # (side that leads, its bytes); 0 also is the closed state
         self.moves: list[dict[int, int]] = [{}]
+        self.lagging = [0]  # the side that gives the next token
 
     def move(self, state: int, token: int) -> int:
         """The state after the lagging side's next token; -1 if the bytes differ."""
-        lead, rest = self.named[state]
-        side = 1 - lead if rest else 0
+        (lead, rest), side = self.named[state], self.lagging[state]
         new = self.spelled[side][token]
         if rest.startswith(new):
             key = (lead, rest[len(new) :])
@@ -131,27 +131,32 @@ class Transducer:
         if to == len(self.named):
             self.named.append(key)
             self.moves.append({})
+            self.lagging.append(1 - key[0])
         self.moves[state][token] = to
         return to
 
     def groups(self, a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
         """(tokens of A, tokens of B) up to the end of each group; None if the sequences spell different bytes."""
-        tokens, at, state, out = (a, b), [0, 0], 0, []
-        moves, named, move = self.moves, self.named, self.move
-        sizes = (len(a), len(b))
+        moves, lagging, out = self.moves, self.lagging, []
+        i = j = state = 0
+        n, m = len(a), len(b)
         while True:
-            lead, rest = named[state]
-            side = 1 - lead if rest else 0
-            if at[side] == sizes[side]:
-                return out if not rest and at[1] == sizes[1] else None
-            token = tokens[side][at[side]]
-            at[side] += 1
+            if lagging[state]:
+                if j == m:
+                    return None
+                token = b[j]
+                j += 1
+            else:
+                if i == n:
+                    return out if not state and j == m else None
+                token = a[i]
+                i += 1
             to = moves[state].get(token)
-            state = move(state, token) if to is None else to
-            if state < 0:
-                return None
-            if state == 0:
-                out.append((at[0], at[1]))
+            state = self.move(state, token) if to is None else to
+            if state <= 0:
+                if state:
+                    return None
+                out.append((i, j))
 
 
 class Pairs:
@@ -168,8 +173,9 @@ class Pairs:
         found |= {a * self.width + b for b, raw in enumerate(b_bytes) for k in range(len(raw)) for a in by_bytes[0].get(raw[k:], ())}
         self.codes = np.array(sorted(found), dtype=np.int64)
 
-    def index(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.codes, a.astype(np.int64) * self.width + b)
+    def index(self, codes: np.ndarray) -> np.ndarray:
+        """The number of each pair a, b, given as ``a * width + b``."""
+        return np.searchsorted(self.codes, codes)
 
     def best(self, counts: np.ndarray) -> np.ndarray:
         """Whether a pair's count is the highest of all pairs with its token of B."""
@@ -204,37 +210,48 @@ class Aligner:
         """Empties what is known of chunks; row 0 is of none."""
         self.known: dict[bytes, int] = {}
         self.held = 0
-        self.figures = [(0, 0, 0)]  # tokens of A, tokens of B, links
+        self.figures = np.zeros((1, 3), np.int64)  # tokens of A, tokens of B, links
+        self.starts = np.zeros(1, np.int64)  # of each row's links
+        self.links = np.zeros(0, np.int32)
         self.written = [""]
-        self.links = [np.zeros(0, np.int32)]
 
     def align(self, chunks: list[bytes]) -> list[int]:
         """The row of each chunk, which starts with its blank; -1 if a side does not spell it."""
-        out = []
         ours = self.a.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
         theirs = self.b.encode([c[1:].decode() for c in chunks], num_threads=1) if chunks else []
+        a_bytes, an, bn, width, groups = self.transducer.spelled[0].__getitem__, self.a_names, self.b_names, self.pairs.width, self.transducer.groups
+        out, figures, codes = [], [], []
         for chunk, enc, b in zip(chunks, ours, theirs, strict=True):
             a = enc.ids
             if len(chunk) == 1:
                 b = self.blank  # no text is left to which B would add its blank
-            spelled = b"".join(map(self.transducer.spelled[0].__getitem__, a)) == chunk
-            ends = self.transducer.groups(a, b) if spelled else None
+            ends = groups(a, b) if b"".join(map(a_bytes, a)) == chunk else None
             if ends is None:
                 out.append(-1)
                 continue
-            cuts = [(0, 0), *ends]
-            an, bn = self.a_names, self.b_names
-            self.written.append(";".join([f"{','.join([an[x] for x in a[i:j]])}|{','.join([bn[x] for x in b[k:m]])}" for (i, k), (j, m) in zip(cuts, ends, strict=False)]))
-            at = np.array(ends, dtype=np.int64).reshape(-1, 2) - 1
-            self.links.append(self.pairs.index(np.array(a, dtype=np.int64)[at[:, 0]], np.array(b, dtype=np.int64)[at[:, 1]]).astype(np.int32))
-            self.figures.append((len(a), len(b), len(ends)))
-            self.held += len(self.written[-1]) + self.links[-1].nbytes
-            out.append(len(self.figures) - 1)
+            i, k, parts = 0, 0, []
+            for j, m in ends:
+                if j - i == 1 == m - k:
+                    parts.append(f"{an[a[i]]}|{bn[b[k]]}")
+                else:
+                    parts.append(f"{','.join([an[x] for x in a[i:j]])}|{','.join([bn[x] for x in b[k:m]])}")
+                codes.append(a[j - 1] * width + b[m - 1])
+                i, k = j, m
+            out.append(len(self.written))
+            self.written.append(";".join(parts))
+            self.held += len(self.written[-1]) + 4 * len(ends)
+            figures.append((len(a), len(b), len(ends)))
+        if figures:
+            figures = np.array(figures, dtype=np.int64)
+            sizes = figures[:, 2]
+            self.starts = np.concatenate([self.starts, len(self.links) + np.cumsum(sizes) - sizes])
+            self.figures = np.concatenate([self.figures, figures])
+            self.links = np.concatenate([self.links, self.pairs.index(np.array(codes, dtype=np.int64)).astype(np.int32)])
         return out
 
     def rows_of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The row of each chunk; equal chunks are looked up once."""
-        if len(self.figures) > REMEMBERED or self.held > HELD:
+        if len(self.written) > REMEMBERED or self.held > HELD:
             self.forget()
         _, first, kind = T.span_classes(data, start, end)
         raw = data.tobytes()
@@ -263,16 +280,23 @@ class Aligner:
         end = np.append(start[1:], len(data))
         rows = self.rows_of(data, start, end) if len(start) else np.zeros(0, np.int64)
         bounds = np.searchsorted(start, offsets)
-        figures = np.array(self.figures, dtype=np.int64)
-        for text in range(len(offsets) - 1):
-            own = rows[bounds[text] : bounds[text + 1]]
-            if len(own) and own.min() < 0:
-                own = np.array(self.align([data[offsets[text] : offsets[text + 1]].tobytes()]), dtype=np.int64)
-                figures = np.array(self.figures, dtype=np.int64)
-            if not len(own) or own.min() < 0:
-                yield (0, 0, 0), None, self.links[0]
-                continue
-            yield tuple(figures[own].sum(axis=0).tolist()), ";".join(map(self.written.__getitem__, own.tolist())), np.concatenate(list(map(self.links.__getitem__, own.tolist())))
+        text = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
+        whole = np.unique(text[rows < 0])  # texts of which a chunk is not spelled
+        if len(whole):
+            found = self.align([data[offsets[t] : offsets[t + 1]].tobytes() for t in whole.tolist()])
+            kept = ~np.isin(text, whole)
+            text, rows = np.concatenate([text[kept], whole]), np.concatenate([rows[kept], np.maximum(found, 0)])
+            order = np.argsort(text, kind="stable")
+            text, rows = text[order], rows[order]
+            bounds = np.searchsorted(text, np.arange(len(offsets)))
+        sizes = self.figures[rows, 2]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        links = self.links[np.repeat(self.starts[rows] - upto[:-1], sizes) + np.arange(int(upto[-1]))]
+        figures = [np.bincount(text, self.figures[rows, k], len(offsets) - 1).astype(np.int64).tolist() for k in range(3)]
+        names, written = rows.tolist(), self.written.__getitem__
+        for t, own in enumerate(zip(*figures, strict=True)):
+            a, b = int(bounds[t]), int(bounds[t + 1])
+            yield own, ";".join(map(written, names[a:b])) if own[0] else None, links[upto[a] : upto[b]]
 
 
 @lru_cache(maxsize=1)
