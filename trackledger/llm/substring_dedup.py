@@ -36,14 +36,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackledger.llm import textops as T
-from trackledger.llm.store import Membership, may_hold_column, written
+from trackledger.llm.store import Membership, may_hold_column, small_messages, written
 
 WINDOW = 20
 GRAM = 4
 #: Bytes of text that a task handles at once.
-SLICE = 1 << 21
+SLICE = 1 << 20
 #: Packed words of a partition of buckets, about; and into how many buckets they are cut.
-PART_WORDS, BUCKETS = 1 << 23, 16
+PART_WORDS, BUCKETS = 1 << 22, 16
+#: Bytes of an Arrow batch of packed strings, about.
+BATCH = 8 << 20
 #: Bits of the table of how common grams are; a gram counts if a slice has it so many times.
 COMMON_BITS, COMMON_FROM = 18, 4
 _LEAST = np.iinfo(np.int64).min
@@ -167,45 +169,51 @@ def minimisers(words: Words, gram: int, classes: np.ndarray) -> np.ndarray:
     return order
 
 
+_ROWS = pa.schema([("part", pa.int32()), ("payload", pa.binary()), ("id", pa.int64()), ("row", pa.int64()), ("first", pa.int32()), ("until", pa.int32())])
+
+
+def _packed_slice(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, rows: np.ndarray, classes: np.ndarray, parts: int, window: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """What travels of some texts: ranges of late windows, and packed super-k-mers of the others by part."""
+    words = Words(data, offsets, window)
+    at = _within(words.bounds, window)
+    if not len(at):
+        return
+    text = words.text[at]
+    place = at - words.bounds[text]
+    late = late_windows(words, at, ids[text], place)
+    first, size = _stretches(at[late])
+    begin = np.flatnonzero(late)[first]
+    if len(begin):
+        own = np.full(len(begin), T.mix(rows[:1].view(np.uint64))[0] % np.uint64(parts), dtype=np.int32)
+        until = place[begin] + size + window - 1
+        columns = [own, ids[text[begin]], rows[text[begin]], place[begin].astype(np.int32), until.astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(len(own), pa.binary()), *map(pa.array, columns[1:])], schema=_ROWS)
+    go = np.flatnonzero(~late)
+    least = minimisers(words, gram, classes)[at[go]]
+    first, size = _stretches(at[go], least)
+    begin = go[first]
+    name = T.mix(least[first] + np.uint64(1))
+    part, bucket = (name % np.uint64(parts)).astype(np.int32), (name >> np.uint64(60)).astype(np.int64) % BUCKETS
+    order = np.argsort(part, kind="stable")
+    a = at[begin][order]
+    n_words = size[order] + window - 1
+    begins, ends = words.start[a], words.end[a + n_words - 1]
+    columns = {"id": ids[text[begin]][order], "row": rows[text[begin]][order], "first": place[begin][order], "words": n_words, "bytes": ends - begins + 1, "bucket": bucket[order]}
+    cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
+    names, payloads, raw = part[order][cuts[:-1]], [], data.tobytes()
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        payloads.append(_pack({c: x[i:j] for c, x in columns.items()}, b"".join([raw[x:y] + b" " for x, y in zip(begins[i:j].tolist(), ends[i:j].tolist(), strict=True)])))
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(payloads, pa.binary()), *(pa.nulls(len(payloads), f.type) for f in list(_ROWS)[2:])], schema=_ROWS)
+
+
 def _packed(classes: Broadcast, parts: int, window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("part", pa.int32()), ("payload", pa.binary()), ("id", pa.int64()), ("row", pa.int64()), ("first", pa.int32()), ("until", pa.int32())])
         for batch in batches:
             ids = batch.column("id").fill_null(_LEAST).to_numpy()
             rows = batch.column("row").to_numpy()
             for row, data, offsets in T.slices(batch.column("text"), SLICE):
-                words = Words(data, offsets, window)
-                at = _within(words.bounds, window)
-                if not len(at):
-                    continue
-                text = row + words.text[at]
-                place = at - words.bounds[words.text[at]]
-                late = late_windows(words, at, ids[text], place)
-                first, size = _stretches(at[late])
-                begin = np.flatnonzero(late)[first]
-                done = len(first)
-                if done:
-                    own = np.zeros(done, np.int32) + np.int32(T.mix(np.array([rows[row]]).view(np.uint64))[0] % np.uint64(parts))
-                    until = place[begin] + size + window - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(done, pa.binary()), pa.array(ids[text[begin]]), pa.array(rows[text[begin]]), pa.array(place[begin].astype(np.int32)), pa.array(until.astype(np.int32))], schema=schema)
-                go = np.flatnonzero(~late)
-                least = minimisers(words, gram, classes.value)[at[go]]
-                first, size = _stretches(at[go], least)
-                begin = go[first]
-                name = T.mix(least[first] + np.uint64(1))
-                part, bucket = (name % np.uint64(parts)).astype(np.int32), (name >> np.uint64(60)).astype(np.int64) % BUCKETS
-                order = np.argsort(part, kind="stable")
-                a = at[begin][order]
-                n_words = size[order] + window - 1
-                begins, ends = words.start[a], words.end[a + n_words - 1]
-                columns = {"id": ids[text[begin]][order], "row": rows[text[begin]][order], "first": place[begin][order], "words": n_words, "bytes": ends - begins + 1, "bucket": bucket[order]}
-                cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
-                names, payloads = part[order][cuts[:-1]], []
-                raw = data.tobytes()
-                for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    payloads.append(_pack({c: x[i:j] for c, x in columns.items()}, b"".join([raw[x:y] + b" " for x, y in zip(begins[i:j].tolist(), ends[i:j].tolist(), strict=True)])))
-                none = len(payloads)
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(payloads, pa.binary()), *(pa.nulls(none, f.type) for f in list(schema)[2:])], schema=schema)
+                own = slice(row, row + len(offsets) - 1)
+                yield from _packed_slice(data, offsets, ids[own], rows[own], classes.value, parts, window, gram)
 
     return run
 
@@ -306,7 +314,8 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
 
     Only texts that may have ranges, by a membership filter, are joined to them; the others are never shuffled.
     """
-    ranges = written(late_ranges(docs, id_column, text, window, gram), "ranges")
+    with small_messages(docs.sparkSession, BATCH):
+        ranges = written(late_ranges(docs, id_column, text, window, gram), "ranges")
     rows = docs.select(F.col(f"`{id_column}`").alias("_id"), F.col(f"`{text}`").alias("_text"), _row(id_column, text).alias("_row"))
     rows = rows.withColumn("_hit", may_hold_column(Membership(ranges.select("row"), "row"), F.col("_row")))
     own = ranges.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("first", "until")).alias("_ranges"))
