@@ -304,3 +304,81 @@ def test_periodic_runs_query_on_a_small_table(spark, tmp_path):
         digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
         expected.append((name, len(runs), *best, digest("".join(f"{a},{n},{q}\n" for a, n, q in runs)), digest(" ".join(w for i, w in enumerate(s) if i not in gone))))
     assert echoed > 3 and got == sorted(expected, key=repr)
+
+
+# Terms that only count together
+
+
+def test_exclusive_terms_are_learned():
+    from trackledger.llm import toxicity
+
+    rng = np.random.default_rng(5)
+    rows, label = [], []
+    for _ in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append(sorted({*rng.integers(1000, 3000, 40).tolist(), *([1] if a else []), *([2] if b else [])}))
+        label.append(float(a != b))
+    bounds = np.cumsum([0, *(len(r) for r in rows[:2000])])
+    model = toxicity.fit_arrays(np.array(sum(rows[:2000], [])), bounds, np.array(label[:2000]))
+    scores = []
+    for own in rows[2000:]:
+        v = model.vector[own]
+        scores.append(model.bias + model.weight[own].sum() + 0.5 * ((v.sum(axis=0) ** 2) - (v * v).sum(axis=0)).sum())
+    y = np.array(label[2000:]) > 0
+    good, bad = np.array(scores)[y], np.array(scores)[~y]
+    assert (good[:, None] > bad[None, :]).mean() > 0.95
+    assert int(model.active().sum()) < 20
+
+
+# Words whose sums collide, in the operators that hash words
+
+
+def test_colliding_words_keep_their_own_ids_and_samples(spark):
+    from trackledger.llm import huffman, jaccard_join, piece_sampling
+
+    a, b = colliding_pair()
+    texts = [a, b, f"x {a}", f"x {b}", a]
+    encoder = huffman.Encoder(Q.tokenizer_file("word_bpe_49k.json"))
+    offsets = np.cumsum([0, *(len(t) for t in texts)])
+    data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    got = [np.frombuffer(x, dtype="<u4").tolist() for x in encoder.texts(data, offsets, 2)]
+    again = [np.frombuffer(x, dtype="<u4").tolist() for x in encoder.texts(data[offsets[1] : offsets[2]], np.array([0, len(b)]), 2)]
+    whole = [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert got == whole and again == [whole[1]]
+    model = piece_sampling.pieces(Q.tokenizer_file("piece_bpe_32k.model"))
+    drawn = piece_sampling.sample_slice(model, data, offsets, np.arange(len(texts), dtype=np.uint64), 2)
+    for text, samples in zip(texts, drawn, strict=True):
+        for ids, *_ in samples:
+            assert piece_sampling.decode_ids(model, ids, np.array([0, len(ids)])) == [text]
+    sets = list(jaccard_join.shingle_sets(data, offsets))
+    assert (sets[0] != sets[1]).all() and (sets[0] == sets[4]).all()
+
+
+def test_colliding_words_match_no_item(spark):
+    from trackledger.llm import decontamination
+
+    a, b = colliding_pair()
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, a)], "item_id long, text string")
+    assert [tuple(r)[:2] for r in decontamination.overlapping(docs, items).collect()] == [(1, 7)]
+
+
+# Orders and cuts against plain loops
+
+
+def test_shard_order_is_that_of_a_plain_sort(spark):
+    from trackledger.llm import sharding
+
+    rows = [(i, f"text {i % 50}", "en", "hot" if i % 3 == 0 else f"s{i % 5}", None) for i in range(700)]
+    placed = sharding.interleave(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(6), 24).collect()
+    size = {s: sum(r["source"] == s for r in placed) for s in {r["source"] for r in placed}}
+    order = sorted(placed, key=lambda r: (r["shard"], r["slot"]))
+    bounds = [0]
+    for s in range(24):
+        own = [r for r in order if r["shard"] == s]
+        assert [r["slot"] for r in own] == list(range(len(own)))
+        bounds.append(bounds[-1] + len(own))
+    assert max(np.diff(bounds)) - min(np.diff(bounds)) <= 1
+    for source, n in size.items():  # ranks of a source are spread evenly over the whole order
+        at = [k for k, r in enumerate(order) if r["source"] == source]
+        assert all(abs((j + 0.5) / n - (k + 0.5) / len(order)) < 2 * len(size) / len(order) + 1 / n for j, k in enumerate(at))

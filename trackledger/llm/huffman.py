@@ -108,7 +108,7 @@ class Encoder:
         return out
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,19 +125,19 @@ class Encoder:
         end = np.minimum(np.concatenate([start[1:], [len(data)]]), next_stop)
         return start, np.minimum(end, offsets[T.text_of(offsets, start) + 1])
 
-    def learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> None:
+    def learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, names: list[bytes]) -> None:
         raw = data.tobytes()
         foreign = np.zeros(len(data) + 1, dtype=np.int64)
         np.cumsum(data >= 0x80, out=foreign[1:])
         ascii_only = foreign[end] == foreign[start]
         order = np.concatenate([np.flatnonzero(ascii_only), np.flatnonzero(~ascii_only)])
-        start, end, hashes, n = start[order], end[order], hashes[order], int(ascii_only.sum())
+        start, end, n = start[order], end[order], int(ascii_only.sum())
         words = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
         found = [e.ids for e in self.plain.encode_batch_fast([w.lower() for w in words[:n]], add_special_tokens=False)]
         found += [e.ids for e in self.tokenizer.encode_batch_fast(words[n:], add_special_tokens=False)]
         sizes = np.array([len(x) for x in found], dtype=np.int64)
         begin = len(self.ids) + np.cumsum(sizes) - sizes
-        self.known.update(zip(hashes.tolist(), range(len(self.starts), len(self.starts) + len(found)), strict=True))
+        self.known.update(zip([names[k] for k in order.tolist()], range(len(self.starts), len(self.starts) + len(found)), strict=True))
         self.starts, self.sizes = np.concatenate([self.starts, begin]), np.concatenate([self.sizes, sizes])
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
 
@@ -145,16 +145,18 @@ class Encoder:
         """The ids of all texts, the end id after each, and their bounds."""
         n = len(offsets) - 1
         start, end = self.chunks(data, offsets)
-        hashes, example, kind = np.unique(T.span_hashes(T.prefix_sums(data, T.LOWER), start, end), return_index=True, return_inverse=True)
-        names = hashes.tolist()
-        at = np.array([self.known.get(h, -1) for h in names], dtype=np.int64)
+        _, example, kind = T.span_classes(data, start, end, T.LOWER)
+        lower = T.LOWER[data].tobytes()
+        names = [lower[a:b] for a, b in zip(start[example].tolist(), end[example].tolist(), strict=True)]
+        at = np.array([self.known.get(name, -1) for name in names], dtype=np.int64)
         new = np.flatnonzero(at < 0)
         if len(new):
             if len(self.known) + len(new) > REMEMBERED:
                 self.forget()
                 new = np.arange(len(names))
-            self.learn(data, start[example[new]], end[example[new]], hashes[new])
-            at[new] = [self.known[h] for h in hashes[new].tolist()]
+            own = [names[k] for k in new.tolist()]
+            self.learn(data, start[example[new]], end[example[new]], own)
+            at[new] = [self.known[name] for name in own]
         row = at[kind]
         size = self.sizes[row]
         text = T.text_of(offsets, start)

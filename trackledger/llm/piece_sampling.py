@@ -277,8 +277,7 @@ def sample_slice(model: Pieces, data: np.ndarray, offsets: np.ndarray, keys: np.
     opens[offsets[filled]] = True
     start = np.flatnonzero(opens)
     end = np.concatenate([start[1:], [len(data)]])
-    hashes = T.span_hashes(T.prefix_sums(data), start, end)
-    _, example, kind = np.unique(hashes, return_index=True, return_inverse=True)
+    _, example, kind = T.span_classes(data, start, end)
     size = end[example] - start[example]
     place = np.cumsum(size) - size
     own = np.repeat(start[example] - place, size) + np.arange(int(size.sum()))

@@ -55,7 +55,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np
     start, end = T.word_spans(data, offsets, T.NOT_BLANK)
     if not len(start):
         return []
-    hashes = T.span_hashes(T.prefix_sums(data), start, end)
+    hashes = T.strong_hashes(data, start, end)
     text = T.text_of(offsets, start)
     out = [(text, (hashes >> shift).astype(np.int64))]
     pair = text[1:] == text[:-1]
