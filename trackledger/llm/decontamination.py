@@ -17,8 +17,9 @@ a pass finds or keeps is written before the next block is made and the broadcast
 up, so memory is bounded however large the benchmark is.  Documents are neither shuffled nor
 cut.
 
-Null and empty texts match nothing; repeated rows are each reported; an item whose id is
-null takes part and is reported with a null id.
+Null and empty texts match nothing.  Rows of one document id count as one document: its best
+overlap with an item id is reported once, whatever row it is in.  An item whose id is null
+takes part and is reported with a null id.
 """
 
 from __future__ import annotations

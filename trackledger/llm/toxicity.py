@@ -5,9 +5,11 @@ ones, hashed into ``2**TERM_BITS`` buckets.
 The score is ``sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>)``: besides a weight per term
 there is a learned vector per term, so a pair such as an insult beside a group mention
 counts beyond the two words alone.  Both parts are trained with AdaGrad on mini-batches
-in numpy.  Terms whose document counts in the two classes show no association (a G test
-under ``MIN_ASSOCIATION``) are left out, and a proximal step drives weights and vectors of
-the rest to zero unless they earn their place, so that very long clean texts gather no noise.
+in numpy.  Terms are learned that show an association with the label, alone (a G test from
+``MIN_ASSOCIATION`` on) or in a pair that tells more by ``MIN_JOINT_ASSOCIATION`` than either
+of its terms, as where only one of two words makes a text toxic.  A proximal step drives
+weights and vectors to zero unless they earn their place, so that very long clean texts
+gather no noise.
 
 Learning takes a bounded sample of labelled rows (``MAX_TRAINING_ROWS``); scoring takes
 every row and every word.  Null or empty texts score ``sigmoid(b)``; repeated rows score
@@ -38,6 +40,9 @@ L1_WEIGHT = 1e-4
 L1_VECTOR = 1e-3
 MIN_TRAINING_DOCS = 2
 MIN_ASSOCIATION = 10.0
+MIN_JOINT_ASSOCIATION = 120.0
+#: Pairs are tested of terms in this share of the training documents, of the most frequent ones if there are more.
+PAIR_SHARE, PAIR_TERMS = 0.01, 2_048
 #: The rarer class counts so many times (as a power of the ratio of the classes).
 BALANCE = 0.5
 
@@ -57,7 +62,7 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start, end = T.word_spans(data, offsets, T.ALNUM)
     sums, text = T.prefix_sums(data, T.LOWER), T.text_of(offsets, start)
     longer = end - start > PREFIX
-    hashes = T.span_hashes(sums, start, end), T.mix(T.span_hashes(sums, start[longer], start[longer] + PREFIX))
+    hashes = T.strong_hashes(data, start, end, T.LOWER), T.mix(T.span_hashes(sums, start[longer], start[longer] + PREFIX))
     text = np.concatenate([text, text[longer]])
     pairs = np.unique((text << TERM_BITS) | (np.concatenate(hashes) >> np.uint64(64 - TERM_BITS)).astype(np.int64))
     return pairs >> TERM_BITS, pairs & ((1 << TERM_BITS) - 1)
@@ -81,10 +86,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def association(bucket: np.ndarray, bounds: np.ndarray, label: np.ndarray) -> np.ndarray:
     """The G statistic of each bucket's presence against the label."""
-    size, docs, toxic = 1 << TERM_BITS, float(len(label)), float(label.sum())
     doc = np.repeat(np.arange(len(label)), np.diff(bounds))
-    n = np.bincount(bucket, minlength=size).astype(float)
-    a = np.bincount(bucket, label[doc], size)
+    n = np.bincount(bucket, minlength=1 << TERM_BITS).astype(float)
+    return g_statistic(n, np.bincount(bucket, label[doc], 1 << TERM_BITS), float(len(label)), float(label.sum()))
+
+
+def g_statistic(n: np.ndarray, a: np.ndarray, docs: float, toxic: float) -> np.ndarray:
+    """Of what is in n documents, a of them toxic, against the label."""
 
     def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
@@ -95,6 +103,25 @@ def association(bucket: np.ndarray, bounds: np.ndarray, label: np.ndarray) -> np
     return np.where(n >= MIN_TRAINING_DOCS, 2 * g, 0.0)
 
 
+def joint(bucket: np.ndarray, bounds: np.ndarray, label: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """The buckets of pairs that are associated with the label beyond what their terms are alone."""
+    n = np.bincount(bucket, minlength=1 << TERM_BITS)
+    chosen = np.flatnonzero(n >= max(MIN_TRAINING_DOCS, PAIR_SHARE * len(label)))
+    chosen = chosen[np.argsort(-n[chosen], kind="stable")[:PAIR_TERMS]]
+    place = np.full(1 << TERM_BITS, -1)
+    place[chosen] = np.arange(len(chosen))
+    doc, term = np.repeat(np.arange(len(label)), np.diff(bounds)), place[bucket]
+    has = np.zeros((len(label), len(chosen)), dtype=np.float32)
+    has[doc[term >= 0], term[term >= 0]] = 1
+    toxic, found = has[label > 0], np.zeros(len(chosen), dtype=bool)
+    for at in range(0, len(chosen), 256):
+        g = g_statistic((has[:, at : at + 256].T @ has).astype(float), (toxic[:, at : at + 256].T @ toxic).astype(float), float(len(label)), float(label.sum()))
+        more = g - np.maximum(alone[chosen[at : at + 256], None], alone[chosen][None, :]) >= MIN_JOINT_ASSOCIATION
+        found[at : at + 256] |= more.any(axis=1)
+        found |= more.any(axis=0)
+    return chosen[found]
+
+
 def fit_arrays(bucket: np.ndarray, bounds: np.ndarray, label: np.ndarray, seed: int = 7) -> Model:
     """The machine for documents whose buckets are ``bucket[bounds[i]:bounds[i + 1]]``."""
     rng = np.random.default_rng(seed)
@@ -102,7 +129,9 @@ def fit_arrays(bucket: np.ndarray, bounds: np.ndarray, label: np.ndarray, seed:
     weight, vector = np.zeros(size), np.zeros((size, FACTORS))
     if not len(label) or not 0 < label.mean() < 1:
         return Model(-30.0 if not len(label) or label.mean() == 0 else 30.0, weight, vector)
-    seen = association(bucket, bounds, label) >= MIN_ASSOCIATION
+    alone = association(bucket, bounds, label)
+    seen = alone >= MIN_ASSOCIATION
+    seen[joint(bucket, bounds, label, alone)] = True
     keep = seen[bucket]
     bounds = np.concatenate([[0], np.cumsum(keep)])[bounds]
     bucket = bucket[keep]
