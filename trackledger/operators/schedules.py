@@ -22,6 +22,17 @@ def runs_on(day: Column, start: Column, end: Column, days_run: Column) -> Column
     return day.between(start, end) & ((mask == "") | (F.substr(mask, F.weekday(day) + 1, F.lit(1)) == "1"))
 
 
+def by_month(rows: DataFrame, day: str) -> DataFrame:
+    """The rows with the month of a date, to be joined with ``by_months``."""
+    return rows.withColumn("_month", F.trunc(day, "month"))
+
+
+def by_months(schedules: DataFrame) -> DataFrame:
+    """A row per month that a schedule's dates touch, so that a join on train and month meets no schedule of other months."""
+    months = F.sequence(F.trunc("start_date", "month"), F.trunc("end_date", "month"), F.expr("INTERVAL 1 MONTH"))
+    return schedules.where(F.col("start_date") <= F.col("end_date")).withColumn("_month", F.explode(months))
+
+
 def effective(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, outcome, schedule_id, stp, n_top): the one candidate of highest precedence, or ``ambiguous`` if several tie.
 
@@ -42,7 +53,7 @@ def effective_on(schedules: DataFrame, day: str) -> DataFrame:
 
 def lookup(schedules: DataFrame, wanted: DataFrame) -> DataFrame:
     """(train_uid, day, outcome, schedule_id): matched, ambiguous, unmatched, or not_found for a train without any schedule."""
-    runs = wanted.join(schedules, "train_uid").where(runs_on(F.col("day"), F.col("start_date"), F.col("end_date"), F.col("days_run")))
+    runs = by_month(wanted, "day").join(by_months(schedules), ["train_uid", "_month"]).where(runs_on(F.col("day"), F.col("start_date"), F.col("end_date"), F.col("days_run")))
     found = effective(runs, ["train_uid", "day"])
     known = schedules.select("train_uid").distinct().withColumn("_known", F.lit(True))
     out = wanted.join(found, ["train_uid", "day"], "left").join(known, "train_uid", "left")
@@ -52,7 +63,7 @@ def lookup(schedules: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def link_runs(runs: DataFrame, schedules: DataFrame) -> DataFrame:
     """(run_id, outcome, schedule_id): every run with the outcome of its train's lookup on its service date."""
-    cand = runs.select("run_id", "train_uid", "service_date").join(schedules, "train_uid")
+    cand = by_month(runs.select("run_id", "train_uid", "service_date"), "service_date").join(by_months(schedules), ["train_uid", "_month"])
     cand = cand.where(runs_on(F.col("service_date"), F.col("start_date"), F.col("end_date"), F.col("days_run")))
     found = effective(cand, ["run_id"]).select("run_id", "outcome", "schedule_id")
     return runs.select("run_id").join(found, "run_id", "left").select("run_id", F.coalesce("outcome", F.lit("unmatched")).alias("outcome"), "schedule_id")

@@ -43,6 +43,28 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: str) ->
     return both.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(_key(keys))]).agg(whole).select("_r.*")
 
 
+def merged_log(state: DataFrame | None, operations: DataFrame, keys: list[str], order: str, operation: str = "operation") -> DataFrame:
+    """The last operation of each key by sequence, deletes included: a delete stays as a tombstone.
+
+    ``state`` is what an earlier call gave.  A late operation that is older than what the
+    state holds of its key changes nothing, so an old create does not bring back what a
+    newer delete removed, in whatever order batches come.  ``visible`` leaves tombstones out.
+    """
+    both = operations if state is None else state.unionByName(operations)
+    return last_per_key(both, keys, order)
+
+
+def visible(state: DataFrame, operation: str = "operation") -> DataFrame:
+    """The rows of keys whose last operation is not a delete."""
+    return state.where(F.col(operation) != "delete")
+
+
+def diagnostics(events: DataFrame, wanted: DataFrame, key: list[str], at: str) -> DataFrame:
+    """(key, n, first_at, last_at) of each wanted key; one without events has n = 0 and no times."""
+    found = events.join(wanted, key, "left_semi").groupBy(*key).agg(F.count("*").alias("n"), F.min(at).alias("first_at"), F.max(at).alias("last_at"))
+    return wanted.join(found, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def replace_children(existing: DataFrame, staged: DataFrame, touched: DataFrame, parent: str) -> DataFrame:
     """Children of touched parents come from the staged rows alone, all others stay."""
     kept = existing.join(touched.select(parent).distinct(), parent, "left_anti")

@@ -14,6 +14,7 @@ from trackledger import adapters as A
 from trackledger.functions import clock, text
 from trackledger.operators import berths, paging, resolver, runs, schedules, tables
 from trackledger.plans.sql import WALKED, over
+from trackledger.session import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -185,10 +186,14 @@ def _calls(spark, d):
     return A.schedule_locations(spark, d).join(A.location_reference(spark, d), "tiploc", "left")
 
 
-def _scored(spark, d, only: str = "true", events=None):
-    """(occupancies, their scored candidates): all, or only those of a condition, which then are the only ones joined."""
-    occ, own = berths.occupancies(A.td_events(spark, d)).where(only), runs.runs(A.trust_events(spark, d) if events is None else events)
-    links = schedules.link_runs(own, A.schedules(spark, d, A.SCHEDULE_SHIFT_DAYS))
+def _scored(spark, d, only: str = "true", events=None, own=None, links=None):
+    """(occupancies, their scored candidates): all, or only those of a condition, which then are the only ones joined.
+
+    ``own`` and ``links``: the runs and their schedule links, if the caller has them.
+    """
+    occ = berths.occupancies(A.td_events(spark, d)).where(only)
+    own = runs.runs(A.trust_events(spark, d) if events is None else events) if own is None else own
+    links = schedules.link_runs(own, A.schedules(spark, d, A.SCHEDULE_SHIFT_DAYS)) if links is None else links
     return occ, resolver.candidates(occ, own, links, _calls(spark, d).select("schedule_id", "stanox"), A.smart_steps(spark))
 
 
@@ -286,21 +291,30 @@ def res_08_live_summary(spark, d):
 @query("decided occ runs link loc ref marked", f"""SELECT o.td_area, o.berth, o.descr, x.status, r.run_id, r.state, k.outcome, k.schedule_id, w.n_calls, w.route, r.latest_at, r.running FROM occ o JOIN decided x USING (occupancy_id)
   LEFT JOIN ({_LATEST}) r ON r.run_id=x.run_id LEFT JOIN link k ON k.run_id=x.run_id LEFT JOIN ({_ROUTES}) w ON w.schedule_id=k.schedule_id WHERE o.exit_seq IS NULL""")
 def joi_19_current_runs(spark, d):
-    now, scored = _scored(spark, d, only="exit_seq is null")
-    links = schedules.link_runs(runs.runs(A.trust_events(spark, d)), A.schedules(spark, d, A.SCHEDULE_SHIFT_DAYS))
-    star = now.join(resolver.decide(now, scored).select("occupancy_id", "status", "run_id"), "occupancy_id").join(links, "run_id", "left")
+    events = A.trust_events(spark, d)
+    own = kept(runs.runs(events))  # runs, links and the few open occupancies are made once and used by several joins
+    links = kept(schedules.link_runs(own, A.schedules(spark, d, A.SCHEDULE_SHIFT_DAYS)))
+    now, scored = _scored(spark, d, only="exit_seq is null", own=own, links=links)
+    now = now.join(resolver.decide(now, scored).select("occupancy_id", "status", "run_id"), "occupancy_id")
+    star = kept(now.select("td_area", "berth", "descr", "status", "run_id").join(links, "run_id", "left"))
     calls = _calls(spark, d).join(star.select("schedule_id").distinct(), "schedule_id", "left_semi")
-    star = star.join(res_07_run_summaries(spark, d), "run_id", "left").join(_routes(calls), "schedule_id", "left")
+    met = own.join(star.select("run_id").distinct(), "run_id", "left_semi")
+    star = star.join(_summaries(events, met), "run_id", "left").join(_routes(calls), "schedule_id", "left")
     return star.select("td_area", "berth", "descr", "status", "run_id", "state", "outcome", "schedule_id", "n_calls", "route", "latest_at", "running")
 
 
 @query("marked runs", _LATEST)
 def res_07_run_summaries(spark, d):
-    ev = A.trust_events(spark, d)
-    moves = runs.run_events(ev).where("event_type = 'movement'").join(ev.select("seq", "k"), "seq")
+    events = A.trust_events(spark, d)
+    return _summaries(events, runs.runs(events))
+
+
+def _summaries(events, own):
+    """Each run with its latest movement: one since it was created."""
+    moves = events.where("event_type = 'movement'").join(own.select("identity", "service_date", "created_seq"), ["identity", "service_date"]).where("seq >= created_seq")
     last = moves.groupBy("identity", "service_date").agg(F.max_by("event_at", "seq").alias("latest_at"), F.max_by("k", "seq").alias("k"))
     status = F.when(F.col("k") == 0, "ON TIME").when(F.col("k") % 2 == 1, "EARLY").when(F.col("k").isNotNull(), "LATE")
-    joined = runs.runs(ev).join(last, ["identity", "service_date"], "left")
+    joined = own.join(last, ["identity", "service_date"], "left")
     return joined.select("run_id", "state", "latest_at", text.running_indication(status, F.col("k").cast("string"), F.lit(None).cast("string")).alias("running"))
 
 
@@ -336,9 +350,12 @@ def srt_03_berth_page(spark, d):
     return paging.page(rows, "berth", "0004", 5)
 
 
-@query("td", "SELECT count(*) AS n, min(event_at) AS first_at, max(event_at) AS last_at FROM td WHERE td_area='A9'")
+@query("bind td", """SELECT b.slug, b.element_id, count(t.event_at) AS n, min(t.event_at) AS first_at, max(t.event_at) AS last_at FROM bind b
+  LEFT JOIN (SELECT td_area, from_berth AS berth, event_at FROM td WHERE message_type IN ('CA','CB') UNION ALL SELECT td_area, to_berth, event_at FROM td WHERE message_type IN ('CA','CC')) t USING (td_area, berth) GROUP BY 1,2""")
 def agg_04_binding_diagnostics(spark, d):
-    return A.td_events(spark, d).where("td_area = 'A9'").agg(F.count("*").alias("n"), F.min("event_at").alias("first_at"), F.max("event_at").alias("last_at"))
+    """How often each bound berth was seen; those of the area that sends nothing never."""
+    seen = berths.berth_changes(A.td_events(spark, d)).select("td_area", "berth", "event_at")
+    return tables.diagnostics(seen, A.map_bindings(spark), ["td_area", "berth"], "event_at").select("slug", "element_id", "n", "first_at", "last_at")
 
 
 @query("td tds tr", "SELECT greatest((SELECT max(event_at) FROM td WHERE message_type<>'CT'), (SELECT max(event_at) FROM tds), (SELECT max(event_at) FROM tr WHERE event_type='none')) AS last_at")
