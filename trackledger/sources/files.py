@@ -39,10 +39,15 @@ def schedule_records(lines: DataFrame) -> DataFrame:
     return lines.where(F.trim("line") != "").select("file", "line_no", kind.alias("record_type"), F.col("line").alias("raw"), error.alias("error_code"))
 
 
+def complete_files(records: DataFrame, file: list[str]) -> DataFrame:
+    """(file, complete): a file counts only with both its header and its trailer."""
+    has = lambda kind: F.coalesce(F.bool_or(F.col("record_type") == kind), F.lit(False))
+    return records.groupBy(*file).agg((has("header") & has("trailer")).alias("complete"))
+
+
 def is_complete(records: DataFrame) -> bool:
-    """A file counts only with both its header and its trailer."""
-    found = records.agg(F.bool_or(F.col("record_type") == "header").alias("h"), F.bool_or(F.col("record_type") == "trailer").alias("t")).first()
-    return bool(found["h"]) and bool(found["t"])
+    """Whether the records, of one file, are complete."""
+    return bool(complete_files(records, []).first()["complete"])
 
 
 def _date(value: Column) -> Column:
