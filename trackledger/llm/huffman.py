@@ -44,6 +44,8 @@ LANE = 256
 BLOCK_IDS = 1 << 16
 #: Distinct chunks whose ids a worker remembers.
 REMEMBERED = 1_000_000
+#: Bytes of text that are cut into chunks at once.
+SLICE = 1 << 21
 _WORDY = np.zeros(256, dtype=bool)
 _WORDY[48:58] = _WORDY[65:91] = _WORDY[97:123] = True
 
@@ -108,8 +110,9 @@ class Encoder:
         return out
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known: dict[int, int] = {}
         self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.places, self.lengths, self.spelled = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)  # the chunks' lower-case bytes
 
     def chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         inside = T.NOT_BLANK[data]
@@ -125,7 +128,8 @@ class Encoder:
         end = np.minimum(np.concatenate([start[1:], [len(data)]]), next_stop)
         return start, np.minimum(end, offsets[T.text_of(offsets, start) + 1])
 
-    def learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, names: list[bytes]) -> None:
+    def learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Encodes chunks; the row of each."""
         raw = data.tobytes()
         foreign = np.zeros(len(data) + 1, dtype=np.int64)
         np.cumsum(data >= 0x80, out=foreign[1:])
@@ -136,27 +140,34 @@ class Encoder:
         found = [e.ids for e in self.plain.encode_batch_fast([w.lower() for w in words[:n]], add_special_tokens=False)]
         found += [e.ids for e in self.tokenizer.encode_batch_fast(words[n:], add_special_tokens=False)]
         sizes = np.array([len(x) for x in found], dtype=np.int64)
-        begin = len(self.ids) + np.cumsum(sizes) - sizes
-        self.known.update(zip([names[k] for k in order.tolist()], range(len(self.starts), len(self.starts) + len(found)), strict=True))
-        self.starts, self.sizes = np.concatenate([self.starts, begin]), np.concatenate([self.sizes, sizes])
+        rows = np.empty(len(order), dtype=np.int64)
+        rows[order] = len(self.starts) + np.arange(len(order))
+        self.starts, self.sizes = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes]), np.concatenate([self.sizes, sizes])
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
+        size = end - start
+        before = np.cumsum(size) - size
+        self.places, self.lengths = np.concatenate([self.places, len(self.spelled) + before]), np.concatenate([self.lengths, size])
+        self.spelled = np.concatenate([self.spelled, T.LOWER[data[np.repeat(start - before, size) + np.arange(int(size.sum()))]]])
+        return rows
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, the end id after each, and their bounds."""
         n = len(offsets) - 1
         start, end = self.chunks(data, offsets)
-        _, example, kind = T.span_classes(data, start, end, T.LOWER)
-        lower = T.LOWER[data].tobytes()
-        names = [lower[a:b] for a, b in zip(start[example].tolist(), end[example].tolist(), strict=True)]
-        at = np.array([self.known.get(name, -1) for name in names], dtype=np.int64)
+        hashes, example, kind = T.span_classes(data, start, end, T.LOWER)
+        names, first, last = hashes.tolist(), start[example], end[example]
+        at = np.array([self.known.get(h, -1) for h in names], dtype=np.int64)
+        hit = np.flatnonzero(at >= 0)
+        same = last[hit] - first[hit] == self.lengths[at[hit]]
+        same &= T.same_bytes(T.LOWER[data], np.where(same, self.lengths[at[hit]], 0), first[hit], self.places[at[hit]], self.spelled)
+        at[hit[~same]] = -1  # another chunk of the same hash
         new = np.flatnonzero(at < 0)
         if len(new):
             if len(self.known) + len(new) > REMEMBERED:
                 self.forget()
                 new = np.arange(len(names))
-            own = [names[k] for k in new.tolist()]
-            self.learn(data, start[example[new]], end[example[new]], own)
-            at[new] = [self.known[name] for name in own]
+            at[new] = self.learn(data, first[new], last[new])
+            self.known.update((names[k], int(at[k])) for k in new.tolist())
         row = at[kind]
         size = self.sizes[row]
         text = T.text_of(offsets, start)
@@ -179,7 +190,7 @@ def encode_column(text: Column, tokenizer_file: str, end_id: int) -> Column:
         if tokenizer_file not in _ENCODERS:
             _ENCODERS[tokenizer_file] = Encoder(tokenizer_file)
         out = []
-        for _, data, offsets in T.slices(texts):
+        for _, data, offsets in T.slices(texts, SLICE):
             out += _ENCODERS[tokenizer_file].texts(data, offsets, end_id)
         return pa.array(out, pa.binary())
 

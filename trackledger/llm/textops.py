@@ -121,14 +121,18 @@ def strong_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np
     return hashes
 
 
-def same_bytes(data: np.ndarray, size: np.ndarray, start: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Whether the ``size`` bytes from each start equal those from the other; eight bytes a step."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+def _eights(data: np.ndarray) -> np.ndarray:
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+
+
+def same_bytes(data: np.ndarray, size: np.ndarray, start: np.ndarray, other: np.ndarray, others: np.ndarray | None = None) -> np.ndarray:
+    """Whether the ``size`` bytes from each start equal those from the other, of ``others`` if given; eight bytes a step."""
+    eight = _eights(data)
+    second = eight if others is None else _eights(others)
     same, left = np.ones(len(size), dtype=bool), np.flatnonzero(size > 0)
     at = 0
     while len(left):
-        differ = eight[start[left] + at] ^ eight[other[left] + at]
+        differ = eight[start[left] + at] ^ second[other[left] + at]
         over = np.maximum(0, 8 - (size[left] - at)).astype(np.uint64)
         same[left] &= differ << (np.uint64(8) * over) == 0
         at += 8
