@@ -382,3 +382,101 @@ def test_shard_order_is_that_of_a_plain_sort(spark):
     for source, n in size.items():  # ranks of a source are spread evenly over the whole order
         at = [k for k, r in enumerate(order) if r["source"] == source]
         assert all(abs((j + 0.5) / n - (k + 0.5) / len(order)) < 2 * len(size) / len(order) + 1 / n for j, k in enumerate(at))
+
+
+def test_chunks_are_those_of_a_plain_loop():
+    from trackledger.llm import fingerprints as P
+
+    rng = np.random.default_rng(11)
+    texts = [b"", b"x", rng.integers(0, 255, 5000, dtype=np.uint8).tobytes(), b"a" * 700, ("wörter und mehr " * 60).encode(), rng.integers(97, 102, 900, dtype=np.uint8).tobytes()]
+    data, offsets = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+    want = []
+    for base, text in zip(offsets.tolist(), texts, strict=False):
+        first = 0
+        while first < len(text):
+            end = first + 1
+            while end < len(text):
+                h = sum(int(P._GEAR[text[end - 1 - k]]) << k for k in range(min(32, end))) & 0xFFFFFFFF
+                size = end - first
+                bits = P.STRICT_BITS if size < P.NORMAL else P.LOOSE_BITS
+                if size == P.LONGEST or (size >= P.SHORTEST and h >> (32 - bits) == 0):
+                    break
+                end += 1
+            want.append((base + first, base + end))
+            first = end
+    start, end = P.cuts(data, offsets)
+    assert list(zip(start.tolist(), end.tolist(), strict=True)) == want
+
+
+def test_windows_are_those_of_a_plain_greedy_choice():
+    from trackledger.llm import chat
+
+    rng = random.Random(12)
+    for _ in range(300):
+        budget, history = rng.choice([20, 50]), rng.choice([0, 1, 2, 3])
+        turns = [(f"<{k}>", 0, 1, rng.choice([1, 3, 8, 14, 60]), "system" if not k and rng.random() < 0.5 else "user") for k in range(rng.randint(1, 15))]
+        windows = chat.Windows(budget, history)
+        got = [w for t in turns for w in windows.add(*t)] + list(windows.close())
+        size = lambda own: sum(t[3] for t in own)
+        system, at, want, before = turns[:1] if turns[0][4] == "system" else [], 0, [], []
+        while at < len(turns):
+            head = system if want else []
+            old = []  # the longest tail of the last window within a quarter of the budget and so many turns
+            for t in reversed(before):
+                if len(old) == history or size([t, *old]) > budget // 4:
+                    break
+                old.insert(0, t)
+            while old and size([*head, *old, turns[at]]) > budget:
+                old.pop(0)
+            end = at + 1
+            while end < len(turns) and size([*head, *old, *turns[at : end + 1]]) <= budget:
+                end += 1
+            before = [*old, *turns[at:end]] if want else turns[len(system) : end]
+            want.append("".join(t[0] for t in [*head, *old, *turns[at:end]]))
+            at = end
+        assert [w["formatted"] for w in got] == want
+
+
+def test_ids_may_be_texts(spark, tmp_path):
+    from trackledger.llm import fingerprints, huffman
+
+    docs = spark.createDataFrame([(f"doc-{k:05d}" if k else None, f"text number {k} " * (k % 7)) for k in range(200)], "doc_id string, text string").repartition(4)
+    names = sorted(r.doc_id or "" for r in docs.collect())
+    huffman.write_ids(docs, str(tmp_path / "ids"), Q.tokenizer_file("word_bpe_49k.json"), 2)
+    rows = sorted(huffman.read_ids(spark, str(tmp_path / "ids")).collect(), key=lambda r: r.start)
+    assert [r.id or "" for r in rows] == names and spark.read.parquet(str(tmp_path / "ids/blocks")).select("part").distinct().count() > 2
+    assert [r.start for r in rows] == np.cumsum([0, *(len(r.ids) // 4 for r in rows)])[:-1].tolist()
+    edited = fingerprints.edited_fingerprints(docs).collect()
+    assert sorted(r.doc_id or "" for r in edited) == names
+    by = {r.doc_id or "": r for r in edited}
+    texts = {r.doc_id or "": r.text for r in docs.collect()}
+    order = [*sorted((n for n in names if n), reverse=True), ""]
+    for name, after in zip(order, [*order[1:], order[0]], strict=True):
+        text, half = texts[name], len(texts[name]) // 2
+        assert by[name].edited_sha256 == hashlib.sha256((text[: len(text) - half] + texts[after][:half]).encode()).hexdigest()
+
+
+def test_pipeline_on_an_empty_table_and_with_further_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, class string, part int, _hit int"
+    labels = "doc_id long, quality int, toxic int"
+    spark.createDataFrame([(0, "some item of ten words or more to be found here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"w{rng.randint(0, 200)}" for _ in range(30)), "en", "s", 1, "mine", "mine", 7, 9) for k in range(60)]
+    rows += [rows[5], (None, "a text without an id, kept as it is", None, None, None, None, None, None, None), (61, None, "en", "s", 0, "mine", "mine", 7, 9), (61, "another text of that id", "en", "s", 0, "mine", "mine", 7, 9)]
+    some = [(k, 1, 0) for k in range(60)]
+    for name, own, marks in (("empty", [], []), ("full", rows, some)):
+        folder = tmp_path / name
+        docs = spark.createDataFrame(own, schema)
+        docs.write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame(marks, labels).write.parquet(str(folder / "labels.parquet"))
+        spark.read.parquet(str(tmp_path / "benchmark.parquet")).write.parquet(str(folder / "benchmark.parquet"))
+        for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(folder))
+            out.write.parquet(str(folder / f"stage{n}"))
+            if n < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == docs.columns
+                docs = spark.read.parquet(str(folder / f"stage{n}"))
+        kept = docs.collect()
+        assert len(kept) == (0 if not own else 63) and all(r.score in ("mine", None) for r in kept)

@@ -165,11 +165,10 @@ def edited_fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str =
     if not firsts:
         return _renamed(rows.sparkSession.createDataFrame([], _schema(rows)), id_column)
     before = [(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)]
-    known = [F.lit(x) for pair in before if pair[0] is not None for x in pair]
-    edges = F.create_map(*known)[F.col("id")] if known else F.lit(None).cast("int")
-    for first, part in before:
-        if first is None:
-            edges = F.when(F.col("id").isNull(), part).otherwise(edges)
+    kind = rows.schema["id"].dataType.simpleString()
+    known = rows.sparkSession.createDataFrame(before, f"first {kind}, edge_of int").dropDuplicates(["first"])
+    rows = rows.join(F.broadcast(known), F.col("id").eqNullSafe(F.col("first")), "left")  # a row per part
+    edges = F.col("edge_of")
     places = F.array(F.struct(parts.column(F.col("id")).alias("part"), F.lit(0).alias("edge")), F.struct(edges.alias("part"), F.lit(1).alias("edge")))
     placed = rows.select("id", "text", F.explode(places).alias("_p")).where(F.col("_p.part").isNotNull())
     placed = placed.select("id", "text", "_p.part", "_p.edge")

@@ -388,6 +388,5 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     out = blocks.mapInArrow(read, f"id {kind}, part int, start long, ids binary")
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # a row per part
     before = np.cumsum([0, *(r["n"] for r in totals)])
-    known = [F.lit(x) for r, n in zip(totals, before.tolist(), strict=False) for x in (r["part"], n)]
-    base = F.create_map(*known)[F.col("part")] if known else F.lit(0)
-    return out.select("id", (F.col("start") + base).alias("start"), "ids")
+    base = spark.createDataFrame([(r["part"], n) for r, n in zip(totals, before.tolist(), strict=False)], "part int, base long")
+    return out.join(F.broadcast(base), "part").select("id", (F.col("start") + F.col("base")).alias("start"), "ids")  # a row per part
