@@ -1,6 +1,7 @@
 """Streams with state and timers: any split into batches gives the rows of the batch operators."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -196,3 +197,82 @@ def test_occupancies_in_segments_equal_those_of_one_window(spark):
     events = spark.createDataFrame(rows, "seq long, event_at timestamp, td_area string, message_type string, from_berth string, to_berth string, descr string")
     assert sorted(map(tuple, berths.occupancies(events, segment=13).collect())) == sorted(map(tuple, berths.occupancies(events).collect()))
     assert pd.DataFrame(berths.anomalies(events).collect()).shape[0] > 50
+
+
+@pytest.mark.parametrize("pieces", [1, 4])
+def test_runs_are_followed_and_lost_after_the_grace(spark, tmp_path, pieces):
+    from trackledger.streaming import follow
+
+    second = lambda n: T0 + timedelta(seconds=n)
+    at = [
+        ("1A", "b1", 0, "enter"), ("1A", "b2", 10, "enter"), ("1A", "b1", 10, "leave"), ("1A", "b2", 20, "leave"), ("1A", "b3", 27, "enter"), ("1A", "b3", 40, "leave"),
+        ("2B", "b9", 41, "enter"), ("1A", "b1", 60, "enter"), ("2B", "b9", 100, "leave"), ("3C", "b5", 101, "leave"), ("4D", "b0", 300, "enter"),
+    ]
+    rows = [(d, "Z", b, second(s), h, k) for k, (d, b, s, h) in enumerate(at)]
+    got = run(spark, tmp_path, rows, "descr string, td_area string, berth string, seen_at timestamp, half string, number long", pieces, follow.followed)
+    moved = [(r[0], r[3], r[4], r[6]) for r in sorted(got, key=lambda r: r[4]) if r[2] == "moved"]
+    assert moved == [("1A", "b1", second(0), 1), ("1A", "b2", second(10), 2), ("1A", "b3", second(27), 3), ("2B", "b9", second(41), 1), ("1A", "b1", second(60), 1), ("4D", "b0", second(300), 1)]
+    lost = sorted((r[0], r[4], r[5], r[6]) for r in got if r[2] == "lost")
+    assert lost == [("1A", second(48), second(0), 3), ("2B", second(108), second(41), 1)]
+
+
+def test_sessions_are_logged(spark, tmp_path):
+    from trackledger.streaming import sessions
+
+    log = sessions.SessionLog(spark, str(tmp_path / "log"))
+    spark.streams.addListener(log)
+    try:
+        spark.range(5).write.parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+
+        def fails(batch, n):
+            raise ValueError("no broker")
+
+        good = source.writeStream.queryName("good").foreachBatch(lambda b, n: None).option("checkpointLocation", str(tmp_path / "a")).trigger(availableNow=True).start()
+        good.awaitTermination()
+        bad = source.writeStream.queryName("bad").foreachBatch(fails).option("checkpointLocation", str(tmp_path / "b")).trigger(availableNow=True).start()
+        with pytest.raises(Exception, match="no broker"):
+            bad.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        for _ in range(50):
+            if len(list((tmp_path / "log").glob("*.json"))) >= 4:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(log)
+    found = {r.name: r for r in sessions.sessions(spark, str(tmp_path / "log")).collect()}
+    assert set(found) == {"good", "bad"} and all(r.opened_at <= r.closed_at for r in found.values())
+    assert found["good"].error is None and "no broker" in found["bad"].error
+
+
+def test_a_stored_history_reads_the_stretches_of_its_days_and_edges(spark, tmp_path):
+    from trackledger.operators import history
+
+    rng = random.Random(8)
+    rows = [(k, T0 + timedelta(minutes=k + rng.randint(-3, 3)), rng.choice("YZ"), rng.choice(["CA", "CB", "CC"]), str(rng.randint(0, 3)), str(rng.randint(0, 3)), rng.choice(["1A", "2B", "----"])) for k in range(600)]
+    events = spark.createDataFrame(rows, "seq long, event_at timestamp, td_area string, message_type string, from_berth string, to_berth string, descr string")
+    history.store(events, str(tmp_path / "h"), 40)
+    whole = berths.occupancies(events)
+    for a, b, area in ((100, 130, None), (0, 599, "Z"), (250, 251, "Y"), (700, 800, None)):
+        start, end = (F.lit(T0 + timedelta(minutes=m)).cast("timestamp") for m in (a, b))
+        want = whole.where((F.col("entered_at") >= start) & (F.col("entered_at") < end)).where("true" if area is None else f"td_area = '{area}'").drop("entry_type")
+        got = history.occupancies_between(spark, str(tmp_path / "h"), start, end, area)
+        assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    plan = history.occupancies_between(spark, str(tmp_path / "h"), F.lit(T0 + timedelta(minutes=100)).cast("timestamp"), F.lit(T0 + timedelta(minutes=130)).cast("timestamp"))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "stretch" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+
+
+def test_maps_in_effect_and_their_status(spark):
+    from trackledger.functions import clock
+    from trackledger.operators import maps
+
+    day = lambda n: datetime(2026, 1, n)
+    versions = spark.createDataFrame([("m", 1, day(1), day(5)), ("m", 2, day(5), None), ("n", 1, day(1), day(2)), ("o", 1, day(1), None)], "slug string, version int, effective_from timestamp, effective_to timestamp")
+    wanted = spark.createDataFrame([("m", day(1)), ("m", day(4)), ("m", day(5)), ("n", day(2)), ("x", day(3))], "slug string, at timestamp")
+    got = {(r.slug, r["at"].day): (r.version, r.found) for r in maps.effective_at(versions, wanted).collect()}
+    assert got == {("m", 1): (1, True), ("m", 4): (1, True), ("m", 5): (2, True), ("n", 2): (None, False), ("x", 3): (None, False)}
+    bound = spark.createDataFrame([("m", "A"), ("m", "B"), ("o", "C")], "slug string, td_area string")
+    seen = spark.createDataFrame([("A", day(9)), ("B", day(10))], "td_area string, last_at timestamp")
+    now = F.lit(day(10) + timedelta(seconds=60)).cast("timestamp")
+    listed = {r.slug: (r.version, r.live_status) for r in maps.listed(versions, bound, seen, now, clock.live_status).collect()}
+    assert listed == {"m": (2, "ok"), "o": (1, "unknown")}

@@ -149,6 +149,41 @@ def element_counts(doc: Document, observed: DataFrame) -> DataFrame:
     return out.select("map_id", "n_elements", "n_berths", F.coalesce("n_bound", F.lit(0)).alias("n_bound"), share.alias("observed_percent"))
 
 
+def info(doc: Document, observed: DataFrame) -> DataFrame:
+    """(map_id, element_counts, n_bound_berths, n_unbound_berths, observed_percent): what an editor is told of a document.
+
+    ``element_counts`` maps types to numbers.  A berth is bound if any binding names it, and
+    the share is of berth bindings seen in the feed, rounded, 0 without any.
+    """
+    kinds = doc.elements.groupBy("map_id", "type").agg(F.count("*").alias("n")).groupBy("map_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("element_counts"))
+    named = doc.bindings.select("map_id", F.col("element_id").alias("id")).distinct().withColumn("_bound", F.lit(1))
+    own = doc.elements.where("type = 'berth'").join(named, ["map_id", "id"], "left").groupBy("map_id").agg(F.count("_bound").alias("n_bound_berths"), F.count_if(F.col("_bound").isNull()).alias("n_unbound_berths"))
+    share = element_counts(doc, observed).select("map_id", "observed_percent")
+    none = {c: F.coalesce(c, F.lit(0)) for c in ("n_bound_berths", "n_unbound_berths")}
+    return kinds.join(own, "map_id", "left").withColumns(none).join(share, "map_id", "left").withColumn("observed_percent", F.coalesce("observed_percent", F.lit(0.0)))
+
+
+def effective_at(versions: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(slug, at, version, found): the version of each wanted map that is in effect at a time; a map without one is not found.
+
+    ``versions``: (slug, version, effective_from, effective_to), the last one open.
+    """
+    now = versions.select("slug", "version", "effective_from", "effective_to").withColumnRenamed("slug", "_slug")
+    inside = (F.col("effective_from") <= F.col("at")) & (F.col("effective_to").isNull() | (F.col("effective_to") > F.col("at")))
+    found = wanted.join(now, (F.col("slug") == F.col("_slug")) & inside, "left")
+    return found.groupBy("slug", "at").agg(F.max("version").alias("version")).withColumn("found", F.col("version").isNotNull())
+
+
+def listed(versions: DataFrame, bindings: DataFrame, last_seen: DataFrame, now: Column, status) -> DataFrame:
+    """(slug, version, last_at, live_status) of each map with a version in effect, by the newest message of the areas that it shows.
+
+    ``last_seen``: (td_area, last_at); ``status``: a function of the last and the present time.
+    """
+    current = effective_at(versions, versions.select("slug").distinct().withColumn("at", now)).where("found")
+    areas = bindings.select("slug", "td_area").distinct().join(last_seen, "td_area").groupBy("slug").agg(F.max("last_at").alias("last_at"))
+    return current.join(areas, "slug", "left").select("slug", "version", "last_at", status(F.col("last_at"), now).alias("live_status"))
+
+
 def changes(before: Document, after: Document) -> DataFrame:
     """(map_id, part, id, change) between two versions of documents, by map and id."""
     out = None

@@ -425,3 +425,51 @@ def red_21_followed_runs(spark, d):
     rows = rows.withColumn("gap", F.coalesce(F.col("entered_at") - F.lag("entered_at").over(w) > F.expr("INTERVAL 2 HOURS"), F.lit(False)))
     legs = rows.withColumn("leg", F.sum(F.col("gap").cast("int")).over(w))
     return legs.groupBy("descr", "td_area", "leg").agg(F.min("entered_at").alias("first_at"), F.max("entered_at").alias("last_at"), F.count("*").alias("n_berths")).drop("leg")
+
+
+# What an editor and a client are told of maps
+
+
+@query("td", f"""SELECT i.map_id, counts AS element_counts, coalesce(n_bound,0) AS n_bound_berths, coalesce(n_unbound,0) AS n_unbound_berths, coalesce(share,0.0) AS observed_percent FROM (WITH {_ELEM} SELECT k.map_id, k.counts, b.n_bound, b.n_unbound, o.share FROM
+  (SELECT map_id, string_agg(type||':'||CAST(n AS VARCHAR), ',' ORDER BY type) AS counts FROM (SELECT map_id, type, count(*) AS n FROM elem GROUP BY 1,2) GROUP BY 1) k
+  LEFT JOIN (SELECT e.map_id, count(*) FILTER (WHERE (e.map_id, e.id) IN (SELECT map_id, element_id FROM bnd)) AS n_bound, count(*) FILTER (WHERE (e.map_id, e.id) NOT IN (SELECT map_id, element_id FROM bnd)) AS n_unbound FROM elem e WHERE e.type='berth' GROUP BY 1) b USING (map_id)
+  LEFT JOIN (SELECT map_id, round(100.0*count(*) FILTER (WHERE (td_area, berth) IN (SELECT td_area, to_berth FROM td))/count(*)) AS share FROM bnd WHERE type='tdBerth' GROUP BY 1) o USING (map_id)) i""")
+def doc_03_info(spark, d):
+    seen = A.td_events(spark, d).select("td_area", F.col("to_berth").alias("berth"))
+    found = maps.info(_document(spark, d), seen)
+    shown = F.array_join(F.transform(F.map_entries("element_counts"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    return found.withColumn("element_counts", shown)
+
+
+_VERSIONS = "(SELECT train_uid AS slug, row_number() OVER (PARTITION BY train_uid ORDER BY start_date, schedule_id) AS version, start_date AS a, lead(start_date) OVER (PARTITION BY train_uid ORDER BY start_date, schedule_id) AS b FROM sch)"
+
+
+def _map_versions(spark, d):
+    """Versions per train, each from its start on and until the next one's."""
+    order = Window.partitionBy("train_uid").orderBy("start_date", "schedule_id")
+    return A.schedules(spark, d).select(F.col("train_uid").alias("slug"), F.row_number().over(order).alias("version"), F.col("start_date").alias("effective_from"), F.lead("start_date").over(order).alias("effective_to"))
+
+
+@query("sch", f"""SELECT w.slug, w.at, v.version, v.version IS NOT NULL AS found FROM (SELECT DISTINCT train_uid AS slug, DATE '{feeds.DAY}' AS at FROM sch UNION SELECT DISTINCT train_uid, DATE '1980-01-01' FROM sch) w
+  LEFT JOIN {_VERSIONS} v ON v.slug=w.slug AND v.a<=w.at AND (v.b IS NULL OR v.b>w.at)""")
+def res_11_definition_at(spark, d):
+    """The version of each map in effect on a day, and before there was any."""
+    versions = _map_versions(spark, d)
+    days = F.explode(F.array(F.to_date(F.lit(feeds.DAY)), F.to_date(F.lit("1980-01-01")))).alias("at")
+    return maps.effective_at(versions, versions.select("slug").distinct().select("slug", days))
+
+
+_LAST = "(SELECT td_area, max(event_at) AS last_at FROM td GROUP BY 1)"
+
+
+@query("td bind", f"""SELECT a.td_area AS slug, 2 AS version, l.last_at, CASE WHEN l.last_at IS NULL THEN 'unknown' WHEN epoch_ms(TIMESTAMP '{NOW}')-epoch_ms(l.last_at)<=90000 THEN 'ok' ELSE 'stale' END AS live_status FROM (SELECT DISTINCT td_area FROM bind) a LEFT JOIN {_LAST} l USING (td_area)""")
+def res_11_map_status(spark, d):
+    """A map per bound area in its second version, one of them of an area that sends nothing."""
+    shown = A.map_bindings(spark).select(F.col("td_area").alias("slug"), "td_area").distinct()
+    day = lambda n: F.lit(f"2024-01-0{n}").cast("timestamp")
+    one = lambda n, end: F.struct(F.lit(n).alias("version"), day(n).alias("effective_from"), end.alias("effective_to"))
+    made = F.array(one(1, day(2)), one(2, F.lit(None).cast("timestamp")))
+    versions = shown.select("slug", F.explode(made).alias("v")).select("slug", "v.*")
+    last = A.td_events(spark, d).groupBy("td_area").agg(F.max("event_at").alias("last_at"))
+    status = lambda at, now: clock.live_status(at.cast("timestamp"), now)
+    return maps.listed(versions, shown, last, F.lit(NOW).cast("timestamp"), status)

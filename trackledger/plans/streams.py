@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackledger import adapters as A
-from trackledger.operators import berths
+from trackledger.operators import berths, history
 from trackledger.plans import documents
 from trackledger.plans.documents import _snapshots
-from trackledger.plans.feeds import _scored, red_18_map_deltas
+from trackledger.plans.feeds import FROM, TO, _scored, red_18_map_deltas
 from trackledger.plans.sql import WALKED, over
 from trackledger.session import shared_folder
-from trackledger.streaming import deltas, quiet, resolution
+from trackledger.streaming import deltas, follow, quiet, resolution
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -105,6 +105,27 @@ def res_06_resolver_stream(spark, d):
     return found.where("phase = 'new'").select("occupancy_id", "status", "run_id", "score")
 
 
+@query("occ td", f"""SELECT descr, td_area, min(a) AS since, max(b)+INTERVAL {follow.GRACE} SECOND AS lost_at, count(*) AS n_berths FROM (SELECT *, sum(CASE WHEN reach IS NULL OR a>reach+INTERVAL {follow.GRACE} SECOND THEN 1 ELSE 0 END) OVER (PARTITION BY descr, td_area ORDER BY a, occupancy_id) AS leg FROM (
+  SELECT *, max(b) OVER (PARTITION BY descr, td_area ORDER BY a, occupancy_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT occupancy_id, descr, td_area, entered_at AS a, coalesce(left_at, TIMESTAMP '9999-01-01') AS b FROM occ))) GROUP BY descr, td_area, leg
+  HAVING max(b)<TIMESTAMP '9999-01-01' AND max(b)+INTERVAL {follow.GRACE} SECOND <= (SELECT max(greatest(entered_at, coalesce(left_at, entered_at))) - INTERVAL 1 SECOND FROM occ)""")
+def red_21_lost_runs(spark, d):
+    """Runs that were followed and then lost, from the stream with its grace."""
+    occ = berths.occupancies(A.td_events(spark, d))
+    side = lambda at, half: occ.where(F.col(at).isNotNull()).select("descr", "td_area", "berth", F.col(at).cast("timestamp").alias("seen_at"), F.lit(half).alias("half"), F.col("occupancy_id").alias("number"))
+    rows = side("entered_at", "enter").unionByName(side("left_at", "leave")).withColumn("at", F.unix_micros("seen_at"))
+    found = streamed(spark, rows, "at", lambda s: follow.followed(s, delay="1 second")).where("message = 'lost'")
+    return found.select("descr", "td_area", F.col("since").cast("timestamp_ntz").alias("since"), F.col("at").cast("timestamp_ntz").alias("lost_at"), "n_berths")
+
+
+@query("occ", f"SELECT occupancy_id, td_area, berth, descr, entered_at, left_at, exit_seq, exit_reason FROM occ WHERE entered_at>=TIMESTAMP '{FROM}' AND entered_at<TIMESTAMP '{TO}'")
+def flt_01_week_of_a_stored_history(spark, d):
+    """One week of a history on disk: its stretches are read, and edges."""
+    path = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    history.store(A.td_events(spark, d), path, SEGMENT)
+    found = history.occupancies_between(spark, path, F.lit(FROM).cast("timestamp"), F.lit(TO).cast("timestamp"))
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("entered_at", "left_at")})
+
+
 @query("occ", "SELECT * FROM occ")
 def red_05_occupancies_in_segments(spark, d):
     return berths.occupancies(A.td_events(spark, d), segment=SEGMENT)
