@@ -260,7 +260,7 @@ def test_overlaps_equal_brute_force(spark, wide, empty):
     assert kept == set(range(len(docs))) - {i for i, _ in want}
     assert {(r.doc_id, r.item_id) for r in decontamination.overlapping(table, items, most=40).collect()} == want
     assert {r.doc_id for r in decontamination.keep_uncontaminated(table, items, most=40).collect()} == kept
-    blocks = list(decontamination.blocks(items, most=40))
+    blocks = list(decontamination.blocks(decontamination.hashed_items(items), most=40))
     assert len(blocks) > 1 and sorted(i for ids, _ in blocks for i in ids) == list(range(len(item)))
     assert decontamination.overlapping(wide, items.limit(0)).count() == 0
     assert decontamination.keep_uncontaminated(wide, items).columns == wide.columns

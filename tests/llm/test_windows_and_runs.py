@@ -480,3 +480,25 @@ def test_pipeline_on_an_empty_table_and_with_further_columns(spark, tmp_path):
                 docs = spark.read.parquet(str(folder / f"stage{n}"))
         kept = docs.collect()
         assert len(kept) == (0 if not own else 63) and all(r.score in ("mine", None) for r in kept)
+
+
+def test_benchmark_blocks_are_bounded(spark):
+    from trackledger.llm import decontamination as D
+
+    rng = random.Random(21)
+    items = [(k, [f"b{rng.randint(0, 60)}" for _ in range(rng.choice([3, 12, 20, 90]))]) for k in range(25)] + [(100, ["long", *[f"b{rng.randint(0, 60)}" for _ in range(400)]])]
+    items += [(200 + k, items[3][1]) for k in range(30)] + [(None, items[3][1]), (25, items[0][1])]
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    for most, piece in ((100, 50), (2000, 1 << 16)):
+        found = list(D.blocks(D.hashed_items(table), most, piece))
+        assert all(len(b.words) <= most or len(b.pieces) == 1 for _, b in found) and (most > 1000 or len(found) > 5)
+        assert all((np.diff(b.bounds) <= piece).all() for _, b in found)
+        assert sum(len(b.pieces) for _, b in found) == len({(b.pieces[k]) for _, b in found for k in range(len(b.pieces))})
+    docs = [(k, " ".join([f"b{rng.randint(0, 60)}" for _ in range(20)] + items[k][1][5:70] + ["end"])) for k in range(0, 26)]
+    docs += [(500, " ".join(items[25][1][330:380])), (500, " ".join(items[3][1])), (501, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    plain = sorted(map(tuple, D.overlapping(frame, table).collect()), key=repr)
+    assert sorted(map(tuple, D.overlapping(frame, table, most=100, piece=50).collect()), key=repr) == plain
+    assert {r[1] for r in plain if r[0] == 500} >= {100, 3, 200, 229, None}
+    best = next(r for r in plain if r[:2] == (500, 100))
+    assert best[2:4] == (0, 330) and best[4:] == (16, 16)

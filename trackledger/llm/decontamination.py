@@ -11,11 +11,13 @@ The seeds in ``SEEDS`` hit every alignment of 10 to 16 words in which up to a fi
 words differ, wherever those lie (checked in the tests), so no overlap is missed.
 Items under 10 words must occur unchanged; items without words match nothing.
 
-The benchmark is held in blocks of ``BLOCK_WORDS`` words at most (on average, by hash of
-the item), each broadcast in turn to a pass over the documents.  With several blocks, what
-a pass finds or keeps is written before the next block is made and the broadcast is given
-up, so memory is bounded however large the benchmark is.  Documents are neither shuffled nor
-cut.
+The benchmark is held in blocks, each broadcast in turn to a pass over the documents.  Items
+of the same words are one, and items of over ``PIECE_WORDS`` words are cut into pieces that
+share all but one word of a window, so every window lies in a piece.  A block is filled with
+whole pieces up to ``BLOCK_WORDS`` words, by sums that are counted before, and never holds
+more (nor more than one piece that is larger).  With several blocks, what a pass finds or
+keeps is written before the next block is made and the broadcast is given up, so memory is
+bounded however large the benchmark is.  Documents are neither shuffled nor cut.
 
 Null and empty texts match nothing.  Rows of one document id count as one document: its best
 overlap with an item id is reported once, whatever row it is in.  An item whose id is null
@@ -25,7 +27,7 @@ takes part and is reported with a null id.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,7 @@ SHORTEST_TOLERANT = 10
 WINDOW = 16
 MATCH = 0.8
 BLOCK_WORDS = 2_000_000
+PIECE_WORDS = 1 << 16
 _HITS = 22  # bits of the table that screens positions before the exact look-up
 _RESULT = "array<struct<item:int, doc_word:int, item_word:int, window:int, matched:int>>"
 
@@ -52,6 +55,7 @@ class Benchmark:
     words: np.ndarray
     bounds: np.ndarray
     seeds: list[tuple[tuple[int, ...], np.ndarray, np.ndarray, np.ndarray]]  # seed, hashes, positions, screen
+    pieces: list[tuple[int, int, int]] = field(default_factory=list)  # of each piece: its item's two keys, and its first word
 
 
 def spans(words: np.ndarray, seed: tuple[int, ...]) -> np.ndarray:
@@ -118,8 +122,8 @@ def verify(bench: Benchmark, words: np.ndarray, bounds: np.ndarray, text: int, i
     return int(at + skip + best - bounds[text]), skip + best, window, int(sums[best])
 
 
-def blocks(benchmark: DataFrame, id_column: str = "item_id", text: str = "text", most: int = BLOCK_WORDS) -> Iterator[tuple[list, Benchmark]]:
-    """The benchmark's items as (ids, prepared block) of bounded size each, made one after the other."""
+def hashed_items(benchmark: DataFrame, id_column: str = "item_id", text: str = "text") -> DataFrame:
+    """(id, words, a, b): the items that have words, with two keys of what they say."""
 
     def hashed(texts: pa.Array) -> pa.Array:
         parts = []
@@ -129,14 +133,38 @@ def blocks(benchmark: DataFrame, id_column: str = "item_id", text: str = "text",
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
 
     items = benchmark.select(F.col(id_column).alias("id"), F.arrow_udf(hashed, "array<long>")(F.col(text)).alias("words")).where(F.size("words") > 0)
-    total = items.agg(F.sum(F.size("words"))).first()[0] or 0
-    n = -(-total // most)
-    for k in range(n):
-        block = items.where(F.pmod(F.xxhash64("words"), F.lit(n)) == k).toArrow().combine_chunks()
-        if block.num_rows:
-            lists = block["words"].combine_chunks()
-            bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
-            yield block["id"].to_pylist(), prepare(lists.flatten().to_numpy().view(np.uint64), bounds)
+    return items.select("id", "words", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), "words").alias("b"))
+
+
+def blocks(items: DataFrame, most: int = BLOCK_WORDS, piece: int = PIECE_WORDS) -> Iterator[tuple[list, Benchmark]]:
+    """The items of ``hashed_items`` as (the least id of each piece's item, prepared block), made one after the other.
+
+    Pieces are dealt by hash into so many fine groups that none is over ``most`` words, or
+    holds one piece alone; the groups' sums, a row each, tell which of them fill a block.
+    """
+    one = items.groupBy("a", "b").agg(F.min("id").alias("id"), F.first("words").alias("words"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - WINDOW, F.lit(0)), F.lit(max(1, piece - WINDOW + 1)))
+    pieces = one.select("a", "b", "id", "words", F.explode(starts).alias("first")).withColumn("words", F.expr(f"slice(words, first + 1, {piece})"))
+    groups = 16 * -(-(pieces.agg(F.sum(F.size("words"))).first()[0] or 0) // most)
+    while True:
+        at = F.pmod(F.xxhash64("a", "b", "first"), F.lit(max(1, groups)))
+        sums = sorted(tuple(r) for r in pieces.groupBy(at.alias("at")).agg(F.sum(F.size("words")).alias("n"), F.count("*").alias("k")).collect())
+        if all(n <= most or k == 1 for _, n, k in sums):
+            break
+        groups *= 2
+    bounds, held = [], most + 1
+    for g, n, _ in sums:
+        if held + n > most:
+            bounds.append(g)
+            held = 0
+        held += n
+    for low, high in zip(bounds, [*bounds[1:], groups], strict=False):  # no bounds without items
+        block = pieces.where(at.between(low, high - 1)).toArrow().combine_chunks()
+        lists = block["words"].combine_chunks()
+        cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
+        bench = prepare(lists.flatten().to_numpy().view(np.uint64), cuts)
+        bench.pieces = list(zip(*(block[c].to_pylist() for c in ("a", "b", "first")), strict=True))
+        yield block["id"].to_pylist(), bench
 
 
 def overlap_column(held: Broadcast, text: str = "text") -> Column:
@@ -157,28 +185,31 @@ def overlap_column(held: Broadcast, text: str = "text") -> Column:
     return F.arrow_udf(search, _RESULT)(F.col(text))
 
 
-def overlapping(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", most: int = BLOCK_WORDS) -> DataFrame:
+def overlapping(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", most: int = BLOCK_WORDS, piece: int = PIECE_WORDS) -> DataFrame:
     """(id, item_id, doc_word, item_word, window, matched): the best overlap of each document and item that overlap."""
     spark, out, context = docs.sparkSession, None, docs.sparkSession.sparkContext
     item_type = benchmark.schema["item_id"].dataType.simpleString()
-    for ids, bench in blocks(benchmark, most=most):
+    items = written(hashed_items(benchmark), "items")
+    for _, bench in blocks(items, most, piece):
         held = context.broadcast(bench)
         hits = docs.select(F.col(id_column), F.explode(overlap_column(held, text)).alias("_o"))
-        names = spark.createDataFrame(list(enumerate(ids)), f"item int, item_id {item_type}")
-        hits = written(hits.select(id_column, "_o.*").join(F.broadcast(names), "item").drop("item"), "overlaps")  # one row per item of a bounded block
+        names = spark.createDataFrame([(k, *own) for k, own in enumerate(bench.pieces)], "item int, a long, b long, first int")
+        hits = hits.select(id_column, "_o.*").join(F.broadcast(names), "item").drop("item")  # one row per piece of a bounded block
+        hits = written(hits.withColumn("item_word", F.col("item_word") + F.col("first")).drop("first"), "overlaps")
         held.destroy()
         out = hits if out is None else out.unionByName(hits)
     if out is None:
         return spark.createDataFrame([], f"{id_column} {docs.schema[id_column].dataType.simpleString()}, item_id {item_type}, doc_word int, item_word int, window int, matched int")
     best = F.struct(F.col("matched") / F.col("window"), "matched", -F.col("doc_word"), -F.col("item_word"), "window")
-    best = out.groupBy(id_column, "item_id").agg(F.max(best).alias("_b"))
+    best = out.groupBy(id_column, "a", "b").agg(F.max(best).alias("_b"))
+    best = best.join(items.select("a", "b", F.col("id").alias("item_id")).distinct(), ["a", "b"])
     return best.select(id_column, "item_id", (-F.col("_b.col3")).alias("doc_word"), (-F.col("_b.col4")).alias("item_word"), "_b.window", "_b.matched")
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", most: int = BLOCK_WORDS) -> DataFrame:
     """The documents that overlap with no item, all columns kept."""
     held = None
-    for _, bench in blocks(benchmark, most=most):
+    for _, bench in blocks(written(hashed_items(benchmark), "items"), most):
         if held:
             docs = written(docs, "uncontaminated")
             held.destroy()
