@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs.  All stages but the last keep the columns
 of ``documents``.  Every stage works on all rows that the one before it kept.
+
+Odd rows, in every stage: null, empty and blank texts are scored like any other text without
+words, are near copies of nothing, overlap with no benchmark item, and have one empty sample.
+Rows with a null id are kept and dropped by their text alone.  Repeated rows are near copies
+of each other, so one of them stays; rows that share an id but not the text are decided each
+on its own.  An empty table gives an empty table; without labels no document is toxic
+and all are good.  Further columns pass through unchanged, whatever
+their names.
 """
 
 from __future__ import annotations
