@@ -105,6 +105,19 @@ def heartbeats(events: DataFrame) -> DataFrame:
     return events.where(F.col("message_type") == "CT").select("td_area", "seq", "event_at").dropDuplicates(["td_area", "seq"])
 
 
+def area_health(events: DataFrame) -> DataFrame:
+    """(td_area, n, last_at): messages of each area, and its last heartbeat, if it had one."""
+    return events.groupBy("td_area").agg(F.count("*").alias("n"), F.max(F.when(F.col("message_type") == "CT", F.col("event_at"))).alias("last_at"))
+
+
+def followed_legs(occupied: DataFrame, gap: str, key: tuple[str, ...] = ("descr", "td_area")) -> DataFrame:
+    """(key, first_at, last_at, n_berths): stretches of a description in an area whose entries are no further apart than an interval."""
+    order = Window.partitionBy(*key).orderBy("entered_at", "occupancy_id")
+    opens = F.coalesce(F.col("entered_at") - F.lag("entered_at").over(order) > F.expr(f"INTERVAL {gap}"), F.lit(False))
+    legs = occupied.withColumn("_opens", opens).withColumn("_leg", F.sum(F.col("_opens").cast("int")).over(order))
+    return legs.groupBy(*key, "_leg").agg(F.min("entered_at").alias("first_at"), F.max("entered_at").alias("last_at"), F.count("*").alias("n_berths")).drop("_leg")
+
+
 def signalling_state(events: DataFrame) -> DataFrame:
     """(td_area, address, data, event_at, seq): the last byte of each address by arrival."""
     last = F.max_by(F.struct("data", "event_at", "seq"), "seq").alias("s")

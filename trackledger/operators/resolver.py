@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from trackledger.functions.clock import service_date
 from trackledger.operators.intervals import with_pieces
+from trackledger.session import kept
 
 # The weight of each kind of evidence, in the order of the reasons.
 WEIGHTS = {"schedule_linked": 40, "temporally_plausible": 35, "recent_continuity": 30, "smart_stanox": 25}
@@ -101,6 +102,36 @@ def resolve_due(decisions: DataFrame, due: DataFrame, scored: DataFrame, now: Co
     return staying.unionByName(fresh.withColumn("decided_at", now))
 
 
+def current_runs(open_now: DataFrame, runs: DataFrame, links: DataFrame, calls: DataFrame, movements: DataFrame, smart: DataFrame) -> DataFrame:
+    """(td_area, berth, descr, status, run_id, state, outcome, schedule_id, n_calls, route, latest_at, ...): what is known of each open occupancy.
+
+    ``runs`` and ``links`` are read several times: give them written or checkpointed.
+    ``calls``: (schedule_id, seq_no, tiploc, name, stanox); ``movements``: (identity,
+    service_date, seq, event_at and what else is wanted of the latest one).  Only runs that
+    are decided on are joined to movements, and only their schedules to calls.
+    """
+    scored = candidates(open_now, runs, links, calls.select("schedule_id", "stanox"), smart)
+    now = open_now.join(decide(open_now, scored).select("occupancy_id", "status", "run_id"), "occupancy_id")
+    star = kept(now.select("td_area", "berth", "descr", "status", "run_id").join(links, "run_id", "left"))
+    met = runs.join(star.select("run_id").distinct(), "run_id", "left_semi")
+    own = calls.join(star.select("schedule_id").distinct(), "schedule_id", "left_semi")
+    return star.join(latest_movements(met, movements), "run_id", "left").join(routes(own), "schedule_id", "left")
+
+
+def latest_movements(runs: DataFrame, movements: DataFrame) -> DataFrame:
+    """(run_id, state, latest_at, latest): each run with its last movement by sequence since it was created; ``latest`` has all of its columns."""
+    since = movements.join(runs.select("identity", "service_date", "created_seq"), ["identity", "service_date"]).where("seq >= created_seq")
+    last = since.groupBy("identity", "service_date").agg(F.max_by(F.struct(*movements.columns), "seq").alias("latest"))
+    return runs.join(last, ["identity", "service_date"], "left").select("run_id", "state", F.col("latest.event_at").alias("latest_at"), "latest")
+
+
+def routes(calls: DataFrame) -> DataFrame:
+    """(schedule_id, n_calls, route): the places of a schedule in order, by name if they have one."""
+    named = calls.select("schedule_id", "seq_no", F.coalesce("name", "tiploc").alias("name"))
+    grouped = named.groupBy("schedule_id").agg(F.count("*").alias("n_calls"), F.array_sort(F.collect_list(F.struct("seq_no", "name"))).alias("c"))
+    return grouped.select("schedule_id", "n_calls", F.array_join(F.transform("c", lambda x: x["name"]), ">").alias("route"))
+
+
 def last_match(decided: DataFrame, minutes: int = CONTINUITY_MINUTES) -> DataFrame:
     """Each occupancy with the run of the latest matched one before it, of the same description and area, in a bounded look-back."""
     micros = F.unix_micros(F.col("entered_at").cast("timestamp"))

@@ -420,11 +420,7 @@ def res_11_map_list(spark, d):
 
 @query("occ", "SELECT descr, td_area, min(entered_at) AS first_at, max(entered_at) AS last_at, count(*) AS n_berths FROM (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY descr, td_area ORDER BY entered_at, occupancy_id) AS leg FROM (SELECT *, entered_at - lag(entered_at) OVER (PARTITION BY descr, td_area ORDER BY entered_at, occupancy_id) > INTERVAL 2 HOUR AS gap FROM occ)) GROUP BY descr, td_area, leg")
 def red_21_followed_runs(spark, d):
-    w = Window.partitionBy("descr", "td_area").orderBy("entered_at", "occupancy_id")
-    rows = berths.occupancies(A.td_events(spark, d))
-    rows = rows.withColumn("gap", F.coalesce(F.col("entered_at") - F.lag("entered_at").over(w) > F.expr("INTERVAL 2 HOURS"), F.lit(False)))
-    legs = rows.withColumn("leg", F.sum(F.col("gap").cast("int")).over(w))
-    return legs.groupBy("descr", "td_area", "leg").agg(F.min("entered_at").alias("first_at"), F.max("entered_at").alias("last_at"), F.count("*").alias("n_berths")).drop("leg")
+    return berths.followed_legs(berths.occupancies(A.td_events(spark, d)), "2 HOURS")
 
 
 # What an editor and a client are told of maps

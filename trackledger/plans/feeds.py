@@ -15,6 +15,7 @@ from trackledger.functions import clock, text
 from trackledger.operators import berths, paging, resolver, runs, schedules, tables
 from trackledger.plans.sql import WALKED, over
 from trackledger.session import kept
+from trackledger.streaming import ingest, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,15 +148,12 @@ def red_17_berth_changes(spark, d):
 
 @query("td bind", f"SELECT b.slug, b.element_id, c.seq, c.n, CASE WHEN c.descr IS NULL THEN 'berth.cleared' ELSE 'berth.updated' END AS message, c.descr FROM {_CHANGES} c JOIN bind b ON b.td_area=c.td_area AND b.berth=c.berth")
 def red_18_map_deltas(spark, d):
-    changes = berths.berth_changes(A.td_events(spark, d))
-    kind = F.when(F.col("descr").isNull(), "berth.cleared").otherwise("berth.updated")
-    return changes.join(A.map_bindings(spark), ["td_area", "berth"]).select("slug", "element_id", "seq", "n", kind.alias("message"), "descr")
+    return live.binding_deltas(berths.berth_changes(A.td_events(spark, d)), A.map_bindings(spark))
 
 
 @query("td bind", f"SELECT slug, element_id, max_by(descr, seq*2+n) AS descr, max(seq) AS seq FROM (SELECT b.slug, b.element_id, c.seq, c.n, coalesce(c.descr,'') AS descr FROM {_CHANGES} c JOIN bind b ON b.td_area=c.td_area AND b.berth=c.berth WHERE c.seq>500) GROUP BY slug, element_id")
 def red_20_client_state(spark, d):
-    deltas = red_18_map_deltas(spark, d).where("seq > 500").withColumn("descr", F.coalesce("descr", F.lit("")))
-    return deltas.groupBy("slug", "element_id").agg(F.max_by("descr", F.col("seq") * 2 + F.col("n")).alias("descr"), F.max("seq").alias("seq"))
+    return live.client_state(red_18_map_deltas(spark, d), F.lit(500))
 
 
 # Resolution
@@ -258,15 +256,9 @@ _LATEST = """SELECT r.run_id, r.state, m.event_at AS latest_at, CASE WHEN m.k IS
   FROM runs r LEFT JOIN (SELECT identity, service_date, max_by(event_at, seq) AS event_at, max_by(k, seq) AS k FROM marked WHERE seq>=created_seq AND event_type='movement' GROUP BY 1,2) m USING (identity, service_date)"""
 
 
-def _routes(calls):
-    named = calls.select("schedule_id", "seq_no", F.coalesce("name", "tiploc").alias("name"))
-    grouped = named.groupBy("schedule_id").agg(F.count("*").alias("n_calls"), F.array_sort(F.collect_list(F.struct("seq_no", "name"))).alias("c"))
-    return grouped.select("schedule_id", "n_calls", F.array_join(F.transform("c", lambda x: x["name"]), ">").alias("route"))
-
-
 @query("loc ref", _ROUTES)
 def srt_10_joi_18_routes(spark, d):
-    return _routes(_calls(spark, d))
+    return resolver.routes(_calls(spark, d))
 
 
 # Live state
@@ -292,30 +284,27 @@ def res_08_live_summary(spark, d):
   LEFT JOIN ({_LATEST}) r ON r.run_id=x.run_id LEFT JOIN link k ON k.run_id=x.run_id LEFT JOIN ({_ROUTES}) w ON w.schedule_id=k.schedule_id WHERE o.exit_seq IS NULL""")
 def joi_19_current_runs(spark, d):
     events = A.trust_events(spark, d)
-    own = kept(runs.runs(events))  # runs, links and the few open occupancies are made once and used by several joins
+    own = kept(runs.runs(events))
     links = kept(schedules.link_runs(own, A.schedules(spark, d, A.SCHEDULE_SHIFT_DAYS)))
-    now, scored = _scored(spark, d, only="exit_seq is null", own=own, links=links)
-    now = now.join(resolver.decide(now, scored).select("occupancy_id", "status", "run_id"), "occupancy_id")
-    star = kept(now.select("td_area", "berth", "descr", "status", "run_id").join(links, "run_id", "left"))
-    calls = _calls(spark, d).join(star.select("schedule_id").distinct(), "schedule_id", "left_semi")
-    met = own.join(star.select("run_id").distinct(), "run_id", "left_semi")
-    star = star.join(_summaries(events, met), "run_id", "left").join(_routes(calls), "schedule_id", "left")
-    return star.select("td_area", "berth", "descr", "status", "run_id", "state", "outcome", "schedule_id", "n_calls", "route", "latest_at", "running")
+    now = berths.occupancies(A.td_events(spark, d)).where("exit_seq is null")
+    star = resolver.current_runs(now, own, links, _calls(spark, d), _movements(events), A.smart_steps(spark))
+    return star.select("td_area", "berth", "descr", "status", "run_id", "state", "outcome", "schedule_id", "n_calls", "route", "latest_at", _running().alias("running"))
+
+
+def _movements(events):
+    return events.where("event_type = 'movement'").select("identity", "service_date", "seq", "event_at", "k")
+
+
+def _running():
+    k = F.col("latest.k")
+    status = F.when(k == 0, "ON TIME").when(k % 2 == 1, "EARLY").when(k.isNotNull(), "LATE")
+    return text.running_indication(status, k.cast("string"), F.lit(None).cast("string"))
 
 
 @query("marked runs", _LATEST)
 def res_07_run_summaries(spark, d):
     events = A.trust_events(spark, d)
-    return _summaries(events, runs.runs(events))
-
-
-def _summaries(events, own):
-    """Each run with its latest movement: one since it was created."""
-    moves = events.where("event_type = 'movement'").join(own.select("identity", "service_date", "created_seq"), ["identity", "service_date"]).where("seq >= created_seq")
-    last = moves.groupBy("identity", "service_date").agg(F.max_by("event_at", "seq").alias("latest_at"), F.max_by("k", "seq").alias("k"))
-    status = F.when(F.col("k") == 0, "ON TIME").when(F.col("k") % 2 == 1, "EARLY").when(F.col("k").isNotNull(), "LATE")
-    joined = own.join(last, ["identity", "service_date"], "left")
-    return joined.select("run_id", "state", "latest_at", text.running_indication(status, F.col("k").cast("string"), F.lit(None).cast("string")).alias("running"))
+    return resolver.latest_movements(runs.runs(events), _movements(events)).select("run_id", "state", "latest_at", _running().alias("running"))
 
 
 # Discovery and history
@@ -334,8 +323,7 @@ def agg_02_last_heartbeat(spark, d):
 
 @query("td", "SELECT a.td_area, a.n, h.last_at FROM (SELECT td_area, count(*) AS n FROM td GROUP BY 1) a LEFT JOIN (SELECT td_area, max(event_at) AS last_at FROM td WHERE message_type='CT' GROUP BY 1) h USING (td_area)")
 def joi_16_area_health(spark, d):
-    ct = F.col("message_type") == "CT"
-    return A.td_events(spark, d).groupBy("td_area").agg(F.count("*").alias("n"), F.max(F.when(ct, F.col("event_at"))).alias("last_at"))
+    return berths.area_health(A.td_events(spark, d))
 
 
 @query("td", "SELECT td_area, berth, min(event_at) AS first_at, max(event_at) AS last_at, count(*) AS n FROM (SELECT td_area, from_berth AS berth, event_at FROM td WHERE message_type IN ('CA','CB') UNION ALL SELECT td_area, to_berth, event_at FROM td WHERE message_type IN ('CA','CC')) GROUP BY 1,2 HAVING berth>'0003'")
@@ -379,9 +367,7 @@ def agg_13_distinct_pairs(spark, d):
 
 @query("td", "SELECT time_bucket(INTERVAL 30 SECOND, event_at) AS window_start, count(*) AS n, count(DISTINCT td_area) AS n_areas FROM td GROUP BY 1")
 def agg_14_ingest_windows(spark, d):
-    w = F.window(F.col("event_at").cast("timestamp"), "30 seconds")
-    grouped = A.td_events(spark, d).groupBy(w.alias("w")).agg(F.count("*").alias("n"), F.count_distinct("td_area").alias("n_areas"))
-    return grouped.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n", "n_areas")
+    return ingest.event_windows(A.td_events(spark, d))
 
 
 @query("bind cur", "SELECT b.slug, max(c.source_seq) AS sequence FROM bind b JOIN cur c USING (td_area, berth) GROUP BY 1")

@@ -88,6 +88,13 @@ def ingest_stats(frames: DataFrame, seconds: int = 30) -> DataFrame:
     return grouped.agg(F.count("*").alias("n"), F.avg("processing_ms").alias("mean_ms"), F.max(lag).alias("max_lag_s")).select("feed_name", F.col("w.start").alias("window_start"), "n", "mean_ms", "max_lag_s")
 
 
+def event_windows(events: DataFrame, seconds: int = 30) -> DataFrame:
+    """(window_start, n, n_areas): messages and areas heard per tumbling window of event time."""
+    grouped = events.groupBy(F.window(F.col("event_at").cast("timestamp"), f"{seconds} seconds").alias("w"))
+    counted = grouped.agg(F.count("*").alias("n"), F.count_distinct("td_area").alias("n_areas"))
+    return counted.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n", "n_areas")
+
+
 def with_empty_windows(stats: DataFrame, seconds: int = 30) -> DataFrame:
     """The statistics with a row of 0 frames for every window in between that had none."""
     bounds = stats.groupBy("feed_name").agg(F.min("window_start").alias("a"), F.max("window_start").alias("b"))

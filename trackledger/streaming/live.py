@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,21 @@ def folded(snapshot: DataFrame, deltas: DataFrame) -> DataFrame:
     return rows.select("slug", "element_id", F.when(changed, F.col("d.descr")).otherwise(F.col("descr")).alias("descr"), F.when(changed, F.col("d.sequence")).otherwise(F.col("sequence")).alias("sequence"))
 
 
+def binding_deltas(changes: DataFrame, bindings: DataFrame) -> DataFrame:
+    """(slug, element_id, seq, n, message, descr): what the changes of berths mean to each element that is bound to one.
+
+    ``changes``: (seq, n, td_area, berth, descr), a null descr clears; ``bindings``: (slug, element_id, td_area, berth).
+    """
+    kind = F.when(F.col("descr").isNull(), "berth.cleared").otherwise("berth.updated")
+    return changes.join(bindings, ["td_area", "berth"]).select("slug", "element_id", "seq", "n", kind.alias("message"), "descr")
+
+
+def client_state(deltas: DataFrame, after: Column) -> DataFrame:
+    """(slug, element_id, descr, seq): each element as its last delta beyond a sequence left it; an empty descr if cleared."""
+    rows = deltas.where(F.col("seq") > after).withColumn("descr", F.coalesce("descr", F.lit("")))
+    return rows.groupBy("slug", "element_id").agg(F.max_by("descr", F.struct("seq", "n")).alias("descr"), F.max("seq").alias("seq"))
+
+
 def poll_deltas(before: DataFrame, now: DataFrame) -> DataFrame:
     """(slug, element_id, message, descr, sequence): what changed between two polls of (slug, element_id, descr, entered_at, sequence).
 
