@@ -71,5 +71,14 @@ def test_clears_end_an_occupancy_in_the_live_view_only(spark):
     events = spark.createDataFrame([(1, T0, "ZZ", "CC", None, "0001", "1A01")], SCHEMA)
     clears = spark.createDataFrame([(2, T0, "ZZ", "0001")], "seq long, event_at timestamp, td_area string, berth string")
     live = berths._with_states(berths.with_clears(events, clears)).where("opens").collect()
-    assert live[0]["_next"]["reason"] == "operator_clear"
+    assert live[0]["_next"]["reason"] == "manual_operator_clear"
     assert berths.occupancies(events).first().left_at is None
+
+
+def test_clears_leave_an_audit_row_and_need_a_reason(spark):
+    events = spark.createDataFrame([(1, T0, "ZZ", "CC", None, "0001", "1A01"), (5, T0, "ZZ", "CC", None, "0001", "2B02")], SCHEMA)
+    asked = [(2, T0, "ZZ", "0001", " stuck "), (3, T0, "ZZ", "0001", "again"), (6, T0, "ZZ", "0009", "empty"), (7, T0, "ZZ", "0001", " "), (8, T0, "ZZ", "0001", None)]
+    clears, refused = berths.valid_clears(spark.createDataFrame(asked, "seq long, event_at timestamp, td_area string, berth string, reason string"))
+    got = {r.seq: (r.reason, r.closed_occupancy_id, r.closed_entered_at, r.previous_descr) for r in berths.clear_actions(events, clears).collect()}
+    assert got == {2: ("stuck", 1, T0, "1A01"), 3: ("again", None, None, None), 6: ("empty", None, None, None)}
+    assert {r.seq for r in refused.collect()} == {7, 8}

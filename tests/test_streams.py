@@ -276,3 +276,19 @@ def test_maps_in_effect_and_their_status(spark):
     now = F.lit(day(10) + timedelta(seconds=60)).cast("timestamp")
     listed = {r.slug: (r.version, r.live_status) for r in maps.listed(versions, bound, seen, now, clock.live_status).collect()}
     assert listed == {"m": (2, "ok"), "o": (1, "unknown")}
+
+
+@pytest.mark.parametrize("pieces", [1, 5])
+def test_occupancy_stream_for_any_split(spark, tmp_path, pieces):
+    from trackledger.streaming import berth_state
+
+    rng = random.Random(3)
+    rows = [(k, T0 + timedelta(seconds=k), "Z", rng.choice(["CA", "CB", "CC"]), str(rng.randint(0, 3)), str(rng.randint(0, 3)), rng.choice(["1A", "2B", "----"])) for k in range(200)]
+    events = spark.createDataFrame(rows, "seq long, event_at timestamp, td_area string, message_type string, from_berth string, to_berth string, descr string")
+    touched = berths.touches(events)
+    own = sorted((tuple(r) for r in touched.collect()), key=lambda r: r[0])
+    got = run(spark, tmp_path, own, touched.schema, pieces, berth_state.occupancy_stream)
+    ended = {tuple(r) for r in berths.occupancies(events).where("exit_seq is not null").select("berth", "occupancy_id", "descr", "entered_at", "left_at", "exit_seq", "exit_reason").collect()}
+    assert {r[1:8] for r in got if r[2] is not None} == ended
+    wrong = {(r.seq, r.berth, r.code) for r in berths.anomalies(events).collect()}
+    assert {(r[6], r[1], r[8]) for r in got if r[8]} == wrong

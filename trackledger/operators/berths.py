@@ -138,5 +138,23 @@ def berth_changes(events: DataFrame) -> DataFrame:
 
 def with_clears(events: DataFrame, clears: DataFrame) -> DataFrame:
     """The live view's touches with operators' manual clears (seq, event_at, td_area, berth) among them; rebuilds leave these out."""
-    extra = clears.select("seq", "event_at", "td_area", F.lit("CLEAR").alias("message_type"), F.lit(EMPTY).alias("descr"), "berth", F.lit("from").alias("half"), F.lit(False).alias("opens"), F.lit("operator_clear").alias("reason"), F.lit(False).alias("checked"))
+    extra = clears.select("seq", "event_at", "td_area", F.lit("CLEAR").alias("message_type"), F.lit(EMPTY).alias("descr"), "berth", F.lit("from").alias("half"), F.lit(False).alias("opens"), F.lit("manual_operator_clear").alias("reason"), F.lit(False).alias("checked"))
     return touches(events).unionByName(extra)
+
+
+def valid_clears(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(clears, refused) of requests (seq, event_at, td_area, berth, reason): a clear needs a reason, which is trimmed."""
+    given = F.coalesce(F.trim("reason"), F.lit("")) != ""
+    return requests.where(given).withColumn("reason", F.trim("reason")), requests.where(~given)
+
+
+def clear_actions(events: DataFrame, clears: DataFrame) -> DataFrame:
+    """(seq, event_at, td_area, berth, reason, closed_occupancy_id, closed_entered_at, previous_descr): the audit row of each clear.
+
+    What it closed is the occupancy that was open at that point of the live view, earlier
+    clears included; a clear of a vacant berth closed nothing, and is recorded all the same.
+    """
+    held = F.when(F.col("opens"), F.struct(F.col("seq").alias("id"), "event_at", "descr"))
+    rows = with_clears(events, clears).withColumn("_held", F.lag(held).over(_order())).where("message_type = 'CLEAR'")
+    rows = rows.select("seq", "event_at", *KEY, F.col("_held.id").alias("closed_occupancy_id"), F.col("_held.event_at").alias("closed_entered_at"), F.col("_held.descr").alias("previous_descr"))
+    return rows.join(clears.select("seq", *KEY, "reason"), ["seq", *KEY])

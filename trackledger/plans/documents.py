@@ -14,7 +14,7 @@ from trackledger.plans import feeds
 from trackledger.plans.sql import over, upto
 from trackledger.session import shared_folder
 from trackledger.sources import frames
-from trackledger.streaming import berth_state, ingest, live
+from trackledger.streaming import berth_state, deltas, ingest, live
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -288,7 +288,8 @@ def _stream(spark, d, rows, run, kind):
         rows.where(half).repartition(files).write.mode("append").parquet(f"{folder}/in")
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
     sink = run(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
-    sink.outputMode(kind).trigger(availableNow=True).start().awaitTermination()
+    with deltas.stateful(spark):
+        sink.outputMode(kind).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
 

@@ -65,6 +65,16 @@ def red_06_heartbeats(spark, d):
     return berths.heartbeats(A.td_events(spark, d))
 
 
+@query("tch td", """SELECT seq, event_at, td_area, berth, 'stuck '||CAST(seq AS VARCHAR) AS reason, closed_occupancy_id, closed_entered_at, previous_descr FROM (SELECT *, lag(CASE WHEN opens THEN seq END) OVER w AS closed_occupancy_id, lag(CASE WHEN opens THEN event_at END) OVER w AS closed_entered_at, lag(CASE WHEN opens THEN descr END) OVER w AS previous_descr FROM (
+  SELECT seq, event_at, td_area, berth, descr, opens, false AS clear FROM tch UNION ALL SELECT seq, event_at, td_area, from_berth, '----', false, true FROM td WHERE message_type='CT' AND seq%4<>0) WINDOW w AS (PARTITION BY td_area, berth ORDER BY seq)) WHERE clear""")
+def snk_18_clear_actions(spark, d):
+    """Every heartbeat taken as an operator's clear of a berth; one in four comes without a reason and is refused."""
+    td = A.td_events(spark, d)
+    reason = F.when(F.col("seq") % 4 == 0, " ").otherwise(F.concat(F.lit(" stuck "), F.col("seq").cast("string")))
+    asked = td.where("message_type = 'CT'").select("seq", "event_at", "td_area", F.col("from_berth").alias("berth"), reason.alias("reason"))
+    return berths.clear_actions(td, berths.valid_clears(asked)[0])
+
+
 @query("tds", "SELECT td_area, address, data, event_at, seq FROM (SELECT *, row_number() OVER (PARTITION BY td_area, address ORDER BY seq DESC) AS n FROM tds) WHERE n=1")
 def red_07_signalling_state(spark, d):
     return berths.signalling_state(A.td_s_events(spark, d))

@@ -2,46 +2,44 @@
 
 Each berth keeps one open occupancy as state; a touch closes it and may open the next.
 There is no watermark: arrival order counts and nothing is dropped, so state lasts as long
-as its berth does.
+as its berth does.  The state store has to be RocksDB (``deltas.stateful``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 OUT = "td_area string, berth string, occupancy_id long, descr string, entered_at timestamp, left_at timestamp, exit_seq long, exit_reason string, anomaly string"
-STATE = "seq long, descr string, entered_at timestamp"
-
-
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = pd.concat(list(batches)).sort_values("seq")
-    held = state.get if state.exists else None
-    if held is not None and held[0] is None:
-        held = None
-    out = []
-    for t in rows.itertuples(index=False):
-        before = held[1] if held else None
-        wrong = t.checked and before != t.descr
-        anomaly = ("from_berth_empty" if before is None else "from_berth_description_mismatch") if wrong else None
-        if held:
-            out.append((*key, held[0], held[1], held[2], t.event_at, t.seq, t.reason, anomaly))
-        elif wrong:
-            out.append((*key, None, None, pd.NaT, t.event_at, t.seq, None, anomaly))
-        held = (int(t.seq), t.descr, t.event_at.to_pydatetime()) if t.opens else None
-    state.update(held or (None, None, None))
-    if not out:
-        return
-    frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
-    yield frame.astype({"occupancy_id": "Int64", "exit_seq": "Int64"})
+
+
+class _Berth(StatefulProcessor):
+    """The occupancy that is open in a berth, if one is."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getValueState("open", "seq long, descr string, entered_at timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        seq, descr, entered = self.open.get() if self.open.exists() else (None, None, None)
+        for touch in sorted(rows, key=lambda r: r.seq):
+            wrong = touch.checked and descr != touch.descr
+            anomaly = ("from_berth_empty" if descr is None else "from_berth_description_mismatch") if wrong else None
+            if seq is not None or wrong:
+                reason = touch.reason if seq is not None else None
+                yield Row(td_area=key[0], berth=key[1], occupancy_id=seq, descr=descr, entered_at=entered, left_at=touch.event_at, exit_seq=touch.seq, exit_reason=reason, anomaly=anomaly)
+            seq, descr, entered = (touch.seq, touch.descr, touch.event_at) if touch.opens else (None, None, None)
+        if seq is not None:
+            self.open.update((seq, descr, entered))
+        else:
+            self.open.clear()
+
+    def close(self) -> None:
+        pass
 
 
 def occupancy_stream(touches: DataFrame) -> DataFrame:
     """Ended occupancies, and anomalies where they show, as touches (a streaming table) arrive."""
-    return touches.groupBy("td_area", "berth").applyInPandasWithState(_advance, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return touches.groupBy("td_area", "berth").transformWithState(_Berth(), OUT, "Append", "None")
