@@ -7,6 +7,7 @@ not follow the size of a batch.  A single text is never cut.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -73,6 +74,16 @@ def inverse_powers(at: np.ndarray) -> np.ndarray:
 _NEAR = _short(_R_INVERSE, _STEP)
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can: workers live long, and stages share them."""
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) for runs of rows of about ``most`` bytes; nulls are empty texts."""
     if isinstance(texts, pa.ChunkedArray):
@@ -91,6 +102,7 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.n
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, side="right")) - 1)
         yield row, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+    give_back()
 
 
 def prefix_sums(data: np.ndarray, fold: np.ndarray = SAME) -> np.ndarray:
