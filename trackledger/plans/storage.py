@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import gzip
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackledger import adapters as A
-from trackledger.operators import berths, tables, versions
-from trackledger.plans.documents import BROKEN, _children, _td_frames
+from trackledger.operators import berths, maps, tables, versions
+from trackledger.plans.documents import _ELEM, BROKEN, _children, _document, _td_frames
 from trackledger.plans.feeds import ORACLES as FEEDS
 from trackledger.plans.feeds import red_18_map_deltas
 from trackledger.plans.sql import over
@@ -202,3 +204,53 @@ def src_13_src_14_archived_objects(spark, d):
     A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("value")).repartition("key").write.partitionBy("key").text(f"{path}/raw")
     found = files.archived(spark, f"{path}/raw")
     return found.where(F.col("object_key").endswith(".txt")).select(F.regexp_extract("object_key", "key=([0-9]+)", 1).cast("long").alias("key"), "size", "sha256")
+
+
+# Frames as they come, and map documents from files
+
+
+def _gzipped(column):
+    @F.arrow_udf("binary")
+    def pack(bodies: pa.Array) -> pa.Array:
+        return pa.array([gzip.compress(b, mtime=0) for b in bodies.to_pylist()], pa.binary())
+
+    return pack(column)
+
+
+@query("td", f"""SELECT f AS frame, CASE WHEN f%7=1 THEN 'gzip_decompress_failed' WHEN f%{BROKEN}=0 THEN 'invalid_json' END AS error_code, CASE WHEN f%7=1 OR f%{BROKEN}=0 THEN 1 ELSE n END AS n,
+  CASE WHEN f%7=1 OR f%{BROKEN}=0 THEN (SELECT max(event_at) FROM td WHERE (seq-1)//10=f) ELSE date_trunc('milliseconds', last_at) END AS last_event_at FROM (SELECT (seq-1)//10 AS f, count(*) AS n, max(event_at) AS last_at FROM td GROUP BY 1)""")
+def src_05_agg_08_packed_frames(spark, d):
+    """Frames of which some are packed and some packed ones cut short, with their newest event."""
+    made = _td_frames(spark, d)
+    raw = F.col("body").cast("binary")
+    packed = made.where("frame % 2 = 0 and frame % 7 <> 1").withColumn("body", _gzipped(raw))
+    cut = made.where("frame % 7 = 1").withColumn("body", F.concat(F.lit(bytes([0x1F, 0x8B])), raw))
+    plain = made.where("frame % 2 = 1 and frame % 7 <> 1").withColumn("body", raw)
+    whole = packed.unionByName(cut).unionByName(plain)
+    children = _children(frames.parse_td(whole), whole)
+    found = children.groupBy("frame").agg(F.max("error_code").alias("error_code"), F.count("*").alias("n"), F.max("event_at").alias("last_event_at"))
+    return found.withColumn("last_event_at", F.col("last_event_at").cast("timestamp_ntz"))
+
+
+@query("td", f"""SELECT strftime(CASE WHEN f%{BROKEN}=0 THEN (SELECT max(t.event_at) FROM td t WHERE (t.seq-1)//10=f) ELSE event_at END, '%Y_%m') AS event_month, count(*) AS n FROM
+  (SELECT (seq-1)//10 AS f, (seq-1)%10 AS child, event_at FROM td) WHERE f%{BROKEN}<>0 OR child=0 GROUP BY 1""")
+def snk_03_snk_15_monthly_partitions(spark, d):
+    """Landed children by the month that their partition's path names."""
+    path = _folder(spark, "landed")
+    ingest.land_batch(_td_frames(spark, d).drop("frame"), 0, frames.parse_td, path)
+    kept = spark.read.parquet(f"{path}/children").select(F.regexp_extract(F.col("_metadata.file_path"), "event_month=([0-9_]+)", 1).alias("event_month"))
+    return kept.groupBy("event_month").agg(F.count("*").alias("n"))
+
+
+@query("", f"""WITH {_ELEM} SELECT map_id, row_number() OVER (PARTITION BY map_id ORDER BY pos)-1 AS pos, id, type, layer_id, CASE WHEN z=3 THEN 0 ELSE z END AS z, x, y FROM elem""")
+def src_16_doc_01_documents_of_files(spark, d):
+    """A document per nation, written as a file of JSON and read back; elements without a z order have 0."""
+    doc = _document(spark, d)
+    element = F.struct(F.col("id"), F.col("type"), F.col("layer_id").alias("layerId"), F.when(F.col("z") != 3, F.col("z")).alias("zIndex"), F.col("x"), F.col("y"))
+    listed = doc.elements.groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct("pos", element.alias("e")))).alias("l"))
+    layers = doc.layers.groupBy("map_id").agg(F.collect_list(F.struct("id", "order")).alias("layers"))
+    json = F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.col("layers"), F.transform("l", lambda x: x["e"]).alias("elements")))
+    path = _folder(spark, "maps")
+    listed.join(layers, "map_id").select("map_id", json.alias("value")).write.partitionBy("map_id").text(path)
+    files_read = spark.read.text(f"{path}/*", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "map_id=([0-9]+)", 1).cast("int").alias("map_id"), F.col("value").alias("json"))
+    return maps.read(files_read).elements.select("map_id", "pos", "id", "type", "layer_id", "z", "x", "y")
