@@ -24,6 +24,21 @@ def end_import(imports: DataFrame, kind: str, checksum: str, error: str | None =
     return imports.withColumns({"status": F.when(own, status).otherwise(F.col("status")), "summary": F.when(own, F.lit(summary)).otherwise(F.col("summary"))})
 
 
+def lineage(children: DataFrame, recorded: DataFrame, archive: DataFrame) -> DataFrame:
+    """Every child with the frame that it came in and the archived original of that frame: (…, batch, day, object_key).
+
+    ``recorded``: (feed_name, body_hash, batch, day); ``archive``: (sha256, object_key).  A
+    child whose original is not archived has no object_key.
+    """
+    frames = recorded.select("feed_name", "body_hash", "batch", "day")
+    return children.join(frames, ["feed_name", "body_hash"]).join(archive.select(F.col("sha256").alias("body_hash"), "object_key"), "body_hash", "left")
+
+
+def staged_children(staged: DataFrame, parents: DataFrame, key: list[str], parent: str) -> DataFrame:
+    """Staged child rows under the id of the parent that was written for their natural key."""
+    return staged.drop(parent).join(parents.select(*key, parent), key).drop(*key)
+
+
 def reparsed(children: DataFrame, again: DataFrame) -> DataFrame:
     """(body_hash, child_index, old and new status and type) of the children that parse differently now."""
     key = ["feed_name", "body_hash", "child_index"]

@@ -171,13 +171,16 @@ def joi_11_still_current(spark, d):
     return resolver.decide(occ, scored).join(now, "occupancy_id", "left_semi").select("occupancy_id", "status", "run_id")
 
 
-@query("sch loc", "SELECT a.schedule_id, l.seq_no, l.tiploc FROM (SELECT train_uid, start_date, end_date, stp, min(schedule_id) AS schedule_id FROM sch GROUP BY 1,2,3,4) a JOIN (SELECT s.train_uid, s.start_date, s.end_date, s.stp, l.seq_no, l.tiploc FROM loc l JOIN sch s USING (schedule_id)) l USING (train_uid, start_date, end_date, stp)")
+_SOURCED = "(SELECT *, CASE WHEN schedule_id%2=0 THEN 'SCHEDULE' ELSE 'VSTP' END AS source FROM sch)"
+
+
+@query("sch loc", f"SELECT a.schedule_id, l.seq_no, l.tiploc FROM (SELECT train_uid, start_date, end_date, stp, source, min(schedule_id) AS schedule_id FROM {_SOURCED} GROUP BY ALL) a JOIN (SELECT s.train_uid, s.start_date, s.end_date, s.stp, s.source, l.seq_no, l.tiploc FROM loc l JOIN {_SOURCED} s USING (schedule_id)) l USING (train_uid, start_date, end_date, stp, source)")
 def joi_14_staged_children(spark, d):
-    key = ["train_uid", "start_date", "end_date", "stp"]
-    s = A.schedules(spark, d)
-    staged = A.schedule_locations(spark, d).join(s.select("schedule_id", *key), "schedule_id").drop("schedule_id")
+    key = ["train_uid", "start_date", "end_date", "stp", "source"]
+    s = A.schedules(spark, d).withColumn("source", F.when(F.col("schedule_id") % 2 == 0, "SCHEDULE").otherwise("VSTP"))
+    staged = A.schedule_locations(spark, d).join(s.select("schedule_id", *key), "schedule_id")
     upserted = s.groupBy(*key).agg(F.min("schedule_id").alias("schedule_id"))
-    return staged.join(upserted, key).select("schedule_id", F.col("seq_no").cast("long").alias("seq_no"), "tiploc")
+    return imports.staged_children(staged, upserted, key, "schedule_id").select("schedule_id", F.col("seq_no").cast("long").alias("seq_no"), "tiploc")
 
 
 @query("scored runs", "SELECT s.occupancy_id, string_agg(s.run_id||':'||CAST(s.score AS VARCHAR)||':'||r.train_uid, ',' ORDER BY s.score DESC, s.run_id) AS candidates FROM scored s JOIN runs r USING (run_id) GROUP BY 1")

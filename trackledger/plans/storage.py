@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackledger import adapters as A
-from trackledger.operators import berths, maps, tables, versions
+from trackledger.functions import text
+from trackledger.operators import berths, imports, maps, tables, versions
 from trackledger.plans.documents import _ELEM, BROKEN, _children, _document, _td_frames
 from trackledger.plans.feeds import ORACLES as FEEDS
 from trackledger.plans.feeds import red_18_map_deltas
@@ -254,3 +255,17 @@ def src_16_doc_01_documents_of_files(spark, d):
     listed.join(layers, "map_id").select("map_id", json.alias("value")).write.partitionBy("map_id").text(path)
     files_read = spark.read.text(f"{path}/*", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "map_id=([0-9]+)", 1).cast("int").alias("map_id"), F.col("value").alias("json"))
     return maps.read(files_read).elements.select("map_id", "pos", "id", "type", "layer_id", "z", "x", "y")
+
+
+@query("td", f"""SELECT f AS frame, child AS child_index, f%{BATCHES} AS batch, f%5<>0 AS archived FROM (SELECT CAST((seq-1)//10 AS BIGINT) AS f, CAST((seq-1)%10 AS INTEGER) AS child FROM td) WHERE f%{BROKEN}<>0 OR child=0""")
+def joi_20_lineage_of_landed(spark, d):
+    """Every landed child with its frame's record and archived original; one frame in five was not archived."""
+    path, made = _folder(spark, "landed"), _td_frames(spark, d)
+    for batch in range(BATCHES):
+        ingest.land_batch(made.where(F.col("frame") % BATCHES == batch).drop("frame"), batch, frames.parse_td, path)
+    digest = F.sha2(F.col("body").cast("binary"), 256)
+    archive = made.where("frame % 5 <> 0").select(digest.alias("sha256"), text.object_key(F.col("feed_name"), digest, F.col("received_at")).alias("object_key"))
+    children = spark.read.parquet(f"{path}/children").drop("batch")
+    found = imports.lineage(children, spark.read.schema(ingest.FRAMES).parquet(f"{path}/frames"), archive)
+    named = F.col("object_key").contains(F.col("body_hash"))
+    return _children(found, made).select("frame", "child_index", "batch", F.coalesce(named, F.lit(False)).alias("archived"))
