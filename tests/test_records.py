@@ -88,3 +88,14 @@ def test_drafts_begin_from_the_version_or_blank(spark):
     assert json.loads(found['b"'].document)["map"]["id"] == 'b"' and len(found) == 3
     saved = imports.save_draft(spark.createDataFrame([("a", 1, found["a"].document)], "slug string, revision int, document string"), "a", 1, "next", spark)
     assert saved.where("revision = 2").first().document == "next"
+
+
+def test_logs_of_imports_saves_and_versions(spark):
+    rows = [("k", "a", 1, False), ("k", "a", 2, True), ("k", "a", 3, False), ("k", "a", 4, True), ("k", "b", 5, False), ("j", "a", 6, False)]
+    tries = spark.createDataFrame(rows, "source_kind string, checksum string, seq long, ok boolean")
+    assert [r.decision for r in imports.import_decisions(tries).orderBy("seq").collect()] == ["failed", "completed", "skipped", "skipped", "failed", "failed"]
+    saves = spark.createDataFrame([("m", 1, 0), ("m", 2, 0), ("m", 3, 1), ("n", 4, 1), ("n", 5, 0), (None, 6, 0), ("m", 7, None)], "slug string, seq long, base_revision long")
+    assert [(r.accepted, r.revision) for r in imports.accepted_saves(saves).orderBy("seq").collect()] == [(True, 1), (False, 1), (True, 2), (False, 0), (True, 1), (True, 1), (False, 2)]
+    asked = spark.createDataFrame([("m", 1, "2026-01-05"), ("m", 2, "2026-01-05"), ("m", 3, "2026-01-01"), ("m", 4, "2026-01-09"), ("n", 5, "2026-01-01")], "slug string, seq long, effective_from string")
+    got = [(r.seq, r.version, r.effective_from, r.effective_to) for r in maps.published(asked).orderBy("seq").collect()]
+    assert got == [(1, 1, "2026-01-05", "2026-01-09"), (4, 2, "2026-01-09", None), (5, 1, "2026-01-01", None)]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,40 @@ def end_import(imports: DataFrame, kind: str, checksum: str, error: str | None =
     return imports.withColumns({"status": F.when(own, status).otherwise(F.col("status")), "summary": F.when(own, F.lit(summary)).otherwise(F.col("summary"))})
 
 
+def import_decisions(attempts: DataFrame) -> DataFrame:
+    """(source_kind, checksum, seq, decision) of attempts (source_kind, checksum, seq, ok) to import a file, in order of ``seq``.
+
+    A file that was imported completely is ``skipped`` from then on; until then each attempt is ``completed`` or ``failed``.
+    """
+    key = ["source_kind", "checksum"]
+    first = attempts.where("ok").groupBy(*key).agg(F.min("seq").alias("_done"))
+    decision = F.when(F.col("seq") > F.col("_done"), "skipped").when(F.col("ok"), "completed").otherwise("failed")
+    return attempts.join(first, key, "left").select(*key, "seq", decision.alias("decision"))
+
+
+def accepted_saves(attempts: DataFrame) -> DataFrame:
+    """(slug, seq, base_revision, accepted, revision) of attempts (slug, seq, base_revision) to save drafts, in order of ``seq``.
+
+    A save is accepted if it was made from the last revision, and becomes the next one; a
+    new draft is at revision 0.  Each slug goes through one task in order, holding a number.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, revision = object(), 0
+        for batch in batches:
+            accepted, revisions = [], []
+            for slug, base in zip(batch.column("slug").to_pylist(), batch.column("base_revision").to_pylist(), strict=True):
+                if slug != now:
+                    now, revision = slug, 0
+                accepted.append(base == revision)
+                revision += base == revision
+                revisions.append(revision)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(accepted), pa.array(revisions, pa.int64())], ["slug", "seq", "base_revision", "accepted", "revision"])
+
+    rows = attempts.select("slug", F.col("seq").cast("long").alias("seq"), F.col("base_revision").cast("long").alias("base_revision"))
+    return rows.repartition("slug").sortWithinPartitions("slug", "seq").mapInArrow(run, "slug string, seq long, base_revision long, accepted boolean, revision long")
+
+
 def lineage(children: DataFrame, recorded: DataFrame, archive: DataFrame) -> DataFrame:
     """Every child with the frame that it came in and the archived original of that frame: (…, batch, day, object_key).
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackledger.operators.tables import diff
@@ -245,6 +245,19 @@ def publish(versions: DataFrame, slug: str, document: str, effective_from: str,
     return closed.unionByName(new)
 
 
+def published(requests: DataFrame) -> DataFrame:
+    """(slug, seq, version, effective_from, effective_to) after all publish requests (slug, seq, effective_from), in order of ``seq``.
+
+    A version begins after all versions before it and closes the open one; a request that
+    begins no later than an earlier one is refused and has no row.  The last accepted
+    beginning is the latest of all before, so one running maximum tells.
+    """
+    order = Window.partitionBy("slug").orderBy("seq")
+    latest = F.max("effective_from").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    taken = requests.withColumn("_latest", latest).where(F.col("_latest").isNull() | (F.col("effective_from") > F.col("_latest")))
+    return taken.select("slug", "seq", F.row_number().over(order).alias("version"), "effective_from", F.lead("effective_from").over(order).alias("effective_to"))
+
+
 def overlapping_versions(versions: DataFrame) -> DataFrame:
     """(slug, version): versions that begin before the one before them ends."""
     ends = F.expr("lag(effective_to) over (partition by slug order by effective_from, version)")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trackledger import adapters as A
 from trackledger.functions import text
-from trackledger.operators import berths, maps, paging, resolver, tables
+from trackledger.operators import berths, imports, maps, paging, resolver, tables
 from trackledger.plans.documents import _ELEM, BROKEN, _children, _document, _frames, _ms
 from trackledger.plans.feeds import DAY, _scored
 from trackledger.plans.sql import CANDIDATES, VIEWS, in_order, over
@@ -178,3 +178,36 @@ def joi_24_diff_sides(spark, d):
     none = F.lit(None).cast("int")
     requests = slugs.select("slug", F.lit(1).alias("from_version"), F.explode(F.array(F.lit(2), F.lit(3), none)).alias("to_version"))
     return maps.diff_sides(requests, versions, drafts)
+
+
+# Logs of attempts
+
+
+_TRIES = "(SELECT CAST(o_custkey AS VARCHAR) AS slug, o_orderkey AS seq, o_orderkey%7=0 AS ok, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey%3=0 THEN 0 ELSE o_orderkey%4 END AS base FROM orders)"
+
+
+def _tries(spark, d):
+    key = F.col("o_orderkey")
+    return A.table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("slug"), key.alias("seq"), (key % 7 == 0).alias("ok"), F.to_date("o_orderdate").alias("day"), F.when(key % 3 == 0, 0).otherwise(key % 4).alias("base"))
+
+
+@query("", f"""SELECT slug AS checksum, seq, CASE WHEN seq>min(CASE WHEN ok THEN seq END) OVER (PARTITION BY slug) THEN 'skipped' WHEN ok THEN 'completed' ELSE 'failed' END AS decision FROM {_TRIES}""")
+def snk_22_import_decisions(spark, d):
+    """Orders as attempts to import a customer's file; one in seven succeeds."""
+    attempts = _tries(spark, d).select(F.lit("schedule").alias("source_kind"), F.col("slug").alias("checksum"), "seq", "ok")
+    return imports.import_decisions(attempts).select("checksum", "seq", "decision")
+
+
+@query("", f"""WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY seq) AS n FROM {_TRIES}),
+w AS (SELECT DISTINCT slug, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS base_revision, false AS accepted, CAST(0 AS BIGINT) AS revision FROM t
+  UNION ALL SELECT t.slug, t.n, t.seq, t.base, t.base=w.revision, w.revision+CAST(t.base=w.revision AS BIGINT) FROM w JOIN t ON t.slug=w.slug AND t.n=w.n+1) SELECT slug, seq, base_revision, accepted, revision FROM w WHERE n>0""")
+def snk_20_accepted_saves(spark, d):
+    """Orders as attempts to save a customer's draft from some revision."""
+    return imports.accepted_saves(_tries(spark, d).select("slug", "seq", F.col("base").alias("base_revision")))
+
+
+@query("", f"""SELECT slug, seq, CAST(row_number() OVER w AS INTEGER) AS version, day AS effective_from, lead(day) OVER w AS effective_to FROM (SELECT *, max(day) OVER (PARTITION BY slug ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM {_TRIES})
+  WHERE latest IS NULL OR day>latest WINDOW w AS (PARTITION BY slug ORDER BY seq)""")
+def snk_19_published_versions(spark, d):
+    """Orders as requests to publish a version of a customer's map from a day on."""
+    return maps.published(_tries(spark, d).select("slug", "seq", F.col("day").alias("effective_from")))
