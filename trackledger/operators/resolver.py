@@ -92,10 +92,14 @@ def resolve_due(decisions: DataFrame, due: DataFrame, scored: DataFrame, now: Co
     New and retried occupancies are decided in one order of time, with continuity.  ``known``:
     the occupancies (occupancy_id, td_area, descr, entered_at) that have decisions; matches
     among them that are not due support what comes after them, as if decided in that order.
+    Without ``known`` there is no continuity, and candidates need no descriptions or times.
     """
+    if known is None:
+        fresh = decide(due, scored).withColumn("decided_at", now)
+        return decisions.join(due.select("occupancy_id"), "occupancy_id", "left_anti").unionByName(fresh)
     staying = decisions.join(due.select("occupancy_id"), "occupancy_id", "left_anti")
     own = scored.join(due.select("occupancy_id"), "occupancy_id", "left_semi")
-    fixed = None if known is None else known.join(staying.where("status = 'matched'").select("occupancy_id", "run_id"), "occupancy_id")
+    fixed = known.join(staying.where("status = 'matched'").select("occupancy_id", "run_id"), "occupancy_id")
     found = decide_in_order(own, fixed=fixed)
     none = {"status": F.lit("unmatched"), "score": F.lit(0), "confidence": F.lit(0.0), "n_candidates": F.lit(0)}
     fresh = due.select("occupancy_id").join(found, "occupancy_id", "left").withColumns({c: F.coalesce(c, v) for c, v in none.items()})
