@@ -40,7 +40,7 @@ def streamed(spark: SparkSession, rows: DataFrame, order: str, run: Callable[[Da
     """What a stream over the rows writes, if they come in so many parts by a whole-number column, ascending."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     cuts = rows.agg(F.percentile_approx(F.col(order).cast("long"), [k / pieces for k in range(1, pieces)], 1000)).first()[0] or []
-    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    files = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
     bounds = [None, *sorted(set(cuts)), None]
     for low, high in zip(bounds[:-1], bounds[1:], strict=True):
         inside = F.lit(True) if low is None else F.col(order) > low

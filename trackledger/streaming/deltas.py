@@ -27,13 +27,17 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 @contextmanager
 def stateful(spark: SparkSession) -> Iterator[None]:
-    """Streams that start within keep their state in RocksDB."""
-    before = spark.conf.get(PROVIDER, None)
+    """Streams that start within keep their state in RocksDB, in no more partitions than two per core."""
+    partitions = "spark.sql.shuffle.partitions"
+    most = min(int(spark.conf.get(partitions)), 2 * spark.sparkContext.defaultParallelism)
+    before = {key: spark.conf.get(key, None) for key in (PROVIDER, partitions)}
     spark.conf.set(PROVIDER, ROCKSDB)
+    spark.conf.set(partitions, str(most))
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
 
 
 class _Held:
