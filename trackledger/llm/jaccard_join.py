@@ -237,6 +237,8 @@ def common_shingles(sets: DataFrame) -> Broadcast:
     found = sets.select(F.explode("recurring").alias("r")).groupBy("r.bucket").agg(F.sum("r.n").alias("n")).toArrow()  # a row per bucket at most
     table = np.zeros(1 << COMMON_BITS, dtype=np.float32)
     table[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    del found
+    T.give_back()
     return sets.sparkSession.sparkContext.broadcast(table)
 
 

@@ -168,7 +168,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     total = np.add.reduceat(np.concatenate([n, [0.0]]), bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
     share = n / np.repeat(total, np.diff(bounds))
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    return fit_arrays(rows_.field("bucket").to_numpy().astype(np.int64), share, bounds, table["_y"].to_numpy().astype(float), prior)
+    model = fit_arrays(rows_.field("bucket").to_numpy().astype(np.int64), share, bounds, table["_y"].to_numpy().astype(float), prior)
+    del found, table, lists, rows_, n, total, share
+    T.give_back()  # the driver goes on for long
+    return model
 
 
 def score_column(docs: DataFrame, model: Model, text: str = "text") -> Column:

@@ -42,7 +42,8 @@ MIN_TRAINING_DOCS = 2
 MIN_ASSOCIATION = 10.0
 MIN_JOINT_ASSOCIATION = 120.0
 #: Pairs are tested of terms in this share of the training documents, of the most frequent ones if there are more.
-PAIR_SHARE, PAIR_TERMS = 0.01, 2_048
+PAIR_SHARE, PAIR_TERMS = 0.01, 1_024
+_PAIRS_AT_ONCE = 128
 #: The rarer class counts so many times (as a power of the ratio of the classes).
 BALANCE = 0.5
 
@@ -114,10 +115,11 @@ def joint(bucket: np.ndarray, bounds: np.ndarray, label: np.ndarray, alone: np.n
     has = np.zeros((len(label), len(chosen)), dtype=np.float32)
     has[doc[term >= 0], term[term >= 0]] = 1
     toxic, found = has[label > 0], np.zeros(len(chosen), dtype=bool)
-    for at in range(0, len(chosen), 256):
-        g = g_statistic((has[:, at : at + 256].T @ has).astype(float), (toxic[:, at : at + 256].T @ toxic).astype(float), float(len(label)), float(label.sum()))
-        more = g - np.maximum(alone[chosen[at : at + 256], None], alone[chosen][None, :]) >= MIN_JOINT_ASSOCIATION
-        found[at : at + 256] |= more.any(axis=1)
+    for at in range(0, len(chosen), _PAIRS_AT_ONCE):
+        own = slice(at, at + _PAIRS_AT_ONCE)
+        g = g_statistic((has[:, own].T @ has).astype(float), (toxic[:, own].T @ toxic).astype(float), float(len(label)), float(label.sum()))
+        more = g - np.maximum(alone[chosen[own], None], alone[chosen][None, :]) >= MIN_JOINT_ASSOCIATION
+        found[own] |= more.any(axis=1)
         found |= more.any(axis=0)
     return chosen[found]
 
@@ -212,7 +214,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = MA
     table = training_sample(docs, labels, label, rows, term_array).toArrow().combine_chunks().sort_by("_id")
     lists = table["features"].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
     bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
-    return fit_arrays(lists.flatten().to_numpy().astype(np.int64), bounds, table["y"].to_numpy().astype(float))
+    model = fit_arrays(lists.flatten().to_numpy().astype(np.int64), bounds, table["y"].to_numpy().astype(float))
+    del table, lists
+    T.give_back()  # the driver goes on for long
+    return model
 
 
 def score_column(docs: DataFrame, model: Model, text: str = "text") -> Column:
