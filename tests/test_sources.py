@@ -4,6 +4,8 @@ from datetime import datetime
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from trackledger.sources import files, frames
 
 NOW = datetime(2026, 8, 10, 12)
@@ -115,3 +117,14 @@ def test_reference_files(spark, tmp_path):
     assert [(r.td_area, r.stanox) for r in files.berth_steps(spark, str(tmp_path / "s.json")).collect()] == [("ZZ", "8")]
     with pytest.raises(ValueError):
         files.locations(spark, str(tmp_path / "s.json"))
+
+
+def test_children_are_joined_without_a_broadcast_of_the_log(spark):
+    """Estimates fall below the limit of broadcasts while rows do not."""
+    from trackledger.operators import imports
+    from trackledger.plans.documents import _children
+
+    made = spark.createDataFrame([(k, "td", f"[{k}]") for k in range(3)], "frame long, feed_name string, body string").withColumn("received_at", F.lit("2026-01-01").cast("timestamp"))
+    parsed = frames.parse_td(made)
+    for rows in (_children(parsed, made), imports.reparsed(parsed, parsed.withColumn("event_type", F.lit("x")))):
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString() and rows.count() == 3

@@ -81,7 +81,7 @@ def reparsed(children: DataFrame, again: DataFrame) -> DataFrame:
     key = ["feed_name", "body_hash", "child_index"]
     old = children.select(*key, F.col("parse_status").alias("old_status"), F.col("event_type").alias("old_type"))
     new = again.select(*key, F.col("parse_status").alias("new_status"), F.col("event_type").alias("new_type"))
-    both = old.join(new, key)
+    both = old.join(new.hint("merge"), key)  # both are as large as the log, whatever their estimates say
     return both.where((F.col("old_status") != F.col("new_status")) | (F.col("old_type") != F.col("new_type")))
 
 

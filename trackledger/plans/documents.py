@@ -58,8 +58,12 @@ def _td_frames(spark, d):
 
 
 def _children(parsed, made):
+    """The children with the number of their frame.
+
+    What is parsed is larger than its columns let Spark estimate, so neither side is broadcast.
+    """
     numbers = made.select("frame", F.sha2(F.col("body").cast("binary"), 256).alias("body_hash"))
-    return parsed.join(numbers, "body_hash")
+    return parsed.join(numbers.hint("merge"), "body_hash")
 
 
 @query("td", f"""SELECT CAST((seq-1)//10 AS BIGINT) AS frame, CAST((seq-1)%10 AS INTEGER) AS child_index, message_type AS event_type, td_area, 'parsed' AS parse_status, NULL AS error_code,
