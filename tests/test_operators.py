@@ -181,3 +181,14 @@ def test_landing_a_stream_twice_records_once(spark, tmp_path):
     ingest.land_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), parse_td, str(tmp_path / "log"), str(tmp_path / "checkpoint")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "log/frames")).count() == 2
     assert spark.read.parquet(str(tmp_path / "log/children")).count() == 2
+
+
+def test_schedules_meet_trains_and_dates_not_runs(spark):
+    """Runs of one train and date share one lookup, so links grow with the runs, not with runs times schedules."""
+    own = spark.range(40).selectExpr("concat('r', id) as run_id", "if(id = 0, null, concat('U', id % 2)) as train_uid", "date'2026-01-05' as service_date")
+    plans = spark.createDataFrame([("U0", 1, "P", "2026-01-01", "2026-01-31"), ("U0", 2, "O", "2026-01-01", "2026-01-31"), ("U1", 3, "P", "2026-01-01", "2026-01-31"), ("U1", 4, "P", "2026-01-05", "2026-01-05")], "train_uid string, schedule_id long, stp string, a string, b string")
+    plans = plans.selectExpr("train_uid", "schedule_id", "stp", "to_date(a) as start_date", "to_date(b) as end_date", "cast(null as string) as days_run")
+    links = schedules.link_runs(own, plans)
+    assert "keys=[run_id" not in links._jdf.queryExecution().executedPlan().toString()
+    want = {f"r{k}": ("unmatched", None) if k == 0 else ("ambiguous", None) if k % 2 else ("matched", 2) for k in range(40)}
+    assert {r.run_id: (r.outcome, r.schedule_id) for r in links.collect()} == want

@@ -62,11 +62,16 @@ def lookup(schedules: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def link_runs(runs: DataFrame, schedules: DataFrame) -> DataFrame:
-    """(run_id, outcome, schedule_id): every run with the outcome of its train's lookup on its service date."""
-    cand = by_month(runs.select("run_id", "train_uid", "service_date"), "service_date").join(by_months(schedules), ["train_uid", "_month"])
+    """(run_id, outcome, schedule_id): every run with the outcome of its train's lookup on its service date.
+
+    Runs of one train and date have one outcome, so schedules meet trains and dates, not runs.
+    """
+    key = ["train_uid", "service_date"]
+    own = runs.select("run_id", *key)
+    cand = by_month(own.select(*key).distinct(), "service_date").join(by_months(schedules), ["train_uid", "_month"])
     cand = cand.where(runs_on(F.col("service_date"), F.col("start_date"), F.col("end_date"), F.col("days_run")))
-    found = effective(cand, ["run_id"]).select("run_id", "outcome", "schedule_id")
-    return runs.select("run_id").join(found, "run_id", "left").select("run_id", F.coalesce("outcome", F.lit("unmatched")).alias("outcome"), "schedule_id")
+    found = effective(cand, key).select(*key, "outcome", "schedule_id")
+    return own.join(found, key, "left").select("run_id", F.coalesce("outcome", F.lit("unmatched")).alias("outcome"), "schedule_id")
 
 
 def versions(operations: DataFrame) -> DataFrame:
