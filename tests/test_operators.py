@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -192,3 +193,36 @@ def test_schedules_meet_trains_and_dates_not_runs(spark):
     assert "keys=[run_id" not in links._jdf.queryExecution().executedPlan().toString()
     want = {f"r{k}": ("unmatched", None) if k == 0 else ("ambiguous", None) if k % 2 else ("matched", 2) for k in range(40)}
     assert {r.run_id: (r.outcome, r.schedule_id) for r in links.collect()} == want
+
+
+def resolver_tables(spark, seed, n=120):
+    """Occupancies, runs, links, calls and berths in which all kinds of candidates and ties come up, some times and keys missing."""
+    rng = random.Random(seed)
+    at = lambda: T0 + timedelta(minutes=rng.choice([0, 1, 5, 9, 30, 300, 1440, 1441]) + rng.randint(0, 12))
+    occ = [(k, rng.choice("YZ"), rng.choice("12"), rng.choice(["1A01", "2B02"]), None if k == 7 else at()) for k in range(n)]
+    own = [(f"r{k}", rng.choice(["1A01", "2B02", None]), (T0 + timedelta(days=rng.randint(0, 1))).date(), rng.choice(["activated", "activated", "superseded"]), rng.choice([None, T0 - timedelta(days=1), T0, T0 + timedelta(minutes=3), at(), at()])) for k in range(rng.choice([4, 9, 24]))]
+    links = [(r[0], *rng.choice([("matched", rng.randint(1, 4)), ("ambiguous", None), ("unmatched", None)])) for r in own]
+    calls = [(rng.randint(1, 4), rng.choice(["S1", "S2", "S3", None])) for _ in range(5)]
+    smart = [(a, b, rng.choice(["S1", "S2", "S3", None])) for a in "YZ" for b in "12"]
+    return (
+        spark.createDataFrame(occ, "occupancy_id long, td_area string, berth string, descr string, entered_at timestamp"), spark.createDataFrame(own, "run_id string, signalling_id string, service_date date, state string, activated_at timestamp"),
+        spark.createDataFrame(links, "run_id string, outcome string, schedule_id long"), spark.createDataFrame(calls, "schedule_id long, stanox string"), spark.createDataFrame(smart, "td_area string, to_berth string, stanox string"),
+    )
+
+
+def rows_of(found):
+    return sorted(tuple(r) for r in found.select("occupancy_id", "status", F.coalesce("run_id", F.lit("")).alias("run_id"), "score", "confidence", "n_candidates").collect())
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_the_best_of_each_occupancy_without_pairs(spark, seed):
+    made = [t.persist() for t in resolver_tables(spark, seed)]
+    pairs, best, facts = resolver.candidates(*made), resolver.tops(*made), resolver.run_facts(*made[1:])
+    assert rows_of(resolver.decide_tops(best)) == rows_of(resolver.decide(made[0], pairs))
+    walked = rows_of(resolver.decide_in_order(pairs))
+    assert rows_of(resolver.decide_tops_in_order(best, facts)) == walked
+    won = [r for r in walked if r[1] == "matched"][::2]
+    fixed = spark.createDataFrame([(r[0], r[2]) for r in won], "occupancy_id long, run_id string").join(made[0], "occupancy_id").persist()
+    left = lambda rows: rows.join(fixed.select("occupancy_id"), "occupancy_id", "left_anti")
+    assert rows_of(resolver.decide_tops_in_order(left(best), facts, fixed=fixed)) == rows_of(resolver.decide_in_order(left(pairs), fixed=fixed))
+    assert "keys=[occupancy_id" not in pairs._jdf.queryExecution().executedPlan().toString() and "_smart" not in pairs._jdf.queryExecution().toString()

@@ -153,11 +153,11 @@ NOW = "2024-01-20 12:00:00"
 
 @query("decided occ", f"SELECT x.occupancy_id, x.status, o.td_area, o.berth FROM decided x JOIN occ o USING (occupancy_id) WHERE o.berth IN ('0001','0005') AND o.entered_at<=TIMESTAMP '{NOW}' AND (o.left_at IS NULL OR o.left_at>=TIMESTAMP '{NOW}' - INTERVAL 1 HOUR)")
 def joi_06_recent_resolutions(spark, d):
-    occ, scored = feeds._scored(spark, d)
+    occ = berths.occupancies(A.td_events(spark, d))
     wanted = spark.createDataFrame([("0001",), ("0005",)], "berth string")
     at = F.lit(NOW).cast("timestamp_ntz")
     near = occ.join(wanted, "berth", "left_semi").where((F.col("entered_at") <= at) & (F.col("left_at").isNull() | (F.col("left_at") >= at - F.expr("INTERVAL 1 HOUR"))))
-    return resolver.decide(occ, scored).join(near.select("occupancy_id", "td_area", "berth"), "occupancy_id").select("occupancy_id", "status", "td_area", "berth")
+    return feeds._decided(spark, d).join(near.select("occupancy_id", "td_area", "berth"), "occupancy_id").select("occupancy_id", "status", "td_area", "berth")
 
 
 @query("bind sch", "SELECT b.slug, b.element_id, v.schedule_id AS version FROM bind b JOIN (SELECT CASE WHEN schedule_id%2=0 THEN 'north' ELSE 'south' END AS slug, max(schedule_id) AS schedule_id FROM sch GROUP BY 1) v USING (slug)")
@@ -170,9 +170,8 @@ def joi_10_open_versions(spark, d):
 
 @query("decided occ cur", "SELECT x.occupancy_id, x.status, x.run_id FROM decided x JOIN occ o USING (occupancy_id) JOIN cur c ON c.td_area=o.td_area AND c.berth=o.berth AND c.source_seq=o.occupancy_id")
 def joi_11_still_current(spark, d):
-    occ, scored = feeds._scored(spark, d)
     now = berths.current_state(A.td_events(spark, d)).where("descr is not null").select(F.col("source_seq").alias("occupancy_id"))
-    return resolver.decide(occ, scored).join(now, "occupancy_id", "left_semi").select("occupancy_id", "status", "run_id")
+    return feeds._decided(spark, d).join(now, "occupancy_id", "left_semi").select("occupancy_id", "status", "run_id")
 
 
 _SOURCED = "(SELECT *, CASE WHEN schedule_id%2=0 THEN 'SCHEDULE' ELSE 'VSTP' END AS source FROM sch)"
@@ -189,11 +188,9 @@ def joi_14_staged_children(spark, d):
 
 @query("scored runs", "SELECT s.occupancy_id, string_agg(s.run_id||':'||CAST(s.score AS VARCHAR)||':'||r.train_uid, ',' ORDER BY s.score DESC, s.run_id) AS candidates FROM scored s JOIN runs r USING (run_id) GROUP BY 1")
 def joi_17_srt_09_enriched_candidates(spark, d):
-    _, scored = feeds._scored(spark, d)
-    rows = scored.join(runs.runs(A.trust_events(spark, d)).select("run_id", "train_uid"), "run_id")
-    item = F.struct((-F.col("score")).alias("down"), "run_id", F.concat_ws(":", "run_id", F.col("score").cast("string"), "train_uid").alias("shown"))
-    lists = rows.groupBy("occupancy_id").agg(F.array_sort(F.collect_list(item)).alias("l"))
-    return lists.select("occupancy_id", F.array_join(F.transform("l", lambda x: x["shown"]), ",").alias("candidates"))
+    lists = resolver.candidate_lists(berths.occupancies(A.td_events(spark, d)), *feeds._evidence(spark, d), told="train_uid")
+    shown = F.transform("candidates", lambda c: F.concat_ws(":", c["run_id"], (-c["down"]).cast("string"), c["told"]))
+    return lists.select("occupancy_id", F.array_join(shown, ",").alias("candidates"))
 
 
 @query("td", f"SELECT CAST((seq-1)//10 AS BIGINT) AS frame, count(*) AS n_steps, min(seq) AS first_seq FROM td WHERE ((seq-1)//10)%{BROKEN}<>0 AND message_type='CA' GROUP BY 1")
@@ -387,8 +384,8 @@ def flt_13_visible_elements(spark, d):
 
 @query("bind decided occ", """SELECT b.slug, b.element_id, x.status, x.run_id, 1000+row_number() OVER (PARTITION BY b.slug ORDER BY o.occupancy_id, b.element_id) AS sequence FROM occ o JOIN decided x USING (occupancy_id) JOIN bind b USING (td_area, berth) WHERE o.exit_seq IS NULL""")
 def red_19_resolution_deltas(spark, d):
-    occ, scored = feeds._scored(spark, d)
-    now = occ.where("exit_seq is null").join(resolver.decide(occ, scored).select("occupancy_id", "status", "run_id"), "occupancy_id")
+    occ = berths.occupancies(A.td_events(spark, d))
+    now = occ.where("exit_seq is null").join(feeds._decided(spark, d).select("occupancy_id", "status", "run_id"), "occupancy_id")
     rows = now.join(A.map_bindings(spark), ["td_area", "berth"])
     return tables.sequenced(rows, "slug", ["occupancy_id", "element_id"], F.lit(1000).cast("long")).select("slug", "element_id", "status", "run_id", "sequence")
 
@@ -396,19 +393,18 @@ def red_19_resolution_deltas(spark, d):
 @query("runs link decided occ", """SELECT r.run_id, r.state, r.n_events, k.outcome, e.occupancy_id AS last_occupancy_id, e.score FROM runs r LEFT JOIN link k USING (run_id)
   LEFT JOIN (SELECT run_id, max(occupancy_id) AS occupancy_id, max_by(score, occupancy_id) AS score FROM decided WHERE status='matched' GROUP BY 1) e USING (run_id)""")
 def res_10_run_details(spark, d):
-    occ, scored = feeds._scored(spark, d)
     own = runs.runs(A.trust_events(spark, d))
     links = schedules.link_runs(own, A.schedules(spark, d, A.SCHEDULE_SHIFT_DAYS)).select("run_id", "outcome")
-    last = resolver.decide(occ, scored).where("status = 'matched'").groupBy("run_id").agg(F.max("occupancy_id").alias("last_occupancy_id"), F.max_by("score", "occupancy_id").alias("score"))
+    last = feeds._decided(spark, d).where("status = 'matched'").groupBy("run_id").agg(F.max("occupancy_id").alias("last_occupancy_id"), F.max_by("score", "occupancy_id").alias("score"))
     return own.select("run_id", "state", "n_events").join(links, "run_id", "left").join(last, "run_id", "left")
 
 
 @query("decided occ", "SELECT x.occupancy_id, x.status FROM decided x JOIN occ o USING (occupancy_id) WHERE o.entered_at > (SELECT max(entered_at) FROM occ) - INTERVAL 6 HOUR")
 def str_06_recent_decisions(spark, d):
-    occ, scored = feeds._scored(spark, d)
+    occ = berths.occupancies(A.td_events(spark, d))
     newest = occ.agg(F.max("entered_at")).first()[0]
     recent = occ.where(F.col("entered_at") > F.lit(newest).cast("timestamp_ntz") - F.expr("INTERVAL 6 HOURS"))
-    return resolver.decide(occ, scored).join(recent.select("occupancy_id"), "occupancy_id", "left_semi").select("occupancy_id", "status")
+    return feeds._decided(spark, d).join(recent.select("occupancy_id"), "occupancy_id", "left_semi").select("occupancy_id", "status")
 
 
 @query("tr marked td", """SELECT 'trust' AS projector, count(*) AS n_read, count(*) FILTER (WHERE seq>=created_seq) AS n_applied, count(*) FILTER (WHERE created_seq IS NULL OR seq<created_seq) AS n_skipped FROM marked

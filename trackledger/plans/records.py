@@ -8,7 +8,7 @@ from trackledger import adapters as A
 from trackledger.functions import text
 from trackledger.operators import berths, imports, maps, paging, resolver, tables
 from trackledger.plans.documents import _ELEM, BROKEN, _children, _document, _frames, _ms
-from trackledger.plans.feeds import DAY, _scored
+from trackledger.plans.feeds import DAY, _best
 from trackledger.plans.sql import CANDIDATES, VIEWS, in_order, over
 from trackledger.sources import frames, records
 
@@ -100,11 +100,11 @@ def s_21_calls_and_passes(spark, d):
 
 def _driven(spark, d):
     """Decisions known at a time, ten days before the last event, with the time ``now`` of the next run."""
-    occ, scored = _scored(spark, d)
+    occ, (best, made) = berths.occupancies(A.td_events(spark, d)), _best(spark, d, twice=True)
     last = A.td_events(spark, d).agg(F.max("event_at").alias("now"))
     early = occ.join(F.broadcast(last), F.col("entered_at") <= F.col("now") - F.expr("INTERVAL 10 DAYS"))
-    known = resolver.decide(early, scored).join(early.select("occupancy_id", F.col("entered_at").alias("decided_at"), "now"), "occupancy_id")
-    return occ.join(F.broadcast(last)), scored, known
+    known = resolver.decide_tops(best).join(early.select("occupancy_id", F.col("entered_at").alias("decided_at"), "now"), "occupancy_id")
+    return occ.join(F.broadcast(last)), best, known, made
 
 
 _NOW = "(SELECT max(event_at) FROM td)"
@@ -114,7 +114,7 @@ _DUE = f"""SELECT o.occupancy_id, CASE WHEN o.entered_at > {_NOW} - INTERVAL 10
 
 @query("td occ decided", _DUE)
 def res_06_due(spark, d):
-    occ, _, known = _driven(spark, d)
+    occ, _, known, _ = _driven(spark, d)
     return resolver.due(occ, known, F.col("now")).select("occupancy_id", "phase")
 
 
@@ -125,9 +125,9 @@ VIEWS["walk_due"] = ("td occ decided", in_order(f"SELECT *, CAST(NULL AS VARCHAR
 @query("walk_due", f"""SELECT x.occupancy_id, CASE WHEN u.phase IS NULL THEN x.status ELSE coalesce(w.status,'unmatched') END AS status, CASE WHEN u.phase IS NULL THEN x.run_id ELSE w.run_id END AS run_id, CASE WHEN u.phase IS NULL THEN x.score ELSE coalesce(w.score,0) END AS score, u.phase IS NOT NULL AS decided_now
   FROM decided x LEFT JOIN ({_DUE}) u USING (occupancy_id) LEFT JOIN ({in_order("", "walk_due")[1]}) w USING (occupancy_id)""")
 def res_06_driver(spark, d):
-    occ, scored, known = _driven(spark, d)
+    occ, best, known, made = _driven(spark, d)
     mark = F.lit("9999-01-01").cast("timestamp_ntz")
-    after = resolver.resolve_due(known.drop("now"), resolver.due(occ, known, F.col("now")), scored, mark, known=occ.select("occupancy_id", "td_area", "descr", "entered_at"))
+    after = resolver.resolve_due(known.drop("now"), resolver.due(occ, known, F.col("now")), best, mark, known=occ.select("occupancy_id", "td_area", "descr", "entered_at"), facts=resolver.run_facts(*made))
     return after.select("occupancy_id", "status", "run_id", "score", (F.col("decided_at") == mark).alias("decided_now"))
 
 

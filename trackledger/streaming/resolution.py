@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
-from trackledger.operators.resolver import CONTINUITY_MINUTES, RETRY_MINUTES, decided
+from trackledger.operators.resolver import CONTINUITY_MINUTES, RETRY_MINUTES, decided, supported
 
 DECISIONS = "occupancy_id long, status string, run_id string, score int, phase string, decided_ms long"
 _MINUTE = 60_000_000
@@ -25,15 +25,30 @@ class _Resolver(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.match = handle.getValueState("match", "run_id string, at long")
+        self.facts = handle.getValueState("facts", "facts string")
+        self.retried = handle.getValueState("retried", "at long")
         self.open = handle.getMapState("open", "occupancy_id long", "at long, candidates string, decided_ms long")
 
     def _decide(self, at: int, candidates: str) -> tuple[str, str | None, int]:
-        match = tuple(self.match.get()) if self.match.exists() else None
-        found = decided(json.loads(candidates), at, match, CONTINUITY_MINUTES * _MINUTE)
+        match, offered = tuple(self.match.get()) if self.match.exists() else None, json.loads(candidates)
+        if isinstance(offered, list):
+            found = decided(offered, at, match, CONTINUITY_MINUTES * _MINUTE)
+        else:
+            found = self._supported(at, offered, match)
         if found[1] is not None and (match is None or at > match[1]):
             self.match.update((found[1], at))
+            if isinstance(offered, dict) and found[1] == offered["run_id"]:
+                self.facts.update((candidates,))
         return found
 
+    def _supported(self, at: int, best: dict, match: tuple | None) -> tuple[str, str | None, int]:
+        run = json.loads(self.facts.get()[0]) if match and self.facts.exists() else None
+        if run is not None and run["run_id"] == match[0] and run["service_date"] == best["service_date"]:
+            match = (*match, run["began"], run["linked"], run["cells"] or [])
+        else:
+            match = None  # no candidate on this date
+        return supported(best["score"], best["n"], best["run_id"], best["berth"], at, best["newest"], match, CONTINUITY_MINUTES * _MINUTE)
+
     def _put(self, occupancy: int, at: int, candidates: str, now: int, phase: str) -> Row:
         status, run, score = self._decide(at, candidates)
         if status != "matched":
@@ -57,8 +72,11 @@ class _Resolver(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        due = [(at, name[0], candidates) for name, (at, candidates, when) in self.open.iterator() if when + self.retry_ms <= expiredTimerInfo.getExpiryTimeInMs()]
-        for at, occupancy, candidates in sorted(due):
+        if self.retried.exists() and self.retried.get()[0] == now:
+            return  # all timers up to this time were answered by the first of them: one pass over what is open, not one per timer
+        self.retried.update((now,))
+        due = [(when, at, name[0], candidates) for name, (at, candidates, when) in self.open.iterator() if when + self.retry_ms <= now]
+        for _, at, occupancy, candidates in sorted(due):
             yield self._put(occupancy, at, candidates, now, "retry")
 
     def close(self) -> None:
@@ -72,12 +90,18 @@ def resolution_stream(events: DataFrame, retry_minutes: int = RETRY_MINUTES, del
     candidates as an array of (run_id, activated_at, score).  ``enter`` brings an occupancy and
     its candidates, ``offer`` other candidates for one that is open, ``leave`` ends it.  Both
     phases decide with continuity from the newest match of the key.  Keys are independent, and
-    their state is one match and the open occupancies without one.
+    their state is one match and the open occupancies without one.  Instead of candidates an
+    event may have ``best``, a struct (score, n, run_id, service_date, berth, newest, began,
+    linked, cells) of ``tops`` and ``with_facts``: its size does not grow with the runs.
     """
     one = lambda c: F.struct(c["run_id"].alias("run_id"), F.unix_micros(c["activated_at"].cast("timestamp")).alias("activated_at"), c["score"].alias("score"))
+    if "best" in events.columns:
+        offered = F.col("best")
+    else:
+        offered = F.array_sort(F.transform(F.coalesce("candidates", F.array().cast(events.schema["candidates"].dataType)), one))
     rows = events.withWatermark("happened_at", delay).select(
         "descr", "td_area", "occupancy_id", "happened_at", F.unix_micros("happened_at").alias("at"), "kind",
-        F.to_json(F.array_sort(F.transform(F.coalesce("candidates", F.array().cast(events.schema["candidates"].dataType)), one)), {"ignoreNullFields": "false"}).alias("candidates"),
+        F.to_json(offered, {"ignoreNullFields": "false"}).alias("candidates"),
     )
     found = rows.groupBy("descr", "td_area").transformWithState(_Resolver(retry_minutes), DECISIONS, "Append", "EventTime")
     return found.withColumn("decided_at", F.timestamp_millis("decided_ms")).drop("decided_ms")
