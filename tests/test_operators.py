@@ -226,3 +226,17 @@ def test_the_best_of_each_occupancy_without_pairs(spark, seed):
     left = lambda rows: rows.join(fixed.select("occupancy_id"), "occupancy_id", "left_anti")
     assert rows_of(resolver.decide_tops_in_order(left(best), facts, fixed=fixed)) == rows_of(resolver.decide_in_order(left(pairs), fixed=fixed))
     assert "keys=[occupancy_id" not in pairs._jdf.queryExecution().executedPlan().toString() and "_smart" not in pairs._jdf.queryExecution().toString()
+
+
+def test_pairs_are_compared_without_arithmetic_on_times(spark):
+    """Ends of journeys belong to runs, of which there are fewer than pairs."""
+    at = lambda name, value: F.lit(value).cast("timestamp_ntz").alias(name)
+    key = [F.lit("1A00").alias("descr"), F.lit("2026-01-01").cast("date").alias("service_date")]
+    occ = spark.range(3).select(F.col("id").alias("occupancy_id"), *key, (F.lit("2026-01-01 10:00").cast("timestamp_ntz") + F.make_dt_interval(F.col("id").cast("int") - 1)).alias("entered_at"))
+    own = spark.range(1).select(F.lit("r").alias("run_id"), *key, at("activated_at", "2026-01-01 10:00"))
+    pairs = resolver.plausible(occ, own)
+    assert sorted(r.occupancy_id for r in pairs.collect()) == [1, 2]
+    from trackledger.plans import ALL_QUERIES
+
+    plan = ALL_QUERIES["joi_08_plausible_runs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.splitlines() if "Join" in line] and not [line for line in plan.splitlines() if "Join" in line and "INTERVAL" in line]
