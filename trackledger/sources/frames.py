@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import gzip
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,46 +30,64 @@ VSTP_KINDS = {"Create": "vstp.create", "Overwrite": "vstp.overwrite", "Delete":
 CHILD = ["feed_name", "body_hash", "received_at", "child_index", "event_type", "message_class", "td_area", "raw_event", "raw_time", "event_at", "correction_code", "correction_details", "semantic_hash", "parse_status", "error_code"]
 
 
-def _inflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _unpacked(column: Column) -> Column:
+    """Texts of gzip bodies, null where gzip fails."""
+
+    @F.arrow_udf("string")
+    def unpack(bodies: pa.Array) -> pa.Array:
         texts = []
-        for body in batch.column("body").to_pylist():
+        for body in bodies.to_pylist() if bodies.null_count < len(bodies) else []:
             try:
-                texts.append(gzip.decompress(body).decode("utf-8", "replace"))
+                texts.append(None if body is None else gzip.decompress(body).decode("utf-8", "replace"))
             except (OSError, EOFError, zlib.error):
                 texts.append(None)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
+        return pa.array(texts, pa.string()) if texts else pa.nulls(len(bodies), pa.string())
+
+    return unpack(column)
+
+
+def computed_once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """The rows with further columns, each computed once a row, whatever is asked of it later.
+
+    Spark writes what a column is made of into every filter and column that names it, so that
+    a parsed text would be parsed for each of them; it does not do so across a generator.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
 def texts_of(frames: DataFrame) -> DataFrame:
     """``text`` and ``body_hash`` of each frame; text is null where gzip fails.  Only gzip bodies leave the JVM."""
-    frames = frames.select("feed_name", F.col("body").cast("binary").alias("body"), "received_at").withColumn("body_hash", F.sha2("body", 256))
+    frames = computed_once(frames.select("feed_name", F.col("body").alias("_body"), "received_at"), body=F.col("_body").cast("binary")).drop("_body")
     packed = F.coalesce(F.substring("body", 1, 2) == F.lit(bytes([0x1F, 0x8B])), F.lit(False))
-    plain = frames.where(~packed).withColumn("text", F.coalesce(F.col("body").cast("string"), F.lit("")))
-    schema = "feed_name string, body binary, received_at timestamp, body_hash string, text string"
-    return plain.unionByName(frames.where(packed).mapInArrow(_inflate, schema)).drop("body")
+    frames = frames.withColumn("body_hash", F.sha2("body", 256)).withColumn("_unpacked", _unpacked(F.when(packed, F.col("body"))))
+    frames = computed_once(frames, text=F.when(packed, F.col("_unpacked")).otherwise(F.coalesce(F.col("body").cast("string"), F.lit(""))))
+    return frames.select("feed_name", "received_at", "body_hash", "text")
 
 
-def _is(value: Column, kind: str) -> Column:
+def is_kind(value: Column, kind: str) -> Column:
+    """Whether a variant is an OBJECT, an ARRAY or a STRING; of the first two only the top is looked at, not what is in them."""
+    top = {"OBJECT": "map<string,variant>", "ARRAY": "array<variant>"}
+    if kind in top:
+        return F.try_variant_get(value, "$", top[kind]).isNotNull()
     return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
 
 
 def _string(payload: Column, name: str) -> Column:
     """The member of a JSON object, if it is a string."""
     member = F.variant_get(payload, f"$.{name}", "variant")
-    return F.when(_is(member, "STRING"), F.variant_get(payload, f"$.{name}", "string"))
+    return F.when(is_kind(member, "STRING"), F.variant_get(payload, f"$.{name}", "string"))
 
 
 def _children(frames: DataFrame) -> DataFrame:
     """A row per element of each body's array, or one row with the reason why there is none."""
-    whole = F.try_parse_json("text")
+    whole = F.col("_whole")
     reason = (
         F.when(F.col("text").isNull(), "gzip_decompress_failed")
         .when(whole.isNull(), "invalid_json")
-        .when(~_is(whole, "ARRAY"), "not_an_array")
+        .when(~is_kind(whole, "ARRAY"), "not_an_array")
         .when(F.size(F.from_json("text", "array<string>")) == 0, "empty_array")
     )
-    rows = texts_of(frames).withColumn("frame_error", reason)
+    rows = computed_once(computed_once(texts_of(frames), _whole=F.try_parse_json("text")), frame_error=reason).drop("_whole")
     values = F.when(F.col("frame_error").isNull(), F.arrays_zip(F.from_json("text", "array<string>").alias("raw"), F.from_json("text", "array<variant>").alias("value")))
     rows = rows.select("*", F.posexplode_outer(values).alias("child_index", "_c"))
     raw = F.coalesce("_c.raw", F.when(F.col("frame_error").isNotNull(), F.substring("text", 1, 2000)))
@@ -78,7 +96,7 @@ def _children(frames: DataFrame) -> DataFrame:
 
 def _finished(rows: DataFrame, event_type: Column, status: Column, error: Column, raw_time: Column, message_class: Column | None = None, area: Column | None = None) -> DataFrame:
     none = F.lit(None).cast("string")
-    rows = rows.withColumns({"event_type": event_type, "parse_status": status, "error_code": error, "raw_time": raw_time, "message_class": message_class if message_class is not None else none, "td_area": area if area is not None else none})
+    rows = computed_once(rows, event_type=event_type, parse_status=status, error_code=error, raw_time=raw_time, message_class=message_class if message_class is not None else none, td_area=area if area is not None else none)
     at, code, details = clock.normalized(F.col("raw_time"), F.col("received_at"))
     rows = rows.withColumns({"event_at": at, "correction_code": code, "correction_details": details, "semantic_hash": F.sha2(F.coalesce("raw_event", F.lit("null")), 256)})
     return rows.select(*CHILD)
@@ -87,13 +105,13 @@ def _finished(rows: DataFrame, event_type: Column, status: Column, error: Column
 def parse_td(frames: DataFrame) -> DataFrame:
     """Train-describer children: C class (CA, CB, CC, CT), S class, or unsupported."""
     rows = _children(frames)
-    rows = rows.withColumn("_m", F.when(_is(F.col("value"), "OBJECT"), F.from_json("raw_event", "map<string,variant>")))
+    rows = rows.withColumn("_m", F.when(is_kind(F.col("value"), "OBJECT"), F.from_json("raw_event", "map<string,variant>")))
     rows = rows.withColumn("_key", F.when(F.size("_m") == 1, F.element_at(F.map_keys("_m"), 1))).withColumn("_p", F.element_at(F.map_values("_m"), 1))
     payload = F.col("_p")
     kind = F.create_map(*[F.lit(x) for pair in TD_KINDS.items() for x in pair])[F.col("_key")]
     rows = rows.withColumns({"_kind": kind, "_area": _string(payload, "area_id"), "_from": _string(payload, "from"), "_to": _string(payload, "to"), "_descr": _string(payload, "descr"), "_time": _string(payload, "time"), "_report": _string(payload, "report_time")})
     is_c, is_s = F.col("_kind").isNotNull(), F.coalesce(F.col("_key").rlike("^S[A-Z]_MSG$"), F.lit(False))
-    an_object = _is(payload, "OBJECT") | _is(payload, "ARRAY")
+    an_object = is_kind(payload, "OBJECT") | is_kind(payload, "ARRAY")
     time = F.when(~an_object, None).when(is_c, F.coalesce("_time", "_report")).when(is_s, F.col("_time"))
     has = lambda *names: F.lit(True) if not names else F.col(names[0]).isNotNull() & has(*names[1:])
     complete = (
@@ -117,14 +135,14 @@ def parse_td(frames: DataFrame) -> DataFrame:
 def parse_trust(frames: DataFrame) -> DataFrame:
     """Running-information children by ``header.msg_type``."""
     rows = _children(frames)
-    rows = rows.withColumn("_m", F.when(_is(F.col("value"), "OBJECT"), F.from_json("raw_event", "header variant, body variant")))
+    rows = rows.withColumn("_m", F.when(is_kind(F.col("value"), "OBJECT"), F.from_json("raw_event", "header variant, body variant")))
     header, body = F.col("_m.header"), F.col("_m.body")
     kind = F.nullif(_string(header, "msg_type"), F.lit(""))
     error = (
         F.when(F.col("frame_error").isNotNull(), F.col("frame_error"))
         .when(F.col("_m").isNull(), "child_not_an_object")
-        .when(~_is(header, "OBJECT"), "missing_or_invalid_header")
-        .when(~_is(body, "OBJECT"), "missing_or_invalid_body")
+        .when(~is_kind(header, "OBJECT"), "missing_or_invalid_header")
+        .when(~is_kind(body, "OBJECT"), "missing_or_invalid_body")
         .when(kind.isNull(), "missing_msg_type")
     )
     known = F.create_map(*[F.lit(x) for pair in TRUST_KINDS.items() for x in pair])[kind]
@@ -136,8 +154,8 @@ def parse_trust(frames: DataFrame) -> DataFrame:
 
 def parse_vstp(frames: DataFrame) -> DataFrame:
     """Very-short-term-plan messages: one child per frame."""
-    rows = texts_of(frames).withColumn("value", F.try_parse_json("text")).withColumn("raw_event", F.col("text")).withColumn("child_index", F.lit(0))
-    rows = rows.withColumn("_m", F.when(_is(F.col("value"), "OBJECT"), F.from_json("text", "map<string,variant>")))
+    rows = computed_once(texts_of(frames), value=F.try_parse_json("text")).withColumn("raw_event", F.col("text")).withColumn("child_index", F.lit(0))
+    rows = computed_once(rows, _m=F.when(is_kind(F.col("value"), "OBJECT"), F.from_json("text", "map<string,variant>")))
     rows = rows.withColumn("_key", F.element_at(F.map_keys("_m"), 1)).withColumn("_p", F.element_at(F.map_values("_m"), 1))
     ours = F.col("_key") == "VSTPCIFMsgV1"
     schedule = F.variant_get("_p", "$.schedule", "variant")
@@ -146,10 +164,11 @@ def parse_vstp(frames: DataFrame) -> DataFrame:
         .when(F.col("value").isNull(), "invalid_json")
         .when(F.col("_m").isNull(), "not_an_object")
         .when(F.size("_m") != 1, "unexpected_root_element_count")
-        .when(ours & ~(_is(F.col("_p"), "OBJECT") | _is(F.col("_p"), "ARRAY")), "root_payload_not_object")
+        .when(ours & ~(is_kind(F.col("_p"), "OBJECT") | is_kind(F.col("_p"), "ARRAY")), "root_payload_not_object")
         .when(ours & (schedule.isNull() | F.is_variant_null(schedule)), "missing_schedule_element")
     )
-    kind = F.variant_get("_p", "$.schedule.transaction_type", "string")
+    rows = computed_once(rows, _error=error, _kind=F.variant_get("_p", "$.schedule.transaction_type", "string"))
+    error, kind = F.col("_error"), F.col("_kind")
     known = F.create_map(*[F.lit(x) for pair in VSTP_KINDS.items() for x in pair])[kind]
     event_type = (
         F.when(error.isNotNull(), "unknown").when(~ours, F.concat(F.lit("vstp.unsupported_root:"), F.col("_key"))).otherwise(F.coalesce(known, F.concat(F.lit("vstp.unknown:"), F.coalesce(kind, F.lit("undefined")))))

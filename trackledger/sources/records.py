@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trackledger.functions import text
 from trackledger.operators.schedules import PRECEDENCE
+from trackledger.sources.frames import computed_once, is_kind
 
 # Members of a call as they are on the wire, by the names used here.
 CALL_TEXTS = {
@@ -24,17 +25,13 @@ SCHEDULE_TEXTS = {"train_uid": "CIF_train_uid", "start_text": "schedule_start_da
 ACTIVATION_TEXTS = {"call_type": "train_call_type", "call_mode": "train_call_mode", "operator_code": "toc_id", "service_code": "train_service_code"}
 
 
-def _is(value: Column, kind: str) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
-
-
 def _member(value: Column, path: str) -> Column:
     return F.variant_get(value, f"$.{path}", "variant")
 
 
 def _text(value: Column, path: str, empty: bool = False) -> Column:
     """A string member; an empty one is null unless asked for."""
-    found = F.when(_is(_member(value, path), "STRING"), F.variant_get(value, f"$.{path}", "string"))
+    found = F.when(is_kind(_member(value, path), "STRING"), F.variant_get(value, f"$.{path}", "string"))
     return found if empty else text.nonempty(found)
 
 
@@ -42,7 +39,7 @@ def _listed(value: Column, name: str) -> Column:
     """An array member as it is, a single object as an array of one, anything else as an empty array."""
     member = _member(value, name)
     none = F.array().cast("array<variant>")
-    return F.when(_is(member, "ARRAY"), F.variant_get(value, f"$.{name}", "array<variant>")).when(_is(member, "OBJECT"), F.array(member)).otherwise(none)
+    return F.coalesce(F.try_variant_get(value, f"$.{name}", "array<variant>"), F.when(is_kind(member, "OBJECT"), F.array(member)), none)
 
 
 def trust_identities(children: DataFrame) -> DataFrame:
@@ -75,8 +72,8 @@ def vstp_schedules(children: DataFrame) -> DataFrame:
     segments in order.  Segments and calls may be arrays or one object.
     """
     rows = children.where((F.col("parse_status") == "parsed") & F.col("event_type").startswith("vstp."))
-    rows = rows.withColumn("_s", F.variant_get(F.try_parse_json("raw_event"), "$.VSTPCIFMsgV1.schedule", "variant")).withColumn("_g", _listed(F.col("_s"), "schedule_segment"))
-    rows = rows.withColumns({name: _text(F.col("_s"), member, empty=True) for name, member in SCHEDULE_TEXTS.items()})
+    rows = computed_once(rows, _s=F.variant_get(F.try_parse_json("raw_event"), "$.VSTPCIFMsgV1.schedule", "variant"))
+    rows = computed_once(rows, _g=_listed(F.col("_s"), "schedule_segment"), **{name: _text(F.col("_s"), member, empty=True) for name, member in SCHEDULE_TEXTS.items()})
     rows = rows.where(F.col("train_uid").isNotNull() & F.col("start_text").isNotNull() & F.col("end_text").isNotNull() & F.col("stp").isin(*PRECEDENCE))
     first = F.get("_g", F.lit(0))
     rows = rows.withColumns({
@@ -92,7 +89,8 @@ def vstp_calls(schedules: DataFrame, keys: list[str]) -> DataFrame:
 
     ``kind`` is the call's type by its place among the schedule's calls; the wire has no code for it.
     """
-    rows = schedules.select(*keys, F.size("calls").alias("_n"), F.posexplode("calls").alias("_i", "_l")).withColumn("seq_no", F.col("_i") + 1)
+    rows = computed_once(schedules.select(*keys, "calls"), _n=F.size("calls"))  # so that no call brings all calls along
+    rows = rows.select(*keys, "_n", F.posexplode("calls").alias("_i", "_l")).withColumn("seq_no", F.col("_i") + 1)
     call = F.col("_l")
     texts = {name: _text(call, member, empty=True) for name, member in CALL_TEXTS.items()}
     tiploc = F.coalesce(_text(call, "location.tiploc.tiploc_id", empty=True), F.lit(""))
