@@ -35,3 +35,14 @@ def test_archive_is_read_back_by_key(spark, tmp_path):
     (folder / f"{digest}.bin").write_bytes(body)
     row = files.archived(spark, str(tmp_path)).first()
     assert (row.object_key, row["size"], row.sha256) == (f"raw/td/2026/01/05/{digest}.bin", len(body), digest)
+
+
+def test_objects_are_archived_and_listed_by_tasks(spark, tmp_path):
+    objects = [(f"raw/{n % 3}/{n % 2}/{n}.bin", bytes([n]) * n) for n in range(20)]
+    files.archive(spark.createDataFrame(objects, "object_key string, content binary").repartition(3), str(tmp_path))
+    (tmp_path / "raw/0/_made").write_text("no object")
+    (tmp_path / "raw/5").mkdir()
+    found = files.archived(spark, str(tmp_path))
+    assert {(r.object_key, r["size"], r.sha256) for r in found.collect()} == {(k, len(b), hashlib.sha256(b).hexdigest()) for k, b in objects}
+    assert found.inputFiles() == []  # the driver holds no list of the objects
+    assert files.archived(spark, str(tmp_path), digests=False).columns == ["object_key", "size"]

@@ -29,19 +29,19 @@ MESSAGES = "topic string, position long, value string, n_bytes long"
 FRAMES = "position long, fixture string, body string"
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if re.match(r"\w+:", path) else (fs.LocalFileSystem(), path)
 
 
 def _listed(path: str) -> list[str]:
     """The names of a folder's finished files, in order."""
-    store, folder = _store(path)
+    store, folder = store_of(path)
     found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
     return sorted(f.base_name for f in found if f.is_file and f.base_name.endswith(".jsonl"))
 
 
 def _read(path: str) -> bytes:
-    store, name = _store(path)
+    store, name = store_of(path)
     with store.open_input_stream(name) as stream:
         return stream.read()
 
@@ -64,7 +64,7 @@ class _TopicReader(DataSourceStreamReader):
     def _names(self) -> list[str]:
         if self.topics:
             return self.topics
-        store, folder = _store(self.path)
+        store, folder = store_of(self.path)
         return sorted(f.base_name for f in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if not f.is_file)
 
     def initialOffset(self) -> dict:
@@ -121,7 +121,7 @@ class _TopicWriter(DataSourceStreamWriter):
         files = []
         for topic, own in lines.items():
             hidden = f"{self.path}/{topic}/_{task.taskAttemptId()}"
-            store, name = _store(hidden)
+            store, name = store_of(hidden)
             store.create_dir(name.rsplit("/", 1)[0], recursive=True)
             with store.open_output_stream(name) as out:
                 out.write(b"\n".join(own) + b"\n")
@@ -130,13 +130,13 @@ class _TopicWriter(DataSourceStreamWriter):
 
     def commit(self, messages: list, batchId: int) -> None:
         for topic, task, hidden in sorted(f for m in messages if m for f in m.files):
-            store, name = _store(hidden)
+            store, name = store_of(hidden)
             store.move(name, f"{name.rsplit('/', 1)[0]}/{batchId:012d}-{task:06d}.jsonl")
 
     def abort(self, messages: list, batchId: int) -> None:
         for m in messages:
             for _, _, hidden in m.files if m else ():
-                store, name = _store(hidden)
+                store, name = store_of(hidden)
                 store.delete_file(name)
 
 
