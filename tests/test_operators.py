@@ -240,3 +240,21 @@ def test_pairs_are_compared_without_arithmetic_on_times(spark):
 
     plan = ALL_QUERIES["joi_08_plausible_runs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert [line for line in plan.splitlines() if "Join" in line] and not [line for line in plan.splitlines() if "Join" in line and "INTERVAL" in line]
+
+
+def test_only_months_with_runs_meet_schedules(spark):
+    """Schedules of other months are dropped before the shuffle, by months that are a broadcast."""
+    own = spark.createDataFrame([("r1", "U1", date(2026, 1, 31)), ("r2", "U1", date(2026, 3, 1)), ("r3", None, date(2026, 3, 1)), ("r4", "U1", None)], "run_id string, train_uid string, service_date date")
+    plans = [("U1", 1, "P", date(2025, 11, 1), date(2026, 1, 31)), ("U1", 2, "O", date(2026, 3, 1), date(2026, 3, 1)), ("U1", 3, "C", date(2026, 2, 1), date(2026, 2, 28))]
+    plans = spark.createDataFrame(plans, "train_uid string, schedule_id long, stp string, start_date date, end_date date").withColumn("days_run", F.lit(None).cast("string"))
+    links = schedules.link_runs(own, plans)
+    assert {r.run_id: (r.outcome, r.schedule_id) for r in links.collect()} == {"r1": ("matched", 1), "r2": ("matched", 2), "r3": ("unmatched", None), "r4": ("unmatched", None)}
+    lines = links._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("Join LeftSemi" in line and "_month" in line and "broadcast" in line for line in lines)
+
+
+def test_runs_of_decisions_are_found_once(spark):
+    from trackledger.plans import ALL_QUERIES
+
+    plan = ALL_QUERIES["res_03_resolution"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("user_id") and "created_seq" not in plan

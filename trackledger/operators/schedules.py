@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackledger.session import kept
+
 # Short-term-planning indicators by precedence, the highest first.
 PRECEDENCE = ("C", "O", "N", "P")
 
@@ -65,10 +67,13 @@ def link_runs(runs: DataFrame, schedules: DataFrame) -> DataFrame:
     """(run_id, outcome, schedule_id): every run with the outcome of its train's lookup on its service date.
 
     Runs of one train and date have one outcome, so schedules meet trains and dates, not runs.
+    Of the schedules, only months in which there are runs are shuffled.
     """
     key = ["train_uid", "service_date"]
     own = runs.select("run_id", *key)
-    cand = by_month(own.select(*key).distinct(), "service_date").join(by_months(schedules), ["train_uid", "_month"])
+    days = kept(by_month(own.select(*key).distinct(), "service_date"))
+    months = F.broadcast(days.select("_month").distinct())  # a row per month
+    cand = days.join(by_months(schedules).join(months, "_month", "left_semi"), ["train_uid", "_month"])
     cand = cand.where(runs_on(F.col("service_date"), F.col("start_date"), F.col("end_date"), F.col("days_run")))
     found = effective(cand, key).select(*key, "outcome", "schedule_id")
     return own.join(found, key, "left").select("run_id", F.coalesce("outcome", F.lit("unmatched")).alias("outcome"), "schedule_id")
