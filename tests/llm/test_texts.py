@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import json
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -572,6 +573,38 @@ def test_other_tokenizers_encode_whole_texts():
     assert got == [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts]
 
 
+def test_words_seen_first_are_encoded_together(monkeypatch):
+    """Thousands of new words are a few texts for the tokenizer; cuts, capitals, signs, marks and forgetting change no id."""
+    from tokenizers import Tokenizer
+
+    encoder = huffman.Encoder(WORD_BPE)
+    asked = []
+
+    class Counted:
+        def __init__(self, own):
+            self.own = own
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return self.own.encode_batch_fast(texts, **options)
+
+    for name in ("plain", "tokenizer", "words"):
+        if hasattr(encoder, name):
+            setattr(encoder, name, Counted(getattr(encoder, name)))
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCXYZéèÉßÿÞÀñü"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    texts = [" ".join(w + rng.choice(["", ".", "!!"]) for w in words[at : at + 100]) for at in range(0, 3000, 100)]
+    ids = lambda texts, size=1 << 20: [raw for _, data, offsets in T.slices(pa.array(texts), size) for raw in encoder.texts(data, offsets, 2)]
+    whole = lambda texts: [np.array([*e.ids, 2], "<u4").tobytes() for e in Tokenizer.from_file(WORD_BPE).encode_batch_fast(texts, add_special_tokens=False)]
+    assert ids(texts) == whole(texts) and len(asked) < 30
+    signs = [*letters, *" '.,!?#019\n\t×÷\u0301\u0338İςΣ中🙂Ǆœ<>/", "</w>", "'ve", "'s", "<|endoftext|>", " ", " "]
+    odd = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    monkeypatch.setattr(huffman, "REMEMBERED", 300)
+    encoder.forget()
+    assert ids(odd, 1 << 12) == whole(odd)
+
+
 def test_many_empty_texts_fill_blocks(spark, tmp_path):
     docs = spark.range(200_000).selectExpr("id AS doc_id", "if(id % 50000 = 7, 'some words here', '') AS text")
     huffman.write_ids(docs, str(tmp_path / "ids"), WORD_BPE, 2)

@@ -46,8 +46,21 @@ BLOCK_IDS = 1 << 16
 REMEMBERED = 1_000_000
 #: Bytes of text that are cut into chunks at once.
 SLICE = 1 << 21
-_WORDY = np.zeros(256, dtype=bool)
-_WORDY[48:58] = _WORDY[65:91] = _WORDY[97:123] = True
+#: Words that are encoded as one text.
+JOINED = 500
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_WORDY = _LETTER.copy()
+_WORDY[48:58] = True
+#: The second bytes of Latin-1 letters; the first is 0xC3.  All are as NFC leaves them.
+_LATIN = np.zeros(256, dtype=bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+#: The character that the byte-level step writes for each byte; a blank stays.
+_CHARS = np.arange(256, dtype="<u4")
+_UNSEEN = np.array([*range(33), *range(127, 161), 173])
+_CHARS[_UNSEEN] = 256 + np.arange(len(_UNSEEN))
+_CHARS[0x20] = 0x20
 
 
 # The normaliser and the split for which texts may be cut into chunks.
@@ -59,8 +72,9 @@ def may_be_cut(settings: dict) -> bool:
     """Whether a tokenizer file provably never joins characters over the places where chunks are cut.
 
     Its split keeps letters, single digits and signs apart and drops white space, so no token
-    goes over a blank or from an ASCII letter or digit to an ASCII sign (an apostrophe may
-    begin a contraction).  Normalising changes no ASCII character but to lower case.
+    goes over a blank or from an ASCII letter or digit, or a Latin-1 letter, to an ASCII sign
+    (an apostrophe may begin a contraction).  Normalising changes none of these characters
+    but to lower case.
     """
     normalizer, pre = settings.get("normalizer") or {}, settings.get("pre_tokenizer") or {}
     split, *rest = pre.get("pretokenizers") or [{}]
@@ -73,16 +87,66 @@ def may_be_cut(settings: dict) -> bool:
     )
 
 
+def word_ends(settings: dict) -> np.ndarray | None:
+    """Which ids end a word, if a tokenizer file that may be cut provably ends every word of ASCII and Latin-1 letters by one, and no other place in it."""
+    model = settings["model"]
+    suffix, vocab = model.get("end_of_word_suffix") or "", model.get("vocab") or {}
+    held = [chr(_CHARS[b]) for b in (*range(97, 123), 0xC3, *range(0x80, 0xC0))]
+    if model.get("type") != "BPE" or set(suffix) <= set(held) or any(model.get(k) for k in ("continuing_subword_prefix", "byte_fallback", "ignore_merges", "dropout")):
+        return None
+    if not all(c in vocab and c + suffix in vocab for c in held):
+        return None
+    ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+    ends[[i for word, i in vocab.items() if word.endswith(suffix)]] = True
+    return ends
+
+
+def _latin(data: np.ndarray) -> np.ndarray:
+    """Where Latin-1 letters of two bytes start."""
+    at = np.flatnonzero(data[:-1] == 0xC3)
+    return at[_LATIN[data[at + 1]]]
+
+
+def _none_of(kind: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether spans are without bytes of a kind."""
+    sums = np.zeros(len(kind) + 1, dtype=np.int64)
+    np.cumsum(kind, out=sums[1:])
+    return sums[end] == sums[start]
+
+
+class Grown:
+    """An array that grows at its end, with room ahead."""
+
+    def __init__(self, kind: type):
+        self.room, self.n = np.zeros(1 << 10, dtype=kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        n = self.n + len(more)
+        if n > len(self.room):
+            room = np.zeros(n + n // 2, dtype=self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : n] = more
+        self.n = n
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
 class Encoder:
     """Ids of texts as the tokenizer gives them, by way of their distinct chunks where it can be cut.
 
     Where ``may_be_cut`` holds, texts are cut at blanks and between ASCII words and signs, each
     distinct chunk is encoded once, and the results are put together again.  Texts that hold
-    an added token, and all texts of any other tokenizer, are encoded whole.
+    an added token, and all texts of any other tokenizer, are encoded whole.  Words of ASCII
+    and Latin-1 letters are encoded many at once where ``word_ends`` tells them apart again:
+    the split leaves each whole, and normalising and the byte-level step are done for all.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         settings = json.loads(Path(path).read_text(encoding="utf-8"))
         self.cut = may_be_cut(settings)
@@ -91,6 +155,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.plain = Tokenizer.from_file(path)  # for lower-case ASCII, which normalisation leaves as it is
         self.plain.normalizer = None
+        self.ends = word_ends(settings) if self.cut else None
+        self.words = Tokenizer.from_file(path)
+        self.words.normalizer, self.words.pre_tokenizer = None, CharDelimiterSplit(" ")
         self.forget()
 
     def whole(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> list[np.ndarray]:
@@ -109,15 +176,41 @@ class Encoder:
             out[text] = self.whole(data[offsets[text] : offsets[text + 1]], np.array([0, offsets[text + 1] - offsets[text]]), end_id)[0].astype("<u4").tobytes()
         return out
 
-    def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self.places, self.lengths, self.spelled = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)  # the chunks' lower-case bytes
+    def forget(self, n: int = REMEMBERED) -> None:
+        """Nothing is remembered; there is room for ``n`` chunks, at most half of the slots."""
+        self.slots = np.full(1 << int(2 * max(n, REMEMBERED) - 1).bit_length(), -1, dtype=np.int32)
+        self.names, self.starts, self.sizes, self.ids = Grown(np.uint64), Grown(np.int64), Grown(np.int64), Grown(np.uint32)
+        self.places, self.lengths, self.spelled = Grown(np.int64), Grown(np.int64), Grown(np.uint8)  # the chunks' lower-case bytes
+
+    def _slot(self, names: np.ndarray) -> np.ndarray:
+        return (names & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
+    def find(self, names: np.ndarray) -> np.ndarray:
+        """The row of a chunk of each hash, or -1."""
+        at, found, left = self._slot(names), np.full(len(names), -1, dtype=np.int64), np.arange(len(names))
+        while len(left):
+            row = self.slots[at[left]]
+            left, row = left[row >= 0], row[row >= 0]
+            same = self.names.room[row] == names[left]
+            found[left[same]] = row[same]
+            left = left[~same]
+            at[left] = (at[left] + 1) & (len(self.slots) - 1)
+        return found
+
+    def remember(self, names: np.ndarray, rows: np.ndarray) -> None:
+        at, left = self._slot(names), np.arange(len(names))
+        while len(left):
+            own = left[self.slots[at[left]] < 0]
+            self.slots[at[own]] = rows[own]
+            left = left[self.slots[at[left]] != rows[left]]
+            at[left] = (at[left] + 1) & (len(self.slots) - 1)
 
     def chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         inside = T.NOT_BLANK[data]
         wordy = _WORDY[data]
         sign = inside & ~wordy & (data < 0x80) & (data != 0x27) & (data > 0x20)
+        latin = _latin(data)
+        wordy[latin] = wordy[latin + 1] = True
         opens = inside.copy()
         opens[1:] &= ~inside[:-1] | (wordy[1:] & sign[:-1]) | (sign[1:] & wordy[:-1])
         at = offsets[:-1][offsets[:-1] < len(data)]
@@ -128,54 +221,85 @@ class Encoder:
         end = np.minimum(np.concatenate([start[1:], [len(data)]]), next_stop)
         return start, np.minimum(end, offsets[T.text_of(offsets, start) + 1])
 
+    def joined(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, how many each has) of words of ASCII and Latin-1 letters; none if they cannot be told apart."""
+        n, size = len(start), end - start
+        to = np.cumsum(size + 1)  # after the blank that ends a word
+        each = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        text = np.full(int(to[-1]) if n else 0, 0x20, dtype=np.uint8)
+        text[each + np.repeat(to - size - 1, size)] = T.LOWER[data[each + np.repeat(start, size)]]
+        upper = np.flatnonzero((text[:-1] == 0xC3) & (text[1:] <= 0x9E)) + 1
+        text[upper[text[upper] >= 0x80]] += 0x20
+        chars = _CHARS[text].tobytes().decode("utf-32-le")
+        bounds = [0, *to[JOINED - 1 : n - 1 : JOINED].tolist(), len(chars)]
+        found = self.words.encode_batch_fast([chars[a : b - 1] for a, b in zip(bounds[:-1], bounds[1:], strict=True)] if n else [], add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, dtype=np.uint32) for e in found)])
+        last = np.flatnonzero(self.ends[ids])
+        return (ids, np.diff(last, prepend=-1)) if len(last) == n else None
+
     def learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Encodes chunks; the row of each."""
+        ascii_only = _none_of(data >= 0x80, start, end)
+        words, found = np.zeros(len(start), dtype=bool), None
+        if self.ends is not None:
+            other = ~_LETTER[data]
+            latin = _latin(data)
+            other[latin] = other[latin + 1] = False
+            words = _none_of(other, start, end)
+            found = self.joined(data, start[words], end[words])
+            if found is None:
+                words[:] = False
+        ids, counts = found or (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        ascii_only &= ~words
+        order = np.concatenate([np.flatnonzero(words), np.flatnonzero(ascii_only), np.flatnonzero(~words & ~ascii_only)])
+        start, end, n, of_ascii = start[order], end[order], len(counts), int(ascii_only.sum())
         raw = data.tobytes()
-        foreign = np.zeros(len(data) + 1, dtype=np.int64)
-        np.cumsum(data >= 0x80, out=foreign[1:])
-        ascii_only = foreign[end] == foreign[start]
-        order = np.concatenate([np.flatnonzero(ascii_only), np.flatnonzero(~ascii_only)])
-        start, end, n = start[order], end[order], int(ascii_only.sum())
-        words = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        found = [e.ids for e in self.plain.encode_batch_fast([w.lower() for w in words[:n]], add_special_tokens=False)]
-        found += [e.ids for e in self.tokenizer.encode_batch_fast(words[n:], add_special_tokens=False)]
-        sizes = np.array([len(x) for x in found], dtype=np.int64)
+        texts = [raw[a:b].decode() for a, b in zip(start[n:].tolist(), end[n:].tolist(), strict=True)]
+        rest = [e.ids for e in self.plain.encode_batch_fast([w.lower() for w in texts[:of_ascii]], add_special_tokens=False)]
+        rest += [e.ids for e in self.tokenizer.encode_batch_fast(texts[of_ascii:], add_special_tokens=False)]
+        sizes = np.concatenate([counts, np.array([len(x) for x in rest], dtype=np.int64)])
         rows = np.empty(len(order), dtype=np.int64)
-        rows[order] = len(self.starts) + np.arange(len(order))
-        self.starts, self.sizes = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes]), np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
+        rows[order] = self.starts.n + np.arange(len(order))
+        self.starts.add(self.ids.n + np.cumsum(sizes) - sizes), self.sizes.add(sizes)
+        self.ids.add(ids), self.ids.add(np.fromiter(chain.from_iterable(rest), np.uint32, int(sizes[n:].sum())))
         size = end - start
         before = np.cumsum(size) - size
-        self.places, self.lengths = np.concatenate([self.places, len(self.spelled) + before]), np.concatenate([self.lengths, size])
-        self.spelled = np.concatenate([self.spelled, T.LOWER[data[np.repeat(start - before, size) + np.arange(int(size.sum()))]]])
+        self.places.add(self.spelled.n + before), self.lengths.add(size)
+        self.spelled.add(T.LOWER[data[np.repeat(start - before, size) + np.arange(int(size.sum()))]])
         return rows
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, the end id after each, and their bounds."""
         n = len(offsets) - 1
         start, end = self.chunks(data, offsets)
-        hashes, example, kind = T.span_classes(data, start, end, T.LOWER)
-        names, first, last = hashes.tolist(), start[example], end[example]
-        at = np.array([self.known.get(h, -1) for h in names], dtype=np.int64)
-        hit = np.flatnonzero(at >= 0)
-        same = last[hit] - first[hit] == self.lengths[at[hit]]
-        same &= T.same_bytes(T.LOWER[data], np.where(same, self.lengths[at[hit]], 0), first[hit], self.places[at[hit]], self.spelled)
-        at[hit[~same]] = -1  # another chunk of the same hash
-        new = np.flatnonzero(at < 0)
+        lower = T.LOWER[data]
+        names = T.strong_hashes(lower, start, end)
+        row = self.find(names)
+        hit = np.flatnonzero(row >= 0)
+        at, size = row[hit], end[hit] - start[hit]
+        same = size == self.lengths.all[at]
+        same &= T.same_bytes(lower, np.where(same, size, 0), start[hit], self.places.all[at], self.spelled.all)
+        row[hit[~same]] = -1  # another chunk of the same hash
+        new = np.flatnonzero(row < 0)
         if len(new):
-            if len(self.known) + len(new) > REMEMBERED:
-                self.forget()
-                new = np.arange(len(names))
-            at[new] = self.learn(data, first[new], last[new])
-            self.known.update((names[k], int(at[k])) for k in new.tolist())
-        row = at[kind]
-        size = self.sizes[row]
+            known, example, kind = T.span_classes(lower, start[new], end[new], hashes=names[new])
+            if self.starts.n + len(known) > REMEMBERED:
+                new = np.arange(len(start))
+                known, example, kind = T.span_classes(lower, start, end, hashes=names)
+                self.forget(len(known))
+            first = new[example]
+            rows = self.learn(data, start[first], end[first])
+            self.names.add(np.zeros(len(rows), np.uint64))
+            self.names.all[rows] = known
+            self.remember(known, rows)
+            row[new] = rows[kind]
+        size = self.sizes.all[row]
         text = T.text_of(offsets, start)
         per_text = np.bincount(text, size, n).astype(np.int64) + 1
         bounds = np.concatenate([[0], np.cumsum(per_text)])
         out = np.full(int(bounds[-1]), end_id, dtype=np.uint32)
         each = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        out[np.arange(len(each)) + np.repeat(text, size)] = self.ids[np.repeat(self.starts[row], size) + each]
+        out[np.arange(len(each)) + np.repeat(text, size)] = self.ids.all[np.repeat(self.starts.all[row], size) + each]
         return out, bounds
 
 

@@ -152,10 +152,13 @@ def same_bytes(data: np.ndarray, size: np.ndarray, start: np.ndarray, other: np.
     return same
 
 
-def span_classes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray = SAME) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each class, its first span, class of each span): spans are of one class exactly if their folded bytes are equal."""
+def span_classes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray = SAME, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each class, its first span, class of each span): spans are of one class exactly if their folded bytes are equal.
+
+    ``hashes``: their ``strong_hashes``, if they are known.
+    """
     data = data if fold is SAME else fold[data]
-    hashes, size = strong_hashes(data, start, end), end - start
+    hashes, size = strong_hashes(data, start, end) if hashes is None else hashes.copy(), end - start
     while True:
         names, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
         like = first[kind]
