@@ -605,6 +605,31 @@ def test_words_seen_first_are_encoded_together(monkeypatch):
     assert ids(odd, 1 << 12) == whole(odd)
 
 
+def test_chunks_of_one_name_are_told_apart(monkeypatch):
+    """Longer chunks may share a name with any others; none of them takes the ids of another, when new or when remembered."""
+    from tokenizers import Tokenizer
+
+    names = huffman._names
+    monkeypatch.setattr(huffman, "_names", lambda data, start, end: np.where(end - start > 8, names(data, np.zeros(1, np.int64), np.array([3]))[0], names(data, start, end)))
+    texts = ["abc internationally", "Internationally abc interstellar", "interstellar\0 abc\0 abc", "electromagnetic" * 9, "electromagnetic" * 8 + " abcdefgh abcdefghi"] * 2
+    encoder = huffman.Encoder(WORD_BPE)
+    got = [raw for _, data, offsets in T.slices(pa.array(texts), 16) for raw in encoder.texts(data, offsets, 2)]
+    assert got == [np.array([*e.ids, 2], "<u4").tobytes() for e in Tokenizer.from_file(WORD_BPE).encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_documents_are_coded_together_as_each_alone():
+    rng = np.random.default_rng(3)
+    ids = (rng.zipf(1.3, 9000) % 3000).astype(np.uint32)
+    code = huffman.Code(*(lambda symbols, n: (symbols, huffman.code_lengths(n)))(*np.unique(ids, return_counts=True)))
+    bounds = np.array([0, 0, 1, 1, 257, 513, 769, 770, 5000, 9000, 9000])
+    payloads, starts, lanes = code.encode_all(ids, bounds)
+    each = [code.encode(ids[a:b]) for a, b in itertools.pairwise(bounds)]
+    assert payloads == [p for p, _ in each] and lanes.tolist() == [len(c) for _, c in each]
+    assert starts.tolist() == np.concatenate([c for _, c in each]).tolist()
+    back = code.decode(payloads[1:2] + payloads[3:-1], np.split(starts, np.cumsum(lanes))[1:2] + np.split(starts, np.cumsum(lanes))[3:-2], [[int(n)] for n in np.diff(bounds) if n])
+    assert np.concatenate(back).tolist() == ids.tolist()
+
+
 def test_many_empty_texts_fill_blocks(spark, tmp_path):
     docs = spark.range(200_000).selectExpr("id AS doc_id", "if(id % 50000 = 7, 'some words here', '') AS text")
     huffman.write_ids(docs, str(tmp_path / "ids"), WORD_BPE, 2)

@@ -44,14 +44,27 @@ LANE = 256
 BLOCK_IDS = 1 << 16
 #: Distinct chunks whose ids a worker remembers.
 REMEMBERED = 1_000_000
-#: Bytes of text that are cut into chunks at once.
-SLICE = 1 << 21
+#: Bytes of text that are cut into chunks at once; larger arrays are mapped anew by the C library each time.
+SLICE = 1 << 18
+#: Ids that are coded at once; a single document is never cut.
+CODED = 1 << 18
 #: Words that are encoded as one text.
 JOINED = 500
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _WORDY = _LETTER.copy()
 _WORDY[48:58] = True
+#: Kinds of bytes: blanks, letters and digits, signs, and all others (apostrophes, control characters, other scripts).
+_BLANK, _WORD, _SIGN, _OTHER = range(4)
+_KIND = np.full(256, _OTHER, dtype=np.uint8)
+_KIND[0x21:0x80] = _SIGN
+_KIND[0x27] = _OTHER
+_KIND[_WORDY], _KIND[~T.NOT_BLANK] = _WORD, _BLANK
+#: Whether a chunk opens at a byte, by 4 times the kind of the byte before it and its own.
+_OPENS = np.zeros(16, dtype=bool)
+_OPENS[[4 * a + b for a, b in ((_BLANK, _WORD), (_BLANK, _SIGN), (_BLANK, _OTHER), (_SIGN, _WORD), (_WORD, _SIGN))]] = True
+#: Keeps the first bytes of eight, by how many.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 #: The second bytes of Latin-1 letters; the first is 0xC3.  All are as NFC leaves them.
 _LATIN = np.zeros(256, dtype=bool)
 _LATIN[0x80:0xC0] = True
@@ -107,6 +120,21 @@ def _latin(data: np.ndarray) -> np.ndarray:
     return at[_LATIN[data[at + 1]]]
 
 
+def _names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each span, from its bytes by eights; of spans over ``LONG`` bytes, a digest.  Up to eight bytes, spans of one size and name are equal."""
+    eights, size = T.eights(data), end - start
+    names = T.mix(eights[start] & _FIRST[np.minimum(size, 8)])
+    left = np.flatnonzero((size > 8) & (size <= T.LONG))
+    at = 8
+    while len(left):
+        names[left] = T.mix(names[left] * np.uint64(5) + (eights[start[left] + at] & _FIRST[np.minimum(size[left] - at, 8)]) + T.ONE)
+        at += 8
+        left = left[size[left] > at]
+    long = np.flatnonzero(size > T.LONG)
+    names[long] = T.digests(data, start[long], end[long])
+    return names
+
+
 def _none_of(kind: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Whether spans are without bytes of a kind."""
     sums = np.zeros(len(kind) + 1, dtype=np.int64)
@@ -122,8 +150,8 @@ class Grown:
 
     def add(self, more: np.ndarray) -> None:
         n = self.n + len(more)
-        if n > len(self.room):
-            room = np.zeros(n + n // 2, dtype=self.room.dtype)
+        if n + 8 > len(self.room):
+            room = np.zeros(n + n // 2 + 8, dtype=self.room.dtype)
             room[: self.n] = self.room[: self.n]
             self.room = room
         self.room[self.n : n] = more
@@ -133,6 +161,11 @@ class Grown:
     def all(self) -> np.ndarray:
         return self.room[: self.n]
 
+    @property
+    def eights(self) -> np.ndarray:
+        """The eight bytes from each place on, of an array of bytes."""
+        return np.ndarray(self.n + 1, "<u8", self.room, 0, (1,))
+
 
 class Encoder:
     """Ids of texts as the tokenizer gives them, by way of their distinct chunks where it can be cut.
@@ -206,20 +239,17 @@ class Encoder:
             at[left] = (at[left] + 1) & (len(self.slots) - 1)
 
     def chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        inside = T.NOT_BLANK[data]
-        wordy = _WORDY[data]
-        sign = inside & ~wordy & (data < 0x80) & (data != 0x27) & (data > 0x20)
+        kind = _KIND[data]
         latin = _latin(data)
-        wordy[latin] = wordy[latin + 1] = True
-        opens = inside.copy()
-        opens[1:] &= ~inside[:-1] | (wordy[1:] & sign[:-1]) | (sign[1:] & wordy[:-1])
+        kind[latin] = kind[latin + 1] = _WORD
+        inside = kind != _BLANK
+        opens = np.zeros(len(data), dtype=bool)
+        opens[1:] = _OPENS[4 * kind[:-1] + kind[1:]]
         at = offsets[:-1][offsets[:-1] < len(data)]
         opens[at] = inside[at]
-        start = np.flatnonzero(opens)
-        stops = np.flatnonzero(~inside)
-        next_stop = np.concatenate([stops, [len(data)]])[np.searchsorted(stops, start)]
-        end = np.minimum(np.concatenate([start[1:], [len(data)]]), next_stop)
-        return start, np.minimum(end, offsets[T.text_of(offsets, start) + 1])
+        closes = inside  # and what follows is blank, or opens another
+        closes[:-1] &= opens[1:] | (kind[1:] == _BLANK)
+        return np.flatnonzero(opens), np.flatnonzero(closes) + 1
 
     def joined(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """(ids, how many each has) of words of ASCII and Latin-1 letters; none if they cannot be told apart."""
@@ -273,12 +303,13 @@ class Encoder:
         n = len(offsets) - 1
         start, end = self.chunks(data, offsets)
         lower = T.LOWER[data]
-        names = T.strong_hashes(lower, start, end)
+        names = _names(lower, start, end)
         row = self.find(names)
         hit = np.flatnonzero(row >= 0)
         at, size = row[hit], end[hit] - start[hit]
         same = size == self.lengths.all[at]
-        same &= T.same_bytes(lower, np.where(same, size, 0), start[hit], self.places.all[at], self.spelled.all)
+        long = np.flatnonzero(same & (size > 8))  # up to eight bytes, names and sizes tell all chunks apart
+        same[long] = T.same_bytes(lower, size[long], start[hit[long]], self.places.all[at[long]], self.spelled.eights)
         row[hit[~same]] = -1  # another chunk of the same hash
         new = np.flatnonzero(row < 0)
         if len(new):
@@ -291,15 +322,16 @@ class Encoder:
             rows = self.learn(data, start[first], end[first])
             self.names.add(np.zeros(len(rows), np.uint64))
             self.names.all[rows] = known
-            self.remember(known, rows)
+            true = known == names[first]  # others are never looked for
+            self.remember(known[true], rows[true])
             row[new] = rows[kind]
         size = self.sizes.all[row]
-        text = T.text_of(offsets, start)
-        per_text = np.bincount(text, size, n).astype(np.int64) + 1
-        bounds = np.concatenate([[0], np.cumsum(per_text)])
-        out = np.full(int(bounds[-1]), end_id, dtype=np.uint32)
-        each = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        out[np.arange(len(each)) + np.repeat(text, size)] = self.ids.all[np.repeat(self.starts.all[row], size) + each]
+        done = np.concatenate([[0], np.cumsum(size)])  # ids before each chunk
+        bounds = done[np.searchsorted(start, offsets)] + np.arange(n + 1)
+        own = np.ones(int(bounds[-1]), dtype=bool)
+        own[bounds[1:] - 1] = False
+        out = np.full(len(own), end_id, dtype=np.uint32)
+        out[own] = self.ids.all[np.repeat(self.starts.all[row] - done[:-1], size) + np.arange(int(done[-1]))]
         return out, bounds
 
 
@@ -363,15 +395,27 @@ class Code:
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bits of the ids, and the bit at which every lane starts."""
+        (payload,), starts, _ = self.encode_all(ids, np.array([0, len(ids)]))
+        return payload, starts
+
+    def encode_all(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The bits of each document from a full byte on, the bits in it at which its lanes start, and how many lanes each has."""
         length = self.length[ids]
-        start = np.cumsum(length) - length
-        bits = int(length.sum())
+        done = np.concatenate([[0], np.cumsum(length)])  # bits before each id
+        sizes = np.diff(bounds)
+        size = (np.diff(done[bounds]) + 7) // 8
+        place = np.concatenate([[0], np.cumsum(size)])  # the byte at which each document starts
+        start = done[:-1] + np.repeat(8 * place[:-1] - done[bounds[:-1]], sizes)
         word, shift = start >> 5, (start & 31).astype(np.uint64)
         value = self.word[ids] << (np.uint64(64) - shift - length.astype(np.uint64))
-        n = (bits >> 5) + 2
+        n = int(place[-1] >> 2) + 3
         out = np.bincount(word, (value >> np.uint64(32)).astype(np.float64), n)
         out += np.bincount(word + 1, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), n)
-        return out.astype(">u4").tobytes()[: (bits + 7) // 8], start[::LANE].astype(np.int64)
+        raw = out.astype(">u4").tobytes()
+        lanes = -(-sizes // LANE)
+        first = np.repeat(bounds[:-1] - LANE * (np.cumsum(lanes) - lanes), lanes) + LANE * np.arange(int(lanes.sum()))
+        starts = start[first] - np.repeat(8 * place[:-1], lanes)
+        return [raw[a:b] for a, b in zip(place[:-1].tolist(), place[1:].tolist(), strict=True)], starts, lanes
 
     def decode(self, payloads: list[bytes], checkpoints: list[np.ndarray], doc_sizes: list[list[int]]) -> list[np.ndarray]:
         """The ids of each block, given the sizes of its documents; all lanes of all blocks advance together."""
@@ -422,14 +466,15 @@ def coded_column(ids: Column, code: Code, spark: SparkSession) -> Column:
     held = spark.sparkContext.broadcast(code)
 
     def encode(rows: pa.Array) -> pa.Array:
-        payloads, sizes, checkpoints = [], [], []
-        for raw in rows.to_pylist():
-            ids = np.frombuffer(raw, dtype="<u4")
-            bits, starts = held.value.encode(ids)
-            payloads.append(bits), sizes.append(len(ids)), checkpoints.append(starts)
-        bounds = np.concatenate([[0], np.cumsum([len(c) for c in checkpoints])]).astype(np.int32)
-        starts = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(checkpoints) if checkpoints else np.zeros(0, np.int64)))
-        return pa.StructArray.from_arrays([pa.array(payloads, pa.binary()), pa.array(sizes, pa.int64()), starts], ["payload", "n", "checkpoints"])
+        payloads, sizes, lanes, checkpoints = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for _, data, offsets in T.slices(rows, 4 * CODED):
+            bounds = offsets // 4
+            bits, starts, each = held.value.encode_all(data.view("<u4"), bounds)
+            payloads += bits
+            sizes.append(np.diff(bounds)), checkpoints.append(starts), lanes.append(each)
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate(lanes))]).astype(np.int32)
+        starts = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(checkpoints)))
+        return pa.StructArray.from_arrays([pa.array(payloads, pa.binary()), pa.array(np.concatenate(sizes)), starts], ["payload", "n", "checkpoints"])
 
     return F.arrow_udf(encode, "payload binary, n long, checkpoints array<long>")(ids)
 

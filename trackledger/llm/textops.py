@@ -122,25 +122,31 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 #: Longer spans are hashed by a digest: sums modulo 2^64 have known collisions from 1,024 bytes on, whatever the base.
 LONG = 64
-_ONE = np.uint64(0x9E3779B97F4A7C15)
+ONE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def strong_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray = SAME) -> np.ndarray:
     """The hash of each span's folded bytes, by ``span_hashes`` up to ``LONG`` bytes, else by a digest."""
     hashes = span_hashes(prefix_sums(data, fold), start, end)
-    for k in np.flatnonzero(end - start > LONG).tolist():
-        hashes[k] = int.from_bytes(blake2b(fold[data[start[k] : end[k]]].tobytes(), digest_size=8).digest(), "little")
+    long = np.flatnonzero(end - start > LONG)
+    hashes[long] = digests(data, start[long], end[long], fold)
     return hashes
 
 
-def _eights(data: np.ndarray) -> np.ndarray:
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray = SAME) -> np.ndarray:
+    spans = zip(start.tolist(), end.tolist(), strict=True)
+    return np.array([int.from_bytes(blake2b(fold[data[a:b]].tobytes(), digest_size=8).digest(), "little") for a, b in spans], dtype=np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, with zeros after the end."""
     return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
 
 
 def same_bytes(data: np.ndarray, size: np.ndarray, start: np.ndarray, other: np.ndarray, others: np.ndarray | None = None) -> np.ndarray:
-    """Whether the ``size`` bytes from each start equal those from the other, of ``others`` if given; eight bytes a step."""
-    eight = _eights(data)
-    second = eight if others is None else _eights(others)
+    """Whether the ``size`` bytes from each start equal those from the other, of the bytes with the ``eights`` ``others`` if given; eight bytes a step."""
+    eight = eights(data)
+    second = eight if others is None else others
     same, left = np.ones(len(size), dtype=bool), np.flatnonzero(size > 0)
     at = 0
     while len(left):
@@ -166,7 +172,7 @@ def span_classes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.
         same &= same_bytes(data, np.where(same, size, 0), start, start[like])
         if same.all():
             return names, first, kind
-        hashes[~same] = mix(hashes[~same] + _ONE)
+        hashes[~same] = mix(hashes[~same] + ONE)
 
 
 def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -174,7 +180,7 @@ def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     out, n = hashes, 1
     while n < k and len(out):
         step = min(n, k - n)
-        out = mix(out[: max(0, len(out) - step)] * np.uint64(5) + out[step:] + _ONE)
+        out = mix(out[: max(0, len(out) - step)] * np.uint64(5) + out[step:] + ONE)
         n += step
     return out
 
