@@ -258,3 +258,32 @@ def test_runs_of_decisions_are_found_once(spark):
 
     plan = ALL_QUERIES["res_03_resolution"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("user_id") and "created_seq" not in plan
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_wanted_occupancies_are_decided_as_among_all(spark, seed):
+    occ, *made = [t.persist() for t in resolver_tables(spark, seed)]
+    wanted = occ.where("occupancy_id % 3 = 0")
+    few = resolver.decide_tops(resolver.tops(wanted, *made), "td_area", "berth")
+    assert rows_of(few) == rows_of(resolver.decide_tops(resolver.tops(occ, *made)).join(wanted, "occupancy_id", "left_semi"))
+    where = lambda rows: sorted(tuple(r) for r in rows.select("occupancy_id", "td_area", "berth").collect())
+    assert where(few) == where(wanted)
+
+
+@pytest.mark.parametrize("name", ["joi_06_recent_resolutions"])
+def test_who_asks_for_some_decisions_makes_occupancies_once(spark, name):
+    from trackledger.plans import ALL_QUERIES
+
+    plan = ALL_QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in plan.splitlines() if "Relation" in line and "event_id" in line]) == 1
+
+
+def test_calls_of_schedules_without_runs_are_not_shuffled(spark):
+    """Which schedules have runs is written, so that its size is known and the join on calls needs no shuffle while it is small."""
+    from trackledger.plans import feeds
+
+    _, _, calls, _ = feeds._evidence(spark, "/root/testdata/sf0.001")
+    plan = calls._jdf.queryExecution().optimizedPlan()
+    joined = [line for line in plan.toString().splitlines() if "Join LeftSemi" in line]
+    assert len(joined) == 1 and "Relation [schedule_id" in plan.toString()
+    assert "SortMergeJoin" not in calls._jdf.queryExecution().executedPlan().toString()

@@ -157,7 +157,7 @@ def joi_06_recent_resolutions(spark, d):
     wanted = spark.createDataFrame([("0001",), ("0005",)], "berth string")
     at = F.lit(NOW).cast("timestamp_ntz")
     near = occ.join(wanted, "berth", "left_semi").where((F.col("entered_at") <= at) & (F.col("left_at").isNull() | (F.col("left_at") >= at - F.expr("INTERVAL 1 HOUR"))))
-    return feeds._decided(spark, d).join(near.select("occupancy_id", "td_area", "berth"), "occupancy_id").select("occupancy_id", "status", "td_area", "berth")
+    return feeds._decided(spark, d, near, "td_area", "berth").select("occupancy_id", "status", "td_area", "berth")
 
 
 @query("bind sch", "SELECT b.slug, b.element_id, v.schedule_id AS version FROM bind b JOIN (SELECT CASE WHEN schedule_id%2=0 THEN 'north' ELSE 'south' END AS slug, max(schedule_id) AS schedule_id FROM sch GROUP BY 1) v USING (slug)")
@@ -171,7 +171,8 @@ def joi_10_open_versions(spark, d):
 @query("decided occ cur", "SELECT x.occupancy_id, x.status, x.run_id FROM decided x JOIN occ o USING (occupancy_id) JOIN cur c ON c.td_area=o.td_area AND c.berth=o.berth AND c.source_seq=o.occupancy_id")
 def joi_11_still_current(spark, d):
     now = berths.current_state(A.td_events(spark, d)).where("descr is not null").select(F.col("source_seq").alias("occupancy_id"))
-    return feeds._decided(spark, d).join(now, "occupancy_id", "left_semi").select("occupancy_id", "status", "run_id")
+    occ = berths.occupancies(A.td_events(spark, d)).join(now, "occupancy_id", "left_semi")
+    return feeds._decided(spark, d, occ).select("occupancy_id", "status", "run_id")
 
 
 _SOURCED = "(SELECT *, CASE WHEN schedule_id%2=0 THEN 'SCHEDULE' ELSE 'VSTP' END AS source FROM sch)"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,10 @@ def kept(rows: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(rows.sparkSession))
     return rows.checkpoint()
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows, written in the shared folder and read again: their size is known then, so what a small table is joined to is not shuffled."""
+    path = f"{shared_folder(rows.sparkSession)}/stored-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
