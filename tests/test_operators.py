@@ -278,6 +278,13 @@ def test_who_asks_for_some_decisions_makes_occupancies_once(spark, name):
     assert len([line for line in plan.splitlines() if "Relation" in line and "event_id" in line]) == 1
 
 
+def test_due_occupancies_meet_known_decisions_once(spark):
+    from trackledger.plans import ALL_QUERIES
+
+    plan = ALL_QUERIES["res_06_due"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in plan.splitlines() if "Join" in line and "occupancy_id" in line]) == 1
+
+
 def test_calls_of_schedules_without_runs_are_not_shuffled(spark):
     """Which schedules have runs is written, so that its size is known and the join on calls needs no shuffle while it is small."""
     from trackledger.plans import feeds

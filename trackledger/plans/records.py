@@ -98,12 +98,12 @@ def s_21_calls_and_passes(spark, d):
     return A.schedule_locations(spark, d).select("schedule_id", n.cast("long").alias("seq_no"), call.alias("is_call"), passed.alias("pass_time"), line.alias("path_line"))
 
 
-def _driven(spark, d):
+def _driven(spark, d, twice=True):
     """Decisions known at a time, ten days before the last event, with the time ``now`` of the next run."""
-    occ, (best, made) = berths.occupancies(A.td_events(spark, d)), _best(spark, d, twice=True)
+    occ, (best, made) = berths.occupancies(A.td_events(spark, d)), _best(spark, d, twice=twice)
     last = A.td_events(spark, d).agg(F.max("event_at").alias("now"))
-    early = occ.join(F.broadcast(last), F.col("entered_at") <= F.col("now") - F.expr("INTERVAL 10 DAYS"))
-    known = resolver.decide_tops(best).join(early.select("occupancy_id", F.col("entered_at").alias("decided_at"), "now"), "occupancy_id")
+    known = resolver.decide_tops(best, "entered_at").join(F.broadcast(last), F.col("entered_at") <= F.col("now") - F.expr("INTERVAL 10 DAYS"))
+    known = known.withColumnRenamed("entered_at", "decided_at")
     return occ.join(F.broadcast(last)), best, known, made
 
 
@@ -114,7 +114,7 @@ _DUE = f"""SELECT o.occupancy_id, CASE WHEN o.entered_at > {_NOW} - INTERVAL 10
 
 @query("td occ decided", _DUE)
 def res_06_due(spark, d):
-    occ, _, known, _ = _driven(spark, d)
+    occ, _, known, _ = _driven(spark, d, twice=False)
     return resolver.due(occ, known, F.col("now")).select("occupancy_id", "phase")
 
 
