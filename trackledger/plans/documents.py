@@ -385,9 +385,8 @@ def flt_13_visible_elements(spark, d):
 
 @query("bind decided occ", """SELECT b.slug, b.element_id, x.status, x.run_id, 1000+row_number() OVER (PARTITION BY b.slug ORDER BY o.occupancy_id, b.element_id) AS sequence FROM occ o JOIN decided x USING (occupancy_id) JOIN bind b USING (td_area, berth) WHERE o.exit_seq IS NULL""")
 def red_19_resolution_deltas(spark, d):
-    occ = berths.occupancies(A.td_events(spark, d))
-    now = occ.where("exit_seq is null").join(feeds._decided(spark, d).select("occupancy_id", "status", "run_id"), "occupancy_id")
-    rows = now.join(A.map_bindings(spark), ["td_area", "berth"])
+    now = berths.occupancies(A.td_events(spark, d)).where("exit_seq is null")
+    rows = feeds._decided(spark, d, now, "td_area", "berth").join(A.map_bindings(spark), ["td_area", "berth"])
     return tables.sequenced(rows, "slug", ["occupancy_id", "element_id"], F.lit(1000).cast("long")).select("slug", "element_id", "status", "run_id", "sequence")
 
 
