@@ -270,7 +270,7 @@ def test_wanted_occupancies_are_decided_as_among_all(spark, seed):
     assert where(few) == where(wanted)
 
 
-@pytest.mark.parametrize("name", ["joi_06_recent_resolutions", "joi_07_last_match", "srt_06_retry_backlog", "red_19_resolution_deltas"])
+@pytest.mark.parametrize("name", ["joi_06_recent_resolutions", "joi_07_last_match", "srt_06_retry_backlog", "red_19_resolution_deltas", "str_06_recent_decisions"])
 def test_who_asks_for_some_decisions_makes_occupancies_once(spark, name):
     from trackledger.plans import ALL_QUERIES
 

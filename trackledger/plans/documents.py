@@ -404,7 +404,7 @@ def str_06_recent_decisions(spark, d):
     occ = berths.occupancies(A.td_events(spark, d))
     newest = occ.agg(F.max("entered_at")).first()[0]
     recent = occ.where(F.col("entered_at") > F.lit(newest).cast("timestamp_ntz") - F.expr("INTERVAL 6 HOURS"))
-    return feeds._decided(spark, d).join(recent.select("occupancy_id"), "occupancy_id", "left_semi").select("occupancy_id", "status")
+    return feeds._decided(spark, d, recent).select("occupancy_id", "status")
 
 
 @query("tr marked td", """SELECT 'trust' AS projector, count(*) AS n_read, count(*) FILTER (WHERE seq>=created_seq) AS n_applied, count(*) FILTER (WHERE created_seq IS NULL OR seq<created_seq) AS n_skipped FROM marked
