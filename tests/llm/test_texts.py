@@ -689,3 +689,28 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
     assert not left & {i for i in range(0, 400, 5)} and not left & {i for i in range(0, 400, 7)}
     assert not {i for i in left if i >= 1000}
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def test_lists_hold_sets_of_like_size_only(spark):
+    """Texts of sizes too different to link meet in no list, although they share all of their shingles."""
+    texts = [" ".join(f"w{k}" for k in range(n)) for n in (40, 60, 90, 135, 200)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts + [texts[0] + " more"])], SCHEMA)
+    sets = store.written(jaccard_join.document_sets(docs, reach=jaccard_join.Plan(90).reach), "sets")
+    names = {r["class"]: r["n_shingles"] for r in sets.collect()}
+    found = jaccard_join.candidate_groups(docs, sets, 90).collect()
+    assert {names[r["class"]] for r in found} == {38, 39}
+
+
+def test_groups_of_any_size_are_screened(spark, monkeypatch):
+    """Strangers of a group leave it, and near copies stay together, however few are screened at once."""
+    rng = np.random.default_rng(31)
+    texts = [" ".join(f"v{rng.integers(0, 9999)}" for _ in range(80)) for _ in range(60)]
+    texts += [texts[k] + " more" for k in range(9)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    sets = store.written(jaccard_join.document_sets(docs), "sets")
+    names = {r["_id"]: r["class"] for r in sets.collect()}
+    one = sets.select("class", F.lit(-1).cast("long").alias("group"), F.col("n_shingles").cast("int").alias("n"))
+    whole = {tuple(r) for r in jaccard_join.screened(one, sets, 90).collect()}
+    assert len(whole) == 18
+    monkeypatch.setattr(jaccard_join, "SCREENED", 8)
+    assert {tuple(r) for r in jaccard_join.screened(one, sets, 90).collect()} == whole == {(names[k], min(names[i], names[i + 60]), r[2]) for i in range(9) for k in (i, i + 60) for r in whole if r[0] == names[k]}

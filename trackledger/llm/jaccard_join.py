@@ -21,8 +21,8 @@ The join is size-aware.  A link between sets of n and m shingles needs an overla
   are fewest, from the real sets and lists.
 
 Copies of one text share one set hash and count as one class from the first step on.
-Every list is named by its smallest class, and the classes that share a name form a
-group.  A group is screened first: each set has a signature of parity bits, about as many
+Lists are split by ranges of sizes, of which linked sets have one in common.  Every list is
+named by its smallest class, and the classes that share a name form a group.  A group is screened first: each set has a signature of parity bits, about as many
 as it has shingles, and two sets differ in at least as many shingles as their signatures in
 bits, so groups fall apart where no link is possible.  Overlaps are counted within what is left, by a breadth-first search
 that compares the classes not yet reached with those reached.  Groups of more than ``GROUP`` classes are
@@ -58,7 +58,7 @@ WORDS = 3
 PERCENT = 90
 #: Classes, and shingles of all of them, that are compared in one place; a larger set stands alone in its block.
 GROUP, GROUP_SHINGLES = 128, 1 << 19
-#: Fewest parity bits of a set, and the classes of a group that are screened at once; larger groups go unscreened.
+#: Fewest parity bits of a set, and about how many classes of a group are screened at once; larger groups are screened in blocks, each with each.
 LEAST_BITS, SCREENED = 512, 4096
 #: Largest size for which subsets may be enumerated at all.
 MOST_LIGHT = 40
@@ -273,6 +273,12 @@ def subsets(sets: DataFrame, plan: Plan) -> DataFrame:
     return small.select(F.explode(F.arrow_udf(enumerated, "array<long>")("few")).alias("key"), "class", "n")
 
 
+def size_ranges(percent: int) -> Column:
+    """The two size ranges that a set of ``n`` shingles is in: sizes of linked sets differ by less than one step, so they have one in common."""
+    span = F.floor(F.log("n") / (log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0))
+    return F.array(span, span + 1)
+
+
 def list_names(listed: DataFrame) -> DataFrame:
     """(key, group, length) of each list of several classes; the smallest class names it."""
     found = listed.groupBy("key").agg(F.min("class").alias("group"), F.max("class").alias("_last"), F.count("*").alias("length"))
@@ -284,6 +290,8 @@ def candidate_groups(docs: DataFrame, sets: DataFrame, percent: int, text: str =
     plan = Plan(percent, common=common_shingles(sets))
     lists = postings(docs, plan, Membership(list_names(postings(docs, plan, None, text, words)), "key"), text, words)
     lists = written(lists, "postings")
+    # A shingle that is common among all sets is so among those of one size range to a much lesser degree.
+    lists = lists.withColumn("_range", F.explode(size_ranges(percent))).withColumn("key", F.xxhash64("key", "_range")).drop("_range")
     shared = written(lists.join(list_names(lists), "key").select("class", "group", "n", "length"), "shared")
     small = sets.where((F.col("n_shingles") > 0) & (F.col("n_shingles") <= plan.reach)).groupBy("n_shingles").agg(F.countDistinct("class").alias("k"))
     sizes = {r["n_shingles"]: r["k"] for r in small.collect()}  # one row per size up to the reach
@@ -369,11 +377,15 @@ def screened(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(class, group, n): the groups, divided where no link between classes is possible."""
     if percent <= 50:  # signatures of linked sets might differ too much in length
         return candidates
-    sizes = candidates.groupBy("group").agg(F.count("*").alias("_k"))
+    # Larger groups are dealt into blocks, and each two of these are screened together: signatures are much smaller than sets.
+    blocks = F.when(F.col("_k") > SCREENED, F.ceil(F.col("_k") / F.lit(SCREENED / 2))).otherwise(1).cast("int")
+    sizes = candidates.groupBy("group").agg(F.count("*").alias("_k")).select("group", blocks.alias("_blocks"))
     bits = sets.where(F.col("class").isNotNull()).groupBy("class").agg(F.first("bits").alias("bits"))
-    rows = candidates.join(sizes, "group")
-    small = rows.where(F.col("_k") <= SCREENED).join(bits, "class").select("group", "class", "n", "bits").repartition("group").sortWithinPartitions("group", "class")
-    return small.mapInArrow(_screened(percent), "class long, group long, n int").distinct().unionByName(rows.where(F.col("_k") > SCREENED).select("class", "group", "n"))
+    own = _own_block(F.col("_blocks"))
+    places = F.transform(_numbers(F.col("_blocks")), lambda j: F.xxhash64("group", F.least(own, j), F.greatest(own, j)))
+    rows = candidates.join(sizes, "group").withColumn("group", F.explode(F.when(F.col("_blocks") > 1, places).otherwise(F.array("group"))))
+    rows = rows.join(bits, "class").select("group", "class", "n", "bits").repartition("group").sortWithinPartitions("group", "class")
+    return rows.mapInArrow(_screened(percent), "class long, group long, n int").distinct()
 
 
 def class_sets(docs: DataFrame, wanted: Membership, text: str = "text", words: int = WORDS) -> DataFrame:
@@ -466,9 +478,7 @@ def connected(candidates: DataFrame, sets: DataFrame, percent: int = PERCENT, gr
     one = candidates.join(sizes.where("_blocks = 1").select("group"), "group").select("class", F.col("group").alias("part"))
     if not sizes.where("_blocks > 1").head(1):
         return components(_compared(one, sets, percent))
-    # Sizes of linked sets differ by less than one step of this range, so they lie in the same or in neighbouring ranges.
-    span = F.floor(F.log("n") / (log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0))
-    many = candidates.join(sizes.where("_blocks > 1").select("group"), "group").withColumn("_range", F.explode(F.array(span, span + 1)))
+    many = candidates.join(sizes.where("_blocks > 1").select("group"), "group").withColumn("_range", F.explode(size_ranges(percent)))
     many = many.select("class", "n", F.xxhash64("group", "_range").alias("group"))
     sizes = many.groupBy("group").agg(*whole).where("_k > 1").withColumn("_blocks", cut)
     many = written(many.join(sizes, "group"), "members")
