@@ -1,11 +1,14 @@
 """Streams with state and timers: any split into batches gives the rows of the batch operators."""
 
+import json
 import random
 import time
+import types
 from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from trackledger.operators import berths, intervals, resolver
@@ -169,6 +172,62 @@ def test_open_occupancies_are_retried_until_matched_or_left(spark, tmp_path):
     assert [r[:4] for r in retried if r[0] == 1] == [(1, "matched", "r1", 75)] and not [r for r in retried if r[0] == 2] and [r for r in retried if r[0] == 9]
 
 
+class Store:
+    """State of one key, counting accesses."""
+
+    def __init__(self):
+        self.values, self.timers, self.n = {}, set(), 0
+
+    def getValueState(self, name, schema):
+        return Cell(self, name)
+
+    def getMapState(self, name, key, value):
+        return Cells(self)
+
+    def registerTimer(self, at):
+        self.n += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.n += 1
+        self.timers.remove(at)
+
+
+class Cell:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def __getattr__(self, what):
+        self.store.n += 1
+        held = self.store.values
+        return {"exists": lambda: self.name in held, "get": lambda: held[self.name], "update": lambda v: held.__setitem__(self.name, v), "clear": lambda: held.pop(self.name, None)}[what]
+
+
+class Cells:
+    def __init__(self, store):
+        self.store, self.held = store, {}
+
+    def __getattr__(self, what):
+        self.store.n += 1
+        held = self.held
+        return {"containsKey": held.__contains__, "getValue": held.__getitem__, "updateValue": held.__setitem__, "removeKey": held.__delitem__, "iterator": lambda: iter(list(held.items()))}[what]
+
+
+def test_state_of_the_resolver_is_accessed_per_batch_not_per_occupancy():
+    now = types.SimpleNamespace(getCurrentWatermarkInMs=lambda: now.at, at=0)
+    none = json.dumps([])
+    for n in (10, 1000):
+        store, resolver_ = Store(), resolution._Resolver(5)
+        resolver_.init(store)
+        now.at = 0
+        rows = [Row(occupancy_id=k, at=k * 1_000_000, kind="enter", candidates=none) for k in range(n)]
+        assert [r.phase for r in resolver_.handleInputRows(("1A", "Z"), iter(rows), now)] == ["new"] * n
+        assert store.timers == {300_000}
+        now.at, store.timers = 9_000_000, set()
+        assert [(r.occupancy_id, r.phase) for r in resolver_.handleExpiredTimer(("1A", "Z"), now, None)] == [(k, "retry") for k in range(n)]
+        assert store.timers == {9_300_000} and store.n < 40
+
+
 # Histories in segments
 
 

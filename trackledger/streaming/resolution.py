@@ -14,10 +14,16 @@ from trackledger.operators.resolver import CONTINUITY_MINUTES, RETRY_MINUTES, de
 
 DECISIONS = "occupancy_id long, status string, run_id string, score int, phase string, decided_ms long"
 _MINUTE = 60_000_000
+#: Occupancy numbers of a page of state.
+PAGE = 4096
 
 
 class _Resolver(StatefulProcessor):
-    """Per (description, area): the newest match, and the open occupancies without one."""
+    """Per (description, area): the newest match, and the open occupancies without one.
+
+    Each access to state is a message to the JVM, so what a call needs is read once and written
+    once: open occupancies lie in pages of neighbouring numbers, and one timer stands for all.
+    """
 
     def __init__(self, retry_minutes: int):
         self.retry_ms = retry_minutes * 60_000
@@ -26,23 +32,69 @@ class _Resolver(StatefulProcessor):
         self.handle = handle
         self.match = handle.getValueState("match", "run_id string, at long")
         self.facts = handle.getValueState("facts", "facts string")
-        self.retried = handle.getValueState("retried", "at long")
-        self.open = handle.getMapState("open", "occupancy_id long", "at long, candidates string, decided_ms long")
+        self.due = handle.getValueState("due", "at long")
+        self.open = handle.getMapState("open", "page long", "occupancies string")
+
+    def _begin(self) -> None:
+        """Reads what every decision of this call needs."""
+        self.found = tuple(self.match.get()) if self.match.exists() else None
+        self.run = self.facts.get()[0] if self.facts.exists() else None
+        self.before = self.found, self.run
+        self.run_of = json.loads(self.run) if self.run else None
+        self.pages, self.changed = {}, set()
+        self.timer = self.due.get()[0] if self.due.exists() else None
+        self.soonest = self.timer
+
+    def _end(self) -> None:
+        """Writes what this call has changed."""
+        if self.found != self.before[0]:
+            self.match.update(self.found)
+        if self.run != self.before[1]:
+            self.facts.update((self.run,))
+        for number in self.changed:
+            if self.pages[number]:
+                self.open.updateValue((number,), (json.dumps([[k, *v] for k, v in self.pages[number].items()]),))
+            elif self.open.containsKey((number,)):
+                self.open.removeKey((number,))
+        if self.soonest != self.timer:
+            if self.timer is not None:
+                self.handle.deleteTimer(self.timer)
+            if self.soonest is None:
+                self.due.clear()
+            else:
+                self.handle.registerTimer(self.soonest)
+                self.due.update((self.soonest,))
+
+    def _page(self, occupancy: int) -> dict[int, tuple]:
+        """The open occupancies, as (at, candidates, decided), of the page that one is on."""
+        number = occupancy // PAGE
+        if number not in self.pages:
+            held = self.open.getValue((number,)) if self.open.containsKey((number,)) else None
+            self.pages[number] = {k: tuple(v) for k, *v in json.loads(held[0])} if held else {}
+        return self.pages[number]
+
+    def _keep(self, occupancy: int, value: tuple | None) -> None:
+        page = self._page(occupancy)
+        if value is not None:
+            page[occupancy] = value
+        elif page.pop(occupancy, None) is None:
+            return
+        self.changed.add(occupancy // PAGE)
 
     def _decide(self, at: int, candidates: str) -> tuple[str, str | None, int]:
-        match, offered = tuple(self.match.get()) if self.match.exists() else None, json.loads(candidates)
+        match, offered = self.found, json.loads(candidates)
         if isinstance(offered, list):
             found = decided(offered, at, match, CONTINUITY_MINUTES * _MINUTE)
         else:
             found = self._supported(at, offered, match)
         if found[1] is not None and (match is None or at > match[1]):
-            self.match.update((found[1], at))
+            self.found = (found[1], at)
             if isinstance(offered, dict) and found[1] == offered["run_id"]:
-                self.facts.update((candidates,))
+                self.run, self.run_of = candidates, offered
         return found
 
     def _supported(self, at: int, best: dict, match: tuple | None) -> tuple[str, str | None, int]:
-        run = json.loads(self.facts.get()[0]) if match and self.facts.exists() else None
+        run = self.run_of if match else None
         if run is not None and run["run_id"] == match[0] and run["service_date"] == best["service_date"]:
             match = (*match, run["began"], run["linked"], run["cells"] or [])
         else:
@@ -52,32 +104,41 @@ class _Resolver(StatefulProcessor):
     def _put(self, occupancy: int, at: int, candidates: str, now: int, phase: str) -> Row:
         status, run, score = self._decide(at, candidates)
         if status != "matched":
-            self.open.updateValue((occupancy,), (at, candidates, now))
-            self.handle.registerTimer(now + self.retry_ms)
-        elif self.open.containsKey((occupancy,)):
-            self.open.removeKey((occupancy,))
+            self._keep(occupancy, (at, candidates, now))
+            self.soonest = min(now + self.retry_ms, now + self.retry_ms if self.soonest is None else self.soonest)
+        else:
+            self._keep(occupancy, None)
         return Row(occupancy_id=occupancy, status=status, run_id=run, score=score, phase=phase, decided_ms=now)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        self._begin()
+        reached = timerValues.getCurrentWatermarkInMs()
+        out = []
         for row in sorted(rows, key=lambda r: (r.at, r.occupancy_id)):
-            name = (row.occupancy_id,)
             if row.kind == "enter":
-                yield self._put(row.occupancy_id, row.at, row.candidates, max(row.at // 1000, timerValues.getCurrentWatermarkInMs()), "new")
-            elif self.open.containsKey(name):
-                if row.kind == "leave":
-                    self.open.removeKey(name)
-                else:
-                    at, _, when = self.open.getValue(name)
-                    self.open.updateValue(name, (at, row.candidates, when))
+                out.append(self._put(row.occupancy_id, row.at, row.candidates, max(row.at // 1000, reached), "new"))
+                continue
+            held = self._page(row.occupancy_id).get(row.occupancy_id)
+            if held is not None:
+                self._keep(row.occupancy_id, None if row.kind == "leave" else (held[0], row.candidates, held[2]))
+        self._end()
+        yield from out
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        self._begin()
         now = timerValues.getCurrentWatermarkInMs()
-        if self.retried.exists() and self.retried.get()[0] == now:
-            return  # all timers up to this time were answered by the first of them: one pass over what is open, not one per timer
-        self.retried.update((now,))
-        due = [(when, at, name[0], candidates) for name, (at, candidates, when) in self.open.iterator() if when + self.retry_ms <= now]
-        for _, at, occupancy, candidates in sorted(due):
-            yield self._put(occupancy, at, candidates, now, "retry")
+        if self.timer is None or self.timer > now:
+            return  # answered already: one pass over what is open, not one per timer
+        self.pages = {number: {k: tuple(v) for k, *v in json.loads(held)} for (number,), (held,) in self.open.iterator()}
+        due = sorted((when, at, occupancy, candidates) for page in self.pages.values() for occupancy, (at, candidates, when) in page.items() if when + self.retry_ms <= now)
+        out = [self._put(occupancy, at, candidates, now, "retry") for _, at, occupancy, candidates in due]
+        self.timer = None  # it has gone off
+        left = [when for page in self.pages.values() for _, _, when in page.values()]
+        self.soonest = min(left) + self.retry_ms if left else None
+        if self.soonest is None:
+            self.due.clear()
+        self._end()
+        yield from out
 
     def close(self) -> None:
         pass
