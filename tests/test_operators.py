@@ -294,3 +294,17 @@ def test_calls_of_schedules_without_runs_are_not_shuffled(spark):
     joined = [line for line in plan.toString().splitlines() if "Join LeftSemi" in line]
     assert len(joined) == 1 and "Relation [schedule_id" in plan.toString()
     assert "SortMergeJoin" not in calls._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_texts_of_candidates_equal_the_pairs(spark, seed):
+    """Runs of a description and date come once to a part of its occupancies, and nothing is evaluated in the plan for each pair."""
+    occ, own, *rest = (t.persist() for t in resolver_tables(spark, seed))
+    own = own.withColumn("told", F.concat(F.lit("U"), "run_id"))
+    want = {}
+    for r in resolver.candidates(occ, own, *rest).collect():
+        want.setdefault(r.occupancy_id, []).append((-r.score, r.run_id))
+    found = resolver.candidate_texts(occ, own, *rest, told="told")
+    assert {r.occupancy_id: r.candidates for r in found.collect()} == {k: ",".join(f"{run}:{-down}:U{run}" for down, run in sorted(v)) for k, v in want.items()}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "array_contains" not in plan

@@ -189,9 +189,7 @@ def joi_14_staged_children(spark, d):
 
 @query("scored runs", "SELECT s.occupancy_id, string_agg(s.run_id||':'||CAST(s.score AS VARCHAR)||':'||r.train_uid, ',' ORDER BY s.score DESC, s.run_id) AS candidates FROM scored s JOIN runs r USING (run_id) GROUP BY 1")
 def joi_17_srt_09_enriched_candidates(spark, d):
-    lists = resolver.candidate_lists(berths.occupancies(A.td_events(spark, d)), *feeds._evidence(spark, d), told="train_uid")
-    shown = F.transform("candidates", lambda c: F.concat_ws(":", c["run_id"], (-c["down"]).cast("string"), c["told"]))
-    return lists.select("occupancy_id", F.array_join(shown, ",").alias("candidates"))
+    return resolver.candidate_texts(berths.occupancies(A.td_events(spark, d)), *feeds._evidence(spark, d), told="train_uid")
 
 
 @query("td", f"SELECT CAST((seq-1)//10 AS BIGINT) AS frame, count(*) AS n_steps, min(seq) AS first_seq FROM td WHERE ((seq-1)//10)%{BROKEN}<>0 AND message_type='CA' GROUP BY 1")
