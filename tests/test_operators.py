@@ -308,3 +308,17 @@ def test_texts_of_candidates_equal_the_pairs(spark, seed):
     assert {r.occupancy_id: r.candidates for r in found.collect()} == {k: ",".join(f"{run}:{-down}:U{run}" for down, run in sorted(v)) for k, v in want.items()}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan and "array_contains" not in plan
+
+
+def test_pairs_are_made_in_blocks_of_runs(spark, monkeypatch):
+    """However many runs a key has, a join meets a block of them; reasons are constants, not evaluated one by one."""
+    monkeypatch.setattr(resolver, "BLOCK", 3)
+    key = [F.when(F.col("id") % 5 != 0, (F.col("id") % 2).cast("string")).alias("descr"), F.lit(date(2026, 1, 1)).alias("service_date")]
+    occ = spark.range(20).select(F.col("id").alias("occupancy_id"), *key)
+    own = spark.range(20).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("run_id"), *key)
+    found = resolver.paired(occ, own, ["descr", "service_date"], "run_id")
+    here = [k for k in range(20) if k % 5]
+    assert sorted((r.occupancy_id, r.run_id) for r in found.collect()) == sorted((a, f"r{b}") for a in here for b in here if a % 2 == b % 2)
+    assert "_block" in found._jdf.queryExecution().optimizedPlan().toString()
+    made = resolver_tables(spark, 1)
+    assert "lambda" not in resolver.candidates(*made)._jdf.queryExecution().optimizedPlan().toString()
